@@ -12,6 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablekit.functions.columns import col, order_number
+from tablekit.functions.session import cut_lineage
 
 ROWS = 1_000_000
 BUCKETS = 20_000
@@ -117,3 +118,14 @@ def sessions(
         df = _carry(df, keys, {"_o": F.sum("_opens")}, {"_before": F.coalesce(F.sum("_o").over(earlier), F.lit(0))})
         number = number + F.col("_before")
     return df.withColumn("_session", number).drop("_ord", "_bucket", "_opens", "_before", "_prev_end")
+
+
+def number_rows(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
+    """df with 0-based row numbers in sorted order: a range sort, then one offset per sort partition."""
+    placed = cut_lineage(df.sort(*[col(c) for c in order_by]).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*[col(c) for c in order_by])) - 1
+    numbered = placed.withColumn("_inside", inside).join(F.broadcast(offsets), "_part")
+    return numbered.withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint")).drop("_part", "_inside", "_start")

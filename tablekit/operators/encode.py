@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablekit.functions.columns import categorical_columns, col, long_form, numeric_columns
 from tablekit.functions.quantiles import exact_quantiles
+from tablekit.functions.ordering import number_rows
 from tablekit.functions.session import broadcast_if_small
 from tablekit.operators.profile import distinct_counts
 
@@ -65,26 +66,9 @@ def frequencies(df: DataFrame, name: str) -> DataFrame:
 
 
 def label_encode(df: DataFrame, name: str, output: str | None = None) -> DataFrame:
-    """Codes 0.. in sorted value order. The values are numbered by range, not in one task."""
-    from tablekit.functions.session import cut_lineage
-
-    values = cut_lineage(
-        df.filter(col(name).isNotNull())
-        .select(col(name).alias("_v"))
-        .distinct()
-        .sort("_v")
-        .select("_v", F.spark_partition_id().alias("_p"))
-    )
-    from pyspark.sql import Window
-
-    sizes = values.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy("_v")) - 1
-    codes = (
-        values.withColumn("_r", inside)
-        .join(F.broadcast(sizes.select("_p", before.alias("_b"))), "_p")
-        .select("_v", (F.col("_b") + F.col("_r")).cast("bigint").alias(output or f"{name}_code"))
-    )
+    """Codes 0.. in sorted value order; null stays null."""
+    values = df.filter(col(name).isNotNull()).select(col(name).alias("_v")).distinct()
+    codes = number_rows(values, ["_v"], output or f"{name}_code")
     return df.join(broadcast_if_small(codes), col(name) == F.col("_v"), "left").drop("_v")
 
 

@@ -12,10 +12,15 @@ FORBIDDEN_CHARACTERS = '<>:"|?*'
 WINDOWS_MAGIC, ELF_MAGIC = "4D5A", "7F454C46"
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, magic): the leading four bytes of every file."""
+def list_files(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, length, magic): the leading four bytes of every file within the size limit. Larger files are
+    only listed: the length filter is pushed down, so their content is never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select("path", "length", F.hex(F.substring("content", 1, 4)).alias("magic"))
+    small = files.filter(F.col("length") <= max_bytes)
+    large = files.filter(F.col("length") > max_bytes)
+    return small.select("path", "length", F.hex(F.substring("content", 1, 4)).alias("magic")).unionByName(
+        large.select("path", "length", F.lit("").alias("magic"))
+    )
 
 
 def name_problem(name: Column) -> Column:
