@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablekit.functions.columns import col, numeric_or_zero
 from tablekit.functions.hashing import unit_interval
+from tablekit.functions.session import spread
 
 #: Points per block, queries per chunk, points per pivot and the most pivots.
 BLOCK, CHUNK, PER_PIVOT, PIVOTS = 4_000, 8_000, 1_000, 512
@@ -128,7 +129,7 @@ class Cells:
             {"block": F.pmod(F.xxhash64("id"), blocks).cast("int"), "chunk": F.explode(F.sequence(F.lit(0), pieces - 1))}
         )
         group = ["cell", "block", "chunk"]
-        return left.groupBy(*group), right.groupBy(*group)
+        return spread(left, *group).groupBy(*group), spread(right, *group).groupBy(*group)
 
 
 def _best(d: np.ndarray, k: int) -> np.ndarray:

@@ -40,6 +40,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by keys into as many tasks as the session shuffles with, for groups that are small in
+    bytes but heavy in compute: adaptive execution would merge them into a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def collect_bounded(df: DataFrame, limit: int, what: str) -> list:
     """Collect a result that must be small; refuse it when it is not."""
     rows = df.limit(limit + 1).collect()

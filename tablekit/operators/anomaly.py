@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,7 @@ from tablekit.functions.columns import col, numeric_columns
 from tablekit.functions.hashing import row_hash, with_hash_cutoffs
 from tablekit.functions.neighbours import _matrix
 from tablekit.functions.quantiles import exact_quantiles
+from tablekit.functions.session import cut_lineage, spread
 from tablekit.operators.clean import FillModel, fit_fill
 from tablekit.operators.scale import ScaleModel, fit_scaler
 
@@ -33,26 +35,37 @@ def average_path(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, deep))
 
 
+_PATHS = average_path(np.arange(SUBSAMPLE + 1))
+
+
 def _grow(x: np.ndarray, rng) -> tuple[list, list, list, list]:
     """One isolation tree as parallel arrays: feature (-1 = leaf), cut, left child, path length at leaves."""
     limit = int(np.ceil(np.log2(max(len(x), 2))))
+    d = x.shape[1]
+    if d == 1:
+        x = np.sort(x, axis=0)
+    draws = rng.random((2 * len(x) + 1, 2))
     feature, cut, left, path = [], [], [], []
-    todo = [(x, 0)]
+    todo = deque([(x, 0)])
     while todo:
-        part, depth = todo.pop(0)
-        low, high = part.min(axis=0), part.max(axis=0)
+        part, depth = todo.popleft()
+        node = len(feature)
+        low, high = (part[:1].ravel(), part[-1:].ravel()) if d == 1 else (part.min(axis=0), part.max(axis=0))
         usable = np.flatnonzero(high > low)
-        if depth >= limit or len(part) <= 1 or not len(usable):
+        if depth >= limit or not len(usable):
             feature.append(-1), cut.append(0.0), left.append(0)
-            path.append(depth + float(average_path(len(part))))
+            path.append(depth + float(_PATHS[len(part)]))
             continue
-        j = int(rng.choice(usable))
-        at = rng.uniform(low[j], high[j])
-        feature.append(j), cut.append(float(at)), path.append(0.0)
+        j = int(usable[int(draws[node, 0] * len(usable))])
+        at = float(low[j] + draws[node, 1] * (high[j] - low[j]))
         # Children are queued in order, so the left one's number is known now and the right one follows it.
-        left.append(len(feature) + len(todo))
-        side = part[:, j] < at
-        todo += [(part[side], depth + 1), (part[~side], depth + 1)]
+        feature.append(j), cut.append(at), path.append(0.0), left.append(node + 1 + len(todo))
+        if d == 1:
+            k = int(np.searchsorted(part[:, 0], at))
+            todo += [(part[:k], depth + 1), (part[k:], depth + 1)]
+        else:
+            side = part[:, j] < at
+            todo += [(part[side], depth + 1), (part[~side], depth + 1)]
     return feature, cut, left, path
 
 
@@ -140,7 +153,7 @@ def fit_isolation_forest(
         return pd.DataFrame({"tree": [tree], "rows": [len(x)], "feature": [feature], "cut": [cut], "left": [left], "path": [path]})
 
     schema = "tree int, rows int, feature array<int>, cut array<double>, left array<int>, path array<double>"
-    grown = sample.groupBy("tree").applyInPandas(grow, schema).orderBy("tree").collect()
+    grown = spread(sample, "tree").groupBy("tree").applyInPandas(grow, schema).orderBy("tree").collect()
     forest = [(r["feature"], r["cut"], r["left"], r["path"]) for r in grown]
     scale = float(np.mean(average_path([r["rows"] for r in grown]))) or 1.0
     shared = df.sparkSession.sparkContext.broadcast((forest, scale))
@@ -155,8 +168,6 @@ def fit_isolation_forest(
 
 
 def _with_threshold(detector: Detector, df: DataFrame, share: float) -> Detector:
-    from tablekit.functions.session import cut_lineage
-
     scored = cut_lineage(detector.scores(df).select(detector.output))
     detector.threshold = exact_quantiles(scored, [detector.output], [share])[detector.output][0]
     return detector
@@ -228,7 +239,7 @@ def series_anomalies(data: DataFrame, contamination: float = 0.05, ties: list[st
         depth = sum(_depths(inside[:, None], t) for t in out) / trees
         return pd.DataFrame({"series": [name], "cuts": [cuts], "scores": [-np.exp2(-depth / scale)]})
 
-    forests = sample.groupBy("series").applyInPandas(grow, "series string, cuts array<double>, scores array<double>")
+    forests = spread(sample, "series").groupBy("series").applyInPandas(grow, "series string, cuts array<double>, scores array<double>")
     keyed = data.withColumn("_slot", F.pmod(F.xxhash64("series", *order), F.lit(64)))
     spread = forests.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))))
 
@@ -240,8 +251,6 @@ def series_anomalies(data: DataFrame, contamination: float = 0.05, ties: list[st
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema) + ", anomaly_score double"
     scored = keyed.groupBy("series", "_slot").cogroup(spread.groupBy("series", "_slot")).applyInPandas(apply, schema)
-    from tablekit.functions.session import cut_lineage
-
     scored = cut_lineage(scored)
     # Few distinct scores per series: count them, then take the quantile from the counts.
     counts = scored.groupBy("series", "anomaly_score").agg(F.count("*").alias("n"))

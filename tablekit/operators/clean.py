@@ -36,6 +36,7 @@ class FillModel:
     """Fill values per column; transform is a projection."""
 
     values: dict[str, object] = field(default_factory=dict)
+    had_nulls: set[str] = field(default_factory=set)
     drop_null_rows: list[str] | None = None
     drop_columns: list[str] = field(default_factory=list)
 
@@ -48,7 +49,8 @@ class FillModel:
             if c in df.columns and v is not None:
                 kind = df.schema[c].dataType
                 if isinstance(kind, T.IntegralType) and isinstance(v, float) and not v.is_integer():
-                    kind = T.DoubleType()
+                    # An integer column becomes a double only if there was something to fill.
+                    v, kind = (v, T.DoubleType()) if c in self.had_nulls else (round(v), kind)
                 filled[c] = F.coalesce(col(c).cast(kind), F.lit(v).cast(kind))
         return df.withColumns(filled) if filled else df
 
@@ -79,7 +81,9 @@ def fit_fill(
     found = modes(df, categorical, "string")
     for c in categorical:
         values[c] = found.get(c, empty_category)
-    return FillModel({c: v for c, v in values.items() if v is not None})
+    integers = [c for c in numeric if isinstance(df.schema[c].dataType, T.IntegralType)]
+    had_nulls = {c for c, share in missing_shares(df.select(*[col(c) for c in integers])).items() if share} if integers else set()
+    return FillModel({c: v for c, v in values.items() if v is not None}, had_nulls)
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablekit.functions.columns import col, numeric_columns
@@ -170,9 +172,6 @@ def _tie_means(values: list[float], probs: list[float]) -> list[tuple[float, flo
 
 def interpolate(x: Column, points: list[tuple[float, float]]) -> Column:
     """Piecewise-linear lookup by binary search, vectorised over Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     xs = np.array([p[0] for p in points])
     ys = np.array([p[1] for p in points])
 
