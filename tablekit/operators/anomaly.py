@@ -183,8 +183,8 @@ def fit_kernel_boundary(
     fill, scaler, ready, names = _prepare(df, features)
     d = len(features)
     rng = np.random.default_rng(seed)
-    spread = ready.agg(F.avg(sum((F.pow(F.col(c), 2) for c in names), F.lit(0.0)))).first()[0] or float(d)
-    gamma = 1.0 / max(spread, 1e-12)
+    energy = ready.agg(F.avg(sum((F.pow(F.col(c), 2) for c in names), F.lit(0.0)))).first()[0] or float(d)
+    gamma = 1.0 / max(energy, 1e-12)
     weights = rng.normal(0, np.sqrt(2 * gamma), size=(d, size))
     phase = rng.uniform(0, 2 * np.pi, size=size)
 
@@ -241,7 +241,7 @@ def series_anomalies(data: DataFrame, contamination: float = 0.05, ties: list[st
 
     forests = spread(sample, "series").groupBy("series").applyInPandas(grow, "series string, cuts array<double>, scores array<double>")
     keyed = data.withColumn("_slot", F.pmod(F.xxhash64("series", *order), F.lit(64)))
-    spread = forests.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))))
+    copies = forests.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))))
 
     def apply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:
@@ -250,7 +250,7 @@ def series_anomalies(data: DataFrame, contamination: float = 0.05, ties: list[st
         return left.assign(anomaly_score=scores[np.searchsorted(cuts, left["value"].to_numpy(), side="right")]).drop(columns="_slot")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema) + ", anomaly_score double"
-    scored = keyed.groupBy("series", "_slot").cogroup(spread.groupBy("series", "_slot")).applyInPandas(apply, schema)
+    scored = keyed.groupBy("series", "_slot").cogroup(copies.groupBy("series", "_slot")).applyInPandas(apply, schema)
     scored = cut_lineage(scored)
     # Few distinct scores per series: count them, then take the quantile from the counts.
     counts = scored.groupBy("series", "anomaly_score").agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablekit.functions.columns import col, local_table, numeric_columns, numeric_or_zero
 from tablekit.functions.grams import gram
@@ -74,8 +74,9 @@ def run_parallel(tasks: list, parallelism: int) -> list:
 
     if not tasks:
         return []
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        return list(pool.map(lambda t: inheritable_thread_target(t)(), tasks))
+        return list(pool.map(lambda task: task(), [inherit(t) for t in tasks]))
 
 
 def cross_validate(
@@ -131,7 +132,11 @@ def held_out(df, label, name, problem, features, params, keys) -> DataFrame:
     rows = df.filter(col(label).isNotNull())
     kept = [col(k) for k in keys]
     if name == "linear_regression":
-        x = rows.select(*kept, numeric_or_zero(rows, label).alias("_y"), F.lit(1.0).alias("_one"), *[numeric_or_zero(rows, c).alias(f"_f{i}") for i, c in enumerate(features)])
+        # Centred columns keep the cross products well conditioned.
+        raw = {"_y": label, **{f"_f{i}": c for i, c in enumerate(features)}}
+        means = rows.agg(*[F.avg(numeric_or_zero(rows, c)).alias(n) for n, c in raw.items()]).first()
+        centred = [(numeric_or_zero(rows, c) - F.lit(means[n])).alias(n) for n, c in raw.items()]
+        x = rows.select(*kept, numeric_or_zero(rows, label).alias("actual"), F.lit(1.0).alias("_one"), *centred)
         names = ["_one", *[f"_f{i}" for i in range(len(features))]]
         g = gram(x, [*names, "_y"]).get(0)
         d = len(names)
@@ -145,7 +150,7 @@ def held_out(df, label, name, problem, features, params, keys) -> DataFrame:
             inner = sum((F.col(b) * float(inverse[i, j]) for j, b in enumerate(names)), F.lit(0.0))
             leverage = leverage + F.col(a) * inner
         residual = (F.col("_y") - fitted) / F.greatest(1 - leverage, F.lit(1e-12))
-        return x.select(*kept, F.col("_y").alias("actual"), (F.col("_y") - residual).alias("prediction"))
+        return x.select(*kept, "actual", (F.col("actual") - residual).alias("prediction"))
     if name == "k_neighbors":
         model = models.fit(rows, label, name, problem, features, params, keys)
         scored = model.stage.apply(rows, model, exclude_self=True)

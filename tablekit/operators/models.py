@@ -138,6 +138,12 @@ class _NoModel:
         return df.withColumn("_p", F.lit(0.0))
 
 
+def _one_against_rest(classifier):
+    from pyspark.ml.classification import OneVsRest
+
+    return OneVsRest(classifier=classifier, featuresCol="_x", labelCol="_y", predictionCol="_p", rawPredictionCol="_raw")
+
+
 def _spark_estimator(name: str, problem: str, params: dict, n_classes: int, n_rows: int, seed: int):
     """(estimator, output kind, names of ignored parameters)."""
     from pyspark.ml import classification as C, regression as R
@@ -176,8 +182,8 @@ def _spark_estimator(name: str, problem: str, params: dict, n_classes: int, n_ro
         elif n_classes <= 2:
             est = C.GBTClassifier(**common, **settings)
         else:
-            base = C.GBTClassifier(**common, **settings)
-            est, kind = C.OneVsRest(classifier=base, featuresCol="_x", labelCol="_y", predictionCol="_p", rawPredictionCol="_raw"), "margins"
+            base = C.GBTClassifier(**common, **settings).setProbabilityCol("_prob").setRawPredictionCol("_raw")
+            est, kind = _one_against_rest(base), "margins"
     elif name == "logistic_regression" and classes:
         est = C.LogisticRegression(
             **common,
@@ -197,7 +203,7 @@ def _spark_estimator(name: str, problem: str, params: dict, n_classes: int, n_ro
             est = C.LinearSVC(**common, rawPredictionCol="_raw", regParam=1.0 / (c * max(n_rows, 1)), maxIter=100)
             kind = "margin"
             if n_classes > 2:
-                est, kind = C.OneVsRest(classifier=est, featuresCol="_x", labelCol="_y", predictionCol="_p", rawPredictionCol="_raw"), "margins"
+                est, kind = _one_against_rest(est), "margins"
         else:
             est = R.LinearRegression(**common, loss="huber", regParam=1.0 / (c * max(n_rows, 1)), maxIter=200)
     else:

@@ -159,14 +159,13 @@ def cross_validate_tree(t):
 
 @query(
     "leave_one_out_linear",
-    f"""with s as (select regr_slope(l, x) as b, regr_intercept(l, x) as a, avg(x) as m, var_pop(x) * count(*) as sxx, count(*) as n from
-          (select o_totalprice as l, cast(o_custkey as double) as x from orders))
-        select o_orderkey, o_totalprice as actual,
-          {r('o_totalprice - (o_totalprice - a - b * o_custkey) / (1 - 1.0 / n - (o_custkey - m) * (o_custkey - m) / sxx)', 3)} as prediction from orders, s""",
+    f"""with o as (select o_orderkey, o_totalprice / 100000 as l, cast(o_custkey as double) as x from orders),
+          s as (select regr_slope(l, x) as b, regr_intercept(l, x) as a, avg(x) as m, var_pop(x) * count(*) as sxx, count(*) as n from o)
+        select o_orderkey, {r('l', 7)} as actual, {r('l - (l - a - b * x) / (1 - 1.0 / n - (x - m) * (x - m) / sxx)', 7)} as prediction from o, s""",
 )
 def leave_one_out_linear(t):
-    df = t("orders").select("o_orderkey", "o_totalprice", "o_custkey")
-    return rounded(evaluate.held_out(df, "o_totalprice", "linear_regression", models.REGRESSION, ["o_custkey"], {}, KEYS), 3)
+    df = t("orders").select("o_orderkey", (F.col("o_totalprice") / 100000).alias("price"), "o_custkey")
+    return rounded(evaluate.held_out(df, "price", "linear_regression", models.REGRESSION, ["o_custkey"], {}, KEYS), 7)
 
 
 @query("leave_one_out_neighbours")
