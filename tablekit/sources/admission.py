@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Admission limits and magic numbers (fixed values).
@@ -14,13 +17,17 @@ WINDOWS_MAGIC, ELF_MAGIC = "4D5A", "7F454C46"
 
 def list_files(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, length, magic): the leading four bytes of every file within the size limit. Larger files are
-    only listed: the length filter is pushed down, so their content is never read."""
+    only listed: the length filter is pushed down, so their content is never read. Spark plans no read for
+    empty files, so those come from its file index."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     small = files.filter(F.col("length") <= max_bytes)
     large = files.filter(F.col("length") > max_bytes)
-    return small.select("path", "length", F.hex(F.substring("content", 1, 4)).alias("magic")).unionByName(
+    found = small.select("path", "length", F.hex(F.substring("content", 1, 4)).alias("magic")).unionByName(
         large.select("path", "length", F.lit("").alias("magic"))
     )
+    listed = [(re.sub("^(\\w+):///", r"\1:/", unquote(p)),) for p in files.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    return found.unionByName(empty.select("path", F.lit(0).cast("bigint").alias("length"), F.lit("").alias("magic")))
 
 
 def name_problem(name: Column) -> Column:
