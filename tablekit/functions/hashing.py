@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tablekit.functions.columns import col
 from tablekit.functions.session import small_table
 
-#: Hex digits of the digest that form a counting prefix: at most 16**5 prefixes per group.
-PREFIX = 5
+#: Hex digits of the digest that form a counting prefix: at most 16**4 prefixes per group.
+PREFIX = 4
 
 
 def row_hash(keys: list[str] | str, seed: int | str = 42) -> Column:

@@ -1,27 +1,29 @@
 """Exact order statistics without gathering a column in one task.
 
-Small columns (a checked count) are counted by value and finished by one percentile task per column. Large ones narrow a bracket around each wanted
-rank: one pass counts the rows below, at and inside the bracket and sketches the inside; the next
-bracket lies between two neighbouring sketch points. Hot values become bracket ends, where only their
-count matters, so ties cannot stall the search. Each pass is one aggregate with map-side partials.
+A bracket around each wanted rank is narrowed by alternating two aggregate passes with map-side partials:
+a sketch of the values inside the bracket gives a much tighter one, and a count of the rows below, at and
+inside it keeps the rank exact. Hot values become bracket ends, where only their count matters, so ties
+cannot stall the search. When few values are left inside, those alone are counted by value and read.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablekit.functions.columns import col, long_form
+from tablekit.functions.columns import col
+from tablekit.functions.session import collect_bounded
 
-#: Non-null values up to which an exact percentile aggregate is allowed.
-EXACT_ROWS = 1_000_000
-#: Expected values inside a bracket from which on they are gathered, per target.
+#: Non-null values up to which a plain percentile aggregate holds a whole column.
+EXACT_ROWS = 20_000
+#: Values inside a bracket from which on they are read, per target.
 GATHER_ROWS = 20_000
-#: Points per sketch, their rank accuracy (1 / ACCURACY), and the points kept either side of a rank.
-GRID = 1_000
+#: Rank accuracy of a sketch (1 / ACCURACY) and the sketch steps kept either side of a rank.
 ACCURACY = 10_000
-MARGIN = 2
+MARGIN = 3
 
 
 def _value(df: DataFrame, name: str) -> Column:
@@ -46,110 +48,103 @@ def exact_quantiles(
     counts = counts or value_counts(df, names)
     if max(counts.values()) <= exact_rows:
         levels = F.array(*[F.lit(float(p)) for p in probs])
-        counted = (
-            long_form(df, names, "double")
-            .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-            .groupBy("column", "value")
-            .agg(F.count("*").alias("n"))
-        )
-        rows = counted.groupBy("column").agg(F.percentile("value", levels, F.col("n")).alias("q")).collect()
-        found = {r["column"]: list(r["q"]) for r in rows}
-        return {c: found.get(c, [None] * len(probs)) for c in names}
-    ranks = {}
-    for c in names:
-        at = [p * (counts[c] - 1) for p in probs] if counts[c] else []
-        ranks[c] = sorted({math.floor(x) for x in at} | {math.ceil(x) for x in at})
+        row = df.agg(*[F.percentile(_value(df, c), levels).alias(f"q{i}") for i, c in enumerate(names)]).first()
+        return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(names)}
+    places = {c: [p * (counts[c] - 1) for p in probs] if counts[c] else [] for c in names}
+    ranks = {c: sorted({f(x) for x in at for f in (math.floor, math.ceil)}) for c, at in places.items()}
     found = order_statistics(df, ranks, counts)
     result = {}
     for c in names:
-        if not counts[c]:
-            result[c] = [None] * len(probs)
-            continue
         values = []
-        for p in probs:
-            x = p * (counts[c] - 1)
+        for x in places[c]:
             low, high = found[c][math.floor(x)], found[c][math.ceil(x)]
             values.append(low + (high - low) * (x - math.floor(x)))
-        result[c] = values
+        result[c] = values or [None] * len(probs)
     return result
 
 
+class _Bracket:
+    """Values strictly between lo and hi, how many there are, and the ranks wanted among them."""
+
+    def __init__(self, name: str, lo: float, hi: float, size: int, ranks: dict[int, int]):
+        self.name, self.lo, self.hi, self.size, self.ranks = name, lo, hi, size, ranks
+
+    def inside(self, df: DataFrame) -> Column:
+        v = _value(df, self.name)
+        return F.when((v > F.lit(self.lo)) & (v < F.lit(self.hi)), v)
+
+
 def order_statistics(
     df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, int] | None = None
 ) -> dict[str, dict[int, float]]:
     """The values at 0-based ranks of each column's sorted non-null values."""
-    names = [c for c in ranks if ranks[c]]
     result: dict[str, dict[int, float]] = {c: {} for c in ranks}
+    names = [c for c in ranks if ranks[c]]
     if not names:
         return result
-    ends = df.agg(
-        *[F.min(_value(df, c)).alias(f"lo{i}") for i, c in enumerate(names)],
-        *[F.max(_value(df, c)).alias(f"hi{i}") for i, c in enumerate(names)],
-    ).first()
-    brackets = {(c, r): (ends[f"lo{i}"], ends[f"hi{i}"]) for i, c in enumerate(names) for r in ranks[c]}
     counts = counts or value_counts(df, names)
-    expected = max(counts[c] for c in names)
+    brackets = [_Bracket(c, -math.inf, math.inf, counts[c], {r: r for r in ranks[c]}) for c in names]
     while brackets:
-        if expected > GATHER_ROWS:
-            brackets = _narrow(df, brackets, result)
-            expected = expected * (2 * MARGIN + 2) // GRID
-        else:
-            brackets = _gather(df, brackets, result)
+        small = [b for b in brackets if b.size <= GATHER_ROWS]
+        if small:
+            _read(df, small, result)
+        large = [b for b in brackets if b.size > GATHER_ROWS]
+        brackets = _narrow(df, large, result) if large else []
     return result
 
 
-def _intervals(df, brackets):
-    """The distinct (column, low, high) brackets with their count aggregates and the values inside."""
-    intervals = sorted({(c, *bounds) for (c, _), bounds in brackets.items()})
-    counts, inside = [], []
-    for i, (c, lo, hi) in enumerate(intervals):
-        v = _value(df, c)
-        inside.append(F.when((v > lo) & (v < hi), v))
+def _narrow(df: DataFrame, brackets: list[_Bracket], result) -> list[_Bracket]:
+    """Two passes: sketch the values around each rank, then count what the sketch points separate."""
+    targets = [(b, rank, at) for b in brackets for rank, at in b.ranks.items()]
+    sketches = []
+    for i, b in enumerate(brackets):
+        points = []
+        for at in b.ranks.values():
+            p = at / (b.size - 1)
+            points += [max(p - MARGIN / ACCURACY, 0.0), min(p + MARGIN / ACCURACY, 1.0)]
+        sketches.append(F.percentile_approx(b.inside(df), F.array(*[F.lit(p) for p in points]), ACCURACY).alias(f"q{i}"))
+    row = df.agg(*sketches).first()
+    spans = {}
+    for i, b in enumerate(brackets):
+        for j, rank in enumerate(b.ranks):
+            spans.setdefault((b.name, b.lo, b.hi, row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1]), []).append((rank, b.ranks[rank]))
+    counts = []
+    for i, (name, outer_lo, _, lo, hi) in enumerate(spans):
+        v = _value(df, name)
         counts += [
-            F.count_if(v < lo).alias(f"lt{i}"),
-            F.count_if(v == lo).alias(f"lo{i}"),
-            F.count(inside[i]).alias(f"in{i}"),
+            F.count_if((v > F.lit(outer_lo)) & (v <= F.lit(lo))).alias(f"lo{i}"),
+            F.count_if((v > F.lit(outer_lo)) & (v < F.lit(hi))).alias(f"hi{i}"),
         ]
-    return intervals, counts, inside
-
-
-def _place(row, i, rank, lo, hi):
-    """(value, None) when the rank falls on a bracket end, else (None, offset inside the bracket)."""
-    at = rank - row[f"lt{i}"]
-    if at < 0:
-        raise AssertionError("bracket lies above the wanted rank")
-    if at < row[f"lo{i}"]:
-        return lo, None
-    at -= row[f"lo{i}"]
-    return (hi, None) if at >= row[f"in{i}"] else (None, at)
-
-
-def _narrow(df, brackets, result):
-    """One pass that replaces each bracket by a span of a few sketch points, about 1 / 200 as deep."""
-    intervals, aggs, inside = _intervals(df, brackets)
-    grid = F.array(*[F.lit(g / GRID) for g in range(GRID + 1)])
-    sketches = [F.percentile_approx(v, grid, ACCURACY).alias(f"q{i}") for i, v in enumerate(inside)]
-    row = df.agg(*aggs, *sketches).first()
-    left = {}
-    for (c, rank), (lo, hi) in brackets.items():
-        i = intervals.index((c, lo, hi))
-        value, at = _place(row, i, rank, lo, hi)
-        if at is None:
-            result[c][rank] = value
-            continue
-        spot = at / max(row[f"in{i}"] - 1, 1) * GRID
-        points = row[f"q{i}"]
-        left[c, rank] = (points[max(math.floor(spot) - MARGIN, 0)], points[min(math.ceil(spot) + MARGIN, GRID)])
+    row = df.agg(*counts).first()
+    left = []
+    for i, ((name, _, _, lo, hi), wanted) in enumerate(spans.items()):
+        upto, before = row[f"lo{i}"], max(row[f"hi{i}"], row[f"lo{i}"])
+        inner = {}
+        for rank, at in wanted:
+            if at < upto:
+                result[name][rank] = lo
+            elif at < before:
+                inner[rank] = at - upto
+            else:
+                result[name][rank] = hi
+        if inner:
+            left.append(_Bracket(name, lo, hi, before - upto, inner))
     return left
 
 
-def _gather(df, brackets, result):
-    """The last pass: the few values inside each bracket, sorted."""
-    intervals, aggs, inside = _intervals(df, brackets)
-    lists = [F.sort_array(F.collect_list(v)).alias(f"v{i}") for i, v in enumerate(inside)]
-    row = df.agg(*aggs, *lists).first()
-    for (c, rank), (lo, hi) in brackets.items():
-        i = intervals.index((c, lo, hi))
-        value, at = _place(row, i, rank, lo, hi)
-        result[c][rank] = value if at is None else row[f"v{i}"][at]
-    return {}
+def _read(df: DataFrame, brackets: list[_Bracket], result):
+    """The few values inside the brackets, counted by value."""
+    parts = F.array(*[F.struct(F.lit(i).alias("b"), b.inside(df).alias("v")) for i, b in enumerate(brackets)])
+    touched = reduce(or_, [b.inside(df).isNotNull() for b in brackets])
+    kept = df.filter(touched).select(F.inline(F.filter(parts, lambda p: p["v"].isNotNull())))
+    counted = kept.groupBy("b", "v").agg(F.count("*").alias("n"))
+    values: dict[int, list] = {}
+    for r in collect_bounded(counted, GATHER_ROWS * len(brackets), "values inside the brackets"):
+        values.setdefault(r["b"], []).append((r["v"], r["n"]))
+    for i, b in enumerate(brackets):
+        upto, ordered = 0, sorted(values.get(i, []))
+        waiting = sorted((at, rank) for rank, at in b.ranks.items())
+        for v, n in ordered:
+            upto += n
+            while waiting and waiting[0][0] < upto:
+                result[b.name][waiting.pop(0)[1]] = v

@@ -20,8 +20,8 @@ from tablekit.functions.ordering import number_rows
 from tablekit.functions.session import cut_lineage
 from tablekit.operators.scale import fit_scaler
 
-#: Points of a cell per salt, and box refinements before the rest is compared point by point.
-SALT_ROWS, LEVELS = 20_000, 12
+#: Points of a cell per salt; box refinements, and point pairs below which the rest is compared directly.
+SALT_ROWS, LEVELS, DIRECT_PAIRS = 20_000, 16, 1_000_000
 
 
 def _cell(x: Column, side: float) -> Column:
@@ -108,31 +108,43 @@ def _full_links(points: DataFrame, pairs: DataFrame, eps: float, side: float, d:
     """(a, b) among pairs of full cells that hold points within eps of each other.
 
     State: pairs of sub-cells not settled yet. Boxes farther apart than eps drop out, boxes wholly within
-    eps settle their cells, the rest is split once more.
+    eps settle their cells, the rest is split once more, until the points left make few pairs.
     """
     linked = None
     open_pairs = pairs.select("a", "b", F.col("a").alias("sa"), F.col("b").alias("sb"))
     for level in range(LEVELS + 1):
-        fine = points.select("id", "x", "cell", _cell(F.col("x"), side / 2**level).alias("sub"))
         parent = _cell(F.col("x"), side / 2 ** max(level - 1, 0)).alias("parent")
+        fine = points.select("x", _cell(F.col("x"), side / 2**level).alias("sub"), parent)
         wanted = open_pairs.select(F.col("sa").alias("parent")).union(open_pairs.select("sb")).distinct()
-        inside = points.select("x", "cell", _cell(F.col("x"), side / 2**level).alias("sub"), parent)
-        boxes = _boxes(inside.join(wanted, "parent", "left_semi"), ["parent", "sub"], d)
-        a = boxes.select(F.col("parent").alias("sa"), F.col("sub").alias("na"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-        b = boxes.select(F.col("parent").alias("sb"), F.col("sub").alias("nb"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+        boxes = _boxes(fine.join(wanted, "parent", "left_semi"), ["parent", "sub"], d)
+        a, b = (
+            boxes.select(
+                F.col("parent").alias(f"s{p}"), F.col("sub").alias(f"n{p}"), F.col("n").alias(f"k{p}"),
+                F.col("lo").alias(f"lo_{p}"), F.col("hi").alias(f"hi_{p}"),
+            )
+            for p in ("a", "b")
+        )
         sides = [F.col(c) for c in ("lo_a", "hi_a", "lo_b", "hi_b")]
         children = open_pairs.join(a, "sa").join(b, "sb").filter(_gap2(*sides, d) <= eps * eps)
         children = cut_lineage(
-            children.select("a", "b", F.col("na").alias("sa"), F.col("nb").alias("sb"), (_span2(*sides, d) <= eps * eps).alias("all"))
+            children.select(
+                "a", "b", F.col("na").alias("sa"), F.col("nb").alias("sb"), (F.col("ka") * F.col("kb")).alias("work"),
+                (_span2(*sides, d) <= eps * eps).alias("all"),
+            )
         )
         settled = children.filter("all").select("a", "b").distinct()
         linked = settled if linked is None else linked.union(settled)
-        open_pairs = children.filter("not all").join(settled, ["a", "b"], "left_anti").drop("all")
-        if open_pairs.limit(1).count() == 0:
+        left = children.filter("not all").join(settled, ["a", "b"], "left_anti")
+        work = left.agg(F.sum("work")).first()[0]
+        if not work:
             return linked
-    left = open_pairs.join(fine.select(F.col("sub").alias("sa"), "x"), "sa")
-    rest = left.join(fine.select(F.col("sub").alias("sb"), F.col("x").alias("y")), "sb")
-    return linked.union(rest.filter(_distance2(F.col("x"), F.col("y")) <= eps * eps).select("a", "b").distinct())
+        open_pairs = left.select("a", "b", "sa", "sb")
+        if work <= DIRECT_PAIRS:
+            break
+    inside = points.select("x", _cell(F.col("x"), side / 2**level).alias("sub"))
+    ends = open_pairs.join(inside.select(F.col("sub").alias("sa"), "x"), "sa")
+    ends = ends.join(inside.select(F.col("sub").alias("sb"), F.col("x").alias("y")), "sb")
+    return linked.union(ends.filter(_distance2(F.col("x"), F.col("y")) <= eps * eps).select("a", "b").distinct())
 
 
 def dbscan_points(points: DataFrame, eps: float, min_samples: int, d: int) -> DataFrame:

@@ -43,27 +43,45 @@ class NumericStats:
         return self.skew * (n * (n - 1)) ** 0.5 / (n - 2)
 
 
-def numeric_stats(df: DataFrame, names: list[str]) -> dict[str, NumericStats]:
-    """Moments of all columns in one aggregate pass."""
+#: Widest table whose moments go into one ungrouped aggregate; wider ones are summed column by column in
+#: long form, which keeps the generated code small.
+MOMENTS_INLINE = 12
+
+
+def _moments(v, skew: bool) -> list:
+    return [
+        F.count(v).alias("count"),
+        F.avg(v).alias("mean"),
+        F.stddev_pop(v).alias("std_pop"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        (F.skewness(v) if skew else F.lit(None).cast("double")).alias("skew"),
+    ]
+
+
+def numeric_stats(df: DataFrame, names: list[str], skew: bool = False) -> dict[str, NumericStats]:
+    """Moments of all columns in one aggregate pass; the third moment only on request."""
     if not names:
         return {}
-    aggs = []
-    for i, c in enumerate(names):
-        v = F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
-        aggs.append(
-            F.struct(
-                F.count(v).alias("count"),
-                (F.count(F.lit(1)) - F.count(v)).alias("nulls"),
-                F.avg(v).alias("mean"),
-                F.stddev_samp(v).alias("std_samp"),
-                F.stddev_pop(v).alias("std_pop"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-                F.skewness(v).alias("skew"),
-            ).alias(f"s{i}")
+    nothing = F.lit(None).cast("double")
+    if len(names) > MOMENTS_INLINE:
+        grouped = long_form(df, names, "double").groupBy("column").agg(
+            F.struct(*_moments(F.nanvl("value", nothing), skew)).alias("s"), F.count(F.lit(1)).alias("rows")
         )
-    row = df.agg(*aggs).first()
-    return {c: NumericStats(**row[f"s{i}"].asDict()) for i, c in enumerate(names)}
+        found = {r["column"]: (r["s"].asDict(), r["rows"]) for r in grouped.collect()}
+        empty = {"count": 0} | dict.fromkeys(["mean", "std_pop", "min", "max", "skew"])
+        return {c: _stats(*found.get(c, (empty, 0))) for c in names}
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.struct(*_moments(F.nanvl(col(c).cast("double"), nothing), skew)).alias(f"s{i}") for i, c in enumerate(names)],
+    ).first()
+    return {c: _stats(row[f"s{i}"].asDict(), row["rows"]) for i, c in enumerate(names)}
+
+
+def _stats(sums: dict, rows: int) -> NumericStats:
+    n, pop = sums["count"], sums["std_pop"]
+    samp = pop * (n / (n - 1)) ** 0.5 if n > 1 else None
+    return NumericStats(**sums, nulls=rows - n, std_samp=samp)
 
 
 def shape(df: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def auto_configure(df: DataFrame, target: str | None = None, problem: str | None
         "random_state": 42,
     }
     if numeric:
-        skew = mean_abs_skew(numeric_stats(df, numeric))
+        skew = mean_abs_skew(numeric_stats(df, numeric, skew=True))
         config["scaling_method"] = "robust" if skew > 1.5 else "power" if skew > 0.8 else "standard"
     if width > 30 and rows > 50:
         config["feature_selection"] = {

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablekit.functions.columns import col, numeric_columns
+from tablekit.functions.columns import col, local_table, long_form, numeric_columns
 from tablekit.functions.quantiles import exact_quantiles
 from tablekit.operators.profile import NumericStats, numeric_stats
 
@@ -57,7 +57,7 @@ def fit_scaler(df: DataFrame, columns: list[str] | None = None, method: str = "s
             c: {"centre": q[1], "spread": (q[2] - q[0]) or 1.0} for c, q in quartiles.items() if q[0] is not None
         }
         return ScaleModel("robust", params)
-    stats = numeric_stats(df, names)
+    stats = numeric_stats(df, names, skew=method == "auto")
     if method == "auto":
         method = auto_method(stats)
     known = {c: s for c, s in stats.items() if s.mean is not None}
@@ -122,25 +122,31 @@ def _fit_power(df: DataFrame, stats: dict[str, NumericStats]) -> ScaleModel:
 
 
 def _best_lambda(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, float]:
-    """Log-likelihood = -n/2 log var(transformed) + (lambda - 1) sum sign(x) log(|x| + 1), per column."""
-    best = {}
-    names = list(grids)
-    aggs = []
-    for i, c in enumerate(names):
-        x = F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
-        aggs += [F.count(x).alias(f"n{i}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"l{i}")]
-        aggs.append(F.array(*[F.var_pop(yeo_johnson(x, lam)) for lam in grids[c]]).alias(f"v{i}"))
-    row = df.agg(*aggs).first()
-    for i, c in enumerate(names):
-        n, logs, variances = row[f"n{i}"], row[f"l{i}"], row[f"v{i}"]
-
-        def likelihood(k, lam):
-            v = variances[k]
-            return -math.inf if v is None or not v > 0 else -0.5 * n * math.log(v) + (lam - 1) * logs
-
-        scores = [likelihood(k, lam) for k, lam in enumerate(grids[c])]
-        best[c] = grids[c][scores.index(max(scores))] if max(scores) > -math.inf else 1.0
-    return best
+    """Log-likelihood = -n/2 log var(transformed) + (lambda - 1) sum sign(x) log(|x| + 1), per column.
+
+    Values meet the grid of their column (a fixed number of rows per column) and are summed at once."""
+    grid = [(c, i, lam) for c, lams in grids.items() for i, lam in enumerate(lams)]
+    lams = local_table(df.sparkSession, grid, "column string, i int, lam double")
+    values = long_form(df, list(grids), "double").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    x, lam = F.col("value"), F.col("lam")
+    sums = values.join(F.broadcast(lams), "column").groupBy("column", "i").agg(
+        F.count(x).alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("logs"), F.var_pop(_yeo_johnson_at(x, lam)).alias("v")
+    )
+    best: dict[str, tuple[float, float]] = {}
+    for r in sums.collect():
+        at = grids[r["column"]][r["i"]]
+        score = -0.5 * r["n"] * math.log(r["v"]) + (at - 1) * r["logs"] if r["v"] and r["v"] > 0 else -math.inf
+        if r["column"] not in best or (score, -r["i"]) > best[r["column"]]:
+            best[r["column"]] = (score, -r["i"])
+    return {c: grids[c][-best[c][1]] if c in best and best[c][0] > -math.inf else 1.0 for c in grids}
+
+
+def _yeo_johnson_at(x: Column, lam: Column) -> Column:
+    """yeo_johnson with the exponent in a column."""
+    two = 2 - lam
+    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    down = F.when(F.abs(two) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, two) - 1) / two)
+    return F.when(x >= 0, up).otherwise(down)
 
 
 # -- quantile ---------------------------------------------------------------------------------------

@@ -632,7 +632,7 @@ def scale_quantile_events(t):
        union all select 'orders', case when abs(skewness(o_totalprice)) > 1 then 'power' when abs(skewness(o_totalprice)) > 0.5 then 'quantile' else 'standard' end from orders""",
 )
 def scale_auto_choice(t):
-    rows = [(n, scale.auto_method(profile.numeric_stats(t(n), [c]))) for n, c in (("events", "value"), ("orders", "o_totalprice"))]
+    rows = [(n, scale.auto_method(profile.numeric_stats(t(n), [c], skew=True))) for n, c in (("events", "value"), ("orders", "o_totalprice"))]
     return t.spark.createDataFrame(rows, "tbl string, method string")
 
 

@@ -173,16 +173,18 @@ def brute_dbscan(x, eps, k):
     return labels
 
 
-@pytest.mark.parametrize("d,eps,k", [(1, 0.2, 5), (2, 0.3, 5), (2, 0.08, 4), (3, 0.5, 6), (5, 0.8, 5)])
-def test_dbscan_matches_brute_force(spark, d, eps, k):
+@pytest.mark.parametrize("d,eps,k,direct", [(1, 0.2, 5, 0), (2, 0.3, 5, 0), (2, 0.08, 4, 10**6), (5, 0.8, 5, 10**6)])
+def test_dbscan_matches_brute_force(spark, monkeypatch, d, eps, k, direct):
+    monkeypatch.setattr(density, "DIRECT_PAIRS", direct)
     x, names, df = planted(spark, d)
     got = density.dbscan(df, ["id"], names, eps, k, scale=False).orderBy("id").toPandas()["cluster"]
     assert (got.to_numpy() == brute_dbscan(x, eps, k)).all()
 
 
-def test_dbscan_links_full_cells_at_the_limit(spark):
+def test_dbscan_links_full_cells_at_the_limit(spark, monkeypatch):
     """Two heavy cells whose closest points are just within, or just beyond, the radius."""
-    for gap, expected in ((0.999, 1), (1.001, 2)):
+    for gap, expected, direct in ((0.999, 1, 0), (1.001, 2, 10**6)):
+        monkeypatch.setattr(density, "DIRECT_PAIRS", direct)
         x = np.array([[0.0, i / 1000] for i in range(30)] + [[gap, i / 1000] for i in range(30)])
         df = spark.createDataFrame(pd.DataFrame(x, columns=["a", "b"]).assign(id=[str(i).zfill(3) for i in range(60)]))
         assert density.dbscan(df, ["id"], ["a", "b"], 1.0, 5, scale=False).select("cluster").distinct().count() == expected
@@ -243,7 +245,7 @@ def test_isolation_forest_samples_large_tables(spark):
     df = spark.range(6_000).select(
         "id", F.when(far, 500.0).otherwise(F.col("id") % 100).alias("x"), F.when(far, 500.0).otherwise(F.col("id") % 37).alias("y")
     )
-    model = anomaly.fit_isolation_forest(df, ["x", "y"], ["id"], 0.01, trees=10)
+    model = anomaly.fit_isolation_forest(df, ["x", "y"], ["id"], 0.1, trees=10)
     assert model.transform(df).filter("id = 5").first()["is_anomaly"] == 1
 
 
