@@ -18,8 +18,8 @@ from tablekit.functions.session import cut_lineage, spread
 from tablekit.operators.clean import FillModel, fit_fill
 from tablekit.operators.scale import ScaleModel, fit_scaler
 
-#: Rows per isolation tree.
-SUBSAMPLE = 256
+#: Rows per isolation tree, and rows of a series scored together.
+SUBSAMPLE, SLOT_ROWS = 256, 50_000
 FEATURES = 256
 
 
@@ -220,6 +220,7 @@ def series_anomalies(data: DataFrame, contamination: float = 0.05, ties: list[st
     trees = 100
     digest = row_hash(["series", *order], seed)
     own = with_hash_cutoffs(data, digest, F.array(F.least(F.lit(SUBSAMPLE * 4), F.col("n")).cast("bigint")), F.col("series"))
+    slots = F.ceil(F.col("_n") / SLOT_ROWS)
     sample = own.filter(F.col("_h") <= F.element_at("_cut", 1)).select("series", "value", "_h")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -240,8 +241,10 @@ def series_anomalies(data: DataFrame, contamination: float = 0.05, ties: list[st
         return pd.DataFrame({"series": [name], "cuts": [cuts], "scores": [-np.exp2(-depth / scale)]})
 
     forests = spread(sample, "series").groupBy("series").applyInPandas(grow, "series string, cuts array<double>, scores array<double>")
-    keyed = data.withColumn("_slot", F.pmod(F.xxhash64("series", *order), F.lit(64)))
-    copies = forests.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))))
+    # A long series is scored in slots of about SLOT_ROWS rows; its forest goes to each of them.
+    keyed = own.withColumn("_slot", F.pmod(F.xxhash64("series", *order), slots)).select(*data.columns, "_slot")
+    sizes = data.groupBy("series").agg(F.count("*").alias("_n"))
+    copies = forests.join(sizes, "series").withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), slots - 1))).drop("_n")
 
     def apply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty:

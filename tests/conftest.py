@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     session = build_session(
         "local[8]",
         "tablekit-tests",
-        spark__sql__shuffle__partitions="8",
+        spark__sql__shuffle__partitions="4",
         spark__driver__memory="8g",
         spark__ui__showConsoleProgress="false",
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),

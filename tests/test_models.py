@@ -25,11 +25,11 @@ def tabular(spark):
 
 
 FEATURES = ["f1", "f2", "f3"]
-SMALL = {"random_forest": {"n_estimators": 10, "max_depth": 5}, "gradient_boosting": {"n_estimators": 5}}
-PARAMS = SMALL | {"voting": {"members": SMALL}, "stacking": {"folds": 3, "members": SMALL}}
+SMALL = {"random_forest": {"n_estimators": 5, "max_depth": 4}, "gradient_boosting": {"n_estimators": 2}}
+PARAMS = SMALL | {"voting": {"members": SMALL}, "stacking": {"folds": 2, "members": SMALL}}
 
 
-@pytest.mark.parametrize("name", ["RandomForest", "LightGBM", "LogisticRegression", "DecisionTree", "KNeighbors", "SVM", "voting", "stacking"])
+@pytest.mark.parametrize("name", ["LogisticRegression", "KNeighbors", "SVM", "voting", "stacking"])
 def test_classifiers(tabular, name):
     df = split_stratified(tabular, ["id"], "y", 0.3)
     result = models.train(df, "y", name, None, FEATURES, PARAMS.get(models.canonical(name)), ["id"])
@@ -40,14 +40,14 @@ def test_classifiers(tabular, name):
     assert sums.filter(F.abs(F.col("s") - 1) > 1e-6).count() == 0
 
 
-@pytest.mark.parametrize("name", ["xgboost", "svm", "voting"])
+@pytest.mark.parametrize("name", ["xgboost", "svm"])
 def test_three_classes(tabular, name):
-    params = {"voting": {"voting": "hard", "members": SMALL}}.get(name, SMALL.get(models.canonical(name)))
+    params = {"n_estimators": 3} if name == "xgboost" else {}
     model = models.fit(tabular, "three", name, None, FEATURES, params, ["id"])
     assert model.classes == ["a", "b", "c"] and evaluate.score(model, tabular) > 0.6
 
 
-@pytest.mark.parametrize("name", ["random_forest", "gradient_boosting", "linear", "decision_tree", "knn", "svr", "voting", "stacking"])
+@pytest.mark.parametrize("name", ["linear", "knn", "svr", "voting", "stacking"])
 def test_regressors(tabular, name):
     df = split_random(tabular, ["id"], 0.3)
     result = models.train(df, "value", name, models.REGRESSION, FEATURES, PARAMS.get(models.canonical(name)), ["id"])
@@ -74,7 +74,7 @@ def test_alignment_fills_missing_columns(spark, tabular):
     assert scored.columns == ["k", "f1", "Prediction", "Confidence"] and scored.filter(F.col("Confidence").rlike(r"^\d+\.\d\d%$")).count() == 2
 
 
-@pytest.mark.parametrize("method", ["kfold", "stratified", "timeseries"])
+@pytest.mark.parametrize("method", ["stratified", "timeseries"])
 def test_cross_validation(tabular, method):
     table = evaluate.cross_validate(tabular, "y", "decision_tree", None, FEATURES, {"max_depth": 4}, ["id"], method, 3, "id").collect()
     scores = [r["score"] for r in table]
@@ -128,15 +128,15 @@ def test_proposer_moves_towards_good_values():
 
 def test_model_store(spark, tabular, tmp_path):
     store = ModelStore(spark, str(tmp_path))
-    for name in ("decision_tree", "svm", "knn", "voting", "stacking"):
+    for name in ("svm", "knn", "stacking"):
         model = models.fit(tabular, "y", name, None, FEATURES, PARAMS.get(name), ["id"])
         store.save(model)
         again = store.load(model.model_id)
         a = {r["id"]: r["prediction"] for r in model.transform(tabular).collect()}
         assert a == {r["id"]: r["prediction"] for r in again.transform(tabular).collect()}
-    assert store.list().count() == 5
+    assert store.list().count() == 3
     store.delete(model.model_id)
-    assert store.list().count() == 4
+    assert store.list().count() == 2
     with pytest.raises(ZeroDivisionError):
         store.run("bad", "x", lambda: 1 / 0)
     assert store.runs().first()["status"] == "failed"
@@ -173,7 +173,7 @@ def brute_dbscan(x, eps, k):
     return labels
 
 
-@pytest.mark.parametrize("d,eps,k,direct", [(1, 0.2, 5, 0), (2, 0.3, 5, 0), (2, 0.08, 4, 10**6), (5, 0.8, 5, 10**6)])
+@pytest.mark.parametrize("d,eps,k,direct", [(2, 0.3, 5, 0), (5, 0.8, 5, 10**6)])
 def test_dbscan_matches_brute_force(spark, monkeypatch, d, eps, k, direct):
     monkeypatch.setattr(density, "DIRECT_PAIRS", direct)
     x, names, df = planted(spark, d)
@@ -249,9 +249,10 @@ def test_isolation_forest_samples_large_tables(spark):
     assert model.transform(df).filter("id = 5").first()["is_anomaly"] == 1
 
 
-def test_series_anomalies(spark):
+def test_series_anomalies(spark, monkeypatch):
     rows = [(f"s{k}", i, float(np.sin(i)) + (50.0 if i == 70 else 0.0)) for k in range(3) for i in range(100)]
     data = spark.createDataFrame(rows, "series string, ts int, value double")
+    monkeypatch.setattr(anomaly, "SLOT_ROWS", 30)
     found = anomaly.series_anomalies(data, 0.05).filter("is_anomaly = 1").collect()
     assert {(r["series"], 70) for r in found if r["ts"] == 70} == {("s0", 70), ("s1", 70), ("s2", 70)}
 

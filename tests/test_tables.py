@@ -203,7 +203,7 @@ def test_prepared_model_transforms_unseen_rows(spark, classification):
     assert model.steps[0] == "imputation=auto"
 
 
-@pytest.mark.parametrize("method", ["variance", "correlation", "rfe", "genetic"])
+@pytest.mark.parametrize("method", ["variance", "rfe", "genetic"])
 def test_prepare_with_every_selector(classification, method):
     config = PrepareConfig(keys=["id"], target="churn", problem="Classification", feature_selection={"method": method, "max_features": 2, "threshold": 0.95, "population_size": 6, "generations": 2})
     model, table = prepare(classification, config)
