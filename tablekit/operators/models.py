@@ -422,7 +422,7 @@ def _fit_ensemble(df, name, label, problem, features, params, keys, seed) -> Fit
         held = held.select(col(label), *[F.col(c) for c in names])
         parts = held if parts is None else parts.unionByName(held)
     linear = "logistic_regression" if problem == CLASSIFICATION else "linear_regression"
-    meta = fit(parts, label, linear, problem, names, {}, (), seed)
+    meta = fit(parts, label, linear, problem, names, params.get("meta", {}), (), seed)
     final = fit_members(folded)
     folded.unpersist()
     stage = StackingStage(VotingStage(final, "soft"), meta)

@@ -25,8 +25,8 @@ def tabular(spark):
 
 
 FEATURES = ["f1", "f2", "f3"]
-SMALL = {"random_forest": {"n_estimators": 5, "max_depth": 4}, "gradient_boosting": {"n_estimators": 2}}
-PARAMS = SMALL | {"voting": {"members": SMALL}, "stacking": {"folds": 2, "members": SMALL}}
+SMALL = {"random_forest": {"n_estimators": 5, "max_depth": 4}, "gradient_boosting": {"n_estimators": 2}, "logistic_regression": {"max_iter": 15}}
+PARAMS = SMALL | {"voting": {"members": SMALL}, "stacking": {"folds": 2, "members": SMALL, "meta": {"max_iter": 15}}}
 
 
 @pytest.mark.parametrize("name", ["LogisticRegression", "KNeighbors", "SVM", "voting", "stacking"])
@@ -391,7 +391,7 @@ def test_encryption_hides_and_returns(spark):
 
 
 def test_stream_scores_equal_batch(spark, tabular, tmp_path):
-    model = models.fit(tabular, "y", "logistic", None, FEATURES)
+    model = models.fit(tabular, "y", "logistic", None, FEATURES, {"max_iter": 10})
     source = str(tmp_path / "in")
     tabular.select("id", *FEATURES).repartition(4).write.parquet(source)
     stream = jobs.read_stream(spark, source, spark.read.parquet(source).schema, max_files=1)
