@@ -828,11 +828,9 @@ def balance_report_status(t):
     return sample.balance_report(df, sample.undersample(df, ["o_orderkey"], "o_orderstatus"), "o_orderstatus")
 
 
-RARE = F.when(F.col("c_acctbal") > 8500, "rich").otherwise("other")
-
-
 def rare_customers(t):
-    return t("customer").select("c_custkey", "c_acctbal", "c_nationkey", RARE.alias("wealth"))
+    wealth = F.when(F.col("c_acctbal") > 8500, "rich").otherwise("other")
+    return t("customer").select("c_custkey", "c_acctbal", "c_nationkey", wealth.alias("wealth"))
 
 
 BALANCED = """with c as (select count(*) filter (c_acctbal > 8500) as rich, count(*) as n from customer)
