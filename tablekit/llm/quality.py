@@ -11,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tablekit.llm.common import col, documents, held_out, map_slices, worker_cache
+from tablekit.llm.common import col, documents, held_out, map_slices, slices, worker_cache
 
 #: Labelled rows of each class that the dictionaries and the curve are fitted on; their texts count whole, in pieces.
 DICTIONARY_ROWS, CURVE_ROWS = 4_000, 4_000
@@ -135,3 +136,16 @@ def score_quality(df: DataFrame, model: QualityModel) -> DataFrame:
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": scores, "predicted": (scores >= 0.5).astype(np.int32)}
 
     return map_slices(documents(df).withColumn("held_out", held_out(F.col("doc_id"))), work, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def accepted(df: DataFrame, model: QualityModel) -> DataFrame:
+    """The rows of df(doc_id, text, ...) whose score is at least 0.5, with all their columns. Null and empty texts stay:
+    their score is 0.5."""
+    sent = df.sparkSession.sparkContext.broadcast((model.good, model.bad, model.weights))
+
+    def run(batches):
+        for part in slices(batches):
+            scores = QualityModel(*sent.value).scores(pa.compute.fill_null(part.column("text"), ""))
+            yield part.filter(pa.array(scores >= 0.5))
+
+    return df.mapInArrow(run, df.schema)

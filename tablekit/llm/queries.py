@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablekit.llm import languages, packed_ids, piece_tokens, quality, token_counts, top_products, urls
+from tablekit.llm import benchmark_leaks, languages, near_duplicates, packed_ids, piece_tokens, quality, repeated_text, token_counts, top_products, urls
 from tablekit.plans.registry import Tables, query
 
 
+@query("op1_near_duplicates")
+def op1_near_duplicates(t: Tables) -> DataFrame:
+    return near_duplicates.near_duplicates(t("documents"))
+
+
 @query("op2_piece_tokens")
 def op2_piece_tokens(t: Tables) -> DataFrame:
     return piece_tokens.encode_decode(t("documents"))
@@ -28,6 +33,11 @@ def op4_languages(t: Tables) -> DataFrame:
     return found.withColumn("languages", mixture)
 
 
+@query("op5_repeated_text")
+def op5_repeated_text(t: Tables) -> DataFrame:
+    return repeated_text.repeated_bytes(t("documents"))
+
+
 @query("op6_packed_ids")
 def op6_packed_ids(t: Tables) -> DataFrame:
     return packed_ids.packed_round_trip(t("documents"))
@@ -50,6 +60,11 @@ def op7_top_products(t: Tables) -> DataFrame:
     return top_products.top_products(vectors, vectors.filter("vec_id % 20 = 0"), 20)
 
 
+@query("op8_benchmark_leaks")
+def op8_benchmark_leaks(t: Tables) -> DataFrame:
+    return benchmark_leaks.leaks(t("documents"), t("benchmark"))
+
+
 #: Captures and a dated list, derived from pages by the same rules in both engines: every host and every host with a
 #: first path segment is listed, delisted and listed again on days that follow from its length and its page count;
 #: the two top domains of hosts are listed once.
