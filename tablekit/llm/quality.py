@@ -66,16 +66,22 @@ def _dictionary(pieces: list[bytes]) -> bytes:
 
 
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
-    """Weights of a slightly ridged logistic regression of y on the features x, by Newton steps."""
-    ridge = np.diag([1e-3, 1e-3, 1e-6])
+    """Weights of a logistic regression of y on the features x, by Newton steps. Standardised features carry a ridge of
+    one, so few rows move the score little from the share of good ones."""
+    mean = np.average(x[:, :2], axis=0, weights=weight)
+    scale = np.sqrt(np.average((x[:, :2] - mean) ** 2, axis=0, weights=weight))
+    scale = np.where(scale > 0, scale, 1.0)
+    design = np.column_stack([(x[:, :2] - mean) / scale, np.ones(len(x))])
+    ridge = np.diag([1.0, 1.0, 1e-6])
     beta = np.zeros(3)
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ beta)
+        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        step = np.linalg.solve((design * (weight * p * (1 - p))[:, None]).T @ design + ridge, design.T @ (weight * (y - p)) - ridge @ beta)
         beta = beta + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return tuple(beta.tolist())
+    slopes = beta[:2] / scale
+    return float(slopes[0]), float(slopes[1]), float(beta[2] - slopes @ mean)
 
 
 def fit_quality(df: DataFrame, labels: DataFrame, label: str = "quality", seed: int = 11) -> QualityModel:
