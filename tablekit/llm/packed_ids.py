@@ -12,6 +12,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from tablekit.llm.words import Chunks, Memo
 MAGIC = b"TKPACK01"
 #: Ids in a block; a multiple of 64.
 BLOCK = 1 << 16
+#: Distinct chunks a worker remembers in each of two generations; about 60 MB.
+REMEMBER = 350_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -150,7 +153,15 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
-        self.memo = Memo(lambda chunks: [np.array(e.ids, "<u4").tobytes() for e in self._batch([c if c[:1] == "\n" else " " + c for c in chunks])])
+        self.memo = Memo(self._chunks, REMEMBER)
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of chunks, cut out of one array over all of them."""
+        ids = [e.ids for e in self._batch([c if c[:1] == "\n" else " " + c for c in chunks])]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        data = np.fromiter(chain.from_iterable(ids), "<u4", int(size.sum())).tobytes()
+        cut = [0, *(np.cumsum(size) * 4).tolist()]
+        return [data[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
     def _batch(self, texts: list[str]):
         return self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []

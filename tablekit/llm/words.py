@@ -28,12 +28,17 @@ class Memo:
     def values(self, distinct: list[str]) -> list:
         """The value of each of the distinct chunks."""
         young, old = self.young, self.old
-        missing = [w for w in distinct if w not in young and w not in old]
-        new = dict(zip(missing, self.encode(missing)))
+        out = list(map(young.get, distinct))
+        missing = [k for k, v in enumerate(out) if v is None]
         if old:
-            new.update((w, old[w]) for w in distinct if w not in young and w in old)
-        young.update(new)
-        out = [young[w] for w in distinct]
+            again = list(map(old.get, [distinct[k] for k in missing]))
+            for k, v in zip(missing, again):
+                if v is not None:
+                    out[k] = young[distinct[k]] = v
+            missing = [k for k, v in zip(missing, again) if v is None]
+        wanted = [distinct[k] for k in missing]
+        for k, w, v in zip(missing, wanted, self.encode(wanted)):
+            out[k] = young[w] = v
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return out
