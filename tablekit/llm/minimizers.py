@@ -47,15 +47,23 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def marked(hashes: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
-    """Places whose hash is the least of the cores of some window; all of them where several are equally small.
+def marked(hashes: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose hash is the least of the cores of some window, all of them where several are equally small, each
+    with the first and the last of the windows that mark it (those between do so too).
     skip: windows, by their first place, that do not count."""
     width = REACH + 1
     if len(hashes) < width:
-        return np.zeros(0, np.int64)
+        return (np.zeros(0, np.int64),) * 3
     least = _sliding(hashes, width, np.minimum)
     if skip is not None:
         least = np.where(skip, np.uint64(0), least)
     # The greatest of the minima of the windows that hold a place: the place is marked if that is its own hash.
     edge = np.zeros(width - 1, np.uint64)
-    return np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), width, np.maximum) == hashes)
+    at = np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), width, np.maximum) == hashes)
+    first, last = np.maximum(at - REACH, 0), np.minimum(at, len(least) - 1)
+    for place, step in ((first, 1), (last, -1)):
+        rows = np.arange(len(at))
+        while len(rows):
+            rows = rows[least[place[rows]] != hashes[at[rows]]]
+            place[rows] += step
+    return at, first, last

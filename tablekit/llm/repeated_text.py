@@ -6,7 +6,7 @@ core and of the bytes around it.
 
 1. Hashes meet by core. Where the bytes around a core are the same in several documents, all but the first of them
    lose all of these bytes. Where they differ, one document of each kind has to show its bytes.
-2. Documents read the answers and send the bytes asked for, at most 2 * WINDOW - CORE for each.
+2. Documents read the answers and send the bytes asked for, those of the windows that mark a core.
 3. The bytes of a core meet in one task, which sorts all suffixes of WINDOW bytes deep and shallow; in a group of equal
    ones all documents but the first lose theirs.
 4. Documents unite what they lose.
@@ -35,6 +35,8 @@ from tablekit.llm.suffixes import equal_groups
 
 #: Bytes of text hashed at once, and bytes of text in a round, within which equal hashes are sent once.
 SLICE, ROUND = 1_500_000, 24_000_000
+#: Bytes asked for that a group of documents gathers before they leave.
+SHOWN = 32_000_000
 #: Different surroundings of a core from which on single windows are sent.
 MANY = 1_024
 #: A null id is greater than every other.
@@ -94,11 +96,12 @@ class Marks:
             np.add.at(step, np.maximum(end - WINDOW + 1, end - size), 1)
             np.add.at(step, end, -1)
             crosses = np.cumsum(step)[: len(crosses)] > 0
-        at = marked(hashes, crosses)
+        at, first, last = marked(hashes, crosses)
         self.text = np.searchsorted(end, at, "right")
         self.begin = (end - size)[self.text]
-        self.left = np.minimum(REACH, at - self.begin)
-        self.right = np.minimum(WINDOW, end[self.text] - at)
+        # The bytes around a core are those of the windows that mark it: every window belongs to a core.
+        self.left = at - first
+        self.right = last + WINDOW - at
         h = hashes[at]
         self.bucket = ((h >> np.uint64(KEY_BITS)) % np.uint64(width)).astype(np.int64)
         self.key = (h & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
@@ -228,13 +231,33 @@ def pack_documents(width: int) -> Callable:
 
 
 def _documents(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The documents of a group, in batches of about SLICE bytes of text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for blob in table.column("blob").to_pylist():
-        yield from slices(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)), most=SLICE)
+        for part in slices(pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)), most=SLICE):
+            n = part.column("text").nbytes
+            if held and size + n > SLICE:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def show(width: int) -> Callable:
     """A group of documents and what it was told: kind 0 to itself (row, start, stop) of bytes to go; kind 1 to a bucket
-    (doc, row, start, length) with the bytes asked for."""
+    (doc, row, start, length) with the bytes asked for. Bytes gather over batches until SHOWN of them leave at once."""
+
+    def emit(held: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
+        target, doc, row, start, length = (np.concatenate([h[k] for h in held]) for k in range(5))
+        data = b"".join(h[5] for h in held)
+        at = np.cumsum(length) - length
+        for bucket, rows in _per_target(target, np.lexsort((start, row, doc, target))):
+            head = to_blob(doc[rows], row[rows], start[rows], length[rows])
+            body = b"".join([data[x : x + n] for x, n in zip(at[rows].tolist(), length[rows].tolist())])
+            yield bucket + width, 1, len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(body)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         own = key[0].as_py()
@@ -242,7 +265,7 @@ def show(width: int) -> Callable:
         asked = _joint(doc, core, around)
         order = np.argsort(asked, kind="stable")
         asked, act = asked[order], act[order]
-        out = []
+        out, cover, held, size = [], [], [], 0
         for batch in _documents(left) if len(asked) else ():
             texts = _texts(batch.column("text"))
             ids = _ids(batch.column("doc_id"))
@@ -261,10 +284,8 @@ def show(width: int) -> Callable:
             text = marks.text[hit]
             start, length = marks.at[hit] - marks.left[hit], (marks.left + marks.right)[hit]
             begin = marks.begin[hit]
-            go = np.flatnonzero(told == COVER)
-            if len(go):
-                rows = go[np.lexsort((start[go], rowed[text[go]]))]
-                out.append((own, 0, to_blob(rowed[text[rows]], (start - begin)[rows], (start - begin + length)[rows])))
+            go = told == COVER
+            cover.append((rowed[text[go]], (start - begin)[go], (start - begin + length)[go]))
             data = marks.data.tobytes()
             for what in (SHOW, SHOW_WINDOWS):
                 pick = np.flatnonzero(told == what)
@@ -283,11 +304,18 @@ def show(width: int) -> Callable:
                     for o in (*range(0, WINDOW - 8, 8), WINDOW - 8):
                         h = mixed(h ^ words[s + o] * np.uint64(0xC2B2AE3D27D4EB4F))
                     target = (h % np.uint64(width)).astype(np.int64)
-                for bucket, rows in _per_target(target, np.lexsort((s, ids[t], target))):
-                    d, r = ids[t[rows]], rowed[t[rows]]
-                    head = to_blob(d, r, (s - b)[rows], n[rows])
-                    shown = b"".join([data[x : x + y] for x, y in zip(s[rows].tolist(), n[rows].tolist())])
-                    out.append((bucket + width, 1, len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(shown)))
+                shown = b"".join([data[x : x + y] for x, y in zip(s.tolist(), n.tolist())])
+                held.append((target, ids[t], rowed[t], s - b, n, shown))
+                size += len(shown)
+            if size >= SHOWN:
+                out.extend(emit(held))
+                held, size = [], 0
+        if held:
+            out.extend(emit(held))
+        if cover:
+            row, start, stop = (np.concatenate([c[k] for c in cover]) for k in range(3))
+            order = np.lexsort((start, row))
+            out.append((own, 0, to_blob(row[order], start[order], stop[order])))
         return pa.Table.from_batches([_rows(out)])
 
     return run
