@@ -35,12 +35,10 @@ def average_path(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, deep))
 
 
-_PATHS = average_path(np.arange(SUBSAMPLE + 1))
-
-
 def _grow(x: np.ndarray, rng) -> tuple[list, list, list, list]:
     """One isolation tree as parallel arrays: feature (-1 = leaf), cut, left child, path length at leaves."""
     limit = int(np.ceil(np.log2(max(len(x), 2))))
+    paths = average_path(np.arange(len(x) + 1))
     d = x.shape[1]
     if d == 1:
         x = np.sort(x, axis=0)
@@ -54,7 +52,7 @@ def _grow(x: np.ndarray, rng) -> tuple[list, list, list, list]:
         usable = np.flatnonzero(high > low)
         if depth >= limit or not len(usable):
             feature.append(-1), cut.append(0.0), left.append(0)
-            path.append(depth + float(_PATHS[len(part)]))
+            path.append(depth + float(paths[len(part)]))
             continue
         j = int(usable[int(draws[node, 0] * len(usable))])
         at = float(low[j] + draws[node, 1] * (high[j] - low[j]))
@@ -128,23 +126,22 @@ def fit_isolation_forest(
     contamination: float = 0.1,
     trees: int = 100,
     seed: int = 42,
+    sample: int = SUBSAMPLE,
 ) -> Detector:
-    """Trees grow on disjoint 256-row hash samples where the table is large enough, on hash samples per tree
-    otherwise. score = -2 ** (-mean depth / c(sample)); the threshold is the exact contamination quantile."""
+    """The sample * trees rows that hash lowest (all rows, if fewer) are the pool, and every tree grows on its own hash
+    sample of `sample` rows of it. score = -2 ** (-mean depth / c(sample)); the threshold is the exact contamination
+    quantile."""
     features = features or numeric_columns(df, exclude=keys)
     fill, scaler, ready, names = _prepare(df, features)
     vectors = ready.select(F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in names]).alias("x"), row_hash(keys, seed).alias("h"))
     n = ready.count()
-    size = min(SUBSAMPLE, n)
-    if n >= SUBSAMPLE * trees:
-        cut = with_hash_cutoffs(vectors, F.col("h"), F.array(F.lit(SUBSAMPLE * trees).cast("bigint")))
-        pool = cut.filter(F.col("_h") <= F.element_at("_cut", 1)).select("x", "h")
-        sample = pool.withColumn("tree", F.pmod(F.xxhash64("h"), F.lit(trees)).cast("int"))
-    else:
-        pool = vectors.select("x", "h", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-        own = pool.withColumn("t", F.md5(F.concat_ws("~", "h", "tree")))
-        cut = with_hash_cutoffs(own, F.col("t"), F.array(F.lit(size).cast("bigint")), F.col("tree"))
-        sample = cut.filter(F.col("_h") <= F.element_at("_cut", 1)).select("x", "h", "tree")
+    if n > sample * trees:
+        cut = with_hash_cutoffs(vectors, F.col("h"), F.array(F.lit(sample * trees).cast("bigint")))
+        vectors = cut_lineage(cut.filter(F.col("_h") <= F.element_at("_cut", 1)).select("x", "h"))
+    pool = vectors.select("x", "h", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    own = pool.withColumn("t", F.md5(F.concat_ws("~", "h", "tree")))
+    cut = with_hash_cutoffs(own, F.col("t"), F.array(F.lit(min(sample, n)).cast("bigint")), F.col("tree"))
+    drawn = cut.filter(F.col("_h") <= F.element_at("_cut", 1)).select("x", "h", "tree")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -153,7 +150,7 @@ def fit_isolation_forest(
         return pd.DataFrame({"tree": [tree], "rows": [len(x)], "feature": [feature], "cut": [cut], "left": [left], "path": [path]})
 
     schema = "tree int, rows int, feature array<int>, cut array<double>, left array<int>, path array<double>"
-    grown = spread(sample, "tree").groupBy("tree").applyInPandas(grow, schema).orderBy("tree").collect()
+    grown = spread(drawn, "tree").groupBy("tree").applyInPandas(grow, schema).orderBy("tree").collect()
     forest = [(r["feature"], r["cut"], r["left"], r["path"]) for r in grown]
     scale = float(np.mean(average_path([r["rows"] for r in grown]))) or 1.0
     shared = df.sparkSession.sparkContext.broadcast((forest, scale))
@@ -211,22 +208,24 @@ def fit_kernel_boundary(
     return _with_threshold(Detector(features, fill, scaler, score), df, nu)
 
 
-def series_anomalies(data: DataFrame, contamination: float = 0.05, ties: list[str] = (), seed: int = 42) -> DataFrame:
+def series_anomalies(
+    data: DataFrame, contamination: float = 0.05, ties: list[str] = (), seed: int = 42, trees: int = 100, sample: int = SUBSAMPLE
+) -> DataFrame:
     """(series, ts, value, anomaly_score, is_anomaly): a one-column forest over the values of each series.
 
-    Each series' trees grow on its own hash sample; the threshold is the series' own quantile.
+    The sample * trees rows of a series that hash lowest are its pool, and each of its trees grows on `sample` rows of
+    it; the threshold is the series' own quantile.
     """
     order = list(ties) or ["ts"]
-    trees = 100
     digest = row_hash(["series", *order], seed)
-    own = with_hash_cutoffs(data, digest, F.array(F.least(F.lit(SUBSAMPLE * 4), F.col("n")).cast("bigint")), F.col("series"))
+    own = with_hash_cutoffs(data, digest, F.array(F.least(F.lit(sample * trees), F.col("n")).cast("bigint")), F.col("series"))
     slots = F.ceil(F.col("_n") / SLOT_ROWS)
-    sample = own.filter(F.col("_h") <= F.element_at("_cut", 1)).select("series", "value", "_h")
+    pool = own.filter(F.col("_h") <= F.element_at("_cut", 1)).select("series", "value", "_h")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["series"].iloc[0]
         x = pdf.sort_values("_h")[["value"]].to_numpy(float)
-        size = min(SUBSAMPLE, len(x))
+        size = min(sample, len(x))
         out = []
         for t in range(trees):
             rng = np.random.default_rng(_seed(seed, name, t))
@@ -240,7 +239,7 @@ def series_anomalies(data: DataFrame, contamination: float = 0.05, ties: list[st
         depth = sum(_depths(inside[:, None], t) for t in out) / trees
         return pd.DataFrame({"series": [name], "cuts": [cuts], "scores": [-np.exp2(-depth / scale)]})
 
-    forests = spread(sample, "series").groupBy("series").applyInPandas(grow, "series string, cuts array<double>, scores array<double>")
+    forests = spread(pool, "series").groupBy("series").applyInPandas(grow, "series string, cuts array<double>, scores array<double>")
     # A long series is scored in slots of about SLOT_ROWS rows; its forest goes to each of them.
     keyed = own.withColumn("_slot", F.pmod(F.xxhash64("series", *order), slots)).select(*data.columns, "_slot")
     sizes = data.groupBy("series").agg(F.count("*").alias("_n"))

@@ -86,15 +86,17 @@ def _coefficients(parts: DataFrame, name: str) -> DataFrame:
 def arima_forecast(
     data: DataFrame, horizon: int = 10, ties: list[str] = (), seasonal: int | None = None, chunk: int = CHUNK
 ) -> DataFrame:
-    """(series, step, index, forecast, lower, upper) with a 95 % band.
+    """(series, step, index, forecast, lower, upper, method_used) with a 95 % band.
 
-    Series too short for the regressions (fewer than 40 rows, or 40 plus four seasons) fall back to the
-    linear trend with a band that widens by sqrt(step).
+    Series with fewer rows than the two regressions have unknowns cannot be fitted; they get the linear trend with a
+    band that widens by sqrt(step), and method_used says so.
     """
     back = [1, seasonal, seasonal + 1] if seasonal else [1]
     lags = sorted({*range(1, LONG_AR + 1), *back})
     reach = 2 * max(lags) + (seasonal or 0) + 2
-    needed = 40 + 4 * (seasonal or 0)
+    # Rows lost to differences and lags, and one equation more than unknowns, in either stage.
+    lost = 1 + (seasonal or 0) + max(lags)
+    needed = max(lost + len(lags) + 1, lost + max(back) + 2 * len(back) + 1)
     sizes = data.groupBy("series").agg(F.count("*").alias("n"))
     long = data.join(sizes.filter(F.col("n") >= needed).select("series"), "series", "left_semi")
     pieces = chunks(long, ties, reach, max(chunk, 2 * reach))
@@ -139,7 +141,8 @@ def arima_forecast(
         project, "series string, step int, index bigint, forecast double, lower double, upper double"
     )
     short = data.join(sizes.filter(F.col("n") < needed).select("series"), "series", "left_semi")
-    return fitted.unionByName(forecast(short, "trend_band", horizon, ties))
+    fitted = fitted.withColumn("method_used", F.lit("sarima" if seasonal else "arima"))
+    return fitted.unionByName(forecast(short, "trend_band", horizon, ties).withColumn("method_used", F.lit("trend_band")))
 
 
 def _project(y, ar, beta, lags, back, seasonal, horizon):

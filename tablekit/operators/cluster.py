@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans, KMeansModel, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -15,8 +14,6 @@ from tablekit.functions.ordering import number_rows
 from tablekit.operators.scale import fit_scaler
 
 MICRO_CLUSTERS = 500
-#: Rows up to which the Euclidean silhouette sends every point to every task.
-SILHOUETTE_ROWS = 5_000
 MAX_CLUSTERS = 5_000
 
 
@@ -43,11 +40,14 @@ def kmeans(df: DataFrame, keys: list[str], features: list[str], k: int = 3, seed
     return labels
 
 
-def hierarchical(df: DataFrame, keys: list[str], features: list[str], k: int = 3, seed: int = 42, scale: bool = True) -> DataFrame:
-    """(id, cluster): k-means micro-clusters merged by Ward's criterion down to k."""
+def hierarchical(
+    df: DataFrame, keys: list[str], features: list[str], k: int = 3, seed: int = 42, scale: bool = True, micro_clusters: int = MICRO_CLUSTERS
+) -> DataFrame:
+    """(id, cluster): `micro_clusters` k-means clusters (fewer rows give one less than there are), merged by Ward's
+    criterion down to k."""
     points = scaled_points(df, keys, features, scale).persist()
     n = points.count()
-    model = fit_kmeans(points, min(MICRO_CLUSTERS, max(n // 4, k + 1)), seed)
+    model = fit_kmeans(points, max(micro_clusters, k + 1), seed)
     micro = model.transform(_vectors(points)).select("id", F.col("cluster").alias("micro"))
     sizes = {r["micro"]: r["n"] for r in micro.groupBy("micro").agg(F.count("*").alias("n")).collect()}
     centres = {i: np.array(c) for i, c in enumerate(model.clusterCenters()) if i in sizes}
@@ -113,8 +113,7 @@ def quality(points: DataFrame, labels: DataFrame, silhouette: bool = True) -> Da
     """(metric, value): Calinski-Harabasz and Davies-Bouldin from per-cluster sums, noise and size figures,
     and the silhouette. Noise (-1) is left out of everything but its own count.
 
-    Up to SILHOUETTE_ROWS rows the silhouette is the Euclidean one; above, the squared-Euclidean one is
-    computed from cluster sums and named silhouette_squared.
+    The silhouette is the squared-Euclidean one, which follows from per-cluster sums, at every size.
     """
     spark = points.sparkSession
     joined = points.join(labels, "id").select("id", "x", "cluster").persist()
@@ -129,7 +128,7 @@ def quality(points: DataFrame, labels: DataFrame, silhouette: bool = True) -> Da
     if k >= 2 and n > max(k, 2):
         rows += _separation(inside, centres, n)
         if silhouette:
-            rows.append(_silhouette(inside, n))
+            rows.append(("silhouette_squared", _silhouette(inside)))
     joined.unpersist()
     return local_table(spark, [(m, float(v)) for m, v in rows], "metric string, value double")
 
@@ -171,36 +170,14 @@ def _separation(inside: DataFrame, centres: dict, n: int) -> list[tuple[str, flo
     return [("calinski_harabasz_score", ch), ("davies_bouldin_score", db)]
 
 
-def _silhouette(inside: DataFrame, n: int) -> tuple[str, float]:
-    if n > SILHOUETTE_ROWS:
-        data = inside.select(array_to_vector("x").alias("v"), F.col("cluster").cast("int").alias("cluster"))
-        return "silhouette_squared", ClusteringEvaluator(featuresCol="v", predictionCol="cluster").evaluate(data)
-    rows = inside.orderBy("id").collect()
-    x = np.stack([np.array(r["x"], dtype=float) for r in rows])
-    names, code = np.unique([r["cluster"] for r in rows], return_inverse=True)
-    shared = inside.sparkSession.sparkContext.broadcast((x, names, code))
-
-    def widths(batches):
-        x, names, code = shared.value
-        member = np.eye(len(names))[code]
-        sizes = member.sum(axis=0)
-        for batch in batches:
-            own = np.searchsorted(names, batch["cluster"].to_numpy())
-            sums = distances(np.stack([np.asarray(v, float) for v in batch["x"]]), x) @ member
-            row = np.arange(len(batch))
-            inner = sums[row, own] / np.maximum(sizes[own] - 1, 1)
-            means = sums / sizes
-            means[row, own] = np.inf
-            outer = means.min(axis=1)
-            top = np.maximum(inner, outer)
-            s = np.where((sizes[own] > 1) & (top > 0), (outer - inner) / np.where(top > 0, top, 1), 0.0)
-            yield pd.DataFrame({"s": s})
-
-    return "silhouette_score", inside.select("x", "cluster").mapInPandas(widths, "s double").agg(F.avg("s")).first()[0]
+def _silhouette(inside: DataFrame) -> float:
+    """Mean of (outer - inner) / max(outer, inner), with mean squared distances to the own and the nearest other cluster."""
+    data = inside.select(array_to_vector("x").alias("v"), F.col("cluster").cast("int").alias("cluster"))
+    return ClusteringEvaluator(featuresCol="v", predictionCol="cluster").evaluate(data)
 
 
 def optimal_k(df: DataFrame, keys: list[str], features: list[str], max_k: int = 10, seed: int = 42, scale: bool = True) -> DataFrame:
-    """(k, inertia, silhouette) for k = 2..max_k on one persisted table."""
+    """(k, inertia, silhouette) for k = 2..max_k on one persisted table; the silhouette is the squared-Euclidean one."""
     points = scaled_points(df, keys, features, scale).persist()
     n = points.count()
     top = min(max_k, n - 1)
@@ -211,7 +188,7 @@ def optimal_k(df: DataFrame, keys: list[str], features: list[str], max_k: int =
         model = fit_kmeans(points, k, seed)
         labels = model.transform(_vectors(points)).select("id", "x", "cluster")
         found = labels.select("cluster").distinct().count()
-        width = _silhouette(labels, n)[1] if found > 1 else 0.0
+        width = _silhouette(labels) if found > 1 else 0.0
         rows.append((k, float(model.summary.trainingCost), float(width)))
     points.unpersist()
     return local_table(df.sparkSession, rows, "k int, inertia double, silhouette double")

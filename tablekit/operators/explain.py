@@ -57,25 +57,24 @@ def _predicted(scored: DataFrame, model: FittedModel) -> Column:
 
 
 def sampled_shap(
-    model: FittedModel, df: DataFrame, keys: list[str], rows: int = 200, draws: int = 10, seed: int = 42
+    model: FittedModel, df: DataFrame, keys: list[str], rows: int | None = 200, draws: int = 10, seed: int = 42
 ) -> DataFrame:
-    """(id, output, feature, shap) for a hash sample of rows, by permutation sampling.
+    """(id, output, feature, shap) for a hash sample of `rows` rows, or for all with None, by permutation sampling.
 
     Each draw walks from a background row to the explained row, switching one feature at a time in a
     random order; a feature's value is the mean change of the output at its switch. All states go through
     one model.transform. Values of a row add up to its output minus the mean background output.
     """
-    rows = max(10, min(rows, 5_000))
     d = len(model.features)
     x = F.array(*[numeric_or_zero(df, c) for c in model.features])
     ident = F.concat_ws("~", *[col(k).cast("string") for k in keys])
-    chosen = hash_sample(df, keys, rows, seed).select(ident.alias("id"), x.alias("x"))
+    chosen = (df if rows is None else hash_sample(df, keys, rows, seed)).select(ident.alias("id"), x.alias("x"))
     background = hash_sample(df, keys, draws, f"{seed}:background").select(x.alias("b"), row_hash(keys, seed).alias("h"))
     drawn = [r["b"] for r in background.orderBy("h").collect()]
     rng = np.random.default_rng(seed)
     plan = [(i, [int(v) for v in rng.permutation(d)], drawn[i % len(drawn)]) for i in range(draws)]
     walks = local_table(df.sparkSession, plan, "draw int, perm array<int>, b array<double>")
-    # Both sides are fixed in size: at most 5000 chosen rows and `draws` walks.
+    # The walks are `draws` rows; a chosen row becomes draws * (features + 1) states in the tasks that hold it.
     states = chosen.select("id", "x", F.explode(F.array(*[F.lit(i) for i, _, _ in plan])).alias("draw")).join(F.broadcast(walks), "draw")
     states = states.select("*", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("step"))
     mixed = [

@@ -14,23 +14,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablekit.functions.columns import categorical_columns, col, is_temporal, numeric_columns
 from tablekit.functions.ordering import fill_along, with_position
-from tablekit.operators.profile import numeric_stats, parse_as_dates
+from tablekit.operators.profile import date_columns, numeric_stats
 
 Z95 = 1.96
 
 
-def detect_date_column(df: DataFrame, order_by: list[str] | None = None) -> str | None:
-    """The first temporal column, or string column whose first 20 non-null values all parse."""
-    head = df.limit(20) if order_by is None else df.orderBy(*[col(c) for c in order_by]).limit(20)
-    rows = head.collect()
-    for f in df.schema:
-        if is_temporal(df, f.name):
-            return f.name
-        if isinstance(f.dataType, T.StringType):
-            values = [r[f.name] for r in rows if r[f.name] is not None]
-            if parse_as_dates(df.sparkSession, {f.name: values}):
-                return f.name
-    return None
+def detect_date_column(df: DataFrame) -> str | None:
+    """The first temporal column, or string column whose values all parse."""
+    strings = date_columns(df, [f.name for f in df.schema if isinstance(f.dataType, T.StringType)])
+    return next((f.name for f in df.schema if is_temporal(df, f.name) or f.name in strings), None)
 
 
 def default_target(df: DataFrame, exclude: list[str] = ()) -> str:

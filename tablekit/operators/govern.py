@@ -65,8 +65,6 @@ def decrypt_columns(df: DataFrame, columns: list[str], secret: str) -> DataFrame
 
 # -- text -------------------------------------------------------------------------------------------
 
-MAX_LENGTH = 1000
-
 #: Markup that is removed, case-insensitively, in this order (fixed values).
 SCRIPT_PATTERNS = (
     r"<script[^>]*>.*?</script>",
@@ -81,9 +79,10 @@ SCRIPT_PATTERNS = (
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
 
 
-def strip_markup_characters(text: Column, max_length: int = MAX_LENGTH) -> Column:
-    """Drop < > " ' & and cut to max_length characters (the cut is part of the operator)."""
-    return F.substring(F.regexp_replace(text, r"[<>\"'&]", ""), 1, max_length)
+def strip_markup_characters(text: Column, max_length: int | None = None) -> Column:
+    """Drop < > " ' &, and cut to max_length characters where one is given."""
+    text = F.regexp_replace(text, r"[<>\"'&]", "")
+    return text if max_length is None else F.substring(text, 1, max_length)
 
 
 def strip_scripts(text: Column) -> Column:

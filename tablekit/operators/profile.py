@@ -172,7 +172,7 @@ def column_profile(df: DataFrame, order_by: list[str], approx: bool = False) ->
     """Physical and logical type, missing count and percentage, distinct count and the first five values.
 
     Logical types: integer, float, numeric (decimals), boolean, datetime, categorical, text, unknown. A
-    string column is datetime when its first ten values parse, categorical when distinct / rows < 0.5.
+    string column is datetime when all its values parse, categorical when distinct / rows < 0.5.
     """
     df = normalise_missing(df)
     plain = [f.name for f in df.schema if isinstance(f.dataType, _PLAIN)]
@@ -183,7 +183,7 @@ def column_profile(df: DataFrame, order_by: list[str], approx: bool = False) ->
     distinct = distinct_counts(df, plain, approx)
     heads = _first_values(df, plain, order_by)
     strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    dates = parse_as_dates(df.sparkSession, {c: heads[c][:10] for c in strings})
+    dates = date_columns(df, strings)
     table = []
     for i, field in enumerate(df.schema):
         c, nulls = field.name, rows - row[f"c{i}"]
@@ -243,17 +243,12 @@ def _first_values(df: DataFrame, names: list[str], order_by: list[str], n: int =
     return result
 
 
-def parse_as_dates(spark, samples: dict[str, list[str]]) -> set[str]:
-    """Names whose sample values are non-empty and all parse as timestamps."""
-    rows = [(c, v) for c, values in samples.items() for v in values]
-    if not rows:
+def date_columns(df: DataFrame, names: list[str]) -> set[str]:
+    """The string columns that have values, all of which parse as timestamps; one aggregate over the whole columns."""
+    if not names:
         return set()
-    parsed = (
-        local_table(spark, rows, "column string, value string")
-        .groupBy("column")
-        .agg(F.every(F.col("value").try_cast("timestamp").isNotNull()).alias("ok"))
-    )
-    return {r["column"] for r in parsed.collect() if r["ok"]}
+    row = df.agg(*[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)], *[F.count(col(c).try_cast("timestamp")).alias(f"p{i}") for i, c in enumerate(names)]).first()
+    return {c for i, c in enumerate(names) if row[f"n{i}"] and row[f"n{i}"] == row[f"p{i}"]}
 
 
 #: Widest table whose pairwise correlations go into one aggregate expression list.

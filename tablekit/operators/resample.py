@@ -15,7 +15,9 @@ NEIGHBOURS = 5
 
 
 def _counts(df: DataFrame, label: str) -> dict:
-    return {r["label"]: r["n"] for r in collect_bounded(class_counts(df, label), MAX_CLASSES, "classes")}
+    """Rows per class; a null label is no class, and its rows only pass through."""
+    known = class_counts(df, label).filter("label is not null")
+    return {r["label"]: r["n"] for r in collect_bounded(known, MAX_CLASSES, "classes")}
 
 
 def _new_rows(per_row: DataFrame, near: DataFrame, k: int, seed: int) -> DataFrame:

@@ -28,9 +28,18 @@ def split_stratified(df: DataFrame, keys: list[str], label: str, test_size: floa
     return cut.withColumn("split", F.when(below(0), F.lit("test")).otherwise(F.lit("train"))).drop(*_WORK)
 
 
+#: Stands for a null order value, so that those rows come first.
+_BEFORE_ALL = -1.7976931348623157e308
+
+
+def _place(df: DataFrame, order_by: str) -> Column:
+    value = order_number(df, order_by)
+    return F.coalesce(F.nanvl(value.cast("double"), F.lit(None).cast("double")), F.lit(_BEFORE_ALL))
+
+
 def _ordered_cuts(df: DataFrame, keys: list[str], order_by: str, ranks: list[int], seed: int) -> list[tuple[float, str]]:
     """(order value, digest) of the rows at 0-based ranks by (order_by, digest)."""
-    df = df.withColumns({"_ord": order_number(df, order_by), "_dig": row_hash(keys, seed)})
+    df = df.withColumns({"_ord": _place(df, order_by), "_dig": row_hash(keys, seed)})
     values = order_statistics(df, {"_ord": ranks})["_ord"]
     result = []
     for rank in ranks:
@@ -43,12 +52,12 @@ def _ordered_cuts(df: DataFrame, keys: list[str], order_by: str, ranks: list[int
 
 
 def _at_or_before(df: DataFrame, order_by: str, digest: Column, cut: tuple[float, str]) -> Column:
-    value = order_number(df, order_by)
+    value = _place(df, order_by)
     return (value < F.lit(cut[0])) | ((value == F.lit(cut[0])) & (digest <= F.lit(cut[1])))
 
 
 def split_sequential(df: DataFrame, keys: list[str], order_by: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """The first int(n * (1 - test_size)) rows by (order_by, key digest) are 'train'."""
+    """The first int(n * (1 - test_size)) rows by (order_by, key digest) are 'train'; null order values come first."""
     n = df.count()
     train = int(round(n * (1 - test_size), 9))
     if train <= 0:
@@ -102,7 +111,8 @@ def kfold_stratified(df: DataFrame, keys: list[str], label: str, k: int = 5, see
 def time_series_folds(df: DataFrame, keys: list[str], order_by: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Expanding windows: one row per (row, fold it takes part in) with fold and role train / test.
 
-    Each fold tests on n // (k + 1) rows; a row is tested once at most and trains every later fold.
+    Each fold tests on n // (k + 1) rows; a row is tested once at most and trains every later fold. Null order values
+    come first.
     """
     n = df.count()
     size = n // (k + 1)

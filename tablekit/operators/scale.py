@@ -7,10 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tablekit.functions.columns import col, local_table, long_form, numeric_columns
+from tablekit.functions.columns import col, numeric_columns
 from tablekit.functions.quantiles import exact_quantiles
+from tablekit.functions.session import cut_lineage
 from tablekit.operators.profile import NumericStats, numeric_stats
 
 
@@ -46,8 +47,14 @@ def auto_method(stats: dict[str, NumericStats]) -> str:
     return "power" if skew > 1.0 else "quantile" if skew > 0.5 else "standard"
 
 
-def fit_scaler(df: DataFrame, columns: list[str] | None = None, method: str = "standard") -> ScaleModel:
-    """standard (population std), minmax, robust, power, quantile, auto or none."""
+#: Knots of the empirical distribution, unless fit_scaler is told otherwise.
+KNOTS = 1_000
+
+
+def fit_scaler(
+    df: DataFrame, columns: list[str] | None = None, method: str = "standard", knots: int = KNOTS
+) -> ScaleModel:
+    """standard (population std), minmax, robust, power, quantile (with `knots` points), auto or none."""
     names = columns if columns is not None else numeric_columns(df)
     if method == "none" or not names:
         return ScaleModel("none")
@@ -68,7 +75,7 @@ def fit_scaler(df: DataFrame, columns: list[str] | None = None, method: str = "s
     if method == "power":
         return _fit_power(df, known)
     if method == "quantile":
-        return _fit_quantile(df, known)
+        return _fit_quantile(df, known, knots)
     raise ValueError(f"unknown scaling method: {method}")
 
 
@@ -93,6 +100,11 @@ def yeo_johnson(x: Column, lam: float) -> Column:
 _LAMBDAS, _SPAN, _PASSES = 21, (-3.0, 5.0), 4
 
 
+def _known(c: str) -> Column:
+    """A column as doubles, NaN as null."""
+    return F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
+
+
 def _fit_power(df: DataFrame, stats: dict[str, NumericStats]) -> ScaleModel:
     """Maximum-likelihood exponent per column: one aggregate per pass evaluates a grid for all columns,
     and the next pass zooms in on the best cell."""
@@ -100,15 +112,15 @@ def _fit_power(df: DataFrame, stats: dict[str, NumericStats]) -> ScaleModel:
     best = {}
     for _ in range(_PASSES):
         grids = {c: [lo + (hi - lo) * i / (_LAMBDAS - 1) for i in range(_LAMBDAS)] for c, (lo, hi) in spans.items()}
-        best = _best_lambda(df, grids)
+        best = _best_lambda(df, grids, {c: s.mean or 0.0 for c, s in stats.items()})
         step = {c: (hi - lo) / (_LAMBDAS - 1) for c, (lo, hi) in spans.items()}
         spans = {c: (best[c] - step[c], best[c] + step[c]) for c in spans}
     names = list(stats)
     moments = df.agg(
         *[
             F.struct(
-                F.avg(yeo_johnson(col(c).cast("double"), best[c])).alias("m"),
-                F.stddev_pop(yeo_johnson(col(c).cast("double"), best[c])).alias("s"),
+                F.avg(yeo_johnson(_known(c), best[c])).alias("m"),
+                F.stddev_pop(yeo_johnson(_known(c), best[c])).alias("s"),
             ).alias(f"t{i}")
             for i, c in enumerate(names)
         ]
@@ -121,55 +133,86 @@ def _fit_power(df: DataFrame, stats: dict[str, NumericStats]) -> ScaleModel:
     return ScaleModel("power", params)
 
 
-def _best_lambda(df: DataFrame, grids: dict[str, list[float]]) -> dict[str, float]:
-    """Log-likelihood = -n/2 log var(transformed) + (lambda - 1) sum sign(x) log(|x| + 1), per column.
-
-    Values meet the grid of their column (a fixed number of rows per column) and are summed at once."""
-    grid = [(c, i, lam) for c, lams in grids.items() for i, lam in enumerate(lams)]
-    lams = local_table(df.sparkSession, grid, "column string, i int, lam double")
-    values = long_form(df, list(grids), "double").filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    x, lam = F.col("value"), F.col("lam")
-    sums = values.join(F.broadcast(lams), "column").groupBy("column", "i").agg(
-        F.count(x).alias("n"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("logs"), F.var_pop(_yeo_johnson_at(x, lam)).alias("v")
-    )
-    best: dict[str, tuple[float, float]] = {}
-    for r in sums.collect():
-        at = grids[r["column"]][r["i"]]
-        score = -0.5 * r["n"] * math.log(r["v"]) + (at - 1) * r["logs"] if r["v"] and r["v"] > 0 else -math.inf
-        if r["column"] not in best or (score, -r["i"]) > best[r["column"]]:
-            best[r["column"]] = (score, -r["i"])
-    return {c: grids[c][-best[c][1]] if c in best and best[c][0] > -math.inf else 1.0 for c in grids}
-
-
-def _yeo_johnson_at(x: Column, lam: Column) -> Column:
-    """yeo_johnson with the exponent in a column."""
-    two = 2 - lam
-    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
-    down = F.when(F.abs(two) < 1e-12, -F.log1p(-x)).otherwise(-(F.pow(1 - x, two) - 1) / two)
-    return F.when(x >= 0, up).otherwise(down)
+def _best_lambda(df: DataFrame, grids: dict[str, list[float]], centres: dict[str, float]) -> dict[str, float]:
+    """Log-likelihood = -n/2 log var(transformed) + (lambda - 1) sum sign(x) log(|x| + 1), per column."""
+    scores = likelihoods(df, grids, centres)
+    best = {}
+    for c, lams in grids.items():
+        found = [(scores.get((c, i), -math.inf), -i) for i in range(len(lams))]
+        score, at = max(found)
+        best[c] = lams[-at] if score > -math.inf else 1.0
+    return best
+
+
+def likelihoods(df: DataFrame, grids: dict[str, list[float]], centres: dict[str, float]) -> dict[tuple[str, int], float]:
+    """Log-likelihood per column and place in its grid, where the transformed column varies.
+
+    Every task folds its rows to counts and sums per column and exponent; the sums are taken around the transformed
+    centre of the column, so that they add up without loss."""
+    names = list(grids)
+    width = max(map(len, grids.values()), default=0)
+    shifts = {c: [float(_yeo_johnson_at(np.array([centres[c]]), lam)[0]) for lam in grids[c]] for c in names}
+
+    def fold(batches):
+        total = np.zeros((len(names), width, 4))
+        for batch in batches:
+            for j, c in enumerate(names):
+                x = batch[f"c{j}"].to_numpy(float)
+                x = x[~np.isnan(x)]
+                logs = float((np.sign(x) * np.log1p(np.abs(x))).sum())
+                for i, lam in enumerate(grids[c]):
+                    y = _yeo_johnson_at(x, lam) - shifts[c][i]
+                    total[j, i] += len(x), logs, y.sum(), (y * y).sum()
+        j, i = (v.ravel() for v in np.indices(total.shape[:2]))
+        n, logs, s1, s2 = total.reshape(-1, 4).T
+        yield pd.DataFrame({"j": j, "i": i, "n": n, "logs": logs, "s1": s1, "s2": s2})
+
+    folded = df.select(*[_known(c).alias(f"c{j}") for j, c in enumerate(names)]).mapInPandas(fold, "j int, i int, n double, logs double, s1 double, s2 double")
+    out = {}
+    for r in folded.groupBy("j", "i").agg(*[F.sum(v).alias(v) for v in ("n", "logs", "s1", "s2")]).collect():
+        c = names[r["j"]]
+        spread = r["s2"] / r["n"] - (r["s1"] / r["n"]) ** 2 if r["n"] else 0.0
+        if spread > 0:
+            out[c, r["i"]] = -0.5 * r["n"] * math.log(spread) + (grids[c][r["i"]] - 1) * r["logs"]
+    return out
+
+
+def _yeo_johnson_at(x: np.ndarray, lam: float) -> np.ndarray:
+    """yeo_johnson of an array."""
+    two = 2.0 - lam
+    up, down = np.maximum(x, 0.0), np.maximum(-x, 0.0)
+    above = np.log1p(up) if abs(lam) < 1e-12 else (np.power(up + 1, lam) - 1) / lam
+    below = -np.log1p(down) if abs(two) < 1e-12 else -(np.power(down + 1, two) - 1) / two
+    return np.where(x >= 0, above, below)
 
 
 # -- quantile ---------------------------------------------------------------------------------------
 
-#: Knots of the empirical distribution.
-_KNOTS = 1_000
 _CLIP = 5.199337582605575
 
 
-def _fit_quantile(df: DataFrame, stats: dict[str, NumericStats]) -> ScaleModel:
-    names = list(stats)
-    knots = min(_KNOTS, max(s.count for s in stats.values()))
-    probs = [i / max(knots - 1, 1) for i in range(knots)]
-    row = df.agg(*[F.percentile_approx(col(c).cast("double"), probs, 10_000).alias(f"k{i}") for i, c in enumerate(names)]).first()
-    return ScaleModel("quantile", {c: {"knots": _tie_means(row[f"k{i}"], probs)} for i, c in enumerate(names)})
-
-
-def _tie_means(values: list[float], probs: list[float]) -> list[tuple[float, float]]:
-    """(value, mean probability) per distinct knot: ties map to the middle of their run."""
-    spans: dict[float, list[float]] = {}
-    for v, p in zip(values, probs):
-        spans.setdefault(v, []).append(p)
-    points = [(v, (p[0] + p[-1]) / 2) for v, p in spans.items()]
+def _fit_quantile(df: DataFrame, stats: dict[str, NumericStats], knots: int = KNOTS) -> ScaleModel:
+    """Knots are the observed values at `knots` evenly spaced ranks (all ranks, if fewer), exact at every size."""
+    return ScaleModel("quantile", {c: {"knots": _knots(df, c, s.count, min(knots, s.count))} for c, s in stats.items()})
+
+
+def _knots(df: DataFrame, column: str, n: int, knots: int) -> list[tuple[float, float]]:
+    """(value, mean probability) per distinct value at the ranks floor(i (n - 1) / (knots - 1)): ties map to the middle
+    of their run, the ends to 0 and 1. Values are counted, sorted in ranges, and only those at a rank come back."""
+    if knots < 2:
+        first = df.select(F.min(_known(column))).first()[0]
+        return [(0.0 if first is None else float(first), 0.0)]
+    counts = df.select(_known(column).alias("v")).filter("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    placed = cut_lineage(counts.sort("v").withColumn("part", F.spark_partition_id()))
+    sizes = placed.groupBy("part").agg(F.sum("n").alias("rows"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = placed.join(F.broadcast(starts), "part").withColumn("upto", F.col("start") + F.sum("n").over(inside))
+    first = F.ceil((F.col("upto") - F.col("n")) * (knots - 1) / (n - 1))
+    last = F.least(F.ceil(F.col("upto") * (knots - 1) / (n - 1)) - 1, F.lit(knots - 1))
+    rows = upto.select("v", first.alias("a"), last.alias("b")).filter("a <= b").orderBy("v").collect()
+    points = [(r["v"], (r["a"] + r["b"]) / 2 / (knots - 1)) for r in rows]
     if len(points) > 1:
         points[0] = (points[0][0], 0.0)
         points[-1] = (points[-1][0], 1.0)

@@ -204,11 +204,11 @@ class _Proposer:
 
 def bayesian_search(
     df: DataFrame, label: str, model_type: str, problem: str | None = None, features: list[str] | None = None,
-    keys: list[str] = (), folds: int = 5, n_trials: int = 50, timeout: float = 300.0, space: dict[str, list] | None = None,
+    keys: list[str] = (), folds: int = 5, n_trials: int = 50, timeout: float | None = None, space: dict[str, list] | None = None,
     seed: int = 42, parallelism: int = 4, batch: int = 4,
 ) -> tuple[DataFrame, models.FittedModel]:
-    """(trials, refitted best model). Stops after n_trials or timeout seconds; classification folds are
-    stratified and shrink to the smallest class."""
+    """(trials, refitted best model). Runs n_trials, or fewer where a timeout in seconds is given and passes;
+    classification folds are stratified and shrink to the smallest class."""
     space = space or SPACES.get(canonical(model_type)) or GRIDS[canonical(model_type)]
     space = {k: v for k, v in space.items() if k not in WITHOUT_EFFECT}
     problem = problem or models.guess_problem(df, label)
@@ -216,7 +216,7 @@ def bayesian_search(
     trials = _Trials(df, label, model_type, problem, features, keys, folds, method, seed, parallelism)
     proposer, start = _Proposer(space, seed), time.time()
     candidates, scores = [], []
-    while len(candidates) < n_trials and (not candidates or time.time() - start < timeout):
+    while len(candidates) < n_trials and (not candidates or timeout is None or time.time() - start < timeout):
         wave = proposer.propose([(c, s[0]) for c, s in zip(candidates, scores)], min(batch, n_trials - len(candidates)))
         scores += trials.run(wave)
         candidates += wave

@@ -152,6 +152,17 @@ def folds_time_series(t):
     return time_series_folds(t("orders"), KEYS, "o_orderdate", 4).select("o_orderkey", "fold", "role")
 
 
+@query(
+    "folds_time_series_null_dates",
+    f"""with p as (select o_orderkey, row_number() over (order by case when o_orderkey % 7 = 0 then null else o_orderdate end nulls first, {DIGEST}) - 1 as rn, count(*) over () as n, count(*) over () // 5 as size from orders),
+          f as (select o_orderkey, rn, n, size, unnest(range(4)) as fold from p)
+        select o_orderkey, cast(fold as integer) as fold, case when rn < n - (4 - fold) * size then 'train' else 'test' end as role from f where rn < n - (3 - fold) * size""",
+)
+def folds_time_series_null_dates(t):
+    df = t("orders").withColumn("o_orderdate", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")))
+    return time_series_folds(df, KEYS, "o_orderdate", 4).select("o_orderkey", "fold", "role")
+
+
 @query("cross_validate_tree")
 def cross_validate_tree(t):
     return rounded(evaluate.cross_validate(orders(t), "size_class", "decision_tree", models.CLASSIFICATION, FEATURES, {"max_depth": 3}, KEYS, "stratified", 3), 4)
@@ -223,7 +234,7 @@ def random_search_tree(t):
 @query("bayesian_search_linear")
 def bayesian_search_linear(t):
     space = {"max_depth": [2, 3, 4, 5], "min_samples_leaf": [1, 5]}
-    found, _ = search.bayesian_search(orders(t), "size_class", "decision_tree", models.CLASSIFICATION, FEATURES, KEYS, 2, 4, 120, space)
+    found, _ = search.bayesian_search(orders(t), "size_class", "decision_tree", models.CLASSIFICATION, FEATURES, KEYS, 2, 4, None, space)
     return rounded(found.drop("seconds"), 4)
 
 
@@ -247,14 +258,14 @@ def by_nation(t) -> tuple[DataFrame, DataFrame]:
           s as (select c, avg(sqrt(pow(x - mx, 2) + pow(y - my, 2))) as s, sum(pow(x - mx, 2) + pow(y - my, 2)) as ss from q join m using (c) group by c),
           db as (select a.c, max((sa.s + sb.s) / sqrt(pow(a.mx - b.mx, 2) + pow(a.my - b.my, 2))) as v from m a join m b on a.c <> b.c join s sa on sa.c = a.c join s sb on sb.c = b.c group by a.c),
           i as (select *, row_number() over () as id from q),
-          dist as (select a.id, a.c, b.c as o, sum(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2))) as d from i a, i b group by a.id, a.c, b.c),
+          dist as (select a.id, a.c, b.c as o, sum(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) as d from i a, i b group by a.id, a.c, b.c),
           w as (select id, dist.c, max(d / (n - 1)) filter (dist.c = o) as inner_, min(d / n) filter (dist.c <> o) as outer_ from dist join m on m.c = o group by id, dist.c)
         select 'n_clusters' as metric, 3.0::double as value union all select 'n_noise', count(*) from p where c < 0
         union all select 'noise_ratio', {r('avg((c < 0)::int)', 4)} from p
         union all select 'cluster_size_mean', {r('avg(n)', 4)} from m union all select 'cluster_size_std', {r('stddev_pop(n)', 4)} from m
         union all select 'calinski_harabasz_score', {r('(select sum(m.n * (pow(mx - gx, 2) + pow(my - gy, 2))) from m, g) / 2 / ((select sum(ss) from s) / ((select n from g) - 3))', 4)}
         union all select 'davies_bouldin_score', {r('avg(v)', 4)} from db
-        union all select 'silhouette_score', {r('avg((outer_ - inner_) / greatest(inner_, outer_))', 4)} from w""",
+        union all select 'silhouette_squared', {r('avg((outer_ - inner_) / greatest(inner_, outer_))', 4)} from w""",
 )
 def cluster_quality_customers(t):
     return rounded(cluster.quality(*by_nation(t)), 4)
@@ -302,7 +313,7 @@ def adaptive_density_customers(t):
 
 @query("optimal_k_customers")
 def optimal_k_customers(t):
-    return cluster.choose_k(cluster.optimal_k(customers(t), ["c_custkey"], PLACE, 5))
+    return cluster.choose_k(cluster.optimal_k(customers(t), ["c_custkey"], PLACE))
 
 
 @query(
@@ -345,17 +356,35 @@ def plot_points_customers(t):
     return rounded(project.plot_points(df, ["c_custkey"], PLACE, by_nation(t)[1]))
 
 
+@query(
+    "isolation_mostly_zero",
+    "select event_id, cast(event_id % 20 = 0 as integer) as is_anomaly from events",
+)
+def isolation_mostly_zero(t):
+    """One column, zero but for a twentieth of the rows: at a tenth of contamination exactly those score lowest."""
+    value = F.when(F.col("event_id") % 20 == 0, 1000 + F.col("value")).otherwise(F.lit(0.0))
+    df = t("events").select("event_id", value.alias("value"))
+    return anomaly.fit_isolation_forest(df, ["value"], ["event_id"], 0.1).transform(df).select("event_id", "is_anomaly")
+
+
+@query("isolation_forest_labels")
+def isolation_forest_labels(t):
+    """Every row with its score and label."""
+    df = orders(t)
+    return rounded(anomaly.fit_isolation_forest(df, FEATURES, KEYS, 0.1).transform(df).select(*KEYS, "anomaly_score", "is_anomaly"))
+
+
 @query("isolation_forest_orders")
 def isolation_forest_orders(t):
     df = orders(t)
-    found = anomaly.fit_isolation_forest(df, FEATURES, KEYS, 0.1, 50)
+    found = anomaly.fit_isolation_forest(df, FEATURES, KEYS, 0.1)
     return found.summary(df)
 
 
 @query("isolation_forest_lowest")
 def isolation_forest_lowest(t):
     df = t("events").select("event_id", "value")
-    return rounded(anomaly.fit_isolation_forest(df, ["value"], ["event_id"], 0.05, 50).anomalies(df))
+    return rounded(anomaly.fit_isolation_forest(df, ["value"], ["event_id"], 0.05).anomalies(df))
 
 
 @query("kernel_boundary_orders")

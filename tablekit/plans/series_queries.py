@@ -258,13 +258,13 @@ def detect_series_columns(t):
 
 @query(
     "regularise_daily_price",
-    f"""with p as (select l_returnflag as series, date_trunc('day', l_shipdate) as ts, avg(l_extendedprice) as value from lineitem where l_quantity > 49 group by all),
+    f"""with p as (select l_returnflag as series, date_trunc('day', l_shipdate) as ts, avg(l_extendedprice) as value from lineitem group by all),
           g as (select series, unnest(generate_series(min(ts), max(ts), interval 1 day)) as ts from p group by series)
         select series, strftime(ts, '%Y-%m-%d') as ts, {r('last_value(value ignore nulls) over (partition by series order by ts rows between unbounded preceding and current row)', 4)} as value
         from g left join p using (series, ts)""",
 )
 def regularise_daily_price(t):
-    data = fc.series(t("lineitem").filter("l_quantity > 49"), "l_extendedprice", "l_shipdate", ["l_returnflag"])
+    data = fc.series(t("lineitem"), "l_extendedprice", "l_shipdate", ["l_returnflag"])
     return rounded(fc.regularise(data, "D").withColumn("ts", F.date_format("ts", "yyyy-MM-dd")), 4)
 
 
@@ -327,7 +327,7 @@ def encrypt_round_trip(t):
     return opened.select("c_custkey", "c_name", (F.col("cipher") == F.col("c_name")).alias("readable"))
 
 
-@query("strip_characters_pages", "select page_id, left(regexp_replace(html, '[<>\"''&]', '', 'g'), 1000) as cleaned from pages")
+@query("strip_characters_pages", "select page_id, regexp_replace(html, '[<>\"''&]', '', 'g') as cleaned from pages")
 def strip_characters_pages(t):
     return t("pages").select("page_id", govern.strip_markup_characters(F.col("html")).alias("cleaned"))
 

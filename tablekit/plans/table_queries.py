@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablekit.functions.columns import numeric_columns
+from tablekit.functions.columns import local_table, numeric_columns
 from tablekit.operators import clean, encode, profile, recommend, sample, scale, select
 from tablekit.operators.genetic import select_genetic
 from tablekit.operators.score import align
@@ -97,13 +97,14 @@ def read_parquet_suppliers(t):
        union all select 'part', count(*), 6, 'p_partkey,p_size,p_retailprice', 'p_name,p_brand,p_type', '' from part""",
 )
 def catalog_lifecycle(t):
-    """Three datasets in, one deleted, one rebuilt from its files."""
+    """Three datasets in, one deleted (a second rebuild leaves it so), one rebuilt from its files."""
     store = catalog.Catalog(t.spark, t.scratch("catalog"))
     store.ingest(t("orders"), "orders", "orders.parquet")
     store.ingest(t("supplier"), "supplier", "supplier.parquet")
     t("part").write.parquet(store.path("part"))
     store.rebuild()
     store.delete("supplier")
+    store.rebuild()
     lists = ["numerical_columns", "categorical_columns", "datetime_columns"]
     return joined(store.list().select("dataset_id", "n_rows", "n_columns", *lists), lists)
 
@@ -273,11 +274,12 @@ def page_after_key(t):
             ("p_brand", "string", ""),
             ("p_type", "string", ""),
             ("p_size", "int", "integer"),
+            ("p_retailprice", "double", "float"),
         )
     ),
 )
 def column_profile_part(t):
-    return joined(profile.column_profile(t("part").drop("p_retailprice"), ["p_partkey"]), ["samples"])
+    return joined(profile.column_profile(t("part"), ["p_partkey"]), ["samples"])
 
 
 @query(
@@ -614,6 +616,60 @@ def yeo_johnson_fixed(t):
     return rounded(df.select("event_id", scale.yeo_johnson(F.col("x"), 0.4).alias("value")))
 
 
+#: events.value with NaN and null injected, the same rows in both engines.
+GAPS = "select event_id, case when event_id % 11 = 0 then 'nan'::double when event_id % 7 = 0 then null else value end as value from events"
+
+
+def gaps(t):
+    value = F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.col("value"))
+    return t("events").select("event_id", value.alias("value"))
+
+
+@query(
+    "power_likelihood_gaps",
+    f"""with g as (select value from ({GAPS}) where not isnan(value)), l as (select unnest(range(21)) as i),
+          y as (select i, -3 + 0.4 * i as lam, value as x from g, l),
+          s as (select i, lam, count(*) as n, sum(sign(x) * ln(abs(x) + 1)) as logs,
+            var_pop(case when x >= 0 then case when abs(lam) < 1e-9 then ln(x + 1) else (pow(x + 1, lam) - 1) / lam end
+                         else case when abs(2 - lam) < 1e-9 then -ln(1 - x) else -(pow(1 - x, 2 - lam) - 1) / (2 - lam) end end) as v from y group by all)
+        select cast(i as integer) as i, {r('(-0.5 * n * ln(v) + (lam - 1) * logs) / n', 5)} as log_likelihood from s""",
+)
+def power_likelihood_gaps(t):
+    df = gaps(t)
+    lams = [-3 + 0.4 * i for i in range(21)]
+    lams = [0.0 if abs(x) < 1e-9 else 2.0 if abs(x - 2) < 1e-9 else x for x in lams]
+    stats = profile.numeric_stats(df, ["value"])["value"]
+    found = scale.likelihoods(df, {"value": lams}, {"value": stats.mean})
+    return rounded(local_table(t.spark, [(i, v / stats.count) for (_, i), v in found.items()], "i int, log_likelihood double"), 5)
+
+
+@query(
+    "quantile_knots_gaps",
+    f"""with g as (select value, row_number() over (order by value) - 1 as k, count(*) over () as n from ({GAPS}) where not isnan(value)),
+          c as (select max(n) as n, least(1000, max(n)) as knots from g),
+          w as (select i, i * (n - 1) // (knots - 1) as k, knots from c, (select unnest(range(1000)) as i) where i < knots),
+          p as (select value, (min(i) + max(i)) / 2.0 / (max(knots) - 1) as p from w join g using (k) group by value)
+        select {r('value')} as value, {r('case when value = (select min(value) from p) then 0 when value = (select max(value) from p) then 1 else p end')} as p from p""",
+)
+def quantile_knots_gaps(t):
+    knots = scale.fit_scaler(gaps(t), ["value"], "quantile").params["value"]["knots"]
+    return rounded(local_table(t.spark, [(float(v), float(p)) for v, p in knots], "value double, p double"))
+
+
+@query(
+    "scaled_gaps_stay_gaps",
+    f"select event_id, value is null or isnan(value) as missing from ({GAPS})",
+)
+def scaled_gaps_stay_gaps(t):
+    """Power and quantile scaling of a column with NaN: every other value stays a number."""
+    df = gaps(t)
+    both = df.select("event_id", F.col("value").alias("p"), F.col("value").alias("q"))
+    both = scale.fit_scaler(both, ["p"], "power").transform(both)
+    both = scale.fit_scaler(both, ["q"], "quantile").transform(both)
+    gone = lambda c: F.col(c).isNull() | F.isnan(c)
+    return both.select("event_id", (gone("p") | gone("q")).alias("missing"))
+
+
 @query("scale_power_events")
 def scale_power_events(t):
     df = t("events").select("event_id", "value")
@@ -792,6 +848,17 @@ def split_sequential(t):
     return sample.split_sequential(t("orders"), ["o_orderkey"], "o_orderdate", 0.3).select("o_orderkey", "split")
 
 
+@query(
+    "split_sequential_null_dates",
+    """with o as (select o_orderkey, case when o_orderkey % 7 = 0 then null else o_orderdate end as d from orders)
+       select o_orderkey, case when row_number() over (order by d nulls first, md5(concat_ws('~', o_orderkey, 42)))
+       <= floor(round(count(*) over () * 0.7, 9)) then 'train' else 'test' end as split from o""",
+)
+def split_sequential_null_dates(t):
+    df = t("orders").withColumn("o_orderdate", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")))
+    return sample.split_sequential(df, ["o_orderkey"], "o_orderdate", 0.3).select("o_orderkey", "split")
+
+
 @query("split_unsupervised", "select c_custkey, 'train' as split from customer")
 def split_unsupervised(t):
     return sample.split_none(t("customer").select("c_custkey"))

@@ -85,17 +85,19 @@ class Catalog:
             hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
     def rebuild(self) -> DataFrame:
-        """Re-register every stored dataset that has no live entry, from the files themselves."""
+        """Re-register every stored dataset that the catalog has never seen, from the files themselves; a deleted one
+        stays deleted."""
         files = self._files(f"{self.root}/datasets")
         found = (
             files.withColumn("dataset_id", F.regexp_extract("path", r"/datasets/([^/]+)/", 1))
             .groupBy("dataset_id")
             .agg(F.sum("length").alias("size"), F.max("modificationTime").alias("at"))
         )
-        try:
-            known = {r["dataset_id"] for r in self.list().select("dataset_id").collect()}
-        except Exception:
-            known = set()
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/catalog")
+        known = set()
+        if hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            entries = self.spark.read.schema(SCHEMA).parquet(f"{self.root}/catalog")
+            known = {r["dataset_id"] for r in entries.select("dataset_id").distinct().collect()}
         rows = [
             self.entry(self.get(r["dataset_id"]), r["dataset_id"], r["dataset_id"], r["size"])
             for r in found.collect()
