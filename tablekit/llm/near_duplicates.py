@@ -5,9 +5,10 @@ SAMPLED labelled shingles with the least hashes and keeps them in text order, so
 shingles and their order in place. Documents that share one of SKETCHES sketches are candidates; an alignment of the two
 sequences, in the band that the threshold allows, decides.
 
-Documents with the same words are one node from the start. Buckets of a sketch are compared with one of their nodes
-first, which makes most of a group one component; what is left to compare are nodes of different components in a bucket.
-All such pairs are verified, so that no link between components is lost.
+Documents with the same words are one node from the start. First every node meets the most central node of its
+buckets, the one with the most neighbours: copies of one text mostly resemble it more than each other, so a group
+becomes one component with one pair per node. What is left are nodes of different components in a bucket. Their
+one-bit minwise signatures are compared inside the join, and every pair that could reach the threshold is verified.
 """
 
 from __future__ import annotations
@@ -27,9 +28,8 @@ from tablekit.llm.common import col, documents, map_slices, slices, stored
 
 #: Words in a shingle, least similarity, sketches of a document, labelled shingles in a sketch.
 SHINGLE, SIMILARITY, SKETCHES, SAMPLED = 5, 0.8, 20, 3
-#: Pairs left to compare, per node, below which they are all listed at once; above that a bucket is compared with about
-#: this many of its nodes in a round.
-AT_ONCE, HUBS = 8, 16
+#: 64-bit words of a signature, and the standard errors below the threshold down to which its estimate is verified.
+SIGNATURE, DOUBT = 16, 4.0
 #: Shingles hashed at a time for the sketches of one document.
 _BLOCK = 1 << 16
 _WORD = re.compile(r"\w+")
@@ -37,6 +37,7 @@ _RNG = np.random.default_rng(20_240)
 #: One odd factor and one term per sketch: multiply-add hashing of 64-bit labels.
 FACTORS = _RNG.integers(1 << 62, size=SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 TERMS = _RNG.integers(1 << 63, size=SKETCHES, dtype=np.uint64)
+BIT_FACTORS = _RNG.integers(1 << 62, size=64 * SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,10 +62,10 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[at], np.concatenate((begin, [int(n.sum())]))[edge]
 
 
-def labelled_shingles(texts: pa.Array) -> list[np.ndarray]:
+def labelled_shingles(texts: pa.Array, words: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
     """Per text the 64-bit labels of its shingles with their occurrence, in order. A text of fewer words than a shingle
-    is one shingle, a text without words has none."""
-    word, edge = word_hashes(texts)
+    is one shingle, a text without words has none. words: the word_hashes of the texts, where they are known."""
+    word, edge = words or word_hashes(texts)
     size = np.diff(edge)
     count = np.where(size > 0, np.maximum(size - SHINGLE + 1, 1), 0)
     doc = np.repeat(np.arange(len(size)), count)
@@ -106,6 +107,22 @@ def sketches(labels: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def signature(labels: np.ndarray) -> np.ndarray:
+    """One bit for each of 64 * SIGNATURE minwise hashes, packed in 64-bit words."""
+    least = None
+    for k in range(0, len(labels), 1 << 12):
+        part = (labels[k : k + (1 << 12), None] * BIT_FACTORS).min(axis=0)
+        least = part if least is None else np.minimum(least, part)
+    bits = np.zeros(64 * SIGNATURE, bool) if least is None else (_mix(least) & np.uint64(1)).astype(bool)
+    return np.packbits(bits).view("<i8")
+
+
+def most_unequal_bits(least: float = SIMILARITY) -> int:
+    """Bits that signatures of texts at the threshold may differ in: equal with chance (1 + similarity) / 2 each."""
+    n, differ = 64 * SIGNATURE, (1 - least) / 2
+    return int(np.ceil(n * differ + DOUBT * np.sqrt(n * differ * (1 - differ))))
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Aligned shingles over all shingles of two labelled sequences, 0 when below `least`.
 
@@ -141,9 +158,9 @@ def _node(text: str, labels_of_words: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(labels_of_words.tobytes() if len(labels_of_words) else b"=" + text.encode("utf-8"))
 
 
-def _nodes(texts: pa.Array) -> list[bytes]:
+def _nodes(texts: pa.Array, words: tuple[np.ndarray, np.ndarray] | None = None) -> list[bytes]:
     """What documents with the same words share; without words, documents with the same text."""
-    word, edge = word_hashes(texts)
+    word, edge = words or word_hashes(texts)
     return [_node(t, word[a:b]) for t, a, b in zip(texts.to_pylist(), edge[:-1].tolist(), edge[1:].tolist())]
 
 
@@ -152,7 +169,8 @@ def _signed(df: DataFrame) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text")
-        return {"doc_id": batch.column("doc_id"), "node": _nodes(texts), "sketches": [sketches(x) for x in labelled_shingles(texts)]}
+        words = word_hashes(texts)
+        return {"doc_id": batch.column("doc_id"), "node": _nodes(texts, words), "sketches": [sketches(x) for x in labelled_shingles(texts, words)]}
 
     return map_slices(documents(df), work, "doc_id long, node binary, sketches array<long>")
 
@@ -189,54 +207,53 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) for the wanted(node, doc_id): one document of each node, chosen by its id."""
+    """(node, text, bits) for the wanted(node, doc_id): one document of each node, found by its id."""
 
-    def work(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column("doc_id"), "node": _nodes(batch.column("text")), "text": batch.column("text")}
+    def sign(batch: pa.RecordBatch) -> dict:
+        # Rows may share an id: only those with the node's words are meant.
+        words = word_hashes(batch.column("text"))
+        mine = np.array([a == b for a, b in zip(batch.column("node").to_pylist(), _nodes(batch.column("text"), words))], bool)
+        bits = [signature(x) if m else None for x, m in zip(labelled_shingles(batch.column("text"), words), mine)]
+        return {"node": batch.column("node"), "text": batch.column("text"), "bits": bits}
 
-    keyed = map_slices(documents(df), work, "doc_id long, node binary, text string").withColumnRenamed("node", "n").withColumnRenamed("doc_id", "d")
-    met = keyed.join(wanted, (F.col("n") == F.col("node")) & F.col("d").eqNullSafe(F.col("doc_id")))
-    return stored(met.select("node", "text").dropDuplicates(["node"]), "near-texts")
+    met = documents(df).join(wanted.select("node", F.col("doc_id").alias("d")), F.col("doc_id").eqNullSafe(F.col("d")))
+    signed = map_slices(met.select("node", "text"), sign, "node binary, text string, bits array<long>")
+    return stored(signed.filter("bits is not null").dropDuplicates(["node"]), "near-texts")
 
 
 def _components(df: DataFrame, signed: DataFrame, least: float) -> DataFrame:
-    """(node, component) for the nodes that are linked to another one."""
+    """(id, component) for the nodes that share a bucket with another one."""
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sketches").alias("sketches"))
     rows = nodes.select("node", "doc_id", F.explode("sketches").alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    rows = stored(rows.join(hubs, "bucket").select("bucket", "node", "doc_id", "hub"), "near-buckets")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    rows = stored(rows.join(shared, "bucket"), "near-buckets")
     texts = _texts(df, rows.select("node", "doc_id").distinct())
-    pairs = stored(_pairs(rows.select(F.col("hub").alias("x"), F.col("node").alias("y"))), "near-pairs")
+    # The node of a bucket with the most neighbours over all buckets; each node meets the most central one of its own.
+    degrees = rows.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
+    ranked = rows.select("bucket", "node").join(degrees, "node")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    nearest = ranked.join(hubs, "bucket").filter(F.col("hub.node") != F.col("node")).groupBy("node").agg(F.max("hub").alias("hub"))
+    pairs = stored(_pairs(nearest.select(F.col("hub.node").alias("x"), F.col("node").alias("y"))), "near-pairs")
     links = stored(_verified(pairs, texts, least), "near-links")
-    tested = pairs
-    open_rows = rows.select("bucket", "node")
-    members = stored(open_rows.select(F.col("node").alias("id")).distinct(), "near-nodes")
-    n_nodes = members.count()
-    turn = 0
-    while True:
-        components = stored(connected_components(members, links), "near-components")
-        placed = open_rows.join(components.withColumnRenamed("id", "node"), "node")
-        split = placed.groupBy("bucket", "component").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("inside"), F.count("*").alias("parts")).filter("parts > 1")
-        placed = stored(placed.join(split.select("bucket", "n", "inside"), "bucket"), "near-open")
-        left = placed.groupBy("bucket").agg(F.first("n").alias("n"), F.first("inside").alias("inside")).agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2)).first()[0]
-        if not left:
-            break
-        one, other = placed.alias("p"), placed.alias("q")
-        last = left <= AT_ONCE * max(n_nodes, 1_000)
-        if not last:
-            # A few nodes of each bucket, by hash, meet all others of it and are then done with the bucket.
-            chosen = F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.col("n")) < HUBS
-            one = placed.filter(chosen).alias("p")
-            open_rows = stored(placed.filter(~chosen).select("bucket", "node"), "near-rest")
-        met = one.join(other, F.col("p.bucket") == F.col("q.bucket")).filter("p.component <> q.component" + (" and p.node < q.node" if last else ""))
-        pairs = stored(_pairs(met.select(F.col("p.node").alias("x"), F.col("q.node").alias("y"))).join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        found = stored(_verified(pairs, texts, least), "near-links")
-        links = links.unionByName(found)
-        if last:
-            return components if found.isEmpty() else stored(connected_components(members, links), "near-components")
-        tested = tested.unionByName(pairs)
-        turn += 1
-    return components
+    members = texts.select(F.col("node").alias("id"))
+    components = stored(connected_components(members, links), "near-components")
+    placed = rows.select("bucket", "node").join(components.withColumnRenamed("id", "node"), "node")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
+    placed = stored(placed.join(split, "bucket").join(texts.select("node", "bits"), "node"), "near-open")
+    unequal = sum((F.bit_count(F.col("p.bits")[k].bitwiseXOR(F.col("q.bits")[k])) for k in range(SIGNATURE)), F.lit(0))
+    apart = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.component") != F.col("q.component"))
+    met = placed.alias("p").join(placed.alias("q"), apart & (unequal <= most_unequal_bits(least)))
+    # A node that met the other one as its hub is verified already.
+    more = _pairs(met.select(F.col("p.node").alias("x"), F.col("q.node").alias("y"))).join(pairs, ["a", "b"], "left_anti")
+    found = stored(_verified(more, texts, least), "near-links")
+    if found.isEmpty():
+        return components
+    # Links between components, over which they unite.
+    named = components.select(F.col("id").alias("n"), F.col("component").alias("c"))
+    between = found.join(named.select(F.col("n").alias("a"), F.col("c").alias("ca")), "a").join(named.select(F.col("n").alias("b"), F.col("c").alias("cb")), "b")
+    whole = connected_components(named.select(F.col("c").alias("id")).distinct(), between.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    whole = whole.withColumnRenamed("component", "whole").withColumnRenamed("id", "component")
+    return stored(components.join(whole, "component").select("id", F.col("whole").alias("component")), "near-components")
 
 
 def _classes(df: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
@@ -269,9 +286,13 @@ def without_near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFra
     smallest id, of repeated rows one. Of a class of null ids alone one row stays."""
     rows, classes = _classes(df, least)
     mine = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    keep = rows.join(classes, "node").filter(mine).groupBy("component").agg(F.min(F.struct("node", "doc_id")).alias("k"), F.count("*").alias("n"))
-    keep = stored(keep.select(F.col("k.node").alias("keep_node"), F.col("k.doc_id").alias("keep_id"), "n"), "near-kept")
+    keep = rows.join(classes, "node").filter(mine).groupBy("component").agg(F.min(F.struct("node", "doc_id")).alias("k"))
+    keep = stored(keep.select(F.col("k.node").alias("keep_node"), F.col("k.doc_id").alias("keep_id")), "near-kept")
     fields = df.columns
+    mine = col("doc_id").cast("long").eqNullSafe(F.col("keep_id"))
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return df.join(keep.select("keep_id"), mine).select(*[col(c) for c in fields])
+    # Rows share ids: they are told apart by their words.
     name = next(n for n in (f"node_{k}" for k in range(len(fields) + 1)) if n not in {c.lower() for c in fields})
 
     def run(batches):
@@ -280,7 +301,5 @@ def without_near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFra
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_nodes(texts), pa.binary())], names=[*part.schema.names, name])
 
     keyed = df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, BinaryType())]))
-    out = keyed.join(keep, (F.col(name) == F.col("keep_node")) & col("doc_id").cast("long").eqNullSafe(F.col("keep_id")))
-    if not keep.filter("n > 1").isEmpty():
-        out = out.dropDuplicates([name])
+    out = keyed.join(keep.select("keep_node", "keep_id"), (F.col(name) == F.col("keep_node")) & mine).dropDuplicates([name])
     return out.select(*[col(c) for c in fields])
