@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablekit.functions.columns import col
-from tablekit.functions.session import cut_lineage
+from tablekit.functions.session import cut_lineage, shared_root
 
 #: Bytes of text that a task holds decoded at once, apart from a single longer text.
 SLICE_BYTES = 6_000_000
@@ -77,11 +77,7 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], sch
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if root is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and every executor share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
