@@ -12,21 +12,27 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Each round points the larger (then the smaller) neighbours of every node at the smallest of its
     neighbourhood. A neighbourhood is only ever reduced to its minimum, so a node with very many edges
-    costs partial aggregates and a join, never a gathered list. Rounds end when no edge moves.
+    costs partial aggregates and a join, never a gathered list. Rounds end when no edge moves: one aggregate per round
+    gives the count and two digests of the edges.
     """
     pairs = cut_lineage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while True:
-        large = _star(pairs, larger=True)
-        small = cut_lineage(_star(large, larger=False))
-        moved = small.join(pairs, ["u", "v"], "left_anti").limit(1).count()
-        settled = moved == 0 and small.count() == pairs.count()
-        pairs = small
-        if settled:
+    before = _digest(pairs)
+    while before[0]:
+        pairs = cut_lineage(_star(_star(pairs, larger=True), larger=False))
+        now = _digest(pairs)
+        if now == before:
             break
+        before = now
     roots = pairs.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(roots, nodes["id"] == roots["u"], "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def _digest(pairs: DataFrame) -> tuple:
+    """Edges, and two order-free digests of them."""
+    forth, back = F.xxhash64("u", "v"), F.xxhash64("v", "u", F.lit(1))
+    return tuple(pairs.agg(F.count("*"), F.bit_xor(forth), F.sum(back.cast("decimal(38,0)"))).first())
+
+
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
     """Large star: (v, m) for neighbours v > u; small star: (v, m) for v <= u; m the smallest around u."""
     if larger:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -28,16 +29,22 @@ def build_session(master: str = "local[*]", name: str = "tablekit", **conf) -> S
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df in the checkpoint folder, so that a lost executor costs a re-read, not a re-run."""
-    spark = df.sparkSession
+    shared_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which every executor can reach. Only where it is unset and the driver's
+    threads are the executors, a temporary folder of this machine."""
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="tablekit-")
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="tablekit-checkpoint-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return folder
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -12,12 +12,14 @@ from tablekit.functions.quantiles import exact_quantiles
 EPSILON = 2.220446049250313e-16
 
 
+def _counted(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    """(label, prediction, n) for the pairs that occur, nulls among them."""
+    return df.groupBy(col(label).cast("string").alias("label"), col(prediction).cast("string").alias("prediction")).agg(F.count("*").alias("n"))
+
+
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """(label, prediction, n) for every pair of classes, zero cells included."""
-    counted = (
-        df.groupBy(col(label).cast("string").alias("label"), col(prediction).cast("string").alias("prediction"))
-        .agg(F.count("*").alias("n"))
-    )
+    """(label, prediction, n) for every pair of classes, zero cells included: for tables of few classes."""
+    counted = _counted(df, label, prediction)
     seen = F.array_sort(F.array_union(F.collect_set("label"), F.collect_set("prediction")))
     classes = counted.agg(seen.alias("classes"))
     cells = classes.select(F.explode("classes").alias("label"), "classes").select(
@@ -33,14 +35,16 @@ def _share(top: Column, bottom: Column) -> Column:
 
 
 def class_report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """precision, recall, f1 and support per class; undefined ratios are 0."""
-    cells = confusion(df, label, prediction)
+    """precision, recall, f1 and support per class, from the pairs that occur; undefined ratios are 0. Rows with a null
+    on either side count for nothing, but name their other class."""
+    known = F.col("label").isNotNull() & F.col("prediction").isNotNull()
+    cells = _counted(df, label, prediction).withColumn("n", F.when(known, F.col("n")).otherwise(0).cast("bigint"))
     hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0)
     sides = F.array(
         F.struct(F.col("label").alias("class"), F.col("n").alias("truth"), F.lit(0).cast("bigint").alias("guess"), hit.cast("bigint").alias("tp")),
         F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint").alias("truth"), F.col("n").alias("guess"), F.lit(0).cast("bigint").alias("tp")),
     )
-    per = cells.select(F.inline(sides)).groupBy("class").agg(*[F.sum(c).alias(c) for c in ("truth", "guess", "tp")])
+    per = cells.select(F.inline(sides)).filter(F.col("class").isNotNull()).groupBy("class").agg(*[F.sum(c).alias(c) for c in ("truth", "guess", "tp")])
     return per.select(
         "class",
         _share(F.col("tp"), F.col("guess")).alias("precision"),

@@ -134,6 +134,9 @@ def time_series_folds(df: DataFrame, keys: list[str], order_by: str, k: int = 5,
     return df.select("*", F.inline(roles)).filter("role is not null")
 
 
+#: Copies of a row that are made together.
+COPIES = 10_000
+
 # -- balance ----------------------------------------------------------------------------------------
 
 
@@ -143,11 +146,18 @@ def class_counts(df: DataFrame, label: str) -> DataFrame:
 
 def oversample(df: DataFrame, keys: list[str], label: str, seed: int = 42) -> DataFrame:
     """Every class grows to the majority count: each row n_max // n times, the rows that hash lowest once
-    more. copy numbers the copies of a row from 0."""
-    largest = class_counts(df, label).agg(F.max("n")).first()[0] or 0
+    more. copy numbers the copies of a row from 0. A row of a very small class is first cut into blocks of COPIES copies,
+    which spread over all tasks."""
+    largest, smallest = class_counts(df, label).agg(F.max("n"), F.min("n")).first()
+    largest = largest or 0
     cut = with_hash_cutoffs(df, row_hash(keys, seed), F.array(F.lit(largest).cast("bigint") % F.col("n")), col(label))
     copies = F.floor(F.lit(largest) / F.col("_n")) + below(0).cast("bigint")
-    return cut.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), copies - 1))).drop(*_WORK)
+    last = cut.withColumn("_last", copies - 1)
+    blocks = last.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("_last") / COPIES))))
+    if largest > COPIES * (smallest or 1):
+        blocks = blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_block", *[col(k) for k in keys])
+    inside = F.sequence(F.col("_block") * COPIES, F.least(F.col("_last"), F.col("_block") * COPIES + COPIES - 1))
+    return blocks.withColumn("copy", F.explode(inside)).drop(*_WORK, "_last", "_block")
 
 
 def undersample(df: DataFrame, keys: list[str], label: str, seed: int = 42) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tablekit.functions.columns import col
+from tablekit.functions.session import shared_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,13 +25,7 @@ class Tables:
 
     def scratch(self, name: str) -> str:
         """A new folder every executor can reach."""
-        context = self.spark.sparkContext
-        root = context.getCheckpointDir() or self.spark.conf.get("spark.checkpoint.dir", None)
-        if root is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            root = tempfile.mkdtemp(prefix="tablekit-scratch-")
-        return f"{root}/{name}-{uuid.uuid4().hex}"
+        return f"{shared_root(self.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def query(name: str, sql: str | None = None):
