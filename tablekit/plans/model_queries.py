@@ -103,6 +103,23 @@ def neighbours_regress(t):
     return rounded(model.transform(df.filter(test)).select("c_custkey", "prediction"), 4)
 
 
+@query(
+    "decision_stump_discount",
+    """with l as (select l_discount as x, case when l_discount + 0.03 * (l_linenumber % 2) > 0.05 then 'high' else 'low' end as y from lineitem),
+         c as (select x, count(*) as n, count(*) filter (y = 'high') as h from l group by x),
+         s as (select a.x as cut, sum(b.n) filter (b.x <= a.x) as nl, sum(b.h) filter (b.x <= a.x) as hl, sum(b.n) filter (b.x > a.x) as nr, sum(b.h) filter (b.x > a.x) as hr from c a, c b group by a.x having nr > 0),
+         g as (select *, nl * 2 * (hl / nl) * (1 - hl / nl) + nr * 2 * (hr / nr) * (1 - hr / nr) as impurity from s),
+         best as (select arg_min(cut, impurity) as cut, arg_min(hl / nl, impurity) as l, arg_min(hr / nr, impurity) as r from g)
+       select x as l_discount, case when (case when x <= cut then l else r end) > 0.5 then 'high' else 'low' end as prediction from c, best""",
+)
+def decision_stump_discount(t):
+    """A tree of one split, on a feature of eleven values: the split with the least Gini impurity."""
+    label = F.when(F.col("l_discount") + 0.03 * (F.col("l_linenumber") % 2) > 0.05, "high").otherwise("low")
+    df = t("lineitem").select("l_discount", label.alias("y"))
+    model = models.fit(df, "y", "decision_tree", models.CLASSIFICATION, ["l_discount"], {"max_depth": 1})
+    return model.transform(df.select("l_discount").distinct()).select("l_discount", "prediction")
+
+
 @query("neighbours_embeddings")
 def neighbours_embeddings(t):
     """Accuracy of the 5-neighbour vote on 64-dimensional vectors."""
@@ -179,7 +196,13 @@ def leave_one_out_linear(t):
     return rounded(evaluate.held_out(df, "price", "linear_regression", models.REGRESSION, ["o_custkey"], {}, KEYS), 7)
 
 
-@query("leave_one_out_neighbours")
+@query(
+    "leave_one_out_neighbours",
+    f"""with {KNN.replace("where a.test and not b.test", "where a.c_custkey <> b.c_custkey")},
+          v as (select c_custkey, c_mktsegment, count(*) as n from d where rk <= 5 group by all),
+          p as (select c_custkey, arg_min(c_mktsegment, (-n, c_mktsegment)) as prediction from v group by c_custkey)
+        select count(*) as n, {r('avg((p.prediction = c.c_mktsegment)::int)')} as score from p join customer c using (c_custkey)""",
+)
 def leave_one_out_neighbours(t):
     found = evaluate.cross_validate(
         customers(t), "c_mktsegment", "k_neighbors", models.CLASSIFICATION, ["c_acctbal", "c_place"], {}, ["c_custkey"], "loo"
@@ -439,6 +462,28 @@ def score_batch_orders(t):
     return score_batch(_tree(t), orders(t).select(*KEYS, "o_totalprice", "o_month"))
 
 
+@query("score_batch_keys", "select o_orderkey, true as scored from orders")
+def score_batch_keys(t):
+    """Every record that comes in gets a prediction among the classes of the model."""
+    model = _tree(t)
+    scored = score_batch(model, orders(t).select(*KEYS, "o_totalprice", "o_month"))
+    return scored.select("o_orderkey", F.col("Prediction").cast("string").isin(*[str(c) for c in model.classes]).alias("scored"))
+
+
+@query("stream_scores_equal_batch", "select count(*) as n, true as same from orders")
+def stream_scores_equal_batch(t):
+    """Scores of a stream of files beside those of one batch."""
+    source, target = t.scratch("arriving"), t.scratch("scored")
+    orders(t).select(*KEYS, *FEATURES).repartition(3).write.parquet(source)
+    schema = t.spark.read.parquet(source).schema
+    model = _tree(t)
+    stream = jobs.read_stream(t.spark, source, schema, max_files=1)
+    jobs.score_stream(model, stream, target, t.scratch("score-state")).awaitTermination()
+    one = t.spark.read.parquet(target).select("o_orderkey", F.col("Prediction").alias("p"))
+    other = score_batch(model, orders(t).select(*KEYS, *FEATURES)).select("o_orderkey", F.col("Prediction").alias("q"))
+    return one.join(other, "o_orderkey").agg(F.count("*").alias("n"), F.every(F.col("p").eqNullSafe(F.col("q"))).alias("same"))
+
+
 @query("score_stream_orders")
 def score_stream_orders(t):
     """The same scores from a stream of files as from one batch."""
