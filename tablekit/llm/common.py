@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -17,13 +18,24 @@ SLICE_BYTES = 6_000_000
 
 
 def worker_cache(key: tuple, build: Callable):
-    """build() once per Python worker and key: functions travel with each job, this survives between jobs."""
+    """build() once per Python worker and key: functions travel with each job, this survives between jobs. A worker keeps
+    one operator's things; those of the operator before it go."""
     store = sys.__dict__.setdefault("_tablekit_llm_cache", {})
     if key not in store:
+        free_worker_cache()
         store[key] = build()
     return store[key]
 
 
+def free_worker_cache() -> None:
+    """Let go of what earlier operators left in this worker, before work that needs the memory."""
+    store = sys.__dict__.setdefault("_tablekit_llm_cache", {})
+    if store:
+        store.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public tokenizer file; a function so that only callers need the package."""
     import public_tokenizers
@@ -87,4 +99,4 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["SLICE_BYTES", "col", "cut_lineage", "documents", "held_out", "map_slices", "shared_folder", "shuffle_width", "slices", "stored", "tokenizer_file", "worker_cache"]
+__all__ = ["SLICE_BYTES", "col", "cut_lineage", "documents", "free_worker_cache", "held_out", "map_slices", "shared_folder", "shuffle_width", "slices", "stored", "tokenizer_file", "worker_cache"]

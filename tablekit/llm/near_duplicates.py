@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tablekit.functions.components import connected_components
-from tablekit.llm.common import col, documents, map_slices, slices, stored
+from tablekit.llm.common import col, documents, free_worker_cache, map_slices, slices, stored
 
 #: Words in a shingle, least similarity, sketches of a document, labelled shingles in a sketch.
 SHINGLE, SIMILARITY, SKETCHES, SAMPLED = 5, 0.8, 20, 3
@@ -168,6 +168,7 @@ def _signed(df: DataFrame) -> DataFrame:
     """(doc_id, node, sketches) for every document."""
 
     def work(batch: pa.RecordBatch) -> dict:
+        free_worker_cache()
         texts = batch.column("text")
         words = word_hashes(texts)
         return {"doc_id": batch.column("doc_id"), "node": _nodes(texts, words), "sketches": [sketches(x) for x in labelled_shingles(texts, words)]}

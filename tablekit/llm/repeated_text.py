@@ -29,14 +29,14 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from tablekit.llm.common import col, shuffle_width, slices, stored
+from tablekit.llm.common import col, free_worker_cache, shuffle_width, slices, stored
 from tablekit.llm.minimizers import CORE, REACH, WINDOW, core_hashes, eights, marked, mixed
 from tablekit.llm.suffixes import equal_groups
 
 #: Bytes of text hashed at once, and bytes of text in a round, within which equal hashes are sent once.
-SLICE, ROUND = 1_500_000, 24_000_000
+SLICE, ROUND = 1_500_000, 16_000_000
 #: Bytes asked for that a group of documents gathers before they leave.
-SHOWN = 32_000_000
+SHOWN = 16_000_000
 #: Different surroundings of a core from which on single windows are sent.
 MANY = 1_024
 #: A null id is greater than every other.
@@ -157,6 +157,7 @@ def send_hashes(width: int) -> Callable:
         return _rows(out) if out else None
 
     def run(batches):
+        free_worker_cache()
         held, size = [], 0
         for part in slices(batches, most=SLICE):
             texts = _texts(part.column("text"))
@@ -260,6 +261,7 @@ def show(width: int) -> Callable:
             yield bucket + width, 1, len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(body)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        free_worker_cache()
         own = key[0].as_py()
         doc, core, around, act = from_blobs(right.column("blob").to_pylist(), 4)
         asked = _joint(doc, core, around)
