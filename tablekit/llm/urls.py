@@ -1,8 +1,9 @@
 """URL filtering by dated lists: every capture is judged by the entries in force when it was fetched.
 
 A list is a log of dated entries, each of which adds or removes a pattern. Per pattern and list the log becomes
-validity intervals that do not overlap. A capture asks for its URL, its host and every parent domain and path prefix;
-the as-of join finds the interval of each of those patterns that holds its fetch time.
+validity intervals that do not overlap. A capture asks for its host, parent domains and path prefixes at
+every depth that some pattern of the list has; the as-of join finds the interval of each of those patterns that holds
+its fetch time.
 
 The join is on (pattern, time bucket): intervals are written into every bucket that they touch, so a pattern with very
 many entries, or a host with very many captures, is spread over as many join keys as it has buckets.
@@ -16,8 +17,6 @@ from tablekit.llm.common import col
 
 #: Length of a time bucket in seconds.
 BUCKET_SECONDS = 30 * 86_400
-#: Path segments that patterns may have; deeper captures still match the patterns of their first segments.
-PATH_DEPTH = 8
 _FOREVER = 253_402_300_799  # the last second of the year 9999
 
 
@@ -30,16 +29,15 @@ def canonical(url: Column) -> Column:
     return F.when(F.length(host) > 0, F.concat(F.regexp_replace(host, r"\.+$", ""), path))
 
 
-def patterns_of(address: Column) -> Column:
-    """Every pattern that can match a canonical address: the host and its parent domains down to two labels, and the
-    host with one to PATH_DEPTH path segments."""
+def patterns_of(address: Column, domains: list[int], paths: list[int]) -> Column:
+    """Every pattern of the given depths that can match a canonical address: the domains of so many labels that its host
+    is or lies in, and the host with its path up to so many pieces (the host is the first piece)."""
     pieces = F.split(address, "/")
     labels = F.split(pieces[0], r"\.")
-    n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda k: F.concat_ws(".", F.slice(labels, k, n)))
-    depth = F.least(F.size(pieces), F.lit(PATH_DEPTH + 1))
-    paths = F.when(depth > 1, F.transform(F.sequence(F.lit(2), F.greatest(depth, F.lit(2))), lambda k: F.concat_ws("/", F.slice(pieces, 1, k)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(domains, paths))
+    within = lambda depths, most: F.filter(F.array(*map(F.lit, depths)).cast("array<int>"), lambda k: k <= most)
+    ends = F.transform(within(domains, F.size(labels)), lambda k: F.concat_ws(".", F.slice(labels, -k, k)))
+    starts = F.transform(within(paths, F.size(pieces)), lambda k: F.concat_ws("/", F.slice(pieces, 1, k)))
+    return F.concat(ends, starts)
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -77,15 +75,22 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
         .withColumn("t", F.unix_seconds("fetched_at"))
     )
     spans = validity(entries)
-    # Buckets reach from the first entry to the last one; what is in force after that lies in the last bucket.
+    # Buckets reach from the first entry to the last one; what is in force after that lies in the last bucket. Depths are
+    # those that patterns have: labels of patterns without a path, pieces of the others.
     bucket = lambda t: F.floor(t / BUCKET_SECONDS)
-    edge = spans.agg(F.min("since").alias("a"), F.max("since").alias("b")).first()
+    pieces = F.size(F.split("pattern", "/"))
+    edge = spans.agg(
+        F.min("since").alias("a"),
+        F.max("since").alias("b"),
+        F.sort_array(F.collect_set(F.when(pieces == 1, F.size(F.split("pattern", r"\."))))).alias("domains"),
+        F.sort_array(F.collect_set(F.when(pieces > 1, pieces))).alias("paths"),
+    ).first()
     if edge["a"] is None:
         return _judged(known, None)
     low, high = edge["a"] // BUCKET_SECONDS, edge["b"] // BUCKET_SECONDS
     inside = lambda b: F.greatest(F.lit(low), F.least(F.lit(high), b))
     spread = spans.withColumn("bucket", F.explode(F.sequence(inside(bucket(F.col("since"))), inside(bucket(F.col("until") - 1)))))
-    asked = known.filter("address is not null and t is not null").select("id", "url", "fetched_at", "t", inside(bucket(F.col("t"))).alias("bucket"), F.explode(patterns_of(F.col("address"))).alias("pattern"))
+    asked = known.filter("address is not null and t is not null").select("id", "url", "fetched_at", "t", inside(bucket(F.col("t"))).alias("bucket"), F.explode(patterns_of(F.col("address"), edge["domains"], edge["paths"])).alias("pattern"))
     met = asked.join(spread, ["pattern", "bucket"]).filter("since <= t and t < until")
     best = met.groupBy("id", "url", "fetched_at").agg(
         F.count("*").alias("n_matches"),

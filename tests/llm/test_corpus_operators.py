@@ -280,6 +280,18 @@ def test_url_lists_on_edges(spark):
     assert urls.filter_urls(captures.limit(0), entries).count() == 0
 
 
+def test_url_lists_of_any_depth(spark):
+    deep = "/".join("abcdefghij")
+    urls_ = [f"http://q.r.xyz/{deep}/k?x", f"http://q.r.xyz/{deep[:-2]}", "http://xyz", "http://r.wxyz/a", "http://t.u.v.w.other.net/a"]
+    captures = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").withColumn("fetched_at", F.timestamp_seconds(F.lit(100)))
+    patterns = ["xyz", f"q.r.xyz/{deep}", "u.v.w.other.net", "other.net"]
+    entries = spark.createDataFrame([("a", p, "c", True) for p in patterns], "list string, pattern string, category string, active boolean").withColumn("listed_at", F.timestamp_seconds(F.lit(5)))
+    got = {r["id"]: (r["blocked"], r["n_matches"], r["pattern"]) for r in urls.filter_urls(captures, entries).collect()}
+    assert got == {0: (True, 2, f"q.r.xyz/{deep}"), 1: (True, 1, "xyz"), 2: (True, 1, "xyz"), 3: (False, 0, None), 4: (True, 2, "u.v.w.other.net")}
+    only_paths = urls.filter_urls(captures, entries.filter("pattern like '%/%'"))
+    assert [r["id"] for r in only_paths.filter("blocked").collect()] == [0]
+
+
 # Registered queries
 
 
