@@ -46,11 +46,13 @@ def validity(entries: DataFrame) -> DataFrame:
 
     An entry holds from its date to the next entry of its list and pattern. Of entries of one date the inactive ones
     come first, then by category, so the last is an active one if there is any. Entries with a null list, pattern or
-    date do not count; a null `active` means true.
+    date do not count; a null `active` means true. As in addresses, the host of a pattern counts in lower case, its path
+    as it is.
     """
+    pattern = F.regexp_replace(F.trim(col("pattern").cast("string")), "/+$", "")
     known = entries.select(
         col("list").cast("string").alias("list"),
-        F.lower(F.regexp_replace(F.trim(col("pattern").cast("string")), "/+$", "")).alias("pattern"),
+        F.concat(F.lower(F.regexp_extract(pattern, "^[^/]*", 0)), F.regexp_extract(pattern, "(?s)/.*", 0)).alias("pattern"),
         F.coalesce(col("category").cast("string"), F.lit("")).alias("category"),
         F.unix_seconds(col("listed_at").cast("timestamp")).alias("since"),
         F.coalesce(col("active"), F.lit(True)).alias("active"),

@@ -292,6 +292,13 @@ def test_url_lists_of_any_depth(spark):
     assert [r["id"] for r in only_paths.filter("blocked").collect()] == [0]
 
 
+def test_url_lists_keep_the_case_of_paths(spark):
+    captures = spark.createDataFrame([(1, "http://HOST.org/Path/x"), (2, "http://host.org/path/x"), (3, "http://host.org/Path")], "page_id long, url string").withColumn("fetched_at", F.timestamp_seconds(F.lit(100)))
+    entries = spark.createDataFrame([("a", "Host.ORG/Path/", "c", True)], "list string, pattern string, category string, active boolean").withColumn("listed_at", F.timestamp_seconds(F.lit(5)))
+    got = {r["id"]: (r["blocked"], r["pattern"]) for r in urls.filter_urls(captures, entries).collect()}
+    assert got == {1: (True, "host.org/Path"), 2: (False, None), 3: (True, "host.org/Path")}
+
+
 # Registered queries
 
 
