@@ -1,7 +1,8 @@
 """Benchmark decontamination: every passage of every document is a BM25 query against an index of benchmark items.
 
 Scores are relative: BM25 of the passage for an item over BM25 of the item's own text, so one threshold fits items of
-any length. The index is weighed once, sent to the tasks in shards of bounded size, and asked in three steps:
+any length. Words are weighed once over all items; tasks build the index in shards of bounded size in the shared folder,
+read them one at a time, and ask in three steps:
 
 - Essential terms. The most frequent terms are set aside as long as they lift no item to a given part of the threshold.
   A passage in which no item collects what its other terms must give cannot retrieve anything; this is counted for
@@ -12,16 +13,19 @@ any length. The index is weighed once, sent to the tasks in shards of bounded si
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tablekit.llm.common import col, documents, map_slices, slices
+from tablekit.llm.common import col, documents, map_slices, shared_folder, slices, stored, worker_cache
+from tablekit.llm.packed_ids import open_at
 
 K1, B = 1.2, 0.75
 #: Relative score from which items are retrieved, words in a shingle, share of shingles that must be found.
@@ -57,22 +61,27 @@ def shingles(tokens: list[str]) -> set[tuple]:
 
 
 class Index:
-    """Postings with relative impacts of some items (item_id, text); items without words are left out."""
+    """Postings with relative impacts of some items (item_id, text); items without words are left out.
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    weighed is (number of items, their mean length, the longest one in white-space words, items by word) over the whole
+    benchmark that the items are a shard of; without it they are all of it.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, weighed: tuple[int, float, int, dict[str, int]] | None = None):
         self.threshold = threshold
         kept = [(i, t, Counter(words(t))) for i, t in items]
         kept = [x for x in kept if x[2]]
         self.ids = [x[0] for x in kept]
         self.parts = [tuple(map(shingles, question_and_answer(t))) for _, t, _ in kept]
         self.sizes = [tuple(min(SHINGLE, len(p)) for p in question_and_answer(t)) for _, t, _ in kept]
-        self.step = max([STEP, *(len(t.split()) for _, t, _ in kept)])
-        n = len(kept)
-        df = Counter(w for _, _, c in kept for w in c)
-        self.vocab = {w: k for k, w in enumerate(sorted(df, key=lambda w: (-df[w], w)))}
-        mean = sum(sum(c.values()) for _, _, c in kept) / max(n, 1)
+        own_df = Counter(w for _, _, c in kept for w in c)
+        if weighed is None:
+            weighed = len(kept), sum(sum(c.values()) for _, _, c in kept) / max(len(kept), 1), max([0, *(len(t.split()) for _, t, _ in kept)]), own_df
+        n, mean, longest, df = weighed
+        self.step = max(STEP, longest)
+        self.vocab = {w: k for k, w in enumerate(sorted(own_df, key=lambda w: (-df[w], w)))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
-        common = np.zeros(n)
+        common = np.zeros(len(kept))
         for i, (_, _, c) in enumerate(kept):
             size = sum(c.values())
             impact = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for w, f in c.items()}
@@ -85,7 +94,7 @@ class Index:
             more = common.copy()
             for i, x in p:
                 more[i] += x
-            if n and more.max() >= SET_ASIDE * threshold:
+            if kept and more.max() >= SET_ASIDE * threshold:
                 break
             common, self.common = more, self.common + 1
         self.need = threshold - common - 1e-9
@@ -213,52 +222,96 @@ class Index:
         return out
 
 
-def shards(benchmark: DataFrame, threshold: float = THRESHOLD) -> list[Index]:
-    """The items of benchmark(item_id, text) as indexes of bounded size. Null ids and texts do not count; of repeated
-    rows one does."""
+def shards(benchmark: DataFrame, threshold: float = THRESHOLD) -> list[str]:
+    """Paths of the items of benchmark(item_id, text) as indexes of bounded size in the shared folder. Null ids and texts
+    do not count; of repeated rows one does.
+
+    Spark counts items, lengths and items by word; a task builds a shard from its items and the counts of their words.
+    """
     rows = benchmark.select(col("item_id").cast("long").alias("item_id"), col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
-    out, held, size = [], [], 0
-    for r in rows.orderBy("item_id", "text").toLocalIterator():
-        held.append((r["item_id"], r["text"]))
-        size += len(r["text"].encode("utf-8"))
-        if len(held) >= SHARD_ITEMS or size >= SHARD_BYTES:
-            out.append(Index(held, threshold))
-            held, size = [], 0
-    if held:
-        out.append(Index(held, threshold))
-    return out
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text").cast("long"))).first()
+    if not n:
+        return []
+    most_items, most_bytes = SHARD_ITEMS, SHARD_BYTES
+    wide = max(-(-n // most_items), -(-size // most_bytes))
+
+    def place(batches):
+        """Items by shard: a partition starts a new one at the bounds."""
+        from pyspark import TaskContext
+
+        shard, held, size = TaskContext.get().partitionId() << 32, 0, 0
+        for part in slices(batches):
+            placed, n_words, n_chunks = [], [], []
+            for text in part.column("text").to_pylist():
+                if held >= most_items or size >= most_bytes:
+                    shard, held, size = shard + 1, 0, 0
+                held, size = held + 1, size + len(text.encode("utf-8"))
+                placed.append(shard)
+                n_words.append(len(words(text)))
+                n_chunks.append(len(text.split()))
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(placed, pa.int64()), "item_id": part.column("item_id"), "text": part.column("text"), "n_words": pa.array(n_words, pa.int64()), "n_chunks": pa.array(n_chunks, pa.int64())})
+
+    apart = F.pmod(F.xxhash64("item_id", "text"), F.lit(wide)).cast("int")
+    items = stored(rows.repartitionById(wide, apart).mapInArrow(place, "shard long, item_id long, text string, n_words long, n_chunks long"), "leaks-items").filter("n_words > 0")
+    n, mean, longest = items.agg(F.count("*"), F.avg("n_words"), F.max("n_chunks")).first()
+
+    def tally(part: pa.RecordBatch) -> dict:
+        found = Counter((s, w) for s, t in zip(part.column("shard").to_pylist(), part.column("text").to_pylist()) for w in set(words(t)))
+        return {"shard": [s for s, _ in found], "word": [w for _, w in found], "n": list(found.values())}
+
+    # One row per shard and word, so a word in all items is as many rows as there are shards.
+    counts = map_slices(items, tally, "shard long, word string, n long").groupBy("shard", "word").agg(F.sum("n").alias("n"))
+    df = counts.select("shard", "word", F.sum("n").over(Window.partitionBy("word")).alias("df"))
+    folder = shared_folder(benchmark.sparkSession, "leaks-index")
+
+    def build(own: pa.Table, df: pa.Table) -> pa.Table:
+        known = dict(zip(df.column("word").to_pylist(), df.column("df").to_pylist()))
+        index = Index(sorted(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist())), threshold, (n, mean, longest, known))
+        # Only the name that a finished task returns is read; what a lost one wrote has another name.
+        path = f"{folder}/{uuid.uuid4().hex}.index"
+        system, name = open_at(path)
+        system.create_dir(name.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(name) as stream:
+            pickle.dump({f: getattr(index, f) for f in _FIELDS}, stream, pickle.HIGHEST_PROTOCOL)
+        return pa.table({"path": [path]})
+
+    return [r["path"] for r in items.groupBy("shard").cogroup(df.groupBy("shard")).applyInArrow(build, "path string").collect()]
 
 
 _FIELDS = ("threshold", "ids", "parts", "sizes", "step", "vocab", "common", "need", "items", "impacts", "highest", "lasts", "block_highest", "begin", "flat_items", "flat_impacts")
 
 
-def _sent(spark, index: Index):
-    return spark.sparkContext.broadcast({f: getattr(index, f) for f in _FIELDS})
-
-
-def _received(sent) -> Index:
+def _read(path: str) -> Index:
+    system, name = open_at(path)
     index = Index.__new__(Index)
-    index.__dict__.update(sent.value)
+    with system.open_input_file(name) as stream:
+        index.__dict__.update(pickle.load(stream))
     return index
 
 
+def _shard(path: str) -> Index:
+    """A shard, read once per worker as long as no other one is asked for: the cache lets go of the one before it."""
+    return worker_cache(("benchmark_leaks", path), lambda: _read(path))
+
+
 def leaks(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, contaminated, n_items, items array<long>, score) for every row of df(doc_id, text).
 
     items are the ids of the benchmark items found in the text, ascending; score is the best relative BM25 score of
     them, 0 without any. Null and empty texts hold nothing, null ids and repeated rows come out as they went in. An
-    empty benchmark contaminates nothing. One pass, no shuffle; a
-    task asks the shards one after the other.
+    empty benchmark contaminates nothing. The score does not depend on how the items fall into shards. One pass over the
+    documents, no shuffle of them; a task asks the shards one after the other, and reads all of them anew for each slice of
+    documents if there are several.
     """
-    spark = df.sparkSession
     schema = "doc_id long, contaminated boolean, n_items int, items array<long>, score double"
-    sent = [_sent(spark, i) for i in shards(benchmark, threshold)]
+    paths = shards(benchmark, threshold)
 
     def work(batch: pa.RecordBatch) -> dict:
         found: list[dict] = [{} for _ in range(batch.num_rows)]
-        for s in sent:  # one shard at a time: each is read from the executor's copy and let go
-            for own, more in zip(found, _received(s).leaks(batch.column("text"))):
-                own.update(more)
+        for path in paths:
+            for own, more in zip(found, _shard(path).leaks(batch.column("text"))):
+                for i, score in more.items():  # an item with several texts may be in several shards
+                    own[i] = max(score, own.get(i, 0.0))
         return {
             "doc_id": batch.column("doc_id"),
             "contaminated": [bool(f) for f in found],
@@ -272,14 +325,14 @@ def leaks(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df(doc_id, text, ...) in which no benchmark item is found, with all their columns."""
-    sent = [_sent(df.sparkSession, i) for i in shards(benchmark, threshold)]
+    paths = shards(benchmark, threshold)
 
     def run(batches):
         for part in slices(batches, most=3_000_000):
             texts = pc.fill_null(part.column("text"), "")
             clean = np.ones(part.num_rows, bool)
-            for s in sent:
-                clean &= np.array([not f for f in _received(s).leaks(texts)], bool)
+            for path in paths:
+                clean &= np.array([not f for f in _shard(path).leaks(texts)], bool)
             yield part.filter(pa.array(clean))
 
     return df.mapInArrow(run, df.schema)

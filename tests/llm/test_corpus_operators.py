@@ -7,6 +7,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,24 @@ def test_leaks(spark, data, monkeypatch, shard):
     assert benchmark_leaks.leaks(docs.limit(0), benchmark).count() == 0
 
 
+def test_leak_scores_do_not_depend_on_shards(spark, monkeypatch):
+    rng = random.Random(6)
+    part = lambda n: " ".join(rng.choice([f"c{rng.randrange(5)}", f"m{rng.randrange(40)}", f"r{rng.randrange(4000)}"]) for _ in range(n))
+    items = [(i, f"first{i} {part(19)}. {part(20)}") for i in range(12)] + [(12, f"{part(150)}. {part(50)}")]
+    items += [(3, f"other3 {part(19)}. {part(20)}")]
+    cut = lambda text: text.split(" ", 1)[1]
+    docs = [(i, cut(t)) for i, t in items[:13]] + [(20, f"{cut(items[1][1])} {'x ' * 140} first1"), (21, cut(items[3][1]) + " . " + items[-1][1])]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    index, expected = benchmark_leaks.Index(sorted(items)), {}
+    for d, t in docs:
+        found = index.leaks(pa.array([t]))[0]
+        expected[d] = (sorted(found), pytest.approx(max(found.values()), abs=1e-9))
+    assert all(0.5 < s.expected < 1 for d, (_, s) in expected.items() if d < 12) and expected[20][1] == 1
+    for most in (20_000, 5, 1):
+        monkeypatch.setattr(benchmark_leaks, "SHARD_ITEMS", most)
+        assert {r["doc_id"]: (r["items"], r["score"]) for r in benchmark_leaks.leaks(df, benchmark).collect()} == expected
+
+
 # URL lists
 
 
