@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 from tablekit.functions.columns import local_table
 from tablekit.functions.neighbours import distances, knn_join, point_table
 from tablekit.functions.ordering import number_rows
+from tablekit.functions.session import broadcast_if_small
 from tablekit.operators.scale import fit_scaler
 
 MICRO_CLUSTERS = 500
-MAX_CLUSTERS = 5_000
+#: Centres in a block whose pairs are compared in one task.
+CENTRE_BLOCK = 1_000
 
 
 def scaled_points(df: DataFrame, keys: list[str], features: list[str], scale: bool = True) -> DataFrame:
@@ -110,8 +113,8 @@ def cluster_sizes(labels: DataFrame) -> DataFrame:
 
 
 def quality(points: DataFrame, labels: DataFrame, silhouette: bool = True) -> DataFrame:
-    """(metric, value): Calinski-Harabasz and Davies-Bouldin from per-cluster sums, noise and size figures,
-    and the silhouette. Noise (-1) is left out of everything but its own count.
+    """(metric, value): Calinski-Harabasz from per-cluster sums, Davies-Bouldin from blocks of centres, noise and size
+    figures, and the silhouette. Noise (-1) is left out of everything but its own count; any number of clusters will do.
 
     The silhouette is the squared-Euclidean one, which follows from per-cluster sums, at every size.
     """
@@ -120,54 +123,66 @@ def quality(points: DataFrame, labels: DataFrame, silhouette: bool = True) -> Da
     total, noise = joined.agg(F.count("*"), F.count_if(F.col("cluster") < 0)).first()
     inside = joined.filter("cluster >= 0")
     centres = _centres(inside)
-    k, n = len(centres), total - noise
+    k, mean, std = centres.agg(F.count("*"), F.avg("n"), F.stddev_pop("n")).first()
+    n = total - noise
     rows = [("n_clusters", float(k)), ("n_noise", float(noise)), ("noise_ratio", noise / total if total else 0.0)]
-    sizes = [size for size, _ in centres.values()]
-    if sizes:
-        rows += [("cluster_size_mean", float(np.mean(sizes))), ("cluster_size_std", float(np.std(sizes)))]
+    if k:
+        rows += [("cluster_size_mean", mean), ("cluster_size_std", std)]
     if k >= 2 and n > max(k, 2):
-        rows += _separation(inside, centres, n)
+        rows += _separation(inside, centres, k, n)
         if silhouette:
             rows.append(("silhouette_squared", _silhouette(inside)))
+    centres.unpersist()
     joined.unpersist()
     return local_table(spark, [(m, float(v)) for m, v in rows], "metric string, value double")
 
 
-def _centres(inside: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
+def _centres(inside: DataFrame) -> DataFrame:
+    """(cluster, n, m), persisted: size and mean of every cluster."""
     first = inside.select(F.size("x").alias("d")).first()
-    if first is None:
-        return {}
-    d = first["d"]
-    means = inside.groupBy("cluster").agg(
-        F.count("*").alias("n"), F.array(*[F.avg(F.element_at("x", j + 1)) for j in range(d)]).alias("m")
-    )
-    from tablekit.functions.session import collect_bounded
+    d = first["d"] if first else 0
+    mean = F.array(*[F.avg(F.element_at("x", j + 1)) for j in range(d)]) if d else F.array().cast("array<double>")
+    return inside.groupBy("cluster").agg(F.count("*").alias("n"), mean.alias("m")).persist()
+
+
+def _separation(inside: DataFrame, centres: DataFrame, k: int, n: int) -> list[tuple[str, float]]:
+    d = len(centres.first()["m"])
+    away2 = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+    own = away2("x", "m")
+    spread = inside.join(broadcast_if_small(centres), "cluster").groupBy("cluster").agg(F.sum(own).alias("ss"), F.avg(F.sqrt(own)).alias("s"))
+    # Each row of `about` is a cluster with its centre and spread.
+    about = centres.join(spread, "cluster").persist()
+    middle = about.agg(*[F.sum(F.col("n") * F.element_at("m", j + 1)) / n for j in range(d)]).first()
+    centre = F.array(*[F.lit(float(v)) for v in middle])
+    within, between = about.agg(F.sum("ss"), F.sum(F.col("n") * away2("m", centre))).first()
+    ch = 1.0 if within == 0 else between / (k - 1) / (within / (n - k))
+    db = _worst_ratios(about, k).agg(F.avg("worst")).first()[0]
+    about.unpersist()
+    return [("calinski_harabasz_score", ch), ("davies_bouldin_score", db)]
 
-    return {r["cluster"]: (r["n"], np.array(r["m"])) for r in collect_bounded(means, MAX_CLUSTERS, "clusters")}
 
+def _worst_ratios(about: DataFrame, k: int) -> DataFrame:
+    """(cluster, worst): the largest (s + s') / distance of a cluster to any other one, from (cluster, m, s).
 
-def _separation(inside: DataFrame, centres: dict, n: int) -> list[tuple[str, float]]:
-    names = sorted(centres)
-    sizes = np.array([centres[c][0] for c in names], dtype=float)
-    means = np.stack([centres[c][1] for c in names])
-    rows = [(int(c), centres[c][1].tolist()) for c in names]
-    table = local_table(inside.sparkSession, rows, f"cluster {dict(inside.dtypes)['cluster']}, m array<double>")
-    away2 = F.aggregate(F.zip_with("x", "m", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    spread = inside.join(F.broadcast(table), "cluster").groupBy("cluster").agg(
-        F.sum(away2).alias("ss"), F.avg(F.sqrt(away2)).alias("s")
-    )
-    found = {r["cluster"]: r for r in spread.collect()}
-    within = sum(r["ss"] for r in found.values())
-    middle = (sizes[:, None] * means).sum(axis=0) / n
-    between = float((sizes * ((means - middle) ** 2).sum(axis=1)).sum())
-    k = len(names)
-    ch = 1.0 if within == 0 else between / (k - 1) / (within / (n - k))
-    s = np.array([found[c]["s"] for c in names])
-    gaps = distances(means, means)
-    np.fill_diagonal(gaps, np.inf)
-    with np.errstate(divide="ignore"):
-        db = float(((s[:, None] + s[None, :]) / gaps).max(axis=1).mean())
-    return [("calinski_harabasz_score", ch), ("davies_bouldin_score", db)]
+    Clusters are dealt to blocks by hash; every pair of blocks is compared in a task of its own.
+    """
+    blocks = -(-k // CENTRE_BLOCK)
+    block = F.pmod(F.xxhash64("cluster"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = about.select(F.col("cluster").cast("long").alias("cluster"), F.col("m").alias("m1"), F.col("s").alias("s1"), block.alias("a"), other.alias("b"))
+    right = about.select(F.col("cluster").cast("long").alias("other"), F.col("m").alias("m2"), F.col("s").alias("s2"), block.alias("d"), other.alias("c"))
+
+    def compare(mine: pa.Table, others: pa.Table) -> pa.Table:
+        names = mine.column("cluster").to_numpy()
+        if not len(names) or not others.num_rows:
+            return pa.table({"cluster": pa.array([], pa.int64()), "worst": pa.array([], pa.float64())})
+        gaps = distances(np.array(mine.column("m1").to_pylist()), np.array(others.column("m2").to_pylist()))
+        gaps[names[:, None] == others.column("other").to_numpy()[None, :]] = np.inf
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratios = (mine.column("s1").to_numpy()[:, None] + others.column("s2").to_numpy()[None, :]) / gaps
+        return pa.table({"cluster": pa.array(names, pa.int64()), "worst": ratios.max(axis=1)})
+
+    return left.groupBy("a", "b").cogroup(right.groupBy("c", "d")).applyInArrow(compare, "cluster long, worst double").groupBy("cluster").agg(F.max("worst").alias("worst"))
 
 
 def _silhouette(inside: DataFrame) -> float:

@@ -216,6 +216,25 @@ def test_quality_edge_cases(spark):
     assert {r["metric"]: r["value"] for r in cluster.quality(points, noise).collect()}["noise_ratio"] == 1.0
 
 
+@pytest.mark.parametrize("block", [1_000, 40])
+def test_quality_of_many_clusters(spark, monkeypatch, block):
+    monkeypatch.setattr(cluster, "CENTRE_BLOCK", block)
+    k = 5_001 if block == 1_000 else 150
+    rng = np.random.default_rng(2)
+    x = rng.uniform(0, 1_000, (k, 2))[np.arange(3 * k) % k] + rng.normal(size=(3 * k, 2))
+    label = np.arange(3 * k) % k
+    points = spark.createDataFrame([(str(i), p.tolist()) for i, p in enumerate(x)], "id string, x array<double>")
+    labels = spark.createDataFrame([(str(i), int(c)) for i, c in enumerate(label)], "id string, cluster int")
+    got = {r["metric"]: r["value"] for r in cluster.quality(points, labels, silhouette=False).collect()}
+    m = np.stack([x[label == c].mean(axis=0) for c in range(k)])
+    s = np.array([np.sqrt(((x[label == c] - m[c]) ** 2).sum(axis=1)).mean() for c in range(k)])
+    worst = [max(np.delete((s[c] + s) / np.maximum(np.sqrt(((m - m[c]) ** 2).sum(axis=1)), 1e-300), c)) for c in range(k)]
+    within, between = ((x - m[label]) ** 2).sum(), 3 * ((m - x.mean(axis=0)) ** 2).sum()
+    assert (got["n_clusters"], got["cluster_size_mean"], got["cluster_size_std"], got["n_noise"]) == (k, 3, 0, 0)
+    assert got["davies_bouldin_score"] == pytest.approx(np.mean(worst))
+    assert got["calinski_harabasz_score"] == pytest.approx(between / (k - 1) / (within / (2 * k)))
+
+
 def test_pca(spark):
     rng = np.random.default_rng(0)
     a = rng.normal(size=500)
