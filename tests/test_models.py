@@ -268,6 +268,15 @@ def test_isolation_forest_samples_large_tables(spark):
     assert model.transform(df).filter("id < 60 and is_anomaly = 1").count() == 60
 
 
+def test_isolation_forest_finds_a_lone_row_of_a_large_table(spark):
+    """More rows than 100 trees draw, so the planted row may be in no tree's sample."""
+    far = F.col("id") == 0
+    df = spark.range(40_000).select(
+        "id", F.when(far, 500.0).otherwise(F.col("id") % 100).alias("x"), F.when(far, 500.0).otherwise(F.col("id") % 37).alias("y")
+    )
+    assert anomaly.fit_isolation_forest(df, ["x", "y"], ["id"], 0.1).transform(df).filter("id = 0 and is_anomaly = 1").count() == 1
+
+
 def test_series_anomalies(spark, monkeypatch):
     rows = [(f"s{k}", i, float(np.sin(i)) + (50.0 if i == 70 else 0.0)) for k in range(3) for i in range(100)]
     data = spark.createDataFrame(rows, "series string, ts int, value double")
