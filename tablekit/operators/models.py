@@ -29,8 +29,8 @@ ALIASES = {
 }
 DEFAULT_MODELS = ("random_forest", "gradient_boosting", "logistic_regression", "decision_tree", "k_neighbors")
 
-#: Depth used when a forest or tree is asked for no depth limit; Spark itself stops at 30.
-OPEN_DEPTH = 10
+#: The deepest trees that Spark grows: used when a forest or tree is asked for no depth limit; more is refused.
+OPEN_DEPTH = 30
 MAX_CLASSES = 1_000
 
 
@@ -42,6 +42,16 @@ def canonical(name: str) -> str:
     raise ValueError(f"unknown model type: {name}")
 
 
+def tree_depth(name: str, params: dict) -> int | None:
+    """The depth limit that the trees of a model get, None for a model without trees of its own."""
+    if name not in ("random_forest", "decision_tree", "gradient_boosting"):
+        return None
+    depth = params.get("max_depth", 3 if name == "gradient_boosting" else None) or OPEN_DEPTH
+    if depth > OPEN_DEPTH:
+        raise ValueError(f"max_depth {depth}: trees of more than {OPEN_DEPTH} levels are not grown")
+    return depth
+
+
 @dataclass
 class FittedModel:
     """A fitted model with its features, classes and how it was made.
@@ -61,6 +71,11 @@ class FittedModel:
     keys: list[str] = field(default_factory=list)
     model_id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
+    @property
+    def depth(self) -> int | None:
+        """The depth limit that was used."""
+        return tree_depth(self.model_type, self.params)
+
     def transform(self, df: DataFrame) -> DataFrame:
         return self.stage.apply(df, self)
 
@@ -149,8 +164,8 @@ def _spark_estimator(name: str, problem: str, params: dict, n_classes: int, n_ro
     from pyspark.ml import classification as C, regression as R
 
     p = dict(params)
-    depth = p.pop("max_depth", 3 if name == "gradient_boosting" else None)
-    depth = min(depth or OPEN_DEPTH, 30)
+    depth = tree_depth(name, p)
+    p.pop("max_depth", None)
     classes = problem == CLASSIFICATION
     common = {"featuresCol": "_x", "labelCol": "_y", "predictionCol": "_p"}
     kind = "probability"

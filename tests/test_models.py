@@ -207,6 +207,16 @@ def test_other_clusterings_find_the_blobs(spark):
     assert cluster.choose_k(cluster.optimal_k(clean, ["id"], names, 5)).filter("rule = 'silhouette'").first()["k"] == 3
 
 
+def test_trees_are_as_deep_as_asked(spark):
+    df = spark.range(40).select("id", F.col("id").cast("double").alias("x"), F.pow(F.lit(2.0), F.col("id")).alias("y"))
+    fit = lambda **p: models.fit(df, "y", "decision_tree", models.REGRESSION, ["x"], p, ["id"])
+    found = fit()
+    assert found.depth == 30 and found.stage.model.depth > 10
+    assert fit(max_depth=4).depth == 4
+    with pytest.raises(ValueError):
+        fit(max_depth=31)
+
+
 def test_quality_edge_cases(spark):
     _, names, df = planted(spark)
     points = cluster.scaled_points(df, ["id"], names)
