@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablekit.llm import benchmark_leaks, languages, near_duplicates, packed_ids, piece_tokens, quality, repeated_text, token_counts, top_products, urls
+from tablekit.llm import benchmark_leaks, hard_negatives, languages, near_duplicates, packed_ids, piece_tokens, quality, repeated_text, token_counts, top_products, urls
 from tablekit.plans.registry import Tables, query
 
 
@@ -117,3 +117,31 @@ def op9_url_filter(t: Tables) -> DataFrame:
 @query("op10_token_counts")
 def op10_token_counts(t: Tables) -> DataFrame:
     return token_counts.count_tokens(t("documents"))
+
+
+@query(
+    "op11_hard_negatives",
+    """
+    with e as (
+      select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as v
+      from embeddings
+      where label is not null and embedding is not null and not list_contains(list_transform(embedding, lambda x: x is not null and isfinite(x)), false)
+    ),
+    s as (
+      select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_inner_product(a.v, c.v)::bigint as score
+      from e a join e c on a.vec_id <> c.vec_id where a.vec_id % 100 = 0
+    ),
+    p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+    n as (
+      select p.*, s.vec_id as negative_id, s.score as negative_score,
+        row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as rank
+      from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * positive_score <= 100 * s.score and 100 * s.score <= 100 * positive_score
+    )
+    select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5
+    """,
+)
+def op11_hard_negatives(t: Tables) -> DataFrame:
+    vectors = hard_negatives.labelled_vectors(t("embeddings"))
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", relabelled), F.col("vec_id") % 100 == 0)
