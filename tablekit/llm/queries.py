@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablekit.llm import benchmark_leaks, hard_negatives, languages, near_duplicates, packed_ids, piece_tokens, quality, repeated_text, token_counts, top_products, urls
+from tablekit.llm import alignment, benchmark_leaks, hard_negatives, languages, near_duplicates, packed_ids, piece_tokens, quality, repeated_text, token_counts, top_products, urls
 from tablekit.plans.registry import Tables, query
 
 
@@ -145,3 +145,8 @@ def op11_hard_negatives(t: Tables) -> DataFrame:
     vectors = hard_negatives.labelled_vectors(t("embeddings"))
     relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(vectors.withColumn("label", relabelled), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_cross_alignment")
+def op12_cross_alignment(t: Tables) -> DataFrame:
+    return alignment.cross_alignment(t("documents"))
