@@ -17,6 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,9 @@ from tablekit.llm.words import Chunks, Memo
 
 SPACE = "▁"
 #: Tokens of both sides aligned at a time, characters of a piece of an odd text, links read at a time.
-WINDOW, PIECE, READ = 400_000, 50_000, 1_000_000
+WINDOW, PIECE, READ = 250_000, 50_000, 500_000
+#: Distinct chunks a worker remembers in each of two generations; about 60 MB in all.
+REMEMBER = 150_000
 #: Pairs of ids whose counts a worker holds at once; with more, the links are read once for each block of pairs.
 BLOCK_PAIRS = 4_000_000
 #: Place of the document in a (document, end) key.
@@ -71,33 +74,53 @@ class Pair:
         for i in range(self.second.get_piece_size()):
             piece = self.second.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.second.is_byte(i) else piece.replace(SPACE, " ").encode("utf-8"))
+        self.a_table, self.b_table = _spellings(self.a_bytes), _spellings(self.b_bytes)
         self.a_length = pa.array(list(map(len, self.a_bytes)), pa.int64())
         self.b_length = pa.array(list(map(len, self.b_bytes)), pa.int64())
         # Decimal ids with what stands before them: the first token of a group, or a later one.
         self.a_text = [(b";%d" % i, b",%d" % i) for i in range(len(self.a_bytes))]
         self.b_text = [(b"|%d" % i, b",%d" % i) for i in range(len(self.b_bytes))]
         self.text = [t for pair in (self.a_text, self.b_text) for k in (0, 1) for t in [x[k] for x in pair]]
-        self.memo = Memo(self.encode)
-
-    def encode(self, chunks: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """Ids of both sides as packed 32-bit integers, and whether both spell the bytes of the chunk. A chunk that begins
-        with a line break follows other text; any other has a space in front."""
-        spaced = [c for c in chunks if c[:1] != "\n"]
-        known = dict(zip(spaced, self._spaced(spaced))) if spaced else {}
-        lines = [c for c in chunks if c[:1] == "\n"]
-        if lines:
-            for text, a, b in zip(lines, self.first.encode_batch_fast(lines, add_special_tokens=False), self.second.encode(lines, num_threads=1)):
-                known[text] = self._packed(text, a.ids, b[1:])  # without the space that the library puts in front
-        return [known[c] for c in chunks]
-
-    def _packed(self, text: str, a: list[int], b: list[int]) -> tuple[bytes, bytes, bool]:
-        return np.array(a, "<u4").tobytes(), np.array(b, "<u4").tobytes(), self._spells(text, a, b)
-
-    def _spells(self, text: str, a: list[int], b: list[int]) -> bool:
-        want = text.encode("utf-8")
-        return b"".join(map(self.a_bytes.__getitem__, a)) == want and b"".join(map(self.b_bytes.__getitem__, b)) == want
-
-    def tokens(self, texts: pa.Array) -> tuple[list[tuple[bytes, bytes, bool]], np.ndarray, np.ndarray]:
+        self.memo = Memo(self.encode, REMEMBER)
+
+    def encode(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of both sides of every chunk. A chunk that begins with a line break follows other text; any other has
+        a space in front."""
+        line = [c[:1] == "\n" for c in chunks]
+        whole = [c if own else " " + c for c, own in zip(chunks, line)]
+        second = self.second.encode(chunks, num_threads=1) if chunks else []
+        return self._packed(whole, [b[1:] if own else b for b, own in zip(second, line)])  # a line has no space of its own
+
+    def spaced(self, found: list[str]) -> list[bytes]:
+        """The same for pieces that all have a space in front, whatever they begin with."""
+        return self._packed([" " + p for p in found], self.second.encode(found, num_threads=1))
+
+    def _packed(self, whole: list[str], second: list[list[int]]) -> list[bytes]:
+        """For each text 32-bit integers: twice the number of ids of the first side, plus one if both sides spell the text,
+        and the ids of both."""
+        first = [e.ids for e in self.first.encode_batch_fast(whole, add_special_tokens=False)]
+        n = len(whole)
+        texts = [t.encode("utf-8") for t in whole]
+        want, size = np.frombuffer(b"".join(texts), np.uint8), np.fromiter(map(len, texts), np.int64, n)
+        edge = np.cumsum(size) - size
+        good, flat, count = np.ones(n, bool), [], []
+        for ids, table in ((first, self.a_table), (second, self.b_table)):
+            count.append(np.fromiter(map(len, ids), np.int64, n))
+            flat.append(np.fromiter(chain.from_iterable(ids), np.int64, int(count[-1].sum())))
+            good &= _sums(table[1][flat[-1]], count[-1]) == size
+        for ids, c, table in zip(flat, count, (self.a_table, self.b_table)):
+            own = ids[np.repeat(good, c)]
+            equal = _gather(table[2], table[0][own], table[1][own]) == _gather(want, edge[good], size[good])
+            good[np.flatnonzero(good)[_sums(~equal, size[good]) > 0]] = False
+        out = np.empty(n + sum(map(len, flat)), "<u4")
+        begin = np.arange(n) + np.cumsum(count[0] + count[1]) - count[0] - count[1]
+        out[begin] = count[0] * 2 + good
+        for ids, c, at in ((flat[0], count[0], begin + 1), (flat[1], count[1], begin + 1 + count[0])):
+            out[np.repeat(at - (np.cumsum(c) - c), c) + np.arange(len(ids))] = ids
+        packed, cut = out.tobytes(), [*(begin * 4).tolist(), 4 * len(out)]
+        return [packed[i:j] for i, j in zip(cut[:-1], cut[1:])]
+
+    def tokens(self, texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Encoded chunks, which of them the texts consist of in order, and where each text begins among those."""
         own = Chunks(texts, "", SPACE)
         values = self.memo.values(own.distinct)
@@ -113,15 +136,9 @@ class Pair:
         values = list(values)
         for i, found in parts.items():
             index[stop[i] - size[i] : stop[i]] = len(values) + np.arange(len(found))
-            values.extend(self._spaced(found))
+            values.extend(self.spaced(found))
         return values, index, np.concatenate(([0], stop))
 
-    def _spaced(self, found: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """The same for pieces that all have a space in front, whatever they begin with."""
-        whole = [" " + p for p in found]
-        both = zip(whole, self.first.encode_batch_fast(whole, add_special_tokens=False), self.second.encode(found, num_threads=1))
-        return [self._packed(text, a.ids, b) for text, a, b in both]
-
 
 def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """flat[begin : begin + size] for every entry, end to end."""
@@ -129,6 +146,19 @@ def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[at]
 
 
+def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of values."""
+    total = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    stop = np.cumsum(size)
+    return total[stop] - total[stop - size]
+
+
+def _spellings(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each word begins among all their bytes, how long it is, and the bytes."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    return np.cumsum(size) - size, size, np.frombuffer(b"".join(words), np.uint8)
+
+
 def _ends(lists: pa.ListArray, length: pa.Array, name: str) -> tuple[pa.Table, pa.Array]:
     """(key, place) of every token's end, where the key is the list and the bytes up to there; and the tokens."""
     flat, parent = lists.flatten(), pc.list_parent_indices(lists)
@@ -171,10 +201,11 @@ def align(a: pa.ListArray, b: pa.ListArray, pair: Pair) -> dict[str, np.ndarray]
 def _aligned(pair: Pair, texts: pa.Array) -> Iterator[dict]:
     """Per text its counts, the digest of its groups and its links as a * (number of b ids) + b."""
     values, index, starts = pair.tokens(texts)
-    a, b = (np.frombuffer(b"".join(v[k] for v in values), "<u4").astype(np.int64) for k in (0, 1))
-    size_a, size_b = (np.fromiter((len(v[k]) // 4 for v in values), np.int64, len(values)) for k in (0, 1))
-    begin_a, begin_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
-    good = np.fromiter((v[2] for v in values), bool, len(values))
+    ids = np.frombuffer(b"".join(values), "<u4").astype(np.int64)
+    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    begin = np.cumsum(size) - size
+    size_a, good = ids[begin] >> 1, (ids[begin] & 1).astype(bool)
+    size_b, begin_a, begin_b = size - size_a - 1, begin + 1, begin + 1 + size_a
     doc = np.repeat(np.arange(len(texts)), np.diff(starts))
     whole = np.ones(len(texts), bool)
     whole[doc[~good[index]]] = False
@@ -188,15 +219,16 @@ def _aligned(pair: Pair, texts: pa.Array) -> Iterator[dict]:
         mine, rows = index[at:stop], doc[at:stop]
         first = np.flatnonzero(np.concatenate(([True], np.diff(rows) > 0)))
         lists = []
-        for flat, begin, size in ((a, begin_a, size_a), (b, begin_b, size_b)):
-            edge = np.concatenate(([0], np.cumsum(size[mine])))[np.append(first, len(mine))]
-            lists.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(_gather(flat, begin[mine], size[mine]))))
+        for at_side, n_side in ((begin_a, size_a), (begin_b, size_b)):
+            edge = np.concatenate(([0], np.cumsum(n_side[mine])))[np.append(first, len(mine))]
+            lists.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(_gather(ids, at_side[mine], n_side[mine]))))
         found = align(*lists, pair)
         codes = found["a"] * len(pair.b_bytes) + found["b"]
         n_a, n_b = (np.diff(x.offsets.to_numpy()) for x in lists)
         n_groups, n_links = (np.bincount(found[c], minlength=len(first)) for c in ("group_row", "row"))
         cut_links, cut_text = np.cumsum(n_links), np.cumsum(n_a + n_b)
         text = found["text"].tolist()
+        codes = codes.astype(np.uint32 if len(codes) and codes.max() < 1 << 32 else np.int64)
         for k, i in enumerate(rows[first].tolist()):
             r = out[i]
             for c, n in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", n_links)):
@@ -228,7 +260,7 @@ def _pair_counts(linked: DataFrame, n_b: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for _, part, _ in _windows(batch):
-                counted = pa.table({"code": part}).group_by("code", use_threads=False).aggregate([([], "count_all")])
+                counted = pa.table({"code": part.astype(np.int64)}).group_by("code", use_threads=False).aggregate([([], "count_all")])
                 yield from counted.select(["code", "count_all"]).rename_columns(["code", "n"]).to_batches()
 
     counts = linked.select("links").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
@@ -282,18 +314,22 @@ def cross_alignment(df: DataFrame, byte_level: str | None = None, piece_model: s
     table. Special strings in a text are plain text. Memory is bounded by windows of tokens but for a single word.
     """
     paths = byte_level or tokenizer_file("byte_bpe_50k.json"), piece_model or tokenizer_file("piece_bpe_32k.model")
-    n_b = Pair(*paths).second.get_piece_size()
+    pair = Pair(*paths)
+    n_b = len(pair.b_bytes)
+    # A pair of ids is one number; it mostly fits 31 bits.
+    kind, code = (pa.int32(), "int") if len(pair.a_bytes) * n_b < 1 << 31 else (pa.int64(), "long")
+    del pair
 
     def work(batch: pa.RecordBatch) -> dict:
         pair = worker_cache(("alignment", *paths), lambda: Pair(*paths))
         rows = list(_aligned(pair, batch.column("text")))
         edge = np.concatenate(([0], np.cumsum([r["n_links"] for r in rows])))
         flat = [x for r in rows for x in r["links"]]
-        links = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64), pa.int64()))
+        links = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)).cast(kind))
         out = {c: [r[c] for r in rows] for c in ("n_a", "n_b", "n_groups", "n_links")}
         return {"doc_id": batch.column("doc_id"), **out, "groups_sha256": [r["digest"].hexdigest() if r["digest"] else "" for r in rows], "links": links}
 
-    fields = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<long>"
-    linked = stored(map_slices(documents(df), work, fields, most=2_000_000), "aligned")
+    fields = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links array<" + code + ">"
+    linked = stored(map_slices(documents(df), work, fields, most=1_000_000), "aligned", **{"parquet.block.size": 16 << 20})
     found = _with_counts(linked, _pair_counts(linked, n_b))
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import uuid
@@ -33,7 +34,16 @@ def free_worker_cache() -> None:
     if store:
         store.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Hand memory that is free in this process back to the machine: workers outlive stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
 def tokenizer_file(name: str) -> str:
@@ -83,6 +93,8 @@ def map_slices(df: DataFrame, work: Callable[[pa.RecordBatch], dict | None], sch
             out = work(part)
             if out is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name] for f in arrow], schema=arrow)
+        out = part = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -92,11 +104,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """df written as Parquet in the shared folder and read back: computed once, and safe from lost executors."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["SLICE_BYTES", "col", "cut_lineage", "documents", "free_worker_cache", "held_out", "map_slices", "shared_folder", "shuffle_width", "slices", "stored", "tokenizer_file", "worker_cache"]
+__all__ = ["SLICE_BYTES", "col", "cut_lineage", "documents", "free_worker_cache", "give_back", "held_out", "map_slices", "shared_folder", "shuffle_width", "slices", "stored", "tokenizer_file", "worker_cache"]
