@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablekit.llm import alignment, benchmark_leaks, hard_negatives, languages, near_duplicates, packed_ids, piece_tokens, quality, repeated_text, token_counts, top_products, urls
+from tablekit.llm import alignment, benchmark_leaks, hard_negatives, languages, near_duplicates, packed_ids, piece_tokens, quality, repeated_text, secret_spans, token_counts, top_products, urls
 from tablekit.plans.registry import Tables, query
 
 
@@ -150,3 +150,9 @@ def op11_hard_negatives(t: Tables) -> DataFrame:
 @query("op12_cross_alignment")
 def op12_cross_alignment(t: Tables) -> DataFrame:
     return alignment.cross_alignment(t("documents"))
+
+
+@query("op13_secret_spans")
+def op13_secret_spans(t: Tables) -> DataFrame:
+    documents = t("documents")
+    return secret_spans.find_secrets(documents, secret_spans.fit_secrets(documents))
