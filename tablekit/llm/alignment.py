@@ -31,8 +31,8 @@ from tablekit.llm.words import Chunks, Memo
 SPACE = "▁"
 #: Tokens of both sides aligned at a time, characters of a piece of an odd text, links read at a time.
 WINDOW, PIECE, READ = 250_000, 50_000, 500_000
-#: Distinct chunks a worker remembers in each of two generations; about 60 MB in all.
-REMEMBER = 150_000
+#: Distinct chunks a worker remembers in each of two generations; about 75 MB in all.
+REMEMBER = 180_000
 #: Pairs of ids whose counts a worker holds at once; with more, the links are read once for each block of pairs.
 BLOCK_PAIRS = 4_000_000
 #: Place of the document in a (document, end) key.
