@@ -2,19 +2,21 @@
 
 A document is the sequence of its word shingles, each labelled with how often it came before. A sketch takes the
 SAMPLED labelled shingles with the least hashes and keeps them in text order, so it survives edits that leave most
-shingles and their order in place. Documents that share one of SKETCHES sketches are candidates; an alignment of the two
-sequences, in the band that the threshold allows, decides.
+shingles and their order in place. Documents that share one of SKETCHES sketches are candidates; an alignment of their
+words, in the band that the threshold allows, decides, so that an edited word costs one word and not five shingles.
 
 Documents with the same words are one node from the start. First every node meets the most central node of its
 buckets, the one with the most neighbours: copies of one text mostly resemble it more than each other, so a group
-becomes one component with one pair per node. What is left are nodes of different components in a bucket. Their
-one-bit minwise signatures are compared inside the join, and every pair that could reach the threshold is verified.
+becomes one component with one pair per node. What is left are nodes of different components in a bucket. One-bit
+minwise signatures of their words bound what an alignment can reach; they are compared inside the join, and every pair
+that could reach the threshold is verified, in the smallest bucket that it shares.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from tablekit.llm.common import col, documents, free_worker_cache, map_slices, s
 SHINGLE, SIMILARITY, SKETCHES, SAMPLED = 5, 0.8, 20, 3
 #: 64-bit words of a signature, and the standard errors below the threshold down to which its estimate is verified.
 SIGNATURE, DOUBT = 16, 4.0
+#: Words off the diagonal in the first band of an alignment, and words of a text whose places are held as one number each.
+BAND, SHORT = 48, 8_192
 #: Shingles hashed at a time for the sketches of one document.
 _BLOCK = 1 << 16
 _WORD = re.compile(r"\w+")
@@ -62,17 +66,17 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat[at], np.concatenate((begin, [int(n.sum())]))[edge]
 
 
-def labelled_shingles(texts: pa.Array, words: tuple[np.ndarray, np.ndarray] | None = None) -> list[np.ndarray]:
+def labelled_shingles(texts: pa.Array, words: tuple[np.ndarray, np.ndarray] | None = None, shingle: int = SHINGLE) -> list[np.ndarray]:
     """Per text the 64-bit labels of its shingles with their occurrence, in order. A text of fewer words than a shingle
     is one shingle, a text without words has none. words: the word_hashes of the texts, where they are known."""
     word, edge = words or word_hashes(texts)
     size = np.diff(edge)
-    count = np.where(size > 0, np.maximum(size - SHINGLE + 1, 1), 0)
+    count = np.where(size > 0, np.maximum(size - shingle + 1, 1), 0)
     doc = np.repeat(np.arange(len(size)), count)
     at = np.repeat(edge[:-1] - (np.cumsum(count) - count), count) + np.arange(len(doc))
     h = np.zeros(len(doc), np.uint64)
-    padded = np.concatenate((word, np.zeros(SHINGLE, np.uint64)))
-    for k in range(SHINGLE):
+    padded = np.concatenate((word, np.zeros(shingle, np.uint64)))
+    for k in range(shingle):
         inside = at + k < edge[1:][doc]
         h = np.where(inside, _mix(h * np.uint64(0x9E3779B97F4A7C15) + padded[at + k]), h)
     order = np.lexsort((h, doc))
@@ -123,33 +127,66 @@ def most_unequal_bits(least: float = SIMILARITY) -> int:
     return int(np.ceil(n * differ + DOUBT * np.sqrt(n * differ * (1 - differ))))
 
 
+def _aligned(a: list[int], b: list[int], band: int) -> int:
+    """Most words that an alignment within `band` of the diagonal pairs up.
+
+    A row of the table is one number whose zero bits are the places where the count of paired words rises; the number
+    holds the places of the band only and moves along with it.
+    """
+    places = defaultdict(list)
+    for i, x in enumerate(a):
+        places[x].append(i)
+    short = len(a) <= SHORT
+    masks = {x: sum(1 << i for i in own) for x, own in places.items()} if short else {}
+    low, high, row, paired = 0, min(len(a), band), 0, 0
+    row = (1 << high) - 1
+    for j, y in enumerate(b):
+        stop = min(len(a), j + band + 1)
+        if stop > high:
+            row |= ((1 << (stop - high)) - 1) << (high - low)
+            high = stop
+        start = min(max(0, j - band), high)
+        if start > low:
+            paired += start - low - (row & ((1 << (start - low)) - 1)).bit_count()
+            row >>= start - low
+            low = start
+        if short:
+            hit = masks.get(y, 0) >> low
+        else:
+            own = places.get(y, ())
+            hit = sum(1 << (i - low) for i in own[bisect_left(own, low) : bisect_left(own, high)])
+        hit &= row
+        if hit:
+            row = ((row + hit) | (row - hit)) & ((1 << (high - low)) - 1)
+    return paired + high - low - row.bit_count()
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Aligned shingles over all shingles of two labelled sequences, 0 when below `least`.
+    """Aligned words over all words of two texts, given as hashes in order; 0 when below `least`.
 
-    Labels are unique in a sequence, so the alignment is a longest increasing run of places. An alignment that
-    reaches the threshold leaves at most (1 - least) / (1 + least) of all shingles alone, and no aligned pair is
-    further off the diagonal than that.
+    An alignment that reaches the threshold leaves at most (1 - least) / (1 + least) of all words alone, and no aligned
+    pair is further off the diagonal than that. Narrower bands come first: the alignment of a band is the best one if it
+    leaves no more words alone than the band is wide.
     """
     total = len(a) + len(b)
     if not total:
         return 0.0
-    band = int(total * (1 - least) / (1 + least) + 1e-9)
-    if abs(len(a) - len(b)) > band:
-        return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    if 2 * len(i) < total - band - 1:
+    widest = int(total * (1 - least) / (1 + least) + 1e-9)
+    if abs(len(a) - len(b)) > widest:
         return 0.0
-    j = j[np.argsort(i)]
-    if len(j) < 2 or (np.diff(j) > 0).all():
-        n = len(j)
-    else:
-        ends: list[int] = []
-        for x in j.tolist():
-            k = bisect_left(ends, x)
-            ends[k : k + 1] = [x]
-        n = len(ends)
+    # What both begin and end with is aligned.
+    most = min(len(a), len(b))
+    ahead = np.flatnonzero(a[:most] != b[:most])
+    head = int(ahead[0]) if len(ahead) else most
+    behind = np.flatnonzero(a[len(a) - most + head :][::-1] != b[len(b) - most + head :][::-1])
+    tail = int(behind[0]) if len(behind) else most - head
+    x, y = (v[head : len(v) - tail].tolist() for v in (a, b))
+    band = min(max(abs(len(x) - len(y)), BAND), widest)
+    while True:
+        n = head + tail + _aligned(x, y, band)
+        if band == widest or total - 2 * n <= band:
+            break
+        band = min(4 * band, widest)
     score = n / (total - n)
     return score if score >= least - 1e-12 else 0.0
 
@@ -193,8 +230,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     for k, i in enumerate(own):
                         if distinct[i] is None:
                             distinct[i] = column[k].as_py()
-                labels = labelled_shingles(pa.array(distinct, pa.large_string()))
-                good = [similarity(labels[i], labels[j], least) > 0 for i, j in zip(*rows)]
+                word, edge = word_hashes(pa.array(distinct, pa.large_string()))
+                words = [word[i:j] for i, j in zip(edge[:-1].tolist(), edge[1:].tolist())]
+                good = [similarity(words[i], words[j], least) > 0 for i, j in zip(*rows)]
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -208,18 +246,22 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text, bits) for the wanted(node, doc_id): one document of each node, found by its id."""
+    """(node, text, bits) for the wanted(node, doc_id): one document of each node."""
+
+    def name(batch: pa.RecordBatch) -> dict:
+        return {"doc_id": batch.column("doc_id"), "node": _nodes(batch.column("text")), "text": batch.column("text")}
 
     def sign(batch: pa.RecordBatch) -> dict:
-        # Rows may share an id: only those with the node's words are meant.
         words = word_hashes(batch.column("text"))
-        mine = np.array([a == b for a, b in zip(batch.column("node").to_pylist(), _nodes(batch.column("text"), words))], bool)
-        bits = [signature(x) if m else None for x, m in zip(labelled_shingles(batch.column("text"), words), mine)]
+        bits = [signature(x) for x in labelled_shingles(batch.column("text"), words, 1)]
         return {"node": batch.column("node"), "text": batch.column("text"), "bits": bits}
 
-    met = documents(df).join(wanted.select("node", F.col("doc_id").alias("d")), F.col("doc_id").eqNullSafe(F.col("d")))
-    signed = map_slices(met.select("node", "text"), sign, "node binary, text string, bits array<long>")
-    return stored(signed.filter("bits is not null").dropDuplicates(["node"]), "near-texts")
+    # Rows may share an id, or have none: ids only say which rows to look at, the words say which is meant.
+    ids = wanted.select(F.col("doc_id").alias("d")).distinct()
+    met = documents(df).join(ids, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    named = map_slices(met, name, "doc_id long, node binary, text string").join(wanted.select("node").distinct(), "node", "left_semi")
+    signed = map_slices(named.dropDuplicates(["node"]).select("node", "text"), sign, "node binary, text string, bits array<long>")
+    return stored(signed, "near-texts")
 
 
 def _components(df: DataFrame, signed: DataFrame, least: float) -> DataFrame:
@@ -240,10 +282,13 @@ def _components(df: DataFrame, signed: DataFrame, least: float) -> DataFrame:
     components = stored(connected_components(members, links), "near-components")
     placed = rows.select("bucket", "node").join(components.withColumnRenamed("id", "node"), "node")
     split = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("bucket")
-    placed = stored(placed.join(split, "bucket").join(texts.select("node", "bits"), "node"), "near-open")
+    known = nodes.select("node", F.array_sort("sketches").alias("sketches"))
+    placed = stored(placed.join(split, "bucket").join(texts.select("node", "bits"), "node").join(known, "node"), "near-open")
     unequal = sum((F.bit_count(F.col("p.bits")[k].bitwiseXOR(F.col("q.bits")[k])) for k in range(SIGNATURE)), F.lit(0))
     apart = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.component") != F.col("q.component"))
-    met = placed.alias("p").join(placed.alias("q"), apart & (unequal <= most_unequal_bits(least)))
+    # A pair counts in the smallest bucket that it shares.
+    once = F.array_min(F.array_intersect("p.sketches", "q.sketches")) == F.col("p.bucket")
+    met = placed.alias("p").join(placed.alias("q"), apart & (unequal <= most_unequal_bits(least)) & once)
     # A node that met the other one as its hub is verified already.
     more = _pairs(met.select(F.col("p.node").alias("x"), F.col("q.node").alias("y"))).join(pairs, ["a", "b"], "left_anti")
     found = stored(_verified(more, texts, least), "near-links")
@@ -270,8 +315,8 @@ def _classes(df: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, class_size, representative) for every row of df(doc_id, text).
 
-    Two documents are linked when they have the same words, or when their aligned five-word shingles are at least
-    `least` of all their shingles; classes are the connected components. class_id is the smallest id of the class,
+    Two documents are linked when they have the same words, or when they share a sketch of five-word shingles and their
+    aligned words are at least `least` of all their words; classes are the connected components. class_id is the smallest id of the class,
     and the document that has it is the representative. Case, punctuation and white space do not count. Texts without
     words (null counts as empty) are linked to equal texts only. Repeated rows are members like others; a null id is
     never the smallest, and a class of null ids alone has a null class_id and no representative. An empty table
@@ -288,19 +333,21 @@ def without_near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFra
     rows, classes = _classes(df, least)
     mine = F.col("doc_id").eqNullSafe(F.col("class_id"))
     keep = rows.join(classes, "node").filter(mine).groupBy("component").agg(F.min(F.struct("node", "doc_id")).alias("k"))
-    keep = stored(keep.select(F.col("k.node").alias("keep_node"), F.col("k.doc_id").alias("keep_id")), "near-kept")
     fields = df.columns
-    mine = col("doc_id").cast("long").eqNullSafe(F.col("keep_id"))
+    taken = {c.lower() for c in fields}
+    name, keep_node, keep_id = (next(n for n in (f"{stem}_{k}" for k in range(len(fields) + 1)) if n not in taken) for stem in ("node", "keep_node", "keep_id"))
+    keep = stored(keep.select(F.col("k.node").alias(keep_node), F.col("k.doc_id").alias(keep_id)), "near-kept")
+    mine = col("doc_id").cast("long").eqNullSafe(F.col(keep_id))
     if rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return df.join(keep.select("keep_id"), mine).select(*[col(c) for c in fields])
+        return df.join(keep.select(keep_id), mine).select(*[col(c) for c in fields])
     # Rows share ids: they are told apart by their words.
-    name = next(n for n in (f"node_{k}" for k in range(len(fields) + 1)) if n not in {c.lower() for c in fields})
+    ids = keep.select(F.col(keep_id)).distinct()
 
     def run(batches):
         for part in slices(batches):
             texts = pc.fill_null(part.column("text"), "")
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_nodes(texts), pa.binary())], names=[*part.schema.names, name])
 
-    keyed = df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, BinaryType())]))
-    out = keyed.join(keep.select("keep_node", "keep_id"), (F.col(name) == F.col("keep_node")) & mine).dropDuplicates([name])
+    keyed = df.join(ids, mine, "left_semi").mapInArrow(run, StructType([*df.schema.fields, StructField(name, BinaryType())]))
+    out = keyed.join(keep.select(keep_node, keep_id), (F.col(name) == F.col(keep_node)) & mine, "left_semi").dropDuplicates([name])
     return out.select(*[col(c) for c in fields])

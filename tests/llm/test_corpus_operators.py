@@ -4,6 +4,7 @@ import collections
 import hashlib
 import os
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -95,13 +96,8 @@ def aligned(a, b):
 
 def brute_classes(rows):
     words = [tuple(WORD.findall((t or "").lower())) for _, t in rows]
-    labels = []
-    for w in words:
-        seen, own = collections.Counter(), []
-        for s in [w[i : i + 5] for i in range(max(1, len(w) - 4))] if w else []:
-            own.append((s, seen[s]))
-            seen[s] += 1
-        labels.append(own)
+    labels = near_duplicates.labelled_shingles(pa.array([t or "" for _, t in rows], pa.large_string()))
+    sketches = [set(near_duplicates.sketches(x).tolist()) for x in labels]
     parent = list(range(len(rows)))
 
     def root(x):
@@ -111,9 +107,9 @@ def brute_classes(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            a, b = labels[i], labels[j]
+            a, b = words[i], words[j]
             same = words[i] == words[j] if words[i] or words[j] else (rows[i][1] or "") == (rows[j][1] or "")
-            if not same and a and b and len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)):
+            if not same and a and b and sketches[i] & sketches[j]:
                 m = aligned(a, b)
                 same = m / (len(a) + len(b) - m) >= 0.8 - 1e-12
             if same:
@@ -157,17 +153,60 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert {i for i in ids if i is not None} == {c for _, c, _, _ in expected if c is not None}
+    clashing = df.selectExpr("doc_id", "text", "1 as keep_id_0", "2 as `KEEP_ID`", "3 as node_0", "4 as keep_node")
+    assert sorted(r["doc_id"] for r in near_duplicates.without_near_duplicates(clashing).collect() if r["doc_id"] is not None) == sorted(i for i in ids if i is not None)
     assert near_duplicates.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_similarity_of_a_long_text_and_its_edit():
     rng = np.random.default_rng(4)
-    a = np.unique(rng.integers(0, 2**63, 120_000).astype(np.uint64))
-    rng.shuffle(a)
+    a = rng.integers(0, 5_000, 120_000).astype(np.uint64)
     b = np.delete(a, rng.choice(len(a), 9_000, replace=False))
     assert near_duplicates.similarity(a, b) == pytest.approx(len(b) / len(a))
     assert near_duplicates.similarity(a, b[: len(b) // 2]) == 0
-    assert near_duplicates.sketches(a).shape == (near_duplicates.SKETCHES,)
+
+
+@pytest.mark.parametrize("band, short", [(48, 8_192), (1, 0), (3, 8_192)])
+def test_similarity_is_that_of_a_whole_table(monkeypatch, band, short):
+    monkeypatch.setattr(near_duplicates, "BAND", band)
+    monkeypatch.setattr(near_duplicates, "SHORT", short)
+    rng = random.Random(6)
+    for _ in range(300):
+        a = [rng.randrange(rng.choice([3, 30])) for _ in range(rng.randint(0, 60))]
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            p = rng.randrange(len(b) + 1)
+            b[p : p + rng.randint(0, 2)] = [rng.randrange(30) for _ in range(rng.randint(0, 2))]
+        m = aligned(a, b)
+        want = m / (len(a) + len(b) - m) if a or b else 0.0
+        got = near_duplicates.similarity(np.array(a, np.uint64), np.array(b, np.uint64))
+        assert got == (pytest.approx(want) if want >= 0.8 - 1e-12 else 0.0)
+
+
+def test_near_copies_are_found(spark):
+    """Copies with up to 6 % of their words edited: at least nine of ten are in the class of their original."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(3_000)]
+    rows = []
+    for k in range(150):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(40, 300))]
+        copy = list(base)
+        for _ in range(max(1, int(len(base) * 0.06))):
+            p = rng.randrange(len(copy))
+            copy[p : p + 1] = rng.choice([[], [rng.choice(vocabulary)], [copy[p], rng.choice(vocabulary)]])
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+    found = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[2 * k + 1] == 2 * k for k in range(150)) >= 135
+    assert all(found[2 * k] == 2 * k for k in range(150))
+
+
+def test_null_ids_do_not_multiply(spark):
+    """Rows without an id, and rows of one id, are looked at once each."""
+    rows = [(None if i % 2 else 7, " ".join(f"w{i // 2}x{j}" for j in range(12))) for i in range(3_000)]
+    start = time.time()
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.groupBy("class_size").count().collect() == [(2, 3_000)]
+    assert time.time() - start < 60
 
 
 # Top products
