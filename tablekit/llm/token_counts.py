@@ -1,13 +1,15 @@
 """Token counts by rank-synchronous merging of ragged arrays.
 
-The pre-tokens of a slice are one flat array of symbols with the starts of their rows. In every round each row finds
-its lowest-ranked adjacent pair, all rows merge theirs at once, and rows without a pair leave. What survives are the
-tokens, so the count is a length and no token is ever written out.
+The pre-tokens of a slice, as the library cuts them, are one flat array of symbols with the starts of their rows. In every
+round each row finds its lowest-ranked adjacent pair, all rows merge theirs at once, and rows without a pair leave. What
+survives are the tokens, so the count is a length and no token is ever written out. A row of many bytes would need as many
+rounds as it has ranks: it is merged alone, from a queue of its pairs.
 """
 
 from __future__ import annotations
 
 import json
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,8 @@ from pyspark.sql import DataFrame
 from tablekit.llm.common import documents, map_slices, tokenizer_file, worker_cache
 from tablekit.llm.words import Chunks, CodeIndex, Memo
 
-#: Fixed value: the pre-tokenisation pattern of byte-level BPE.
-BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Bytes of a pre-token up to which it is merged in step with others.
+IN_STEP = 1_024
 
 
 def byte_alphabet() -> list[str]:
@@ -50,17 +52,52 @@ class MergeTable:
         self.byte_id = np.array([vocab[c] for c in byte_alphabet()], dtype=np.int64)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.index = CodeIndex(self.code)
+        self._ranks: dict | None = None
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Index of the merge of each pair, -1 where there is none."""
         return self.index.find(left * self.size + right)
 
+    def ranks(self) -> dict[int, tuple[int, int]]:
+        """Pair code -> (rank, result), made when a long row needs it."""
+        if self._ranks is None:
+            self._ranks = dict(zip(self.code.tolist(), zip(self.rank.tolist(), self.result.tolist())))
+        return self._ranks
+
+
+def merged_alone(table: MergeTable, word: bytes) -> int:
+    """Number of tokens of one long byte string: its pairs wait in a queue by rank and place."""
+    ranks, size = table.ranks(), table.size
+    symbol = table.byte_id[np.frombuffer(word, np.uint8)].tolist()
+    n = len(symbol)
+    after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+    queue = [(found[0], i, symbol[i], symbol[i + 1], found[1]) for i in range(n - 1) if (found := ranks.get(symbol[i] * size + symbol[i + 1]))]
+    heapify(queue)
+    while queue:
+        _, i, left, right, result = heappop(queue)
+        j = after[i]
+        if symbol[i] != left or j < 0 or symbol[j] != right:
+            continue  # one of the two has gone into another merge
+        symbol[i], symbol[j] = result, -1
+        k = after[i] = after[j]
+        n -= 1
+        if k >= 0:
+            before[k] = i
+            if found := ranks.get(result * size + symbol[k]):
+                heappush(queue, (found[0], i, result, symbol[k], found[1]))
+        h = before[i]
+        if h >= 0 and (found := ranks.get(symbol[h] * size + result)):
+            heappush(queue, (found[0], h, symbol[h], result, found[1]))
+    return n
+
 
 def surviving_symbols(table: MergeTable, words: list[bytes]) -> np.ndarray:
     """Number of tokens of each byte string, by merging all of them in step."""
     n = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     counts = n.copy()
-    rows = np.flatnonzero(n > 1)
+    for i in np.flatnonzero(n > IN_STEP).tolist():
+        counts[i] = merged_alone(table, words[i])
+    rows = np.flatnonzero((n > 1) & (n <= IN_STEP))
     flat = table.byte_id[np.frombuffer(b"".join([words[i] for i in rows]), dtype=np.uint8)]
     size = n[rows]
     none = np.int64(1) << 60
@@ -97,14 +134,20 @@ class Counter:
     """Counts the tokens of texts as the library does with special strings recognised."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         self.table = MergeTable(path)
-        self.pattern = regex.compile(BYTE_LEVEL_PATTERN)
+        self.cutter = Tokenizer.from_file(path).pre_tokenizer
         special = sorted(self.table.special, key=len, reverse=True)
         self.split = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.memo = Memo(self.chunk_counts)
 
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of a text, by the library's own tables of letters and numbers."""
+        return [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]
+
     def chunk_counts(self, words: list[str]) -> list[int]:
-        found = [self.pattern.findall(w if w.startswith("\n") else " " + w) for w in words]
+        found = [self.cut(w if w.startswith("\n") else " " + w) for w in words]
         distinct = list(set().union(*found)) if found else []
         known = dict(zip(distinct, surviving_symbols(self.table, [p.encode("utf-8") for p in distinct]).tolist()))
         return [sum(map(known.__getitem__, f)) for f in found]
@@ -118,7 +161,7 @@ class Counter:
         for i in np.flatnonzero(~own.plain).tolist():
             text = texts[i].as_py()
             parts = self.split.split(text) if self.split else [text]
-            odd[i] = [p for part in parts for p in self.pattern.findall(part)]
+            odd[i] = [p for part in parts for p in self.cut(part)]
             out[i] = len(parts) - 1
         distinct = list(set().union(*odd.values()))
         pieces = dict(zip(distinct, surviving_symbols(self.table, [p.encode("utf-8") for p in distinct]).tolist()))

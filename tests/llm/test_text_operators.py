@@ -161,3 +161,24 @@ def test_mixtures_and_texts_without_letters(spark, data):
 @pytest.mark.parametrize("work", [piece_tokens.encode_decode, token_counts.count_tokens, packed_ids.packed_round_trip])
 def test_empty_tables(spark, work):
     assert work(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_token_counts_on_every_code_point():
+    """Letters and numbers are those of the library's own tables."""
+    path = tokenizer_file("byte_bpe_50k.json")
+    library, counter = Tokenizer.from_file(path), token_counts.Counter(path)
+    for a in (*range(0, 0x33800, 8192), 0xE0000):
+        texts = [chr(x) + "贵a" + chr(x) + " " + chr(x) + "1" for x in range(a, a + 8192) if not 0xD800 <= x < 0xE000]
+        assert counter.text_counts(pa.array(texts, pa.string())).tolist() == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("step", [1_024, 4])
+def test_long_words(monkeypatch, step):
+    """Words of many bytes are those of the libraries, in time about in proportion."""
+    monkeypatch.setattr(token_counts, "IN_STEP", step)
+    rng = random.Random(8)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdefghij", "ab", "é🙂x", "A7+/") for n in (5, 300, 5_000, 60_000)]
+    path, model = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    library, pieces = Tokenizer.from_file(path), sentencepiece.SentencePieceProcessor(model_file=model)
+    assert token_counts.Counter(path).text_counts(pa.array(words)).tolist() == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    assert [x.tolist() for x in piece_tokens.PrefixTable(model).encode(pa.array(words))] == pieces.encode(words)
