@@ -75,6 +75,8 @@ class PrefixTable:
             self.length[self.id_of[p]] = len(p)
         self._automaton(usable)
         self._edges(usable, parts, n)
+        self._scalar: tuple[list, list, dict] | None = None
+        self._answers: dict[int, bool] = {}
         self.pair_key = np.full(1 << PAIR_BITS, -1, np.int64)
         self.pair_fits = np.zeros(1 << PAIR_BITS, bool)
         self.memo = Memo(self.encode_chunks)
@@ -196,6 +198,31 @@ class PrefixTable:
             self.pair_fits[at[held]] = answer[held]
         return out
 
+    def fits_alone(self, first: int, second: int) -> bool:
+        """The same for one pair, without arrays: for long words, whose places depend on one another."""
+        code = (first << 20) | second
+        answer = self._answers.get(code)
+        if answer is not None:
+            return answer
+        if self._scalar is None:
+            edges = [[[tuple(x) for x in own if x[0] >= 0] for own in table.tolist()] for table in (self.right, self.left)]
+            self._scalar = *edges, dict(zip(self.merge_code.tolist(), self.merge_turn.tolist()))
+        rights, lefts, turns = self._scalar
+        answer = True
+        for x, made_x, taken_x in rights[first]:
+            for y, made_y, taken_y in lefts[second]:
+                if made_x < taken_y and made_y < taken_x:
+                    turn = turns.get((x << 20) | y)
+                    if turn is not None and turn < taken_x and turn <= taken_y:
+                        answer = False
+                        break
+            if not answer:
+                break
+        if len(self._answers) >= 1 << PAIR_BITS:
+            self._answers.clear()
+        self._answers[code] = answer
+        return answer
+
     def encode_in_step(self, words: list[str]) -> list[bytes]:
         """Ids of short words of known characters, packed as little-endian 32-bit integers."""
         if not words:
@@ -260,7 +287,7 @@ class PrefixTable:
                 continue
             k = e - int(self.length[t])
             before = _START if k < 0 or last[k] == -3 else last[k]
-            if before == _START or before >= 0 and self.fits(np.array([before]), np.array([t]))[0]:
+            if before == _START or before >= 0 and self.fits_alone(before, t):
                 last[e] = t
         out: list[int] = []
         end = len(word) - 1
