@@ -34,7 +34,7 @@ def free_worker_cache() -> None:
     if store:
         store.clear()
         gc.collect()
-        give_back()
+    give_back()
 
 
 def give_back() -> None:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from tablekit.llm.common import col, free_worker_cache, shuffle_width, slices, stored
+from tablekit.llm.common import col, free_worker_cache, give_back, shuffle_width, slices, stored
 from tablekit.llm.minimizers import CORE, REACH, WINDOW, core_hashes, eights, marked, mixed
 from tablekit.llm.suffixes import equal_groups
 
@@ -181,6 +181,7 @@ def answer(width: int) -> Callable:
     """One target of send_hashes: for a bucket of cores what each document shall do; what a task already knew goes on."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         kind = table.column("kind").to_pylist()
         blobs = table.column("blob").to_pylist()
         out = [(t - width, 1, b) for t, k, b in zip(table.column("target").to_pylist(), kind, blobs) if k == 1]
@@ -327,6 +328,7 @@ def sort_shown(width: int) -> Callable:
     """A bucket of shown bytes: kind 0 to groups of documents (row, start, stop) for what a smaller document shows too."""
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         heads, bodies = [], []
         for blob in table.column("blob").to_pylist():
             k = int.from_bytes(blob[:4], "little")
@@ -374,6 +376,7 @@ def finish(names: list[str], texts_out: bool) -> Callable:
     """A group of documents and the pieces they lose: rows with their numbers, or rows with the remaining text."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         row, start, stop = from_blobs(right.column("blob").to_pylist(), 3)
         order = np.lexsort((start, row))
         row, start, stop = row[order], start[order], stop[order]
