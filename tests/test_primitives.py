@@ -96,33 +96,101 @@ def _points(spark, x):
     return spark.createDataFrame([(str(i).zfill(5), [float(v) for v in row]) for i, row in enumerate(x)], "id string, x array<double>")
 
 
-@pytest.mark.parametrize("block,d", [(4_000, 2), (37, 1), (37, 6)])
-def test_knn_join_is_exact(spark, monkeypatch, block, d):
-    monkeypatch.setattr(neighbours, "BLOCK", block)
-    monkeypatch.setattr(neighbours, "CHUNK", block * 2)
-    monkeypatch.setattr(neighbours, "PER_PIVOT", 40)
+def _small_blocks(monkeypatch, block):
+    for name, value in (("BLOCK", block), ("PART", 4 * block), ("ROUND", 2), ("GROW", 3), ("STEP", 29)):
+        monkeypatch.setattr(neighbours, name, value)
+
+
+def _unit(x):
+    norm = np.linalg.norm(x, axis=1)[:, None]
+    return np.divide(x, norm, out=x.copy(), where=norm > 0)
+
+
+def _all_distances(x, metric):
+    if metric == "cosine":
+        return np.square(neighbours.distances(_unit(x), _unit(x))) / 2
+    return neighbours.distances(x, x, metric)
+
+
+def _scattered(d):
     rng = np.random.default_rng(d)
-    x = np.concatenate([rng.normal(size=(300, d)), rng.normal(5, 0.1, size=(100, d)), np.full((150, d), 2.0)])
+    return np.concatenate([rng.normal(size=(300, d)), rng.normal(5, 0.1, size=(100, d)), np.full((150, d), 2.0), np.zeros((2, d))])
+
+
+@pytest.mark.parametrize("block, d, metric", [(4_000, 2, "euclidean"), (37, 1, "euclidean"), (11, 2, "manhattan"), (37, 6, "chebyshev"), (20, 3, "cosine"), (11, 2, "euclidean")])
+def test_knn_join_is_exact(spark, monkeypatch, block, d, metric):
+    if block < 1_000:
+        _small_blocks(monkeypatch, block)
+    x = _scattered(d)
     points = _points(spark, x)
+    full = _all_distances(x, metric)
     for own in (True, False):
-        got = neighbours.knn_join(points, points, 4, exclude_self=own).toPandas()
-        full = neighbours.distances(x, x)
+        got = neighbours.knn_join(points, points, 4, exclude_self=own, metric=metric).toPandas()
+        assert len(got) == 4 * len(x)
         for i in range(0, len(x), 17):
-            row = [(full[i, j], str(j).zfill(5)) for j in range(len(x)) if not (own and i == j)]
+            row = sorted((full[i, j], str(j).zfill(5)) for j in range(len(x)) if not (own and i == j))[:4]
             mine = got[got["id"] == str(i).zfill(5)].sort_values("rank")
-            assert list(zip(mine["distance"], mine["neighbour"])) == sorted(row)[:4]
-
-
-def test_radius_join_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "BLOCK", 50)
-    monkeypatch.setattr(neighbours, "CHUNK", 60)
-    monkeypatch.setattr(neighbours, "PER_PIVOT", 30)
+            assert np.allclose(mine["distance"], [r[0] for r in row], atol=1e-9)
+            if metric != "cosine":
+                assert list(zip(mine["distance"], mine["neighbour"])) == row
+
+
+def test_knn_join_of_other_queries(spark, monkeypatch):
+    """Queries far from all points, fewer points than wanted, no points, no queries, carried text."""
+    _small_blocks(monkeypatch, 7)
+    x = np.random.default_rng(1).normal(size=(60, 2))
+    points = _points(spark, x).withColumn("target", F.concat(F.lit("t"), "id"))
+    queries = _points(spark, np.array([[50.0, 50.0], [0.0, 0.0], [0.0, 0.0]]))
+    got = neighbours.knn_join(queries, points, 3, carry="target").collect()
+    full = neighbours.distances(np.array([[50.0, 50.0], [0.0, 0.0], [0.0, 0.0]]), x)
+    want = [(str(i).zfill(5), r + 1, str(j).zfill(5), f"t{j:05d}") for i in range(3) for r, j in enumerate(np.argsort(full[i])[:3])]
+    assert sorted((r["id"], r["rank"], r["neighbour"], r["target"]) for r in got) == want
+    assert neighbours.knn_join(queries, points, 100).count() == 180
+    assert neighbours.knn_join(queries, points.limit(0), 3).collect() == []
+    assert neighbours.knn_join(queries.limit(0), points, 3).collect() == []
+    with pytest.raises(ValueError):
+        neighbours.knn_join(queries, points, 3, metric="hamming")
+
+
+def test_visits_of_a_query_do_not_grow_with_the_table(spark, monkeypatch):
+    """Points scanned for a query: about the same for ten times the points."""
+    _small_blocks(monkeypatch, 50)
+    scanned = []
+    real = neighbours.Tree._scanned
+
+    def counted(self, visits, pick, schema, all_blocks):
+        scanned.append(visits.join(self.blocks.select("block", "n"), "block").agg(F.sum("n")).first()[0] or 0)
+        return real(self, visits, pick, schema, all_blocks)
+
+    monkeypatch.setattr(neighbours.Tree, "_scanned", counted)
+    each = []
+    for n in (2_000, 20_000):
+        scanned.clear()
+        points = _points(spark, np.random.default_rng(n).uniform(size=(n, 2)))
+        queries = points.filter("id < '00200'")
+        assert neighbours.knn_join(queries, points, 5).count() == 1_000
+        each.append(sum(scanned) / 200)
+    assert each[1] < 2 * each[0] and each[1] < 1_000
+
+
+def test_probes_find_most(spark, monkeypatch):
+    """A search of a few blocks finds at least nine of ten of the nearest."""
+    _small_blocks(monkeypatch, 50)
+    points = _points(spark, np.random.default_rng(7).normal(size=(2_000, 3)))
+    exact = {(r["id"], r["neighbour"]) for r in neighbours.knn_join(points, points, 5).collect()}
+    some = {(r["id"], r["neighbour"]) for r in neighbours.knn_join(points, points, 5, probes=12).collect()}
+    assert len(exact & some) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("metric, radius", [("euclidean", 1.2), ("manhattan", 2.0), ("cosine", 0.1)])
+def test_radius_join_is_exact(spark, monkeypatch, metric, radius):
+    _small_blocks(monkeypatch, 30)
     x = np.random.default_rng(3).normal(size=(400, 5))
     points = _points(spark, x)
-    got = {(r["id"], r["neighbour"]) for r in neighbours.radius_join(points, points, 1.2).collect()}
-    full = neighbours.distances(x, x)
-    expected = {(str(i).zfill(5), str(j).zfill(5)) for i, j in zip(*np.nonzero(full <= 1.2)) if i != j}
-    assert got == expected
+    got = {(r["id"], r["neighbour"]) for r in neighbours.radius_join(points, points, radius, metric).collect()}
+    full = _all_distances(x, metric)
+    expected = {(str(i).zfill(5), str(j).zfill(5)) for i, j in zip(*np.nonzero(full <= radius)) if i != j}
+    assert len(got) > 1_000 and got == expected
 
 
 def test_connected_components(spark):
