@@ -32,6 +32,8 @@ from tablekit.llm.common import col, documents, free_worker_cache, map_slices, s
 SHINGLE, SIMILARITY, SKETCHES, SAMPLED = 5, 0.8, 20, 3
 #: 64-bit words of a signature, and the standard errors below the threshold down to which its estimate is verified.
 SIGNATURE, DOUBT = 16, 4.0
+#: Bits of the field that says which ids may be wanted.
+SIEVE = 1 << 24
 #: Words off the diagonal in the first band of an alignment, and words of a text whose places are held as one number each.
 BAND, SHORT = 48, 8_192
 #: Shingles hashed at a time for the sketches of one document.
@@ -210,7 +212,7 @@ def _signed(df: DataFrame) -> DataFrame:
         words = word_hashes(texts)
         return {"doc_id": batch.column("doc_id"), "node": _nodes(texts, words), "sketches": [sketches(x) for x in labelled_shingles(texts, words)]}
 
-    return map_slices(documents(df), work, "doc_id long, node binary, sketches array<long>")
+    return map_slices(documents(df), work, "doc_id long, node binary, sketches array<long>", most=2_000_000)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -245,6 +247,19 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _sieved(df: DataFrame, name: str, wanted: DataFrame, other: str) -> DataFrame:
+    """df without most rows whose id is not wanted, so that their texts are not shuffled for the join that follows. The
+    wanted ids set bits of a field of SIEVE bits, which is all that is broadcast, however many there are."""
+
+    def bit(c):
+        return F.pmod(F.xxhash64(c), F.lit(SIEVE))
+
+    field = wanted.select(F.shiftright(bit(other), 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({other}), {SIEVE}) % 64 as int))").alias("_bit"))
+    field = field.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = df.join(F.broadcast(field), F.shiftright(bit(name), 6) == F.col("_word"))
+    return held.filter(f"shiftright(_bits, cast(pmod(xxhash64({name}), {SIEVE}) % 64 as int)) & 1 = 1").select(*df.columns)
+
+
 def _texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, text, bits) for the wanted(node, doc_id): one document of each node."""
 
@@ -258,9 +273,9 @@ def _texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # Rows may share an id, or have none: ids only say which rows to look at, the words say which is meant.
     ids = wanted.select(F.col("doc_id").alias("d")).distinct()
-    met = documents(df).join(ids, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    met = _sieved(documents(df), "doc_id", ids, "d").join(ids, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     named = map_slices(met, name, "doc_id long, node binary, text string").join(wanted.select("node").distinct(), "node", "left_semi")
-    signed = map_slices(named.dropDuplicates(["node"]).select("node", "text"), sign, "node binary, text string, bits array<long>")
+    signed = map_slices(named.dropDuplicates(["node"]).select("node", "text"), sign, "node binary, text string, bits array<long>", most=2_000_000)
     return stored(signed, "near-texts")
 
 

@@ -395,4 +395,4 @@ def encode_decode(df: DataFrame, model: str | None = None) -> DataFrame:
             same.append(decoded == text)
         return {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": ids_digest, "decoded_sha256": text_digest, "decoded_same": same}
 
-    return map_slices(documents(df), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_same boolean")
+    return map_slices(documents(df), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_same boolean", most=1_500_000)
