@@ -244,13 +244,40 @@ def diagnose_by_flag(t):
 
 @query("grid_search_tree")
 def grid_search_tree(t):
-    found = search.grid_search(orders(t), "size_class", "decision_tree", models.CLASSIFICATION, FEATURES, KEYS, 2, {"max_depth": [2, 4], "min_samples_split": [2, 5]})
+    found, _ = search.grid_search(orders(t), "size_class", "decision_tree", models.CLASSIFICATION, FEATURES, KEYS)
     return rounded(found.drop("seconds"), 4)
 
 
+STUMP_FOLDS = block_sql(3)
+
+
+@query(
+    "grid_search_stump",
+    f"""with o as (select o.o_orderkey, month(o_orderdate) as x, (month(o_orderdate) + 4 * (o.o_orderkey % 3) > 8)::int as y, fold from orders o join ({STUMP_FOLDS}) f on f.o_orderkey = o.o_orderkey),
+          c as (select k.fold, x, count(*) as n, sum(y) as h from o, (select unnest(range(3)) as fold) k where o.fold <> k.fold group by k.fold, x),
+          s as (select a.fold, a.x as cut, sum(b.n) filter (b.x <= a.x) as nl, sum(b.h) filter (b.x <= a.x) as hl, sum(b.n) filter (b.x > a.x) as nr, sum(b.h) filter (b.x > a.x) as hr
+                from c a join c b using (fold) group by a.fold, a.x having nr > 0),
+          i as (select *, 'gini' as criterion, nl * 2 * (hl / nl) * (1 - hl / nl) + nr * 2 * (hr / nr) * (1 - hr / nr) as impurity from s
+                union all select *, 'entropy', -(case when hl > 0 then hl * ln(hl / nl) else 0 end + case when hl < nl then (nl - hl) * ln(1 - hl / nl) else 0 end
+                  + case when hr > 0 then hr * ln(hr / nr) else 0 end + case when hr < nr then (nr - hr) * ln(1 - hr / nr) else 0 end) from s),
+          best as (select criterion, fold, arg_min(cut, impurity) as cut, arg_min(hl / nl, impurity) as l, arg_min(hr / nr, impurity) as r from i group by all),
+          score as (select criterion, best.fold, avg((((case when x <= cut then l else r end) > 0.5)::int = y)::int) as s from o join best using (fold) group by all),
+          m as (select criterion, avg(s) as mean_score, stddev_pop(s) as std_score from score group by criterion)
+        select cast(rank() over (order by mean_score desc) as integer) as rank, '{{"criterion": "' || criterion || '", "max_depth": 1}}' as params, '' as ignored,
+          {r('mean_score', 5)} as mean_score, {r('std_score', 5)} as std_score from m""",
+)
+def grid_search_stump(t):
+    """Trees of one split on a feature of twelve values, for both criteria: folds, fits and scores have SQL."""
+    month = F.month("o_orderdate")
+    label = F.when(month + 4 * (F.col("o_orderkey") % 3) > 8, "1").otherwise("0")
+    df = t("orders").select("o_orderkey", month.alias("x"), label.alias("y"))
+    found, _ = search.grid_search(df, "y", "decision_tree", models.CLASSIFICATION, ["x"], KEYS, 3, {"criterion": ["gini", "entropy"], "max_depth": [1]})
+    return rounded(found.drop("seconds"), 5)
+
+
 @query("random_search_tree")
 def random_search_tree(t):
-    found = search.random_search(orders(t), "size_class", "decision_tree", models.CLASSIFICATION, FEATURES, KEYS, 2, 3)
+    found, _ = search.random_search(orders(t), "size_class", "decision_tree", models.CLASSIFICATION, FEATURES, KEYS)
     return rounded(found.drop("seconds"), 4)
 
 
@@ -442,6 +469,16 @@ def sampled_shap_forest(t):
     return rounded(explain.shap_summary(explain.sampled_shap(model, df, KEYS, 50, 4)), 3)
 
 
+@query("tree_shap_orders", "select o_orderkey, 2 as outputs, 6 as cells, 0.0::double as gap from orders")
+def tree_shap_orders(t):
+    """Exact Shapley values of every order for a tree without a depth limit: they add up to the output minus its mean."""
+    df = orders(t)
+    model = models.fit(df, "size_class", "decision_tree", models.CLASSIFICATION, FEATURES, {}, KEYS)
+    sums = explain.tree_shap(model, df, KEYS).groupBy("o_orderkey", "output").agg(F.count("*").alias("n"), (F.sum("shap") - F.first("value") + F.first("base")).alias("gap"))
+    whole = sums.groupBy("o_orderkey").agg(F.count("*").cast("int").alias("outputs"), F.sum("n").cast("int").alias("cells"), F.max(F.abs("gap")).alias("gap"))
+    return rounded(whole)
+
+
 @query("local_surrogate_forest")
 def local_surrogate_forest(t):
     df = orders(t)

@@ -1,11 +1,14 @@
 """Models, evaluation, search, clustering, anomalies, series, explanation, streams."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tablekit.functions.neighbours import distances
+from tablekit.functions import trees
 from tablekit.operators import anomaly, arima, cluster, density, evaluate, explain, forecast, govern, models, project, search, smoothing
 from tablekit.operators.sample import split_random, split_stratified
 from tablekit.operators.score import align, score_batch
@@ -110,15 +113,128 @@ def test_learning_curve(tabular):
 
 
 def test_searches(tabular):
-    grid = search.grid_search(tabular, "y", "decision_tree", None, FEATURES, ["id"], 2, {"max_depth": [1, 4], "min_samples_split": [2, 5]})
+    grid, chosen = search.grid_search(tabular, "y", "decision_tree", None, FEATURES, ["id"], 2, {"max_depth": [1, 4], "min_samples_split": [2, 5]})
     best = grid.orderBy("rank").collect()
     assert len(best) == 4 and best[0]["rank"] == best[1]["rank"] == 1 and best[2]["rank"] == 3 and best[0]["ignored"] == "min_samples_split"
-    assert search.random_search(tabular, "y", "knn", None, FEATURES, ["id"], 2, 2).count() == 2
+    assert chosen.params["max_depth"] == 4 and evaluate.score(chosen, tabular) > 0.9
+    assert search.random_search(tabular, "y", "knn", None, FEATURES, ["id"], 2, 2)[0].count() == 2
     trials, model = search.bayesian_search(tabular, "value", "linear", models.REGRESSION, FEATURES, ["id"], 2, 3)
     assert trials.count() == 3 and evaluate.score(model, tabular) > 0.99
     assert [len(list(__import__("itertools").product(*g.values()))) for g in search.GRIDS.values()] == [81, 81, 18, 2, 27, 8, 12]
 
 
+@pytest.mark.parametrize(
+    "name, target, values, params",
+    [
+        ("gradient_boosting", "y", [1, 3, 6], {"max_depth": 2, "subsample": 0.8}),
+        ("gradient_boosting", "value", [2, 5], {"max_depth": 2}),
+        ("gradient_boosting", "three", [1, 4], {"max_depth": 2}),
+        ("decision_tree", "y", [1, 2, 5, None], {}),
+        ("decision_tree", "value", [1, 3], {"min_samples_leaf": 4}),
+    ],
+)
+def test_nested_scores_are_those_of_separate_fits(tabular, name, target, values, params):
+    problem = models.REGRESSION if target == "value" else models.CLASSIFICATION
+    nested = search.NESTED[name]
+    scoring = "neg_mean_absolute_error" if target == "value" else "f1_macro"
+    test, train = tabular.filter("id % 3 = 0"), tabular.filter("id % 3 <> 0").persist()
+    largest = models.fit(train, target, name, problem, FEATURES, {**params, nested: values[-1]}, ["id"])
+    got = search.nested_scores(largest, test, nested, values, scoring)
+    apart = [models.fit(train, target, name, problem, FEATURES, {**params, nested: v}, ["id"]) for v in values]
+    assert got == pytest.approx([search._whole_score(m, test, scoring) for m in apart])
+    assert target == "three" or len(set(got)) > 1
+
+
+def test_forest_prefixes_are_its_first_trees(tabular):
+    model = models.fit(tabular, "three", "random_forest", models.CLASSIFICATION, FEATURES, {"n_estimators": 7, "max_depth": 4}, ["id"])
+    (part,) = trees.tree_parts(tabular.sparkSession, model)
+    rows = model.transform(tabular).orderBy("id").toPandas()
+    x = rows[FEATURES].to_numpy()
+    first, whole = part.outputs(x, [1, 7])
+    assert np.allclose(whole, np.stack(rows["probability"]))
+    assert np.allclose(first, part.value[part.walk(x, 0)])
+
+
+def test_grid_of_a_forest_shares_fits(tabular):
+    grid = search.GRIDS["random_forest"]
+    every = [dict(zip(grid, v)) for v in itertools.product(*grid.values())]
+    trials = search._Trials(tabular, "y", "random_forest", None, FEATURES, ["id"], 2, "kfold", 42, 4)
+    groups = trials.groups([trials.effective(c) for c in every])
+    assert len(every) == 81 and len(groups) == 9 and all(g[2] == [50, 100, 200] for g in groups)
+    small = [dict(c, n_estimators=c["n_estimators"] // 50, max_depth=3) for c in every]
+    scores = trials.run(small)
+    assert trials.fits == 3 * 2 and len(scores) == 81 and min(s[0] for s in scores) > 0.7
+    trials.close()
+
+
+def test_scoring_names(tabular):
+    pairs = {("a", "a"): 4, ("a", "b"): 1, ("b", "a"): 2, ("b", "b"): 3}
+    value = lambda s: search._class_scores(pairs, s)
+    assert value("accuracy") == 0.7 and value("precision") == 0.75 and value("recall") == 0.6
+    assert value("f1") == pytest.approx(2 / 3) and value("balanced_accuracy") == pytest.approx(0.7)
+    assert value("f1_macro") == pytest.approx((8 / 11 + 2 / 3) / 2) and value("recall_weighted") == pytest.approx(0.7)
+    with pytest.raises(ValueError):
+        search.grid_search(tabular, "y", "decision_tree", None, FEATURES, ["id"], 2, {"max_depth": [1]}, scoring="r2")
+    with pytest.raises(ValueError):
+        search._class_scores(pairs | {("c", "c"): 1}, "f1")
+    found, model = search.random_search(tabular, "value", "linear", models.REGRESSION, FEATURES, ["id"], 2, 2, scoring="neg_root_mean_squared_error")
+    best = found.orderBy("rank").first()
+    assert -1e-6 < best["mean_score"] <= 0 and "true" in best["params"] and model.params == {"fit_intercept": True}
+
+
+@pytest.mark.parametrize("name, target, params", [("decision_tree", "y", {"max_depth": 4}), ("random_forest", "three", {"n_estimators": 3, "max_depth": 3}), ("gradient_boosting", "value", {"n_estimators": 3}), ("gradient_boosting", "three", {"n_estimators": 2})])
+def test_tree_shap_is_exact(tabular, name, target, params):
+    """Against all subsets of the three features, and by the sum over the features of every row."""
+    problem = models.REGRESSION if target == "value" else models.CLASSIFICATION
+    model = models.fit(tabular, target, name, problem, FEATURES, params, ["id"])
+    rows = explain.tree_shap(model, tabular, ["id"]).toPandas()
+    outputs = 1 if target == "value" else 3 if target == "three" else 2
+    assert len(rows) == 300 * 3 * outputs
+    sums = rows.groupby(["id", "output"]).agg(shap=("shap", "sum"), base=("base", "first"), value=("value", "first"))
+    assert np.allclose(sums["shap"], sums["value"] - sums["base"])
+    if target != "value":
+        means = sums.reset_index().groupby("output")["value"].mean()
+        assert name != "decision_tree" or np.allclose(means, sums.reset_index().groupby("output")["base"].first())
+    parts = trees.tree_parts(tabular.sparkSession, model)
+    x = tabular.orderBy("id").limit(5).toPandas()[FEATURES].to_numpy()
+
+    def known(part, row, some):
+        """Output with only the features of `some` known."""
+        scale = part.weights / part.weights.sum() if part.mean else part.weights
+
+        def below(node):
+            j = part.feature[node]
+            if j < 0:
+                return part.value[node]
+            a, b = part.left[node], part.right[node]
+            if j in some:
+                return below(a if row[j] <= part.threshold[node] else b)
+            return (part.cover[a] * below(a) + part.cover[b] * below(b)) / part.cover[node]
+
+        return sum(s * below(n) for s, n in zip(scale, part.start))
+
+    for i, row in enumerate(x):
+        for part_at, part in enumerate(parts):
+            for j in range(3):
+                others = [k for k in range(3) if k != j]
+                want = sum(
+                    w * (known(part, row, {*s, j}) - known(part, row, set(s)))
+                    for s, w in [((), 1 / 3), ((others[0],), 1 / 6), ((others[1],), 1 / 6), (tuple(others), 1 / 3)]
+                )
+                own = rows[(rows["id"] == i) & (rows["feature"] == FEATURES[j])]
+                got = own["shap"].to_numpy() if len(parts) == 1 else own[own["output"] == model.classes[part_at]]["shap"].to_numpy()
+                assert np.allclose(sorted(got), sorted(np.atleast_1d(want)))
+
+
+def test_tree_shap_edges(tabular):
+    model = models.fit(tabular, "y", "decision_tree", None, FEATURES, {"max_depth": 2}, ["id"])
+    assert explain.tree_shap(model, tabular.limit(0), ["id"]).collect() == []
+    holes = tabular.limit(3).withColumn("f1", F.lit(None).cast("double"))
+    assert explain.tree_shap(model, holes, ["id"]).count() == 18
+    with pytest.raises(ValueError):
+        explain.tree_shap(models.fit(tabular, "value", "linear", models.REGRESSION, FEATURES, {}, ["id"]), tabular, ["id"])
+
+
 def test_proposer_moves_towards_good_values():
     p = search._Proposer({"x": [0.0, 10.0], "kind": ["a", "b"]}, 0)
     trials = [({"x": float(x), "kind": "a" if x > 5 else "b"}, -abs(x - 8.0)) for x in range(11)] * 2
