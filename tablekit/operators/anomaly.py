@@ -119,6 +119,32 @@ def _prepare(df: DataFrame, features: list[str]):
     return fill, scaler, scaler.transform(fill.transform(copies)), names
 
 
+def _lowest(vectors: DataFrame, n: int, trees: int, sample: int, seed: int, near: bool) -> DataFrame:
+    """(tree, t, h, x): for every tree the rows of vectors(x, h) with its `sample` lowest hashes, and a few more. near: only
+    hashes below what `sample` of n rows stay under by twelve standard deviations, so that little leaves a task."""
+    share = (sample + 12 * sample**0.5 + 64) / max(n, 1)
+    bound = np.uint64(share * 2.0**64) if near and share < 1 else np.uint64(2**64 - 1)
+    salts = np.array([_seed(seed, "tree", t) for t in range(trees)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def keep(batches):
+        held: pd.DataFrame | None = None
+        for batch in batches:
+            h = batch["h"].to_numpy(np.int64).view(np.uint64)
+            for k in range(0, len(h), 4_096):
+                t = (h[k : k + 4_096, None] ^ salts) * np.uint64(0xBF58476D1CE4E5B9)
+                t = (t ^ (t >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+                t ^= t >> np.uint64(29)
+                row, tree = np.nonzero(t <= bound)
+                part = pd.DataFrame({"tree": tree.astype(np.int32), "t": (t[row, tree] >> np.uint64(1)).astype(np.int64), "h": batch["h"].to_numpy()[k + row], "x": batch["x"].to_numpy()[k + row]})
+                held = part if held is None else pd.concat([held, part], ignore_index=True)
+                if len(held) > 4 * sample * trees:
+                    held = held.sort_values(["t", "h"]).groupby("tree").head(sample)
+        if held is not None and len(held):
+            yield held.sort_values(["t", "h"]).groupby("tree").head(sample)
+
+    return vectors.select("h", "x").mapInPandas(keep, "tree int, t long, h long, x array<double>")
+
+
 def fit_isolation_forest(
     df: DataFrame,
     features: list[str] | None,
@@ -128,30 +154,28 @@ def fit_isolation_forest(
     seed: int = 42,
     sample: int = SUBSAMPLE,
 ) -> Detector:
-    """The sample * trees rows that hash lowest (all rows, if fewer) are the pool, and every tree grows on its own hash
-    sample of `sample` rows of it. score = -2 ** (-mean depth / c(sample)); the threshold is the exact contamination
-    quantile."""
+    """Every tree grows on the `sample` rows whose keys hash lowest for it (all rows, if fewer), taken in one pass over the
+    table: a task keeps the lowest rows of each tree, and the tasks' rows are merged per tree. score = -2 ** (-mean depth /
+    c(sample)); the threshold is the exact contamination quantile."""
     features = features or numeric_columns(df, exclude=keys)
     fill, scaler, ready, names = _prepare(df, features)
-    vectors = ready.select(F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in names]).alias("x"), row_hash(keys, seed).alias("h"))
-    n = ready.count()
-    if n > sample * trees:
-        cut = with_hash_cutoffs(vectors, F.col("h"), F.array(F.lit(sample * trees).cast("bigint")))
-        vectors = cut_lineage(cut.filter(F.col("_h") <= F.element_at("_cut", 1)).select("x", "h"))
-    pool = vectors.select("x", "h", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    own = pool.withColumn("t", F.md5(F.concat_ws("~", "h", "tree")))
-    cut = with_hash_cutoffs(own, F.col("t"), F.array(F.lit(min(sample, n)).cast("bigint")), F.col("tree"))
-    drawn = cut.filter(F.col("_h") <= F.element_at("_cut", 1)).select("x", "h", "tree")
+    vectors = ready.select(F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in names]).alias("x"), F.xxhash64(*[col(k) for k in keys], F.lit(seed)).alias("h"))
+    vectors = vectors.persist()
+    n = vectors.count()
+    drawn = _lowest(vectors, n, trees, sample, seed, True)
+    if n > sample and drawn.groupBy("tree").count().filter(F.col("count") < sample).count():
+        drawn = _lowest(vectors, n, trees, sample, seed, False)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        x = _matrix(pdf.sort_values("h")["x"])
+        x = _matrix(pdf.sort_values(["t", "h"])["x"].iloc[:sample])
         feature, cut, left, path = _grow(x, np.random.default_rng(_seed(seed, tree)))
         return pd.DataFrame({"tree": [tree], "rows": [len(x)], "feature": [feature], "cut": [cut], "left": [left], "path": [path]})
 
     schema = "tree int, rows int, feature array<int>, cut array<double>, left array<int>, path array<double>"
     grown = spread(drawn, "tree").groupBy("tree").applyInPandas(grow, schema).orderBy("tree").collect()
-    forest = [(r["feature"], r["cut"], r["left"], r["path"]) for r in grown]
+    vectors.unpersist()
+    forest = [tuple(np.array(r[c]) for c in ("feature", "cut", "left", "path")) for r in grown]
     scale = float(np.mean(average_path([r["rows"] for r in grown]))) or 1.0
     shared = df.sparkSession.sparkContext.broadcast((forest, scale))
 

@@ -431,6 +431,22 @@ def isolation_forest_orders(t):
     return found.summary(df)
 
 
+@query(
+    "isolation_forest_planted",
+    """select count(*) as n_total, count(*) filter (o_orderkey % 211 = 0) as planted, count(*) filter (o_orderkey % 211 = 0) as found,
+         true as within_share from orders""",
+)
+def isolation_forest_planted(t):
+    """Orders moved far from all others, each in its own place: every one is an anomaly, and no more than the share are."""
+    far, key = F.col("o_orderkey") % 211 == 0, F.col("o_orderkey")
+    df = orders(t).select(*KEYS, *[F.when(far, F.col(c) + (i + 1) * (1e7 + key * 100)).otherwise(F.col(c)).alias(c) for i, c in enumerate(FEATURES)])
+    found = anomaly.fit_isolation_forest(df, FEATURES, KEYS, 0.1).transform(df)
+    hit, flagged = F.col("is_anomaly") == 1, F.col("is_anomaly")
+    return found.agg(
+        F.count("*").alias("n_total"), F.count_if(far).alias("planted"), F.count_if(far & hit).alias("found"), (F.sum(flagged) <= 0.1 * F.count("*") + 1).alias("within_share")
+    )
+
+
 @query("isolation_forest_lowest")
 def isolation_forest_lowest(t):
     df = t("events").select("event_id", "value")
