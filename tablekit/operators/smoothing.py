@@ -17,21 +17,52 @@ from tablekit.functions.ordering import with_bucket
 WEIGHTS = [i / 100 for i in range(1, 100)]
 
 
+#: Values of a block of the scan, and cells (values x weights) worked on at once.
+SCAN, CELLS = 64, 1_000_000
+
+
+def _scan(e: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """y with y[i] = q * y[i - 1] + e[i] from y[-1] = 0, for every row of e and its own q.
+
+    Blocks of SCAN values are multiplied by the powers of q below the diagonal; what each block passes on is a recursion of
+    the same kind over the blocks, with q ** SCAN.
+    """
+    rows, n = e.shape
+    size = min(SCAN, n)
+    blocks = -(-n // size) if n else 0
+    if not n:
+        return e
+    lag = np.arange(size)[None, :] - np.arange(size)[:, None]
+    powers = np.where(lag >= 0, q[:, None, None] ** np.maximum(lag, 0), 0.0)
+    padded = np.zeros((rows, blocks * size))
+    padded[:, :n] = e
+    y = np.matmul(padded.reshape(rows, blocks, size), powers)
+    if blocks > 1:
+        carried = _scan(y[:, :-1, -1], q**size)
+        y[:, 1:] += carried[:, :, None] * (q[:, None] ** np.arange(1, size + 1))[:, None, :]
+    return y.reshape(rows, -1)[:, :n]
+
+
 def _fold(values: np.ndarray, weights: np.ndarray):
-    """Level map (a, b) and error quadratic (c0, c1, c2) of a chunk started from level s.
+    """Level map (a, b) and error quadratic (c0, c1, c2) of a chunk started from level s, for every weight.
 
     After the chunk the level is a * s + b; the squared one-step errors add up to c0 - 2 c1 s + c2 s^2.
     """
-    a, b = np.ones_like(weights), np.zeros_like(weights)
-    c0, c1, c2 = (np.zeros_like(weights) for _ in range(3))
-    for x in values:
-        miss = x - b
-        c0 += miss * miss
-        c1 += miss * a
-        c2 += a * a
-        b = b + weights * miss
-        a = a * (1 - weights)
-    return a, b, c0, c1, c2
+    n = len(values)
+    out = np.zeros((5, len(weights)))
+    if not n:
+        out[0] = 1.0
+        return out
+    step = max(1, CELLS // n)
+    for k in range(0, len(weights), step):
+        w = weights[k : k + step]
+        q = 1 - w
+        level = _scan(w[:, None] * values, q)
+        # The level before each value, from a start at zero and as a multiple of the start.
+        miss = values - np.concatenate((np.zeros((len(w), 1)), level[:, :-1]), axis=1)
+        share = q[:, None] ** np.arange(n)
+        out[:, k : k + step] = q**n, level[:, -1], (miss * miss).sum(axis=1), (miss * share).sum(axis=1), (share * share).sum(axis=1)
+    return out
 
 
 def fit_smoothing(data: DataFrame, ties: list[str] = (), weights: list[float] | None = None, rows: int | None = None) -> DataFrame:

@@ -207,6 +207,18 @@ def smoothing_fixed_alpha(t):
     return rounded(fit_smoothing(user_series(t), TIES, [0.3]), 4)
 
 
+@query(
+    "smoothing_fitted_alpha",
+    f"""with {SERIES}, l as (select series, list(value order by pos) as v from s group by series), w as (select series, v, unnest(range(1, 100)) / 100.0::double as alpha from l),
+          f as (select series, alpha, list_reduce(v, lambda c, x: {{'level': c.level + alpha * (x.level - c.level), 'sse': c.sse + (x.level - c.level) * (x.level - c.level)}}) as e
+                from (select series, alpha, list_transform(v, lambda x: {{'level': x, 'sse': 0.0::double}}) as v from w))
+        select series, {r('arg_min(alpha, (round(e.sse, 6), alpha))', 2)} as alpha, {r('min(e.sse)', 3)} as sse from f group by series""",
+)
+def smoothing_fitted_alpha(t):
+    """The weight with the least squared error of 99, for every series."""
+    return rounded(rounded(fit_smoothing(user_series(t), TIES).select("series", "alpha", "sse"), 3).withColumn("alpha", F.round("alpha", 2) + 0.0), 3)
+
+
 @query("forecast_smoothing")
 def forecast_smoothing(t):
     return forecasted(t, "exp_smoothing")

@@ -1,6 +1,7 @@
 """Models, evaluation, search, clustering, anomalies, series, explanation, streams."""
 
 import itertools
+import time
 
 import numpy as np
 import pandas as pd
@@ -434,6 +435,28 @@ def test_smoothing_chunks_do_not_matter(spark):
         assert a["alpha"] == b["alpha"] and a["sse"] == pytest.approx(b["sse"]) and a["level"] == pytest.approx(b["level"])
 
 
+def test_smoothing_scan_is_the_recursion(monkeypatch):
+    rng = np.random.default_rng(2)
+    weights = np.array([0.01, 0.3, 0.99, 1.0])
+    for n in (0, 1, 2, 63, 64, 65, 5_000):
+        values = 100 + rng.normal(size=n).cumsum()
+        a, b, c0, c1, c2 = (np.ones(4), *(np.zeros(4) for _ in range(4)))
+        for x in values:
+            miss = x - b
+            c0, c1, c2 = c0 + miss * miss, c1 + miss * a, c2 + a * a
+            b, a = b + weights * miss, a * (1 - weights)
+        for cells in (1_000_000, 3):
+            monkeypatch.setattr(smoothing, "CELLS", cells)
+            assert np.allclose(smoothing._fold(values, weights), [a, b, c0, c1, c2], rtol=1e-9, atol=1e-12)
+
+
+def test_smoothing_of_a_million_values(spark):
+    data = spark.range(1_000_000).select(F.lit("s").alias("series"), F.col("id").alias("ts"), (F.sin(F.col("id") / 50) + F.col("id") % 7).alias("value"))
+    start = time.time()
+    (row,) = smoothing.fit_smoothing(data).collect()
+    assert 0 < row["alpha"] < 0.2 and time.time() - start < 60
+
+
 def test_stationarity_by_hand_and_by_chunks(spark):
     data = walk(spark, 700)
     for lag in (0, 2):
