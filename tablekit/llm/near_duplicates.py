@@ -247,17 +247,26 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _sieved(df: DataFrame, name: str, wanted: DataFrame, other: str) -> DataFrame:
-    """df without most rows whose id is not wanted, so that their texts are not shuffled for the join that follows. The
-    wanted ids set bits of a field of SIEVE bits, which is all that is broadcast, however many there are."""
+def _sieved(df: DataFrame, name: str, wanted: DataFrame, other: str) -> tuple[DataFrame, DataFrame]:
+    """df as the rows whose id may be wanted, and the rows whose id surely is not: those need no join, and their texts no
+    shuffle. The wanted ids set bits of a field of SIEVE bits, which is all that is broadcast, however many there are."""
 
-    def bit(c):
-        return F.pmod(F.xxhash64(c), F.lit(SIEVE))
+    def place(c: str) -> str:
+        return f"pmod(xxhash64({c}), {SIEVE})"
 
-    field = wanted.select(F.shiftright(bit(other), 6).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64({other}), {SIEVE}) % 64 as int))").alias("_bit"))
-    field = field.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    held = df.join(F.broadcast(field), F.shiftright(bit(name), 6) == F.col("_word"))
-    return held.filter(f"shiftright(_bits, cast(pmod(xxhash64({name}), {SIEVE}) % 64 as int)) & 1 = 1").select(*df.columns)
+    word, bits = _fresh(df, "word", "bits")
+    field = wanted.select(F.expr(f"shiftright({place(other)}, 6)").alias(word), F.expr(f"shiftleft(1L, cast({place(other)} % 64 as int))").alias(bits))
+    field = field.groupBy(word).agg(F.bit_or(bits).alias(bits))
+    held = df.join(F.broadcast(field), F.expr(f"shiftright({place(f'`{name}`')}, 6) = {word}"), "left")
+    is_set = F.expr(f"coalesce(shiftright({bits}, cast({place(f'`{name}`')} % 64 as int)) & 1L, 0L) = 1L")
+    fields = [col(c) for c in df.columns]
+    return held.filter(is_set).select(*fields), held.filter(~is_set).select(*fields)
+
+
+def _fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df has not, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (f"{stem}_{k}" for k in range(len(taken) + 1)) if n not in taken) for stem in stems]
 
 
 def _texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -273,8 +282,9 @@ def _texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # Rows may share an id, or have none: ids only say which rows to look at, the words say which is meant.
     ids = wanted.select(F.col("doc_id").alias("d")).distinct()
-    met = _sieved(documents(df), "doc_id", ids, "d").join(ids, F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    named = map_slices(met, name, "doc_id long, node binary, text string").join(wanted.select("node").distinct(), "node", "left_semi")
+    named = map_slices(_sieved(documents(df), "doc_id", ids, "d")[0], name, "doc_id long, node binary, text string")
+    meant = wanted.select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
+    named = named.join(meant, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     signed = map_slices(named.dropDuplicates(["node"]).select("node", "text"), sign, "node binary, text string, bits array<long>", most=2_000_000)
     return stored(signed, "near-texts")
 
@@ -349,12 +359,17 @@ def without_near_duplicates(df: DataFrame, least: float = SIMILARITY) -> DataFra
     mine = F.col("doc_id").eqNullSafe(F.col("class_id"))
     keep = rows.join(classes, "node").filter(mine).groupBy("component").agg(F.min(F.struct("node", "doc_id")).alias("k"))
     fields = df.columns
-    taken = {c.lower() for c in fields}
-    name, keep_node, keep_id = (next(n for n in (f"{stem}_{k}" for k in range(len(fields) + 1)) if n not in taken) for stem in ("node", "keep_node", "keep_id"))
+    name, keep_node, keep_id = _fresh(df, "node", "keep_node", "keep_id")
     keep = stored(keep.select(F.col("k.node").alias(keep_node), F.col("k.doc_id").alias(keep_id)), "near-kept")
     mine = col("doc_id").cast("long").eqNullSafe(F.col(keep_id))
     if rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        return df.join(keep.select(keep_id), mine).select(*[col(c) for c in fields])
+        # Ids tell rows apart: those that go are fewer than those that stay.
+        kept = F.col("doc_id").eqNullSafe(F.col(keep_id))
+        gone = stored(rows.select("doc_id").join(keep.select(keep_id), kept, "left_anti").withColumnRenamed("doc_id", keep_id), "near-gone")
+        own = df.withColumn(keep_node, col("doc_id").cast("long"))
+        may, stay = _sieved(own, keep_node, gone, keep_id)
+        left = may.join(gone, F.col(keep_node).eqNullSafe(F.col(keep_id)), "left_anti")
+        return left.unionByName(stay).select(*[col(c) for c in fields])
     # Rows share ids: they are told apart by their words.
     ids = keep.select(F.col(keep_id)).distinct()
 

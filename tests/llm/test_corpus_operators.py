@@ -158,6 +158,17 @@ def test_near_duplicates(spark):
     assert near_duplicates.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_one_of_each_class_where_ids_tell_rows_apart(spark, monkeypatch):
+    """Rows without repeated ids, with a field of bits so small that most ids look wanted, and with clashing names."""
+    monkeypatch.setattr(near_duplicates, "SIEVE", 64)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{rng.randrange(500) if i % 3 else 1}x{j if i % 3 == 0 else rng.randrange(900)}" for j in range(30))) for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, "of no id"), (301, None)], "doc_id long, text string").selectExpr("doc_id", "text", "1 as Word_0", "2 as bits_0", "3 as keep_id_0")
+    kept = near_duplicates.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((d is None, d or 0, t or "") for d, t in [*[r for r in rows if r[0] % 3 or r[0] == 0], (None, "of no id"), (301, None)])
+
+
 def test_similarity_of_a_long_text_and_its_edit():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 5_000, 120_000).astype(np.uint64)
