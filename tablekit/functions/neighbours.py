@@ -348,7 +348,7 @@ def _best(d: np.ndarray, k: int) -> np.ndarray:
     return order
 
 
-def _measured(table: DataFrame, metric: str) -> DataFrame:
+def measured(table: DataFrame, metric: str) -> DataFrame:
     """x as the tree takes it: of length 1 for the cosine metric (a zero vector stays zero)."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}; one of {', '.join(METRICS)}")
@@ -368,7 +368,7 @@ def knn_join(
     probes, a query looks at the points of only so many blocks, and may miss some or find fewer than k.
     """
     found = k + 1 if exclude_self else k
-    queries, points = _measured(queries, metric), _measured(points, metric)
+    queries, points = measured(queries, metric), measured(points, metric)
     inner = "euclidean" if metric == "cosine" else metric
     # Of equal points only those with the first ids can be among the nearest of any query.
     order = Window.partitionBy("x").orderBy("id")
@@ -390,7 +390,7 @@ def knn_join(
 
 def radius_join(queries: DataFrame, points: DataFrame, radius: float, metric: str = "euclidean") -> DataFrame:
     """(id, neighbour, distance) for every point within the radius of a query, itself excluded."""
-    queries, points = _measured(queries, metric), _measured(points, metric)
+    queries, points = measured(queries, metric), measured(points, metric)
     cosine = metric == "cosine"
     tree = Tree(points, "euclidean" if cosine else metric)
     places = queries.select(F.col("id").alias("place"), "x")

@@ -356,6 +356,39 @@ def dbscan_customers(t):
     return density.dbscan(customers(t), ["c_custkey"], PLACE, 400.0, 13, scale=False)
 
 
+def dbscan_sql(columns: list[str], distance: str, eps: float, least: int) -> str:
+    """The labels by all pairs: distance is an expression of p.x and q.x lists."""
+    return f"""with recursive p as (select cast(c_custkey as varchar) as id, [{", ".join(columns)}]::double[] as x from customer),
+      e as (select p.id as a, q.id as b from p, p q where {distance} <= {eps}),
+      core as (select a as id from e group by a having count(*) >= {least}),
+      ce as (select a, b from e semi join core on a = core.id where b in (select id from core)),
+      reach as (select id as a, id as b from core union select reach.a, ce.b from reach join ce on reach.b = ce.a),
+      comp as (select a as id, min(b) as first from reach group by a),
+      num as (select first, dense_rank() over (order by first) - 1 as cluster from (select distinct first from comp)),
+      lab as (select id, cluster from comp join num using (first)),
+      border as (select e.a as id, min(cluster) as cluster from e join lab on lab.id = e.b where e.a not in (select id from core) group by e.a)
+    select id, cast(coalesce(lab.cluster, border.cluster, -1) as bigint) as cluster from p left join lab using (id) left join border using (id)"""
+
+
+FIVE = ["c_nationkey * 400.0", "(c_custkey % 7) * 300.0", "c_acctbal", "(c_custkey % 5) * 350.0", "(c_custkey % 3) * 250.0"]
+
+
+@query("dbscan_five_features", dbscan_sql(FIVE, "list_distance(p.x, q.x)", 900.0, 6))
+def dbscan_five_features(t):
+    df = t("customer").select("c_custkey", *[F.expr(f"cast({c} as double)").alias(f"f{i}") for i, c in enumerate(FIVE)])
+    return density.dbscan(df, ["c_custkey"], [f"f{i}" for i in range(5)], 900.0, 6, scale=False)
+
+
+@query("dbscan_manhattan", dbscan_sql(["c_acctbal", "c_nationkey * 400.0"], "abs(p.x[1] - q.x[1]) + abs(p.x[2] - q.x[2])", 450.0, 9))
+def dbscan_manhattan(t):
+    return density.dbscan(customers(t), ["c_custkey"], PLACE, 450.0, 9, scale=False, metric="manhattan")
+
+
+@query("dbscan_chebyshev", dbscan_sql(["c_acctbal", "c_nationkey * 400.0"], "greatest(abs(p.x[1] - q.x[1]), abs(p.x[2] - q.x[2]))", 399.5, 14))
+def dbscan_chebyshev(t):
+    return density.dbscan(customers(t), ["c_custkey"], PLACE, 399.5, 14, scale=False, metric="chebyshev")
+
+
 @query("adaptive_density_customers")
 def adaptive_density_customers(t):
     return density.adaptive_density(customers(t), ["c_custkey"], PLACE, 8).groupBy("cluster").agg(F.count("*").alias("n"))
