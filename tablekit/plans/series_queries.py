@@ -421,6 +421,24 @@ def sessions_window(t):
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})
 
 
+@query(
+    "sessions_stateful_stream",
+    f"with {SESSIONS} select user_id, min(ts) as session_start, max(ts) as last_event, count(*) as n from n group by user_id, session",
+)
+def sessions_stateful_stream(t):
+    """Sessions of a stream of four files, with the state of each user's open sessions: the closed and the still open ones."""
+    events, source, target, state = t("events").select("event_id", "user_id", "ts"), t.scratch("events"), t.scratch("sessions"), t.scratch("sessions-state")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = events.select(at.cast("double").alias("at")).approxQuantile("at", [0.25, 0.5, 0.75], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = events.filter((F.lit(True) if low is None else at > low) & (F.lit(True) if high is None else at <= high))
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = jobs.read_stream(t.spark, source, events.schema, max_files=1)
+    jobs.store_sessions(stream, "user_id", "ts", target, state).awaitTermination()
+    found = t.spark.read.parquet(target).unionByName(jobs.open_sessions(t.spark, state, "user_id"))
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "last_event")})
+
+
 @query("latest_runs_log", "select event_id, user_id, event_type, value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")
 def latest_runs_log(t):
     return latest_runs(t("events"), "user_id", "ts").select("event_id", "user_id", "event_type", "value")

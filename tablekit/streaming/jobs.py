@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tablekit.functions.columns import col, numeric_columns
 from tablekit.functions.ordering import sessions as number_sessions
@@ -45,6 +49,93 @@ def activity_sessions(events: DataFrame, key: str, ts: str, gap: str = "1 hour",
     )
 
 
+class _OpenSessions(StatefulProcessor):
+    """The open sessions of a key: (start, last, n) in microseconds. A timer at last + gap closes what stayed idle; a key keeps
+    only sessions that the watermark has not passed."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "first long, last long, n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        spans = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        before = {last for _, last, _ in spans}
+        for batch in filter(len, rows):
+            spans += [(t, t, 1) for t in batch["micros"].tolist()]
+            spans = self._joined(spans)
+        self.open.put(spans)
+        for last in {last for _, last, _ in spans} - before:
+            self.handle.registerTimer((last + self.gap) // 1_000 + 1)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1_000
+        spans = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        over = [x for x in spans if x[1] + self.gap < now]
+        left = [x for x in spans if x[1] + self.gap >= now]
+        if left:
+            self.open.put(left)
+        else:
+            self.open.clear()
+        yield pd.DataFrame([(*key, *x) for x in over], columns=["key", "first", "last", "n"])
+
+    def _joined(self, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Sessions whose gap is not wider than allowed become one."""
+        out: list[tuple[int, int, int]] = []
+        for first, last, n in sorted(spans):
+            if out and first - out[-1][1] <= self.gap:
+                out[-1] = (out[-1][0], max(out[-1][1], last), out[-1][2] + n)
+            else:
+                out.append((first, last, n))
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def session_stream(events: DataFrame, key: str, ts: str, gap_seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """(key, session_start, last_event, n) of a stream, each session once, when the watermark says that it stayed idle.
+
+    Rows older than the watermark are dropped. A hot key costs the state of its open sessions, not its rows. Needs the RocksDB
+    state store; what is open when the input ends is in open_sessions.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    rows = events.select(col(key).alias("key"), col(ts).cast("timestamp").alias("seen")).withWatermark("seen", late)
+    rows = rows.withColumn("micros", F.unix_micros("seen"))
+    found = rows.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=_OpenSessions(gap_seconds * 1_000_000),
+        outputStructType=f"key {kind}, first long, last long, n long",
+        outputMode="append",
+        timeMode="eventTime",
+    )
+    return _shown(found, key)
+
+
+def store_sessions(events: DataFrame, key: str, ts: str, target: str, checkpoint: str, gap_seconds: int = 3600, late: str = "1 hour"):
+    """Append the closed sessions of a stream to a Parquet folder until the present input is used up."""
+    conf, name = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer = session_stream(events, key, ts, gap_seconds, late).writeStream.format("parquet").outputMode("append")
+        return writer.option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
+
+
+def open_sessions(spark: SparkSession, checkpoint: str, key: str) -> DataFrame:
+    """(key, session_start, last_event, n) of the sessions that a session_stream with this checkpoint holds open."""
+    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    return _shown(state.select("key.key", "list_element.*"), key)
+
+
+def _shown(sessions: DataFrame, key: str) -> DataFrame:
+    return sessions.select(F.col("key").alias(key), F.timestamp_micros("first").alias("session_start"), F.timestamp_micros("last").alias("last_event"), "n")
+
+
 def batch_sessions(
     events: DataFrame, key: str, ts: str, gap_seconds: int = 3600, ties: list[str] = (), rows: int | None = None
 ) -> DataFrame:

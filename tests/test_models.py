@@ -598,3 +598,22 @@ def test_profile_stream_is_idempotent(spark, tmp_path):
         jobs.profile_stream(jobs.read_stream(spark, source, "x double, y double", max_files=2), state, str(tmp_path / attempt)).awaitTermination()
     got = {r["column"]: r for r in jobs.running_profile(spark, state).collect()}
     assert got["x"]["count"] == 100 and got["x"]["std"] == pytest.approx(np.std(np.arange(100), ddof=1)) and got["y"]["null_count"] == 10
+
+
+def test_session_stream_closes_idle_sessions_and_drops_late_rows(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    schema = "who string, at timestamp"
+    hour = lambda h: f"2024-01-01 {int(h):02d}:{int(h * 60 % 60):02d}:00"
+    waves = [
+        [("a", 0), ("a", 0.5), ("b", 0.25)],
+        [("a", 1.25), ("c", 10)],  # the watermark goes to nine
+        [("a", 0.75), ("b", 9.5), ("c", 10.5)],  # the first is late
+        [("d", 20)],
+    ]
+    for wave in waves:
+        spark.createDataFrame([(k, hour(h)) for k, h in wave], "who string, at string").select("who", F.to_timestamp("at").alias("at")).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.read_stream(spark, source, schema, max_files=1)
+        jobs.store_sessions(stream, "who", "at", target, state).awaitTermination()
+    show = lambda df: sorted((r["who"], str(r["session_start"])[11:16], str(r["last_event"])[11:16], r["n"]) for r in df.collect())
+    assert show(spark.read.parquet(target)) == [("a", "00:00", "01:15", 3), ("b", "00:15", "00:15", 1), ("b", "09:30", "09:30", 1), ("c", "10:00", "10:30", 2)]
+    assert show(jobs.open_sessions(spark, state, "who")) == [("d", "20:00", "20:00", 1)]
