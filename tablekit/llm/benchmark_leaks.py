@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tablekit.llm.common import col, documents, give_back, map_slices, shared_folder, slices, stored, worker_cache
+from tablekit.llm.common import col, documents, give_back, map_slices, small_batches, shared_folder, slices, stored, worker_cache
 from tablekit.llm.packed_ids import open_at
 
 K1, B = 1.2, 0.75
@@ -336,4 +336,4 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, threshold: float = THRESH
             yield part.filter(pa.array(clean))
         give_back()
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)

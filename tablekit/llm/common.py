@@ -16,6 +16,8 @@ from tablekit.functions.session import cut_lineage, shared_root
 
 #: Bytes of text that a task holds decoded at once, apart from a single longer text.
 SLICE_BYTES = 6_000_000
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 4_000_000
 
 
 def worker_cache(key: tuple, build: Callable):
@@ -53,8 +55,18 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are of BATCH_BYTES: both the JVM and the worker hold several at a time, and texts
+    are large. A session that has set the size itself keeps it."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name).rstrip("bB") == str(64 << 20):
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns, whatever their names, are left behind."""
+    small_batches(df)
     return df.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
@@ -111,4 +123,4 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["SLICE_BYTES", "col", "cut_lineage", "documents", "free_worker_cache", "give_back", "held_out", "map_slices", "shared_folder", "shuffle_width", "slices", "stored", "tokenizer_file", "worker_cache"]
+__all__ = ["SLICE_BYTES", "col", "cut_lineage", "documents", "free_worker_cache", "give_back", "held_out", "map_slices", "shared_folder", "shuffle_width", "slices", "small_batches", "stored", "tokenizer_file", "worker_cache"]

@@ -15,7 +15,7 @@ import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tablekit.llm.common import col, documents, give_back, held_out, map_slices, slices, worker_cache
+from tablekit.llm.common import col, documents, give_back, held_out, map_slices, small_batches, slices, worker_cache
 
 #: Labelled rows of each class that the dictionaries and the curve are fitted on; their texts count whole, in pieces.
 DICTIONARY_ROWS, CURVE_ROWS = 4_000, 4_000
@@ -155,4 +155,4 @@ def accepted(df: DataFrame, model: QualityModel) -> DataFrame:
             yield part.filter(pa.array(scores >= 0.5))
         give_back()
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from tablekit.llm.common import col, free_worker_cache, give_back, shuffle_width, slices, stored
+from tablekit.llm.common import col, free_worker_cache, give_back, shuffle_width, slices, small_batches, stored
 from tablekit.llm.minimizers import CORE, REACH, WINDOW, core_hashes, eights, marked, mixed
 from tablekit.llm.suffixes import equal_groups
 
@@ -424,7 +424,7 @@ def _removed(df: DataFrame, schema: StructType | str, names: list[str], texts_ou
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    width = shuffle_width(df.sparkSession)
+    width = shuffle_width(small_batches(df).sparkSession)
     plain = df.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("string").alias("text"))
     # Short documents have no window, so only longer ones send or show anything.
     long = plain.filter(F.octet_length("text") >= WINDOW)
