@@ -34,7 +34,8 @@ THRESHOLD, SHINGLE, SHARE = 0.5, 5, 0.8
 SET_ASIDE = 0.45
 #: Postings in a block, items in a shard, bytes of item text in a shard.
 BLOCK, SHARD_ITEMS, SHARD_BYTES = 16, 20_000, 16_000_000
-#: Least step of passages, in white-space words; a passage has two steps, a step at least the longest item.
+#: Least step of passages, in white-space words. A passage has two steps; an item is looked for in passages whose step is
+#: the least power of two times STEP that it fits in, whatever other items there are.
 STEP = 64
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.!?…。？！])\s+|\n+")
@@ -63,11 +64,11 @@ def shingles(tokens: list[str]) -> set[tuple]:
 class Index:
     """Postings with relative impacts of some items (item_id, text); items without words are left out.
 
-    weighed is (number of items, their mean length, the longest one in white-space words, items by word) over the whole
-    benchmark that the items are a shard of; without it they are all of it.
+    weighed is (number of items, their mean length, items by word) over the whole benchmark that the items are a shard of;
+    without it they are all of it.
     """
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, weighed: tuple[int, float, int, dict[str, int]] | None = None):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, weighed: tuple[int, float, dict[str, int]] | None = None):
         self.threshold = threshold
         kept = [(i, t, Counter(words(t))) for i, t in items]
         kept = [x for x in kept if x[2]]
@@ -76,9 +77,9 @@ class Index:
         self.sizes = [tuple(min(SHINGLE, len(p)) for p in question_and_answer(t)) for _, t, _ in kept]
         own_df = Counter(w for _, _, c in kept for w in c)
         if weighed is None:
-            weighed = len(kept), sum(sum(c.values()) for _, _, c in kept) / max(len(kept), 1), max([0, *(len(t.split()) for _, t, _ in kept)]), own_df
-        n, mean, longest, df = weighed
-        self.step = max(STEP, longest)
+            weighed = len(kept), sum(sum(c.values()) for _, _, c in kept) / max(len(kept), 1), own_df
+        n, mean, df = weighed
+        step = np.array([step_of(len(t.split())) for _, t, _ in kept], np.int64)
         self.vocab = {w: k for k, w in enumerate(sorted(own_df, key=lambda w: (-df[w], w)))}
         postings: list[list[tuple[int, float]]] = [[] for _ in self.vocab]
         common = np.zeros(len(kept))
@@ -104,9 +105,15 @@ class Index:
         self.lasts = [[p[min(k + BLOCK, len(p)) - 1] for k in range(0, len(p), BLOCK)] for p in self.items]
         self.block_highest = [[max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for x in self.impacts]
         size = np.array([len(p) for p in self.items], np.int64)
-        self.begin = np.concatenate(([0], np.cumsum(size)))
-        self.flat_items = np.array([i for p in self.items for i in p], np.int64)
-        self.flat_impacts = np.array([x for p in self.impacts for x in p])
+        flat_items = np.array([i for p in self.items for i in p], np.int64)
+        flat_impacts = np.array([x for p in self.impacts for x in p])
+        flat_term = np.repeat(np.arange(len(size)), size)
+        # The postings of the items of each step: where those of a term begin, items and impacts; and the items.
+        self.by_step = {}
+        for own in sorted(set(step.tolist())):
+            mine = step[flat_items] == own
+            begin = np.concatenate(([0], np.cumsum(np.bincount(flat_term[mine], minlength=len(size)))))
+            self.by_step[own] = begin, flat_items[mine], flat_impacts[mine], set(np.flatnonzero(step == own).tolist())
 
     def retrieve(self, terms: list[int]) -> list[tuple[int, float]]:
         """(item, score) of all items whose score for a set of terms reaches the threshold, by block-max WAND."""
@@ -180,14 +187,22 @@ class Index:
         count = np.fromiter(map(len, terms_of), np.int64, len(terms_of))
         first = np.cumsum(count) - count
         flat = np.array([t for own in terms_of for t in own], np.int64)
-        # One row per index word in the texts: its term, its place, and the two passages that hold the place.
+        # One row per index word in the texts: its term and its place.
         n = count[chunk]
         at = np.repeat(np.arange(len(chunk)), n)
         term = flat[np.repeat(first[chunk], n) + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)]
+        for step in self.by_step:
+            self._leaks_of(step, texts, edge, at, term, out)
+        return out
+
+    def _leaks_of(self, step: int, texts: pa.Array, edge: np.ndarray, at: np.ndarray, term: np.ndarray, out: list[dict[int, float]]) -> None:
+        """Add what passages of this step hold of the items that go with it."""
+        begin, flat_items, flat_impacts, mine = self.by_step[step]
         text = np.searchsorted(edge, at, "right") - 1
-        steps = (np.diff(edge) + self.step - 1) // self.step
+        steps = (np.diff(edge) + step - 1) // step
         base = np.cumsum(steps) - steps
-        later = base[text] + (at - edge[text]) // self.step
+        # Two passages hold a place.
+        later = base[text] + (at - edge[text]) // step
         inner = later > base[text]
         passage = np.concatenate((later, later[inner] - 1))
         terms = np.concatenate((term, term[inner]))
@@ -195,31 +210,35 @@ class Index:
         passage, terms = pair // len(self.vocab), pair % len(self.vocab)
         rare = terms >= self.common
         p, t = passage[rare], terms[rare]
-        size = self.begin[t + 1] - self.begin[t]
-        posting = np.repeat(self.begin[t] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        item = self.flat_items[posting]
+        size = begin[t + 1] - begin[t]
+        posting = np.repeat(begin[t] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        item = flat_items[posting]
         got, where = np.unique(np.repeat(p, size) * len(self.ids) + item, return_inverse=True)
-        total = np.bincount(where, weights=self.flat_impacts[posting], minlength=len(got))
+        total = np.bincount(where, weights=flat_impacts[posting], minlength=len(got))
         asked = np.unique(got[total >= self.need[got % len(self.ids)]] // len(self.ids))
         if not len(asked):
-            return out
+            return
         own_text = np.searchsorted(base, asked, "right") - 1
         # Texts without words share a base with the next one; the last of them is the one that has passages.
         a, b = np.searchsorted(passage, asked), np.searchsorted(passage, asked, "right")
         plain = {}
         for k, d, x, y in zip(asked.tolist(), own_text.tolist(), a.tolist(), b.tolist()):
-            hits = self.retrieve(terms[x:y].tolist())
+            hits = [h for h in self.retrieve(terms[x:y].tolist()) if h[0] in mine]
             if not hits:
                 continue
             if d not in plain:
                 plain = {d: texts[d].as_py().split()}
-            start = (k - int(base[d])) * self.step
-            tokens = words(" ".join(plain[d][start : start + 2 * self.step]))
+            start = (k - int(base[d])) * step
+            tokens = words(" ".join(plain[d][start : start + 2 * step]))
             for i, score in hits:
                 key = self.ids[i]
                 if score > out[d].get(key, 0.0) and self.overlaps(i, tokens):
                     out[d][key] = score
-        return out
+
+
+def step_of(n: int) -> int:
+    """The step of the passages in which an item of n white-space words is looked for."""
+    return STEP << max(0, (max(n, 1) - 1) // STEP).bit_length()
 
 
 def shards(benchmark: DataFrame, threshold: float = THRESHOLD) -> list[str]:
@@ -241,19 +260,18 @@ def shards(benchmark: DataFrame, threshold: float = THRESHOLD) -> list[str]:
 
         shard, held, size = TaskContext.get().partitionId() << 32, 0, 0
         for part in slices(batches):
-            placed, n_words, n_chunks = [], [], []
+            placed, n_words = [], []
             for text in part.column("text").to_pylist():
                 if held >= most_items or size >= most_bytes:
                     shard, held, size = shard + 1, 0, 0
                 held, size = held + 1, size + len(text.encode("utf-8"))
                 placed.append(shard)
                 n_words.append(len(words(text)))
-                n_chunks.append(len(text.split()))
-            yield pa.RecordBatch.from_pydict({"shard": pa.array(placed, pa.int64()), "item_id": part.column("item_id"), "text": part.column("text"), "n_words": pa.array(n_words, pa.int64()), "n_chunks": pa.array(n_chunks, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(placed, pa.int64()), "item_id": part.column("item_id"), "text": part.column("text"), "n_words": pa.array(n_words, pa.int64())})
 
     apart = F.pmod(F.xxhash64("item_id", "text"), F.lit(wide)).cast("int")
-    items = stored(rows.repartitionById(wide, apart).mapInArrow(place, "shard long, item_id long, text string, n_words long, n_chunks long"), "leaks-items").filter("n_words > 0")
-    n, mean, longest = items.agg(F.count("*"), F.avg("n_words"), F.max("n_chunks")).first()
+    items = stored(rows.repartitionById(wide, apart).mapInArrow(place, "shard long, item_id long, text string, n_words long"), "leaks-items").filter("n_words > 0")
+    n, mean = items.agg(F.count("*"), F.avg("n_words")).first()
 
     def tally(part: pa.RecordBatch) -> dict:
         found = Counter((s, w) for s, t in zip(part.column("shard").to_pylist(), part.column("text").to_pylist()) for w in set(words(t)))
@@ -266,7 +284,7 @@ def shards(benchmark: DataFrame, threshold: float = THRESHOLD) -> list[str]:
 
     def build(own: pa.Table, df: pa.Table) -> pa.Table:
         known = dict(zip(df.column("word").to_pylist(), df.column("df").to_pylist()))
-        index = Index(sorted(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist())), threshold, (n, mean, longest, known))
+        index = Index(sorted(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist())), threshold, (n, mean, known))
         # Only the name that a finished task returns is read; what a lost one wrote has another name.
         path = f"{folder}/{uuid.uuid4().hex}.index"
         system, name = open_at(path)
@@ -278,7 +296,7 @@ def shards(benchmark: DataFrame, threshold: float = THRESHOLD) -> list[str]:
     return [r["path"] for r in items.groupBy("shard").cogroup(df.groupBy("shard")).applyInArrow(build, "path string").collect()]
 
 
-_FIELDS = ("threshold", "ids", "parts", "sizes", "step", "vocab", "common", "need", "items", "impacts", "highest", "lasts", "block_highest", "begin", "flat_items", "flat_impacts")
+_FIELDS = ("threshold", "ids", "parts", "sizes", "vocab", "common", "need", "items", "impacts", "highest", "lasts", "block_highest", "by_step")
 
 
 def _read(path: str) -> Index:

@@ -305,7 +305,7 @@ def test_leak_scores_do_not_depend_on_shards(spark, monkeypatch):
     items = [(i, f"first{i} {part(19)}. {part(20)}") for i in range(12)] + [(12, f"{part(150)}. {part(50)}")]
     items += [(3, f"other3 {part(19)}. {part(20)}")]
     cut = lambda text: text.split(" ", 1)[1]
-    docs = [(i, cut(t)) for i, t in items[:13]] + [(20, f"{cut(items[1][1])} {'x ' * 140} first1"), (21, cut(items[3][1]) + " . " + items[-1][1])]
+    docs = [(i, cut(t)) for i, t in items[:13]] + [(20, f"{cut(items[1][1])} {'x ' * 40} first1"), (21, cut(items[3][1]) + " . " + items[-1][1])]
     df, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     index, expected = benchmark_leaks.Index(sorted(items)), {}
     for d, t in docs:
@@ -317,6 +317,23 @@ def test_leak_scores_do_not_depend_on_shards(spark, monkeypatch):
         assert {r["doc_id"]: (r["items"], r["score"]) for r in benchmark_leaks.leaks(df, benchmark).collect()} == expected
 
 
+def test_a_long_item_does_not_change_what_others_are_found_in(spark):
+    """Question and answer 300 words apart are no leak of a short item, whether the benchmark has a long one or not."""
+    rng = random.Random(9)
+    part = lambda n: " ".join(f"r{rng.randrange(4000)}" for _ in range(n))
+    short, long = [(i, f"{part(20)}. {part(12)}.") for i in range(6)], [(50, f"{part(6_000)}. {part(100)}.")]
+    question, answer = short[2][1].split(". ")
+    docs = [(0, short[1][1]), (1, f"{question} {'x ' * 300} {answer}"), (2, f"{'y ' * 500} {long[0][1]}"), (3, "nothing here"), (4, f"{'z ' * 63} {short[3][1]}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for items, found in ((short, {0: [1], 1: [], 2: [], 3: [], 4: [3]}), (short + long, {0: [1], 1: [], 2: [50], 3: [], 4: [3]})):
+        got = benchmark_leaks.leaks(df, spark.createDataFrame(items, "item_id long, text string"))
+        assert {r["doc_id"]: r["items"] for r in got.collect()} == found
+
+
+def test_steps_follow_from_the_item():
+    assert [benchmark_leaks.step_of(n) for n in (0, 1, 64, 65, 128, 129, 256, 257)] == [64, 64, 64, 128, 128, 256, 256, 512]
+
+
 # URL lists
 
 
