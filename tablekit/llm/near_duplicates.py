@@ -282,7 +282,7 @@ def _texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # Rows may share an id, or have none: ids only say which rows to look at, the words say which is meant.
     ids = wanted.select(F.col("doc_id").alias("d")).distinct()
-    named = map_slices(_sieved(documents(df), "doc_id", ids, "d")[0], name, "doc_id long, node binary, text string")
+    named = map_slices(_sieved(documents(df), "doc_id", ids, "d")[0], name, "doc_id long, node binary, text string", most=2_000_000)
     meant = wanted.select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
     named = named.join(meant, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
     signed = map_slices(named.dropDuplicates(["node"]).select("node", "text"), sign, "node binary, text string, bits array<long>", most=2_000_000)

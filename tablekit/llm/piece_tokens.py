@@ -27,6 +27,8 @@ from tablekit.llm.words import Chunks, CodeIndex, Memo
 SPACE = "▁"
 #: Words up to this length are filled in step; longer ones one by one.
 IN_STEP = 64
+#: Distinct chunks a worker remembers in each of two generations; about 40 MB in all.
+REMEMBER = 100_000
 #: Slots of the memory of pair answers.
 PAIR_BITS = 20
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
@@ -79,7 +81,7 @@ class PrefixTable:
         self._answers: dict[int, bool] = {}
         self.pair_key = np.full(1 << PAIR_BITS, -1, np.int64)
         self.pair_fits = np.zeros(1 << PAIR_BITS, bool)
-        self.memo = Memo(self.encode_chunks)
+        self.memo = Memo(self.encode_chunks, REMEMBER)
 
     def _merge(self, symbols: list[str]) -> list:
         """Plain merging of a short list by turn, leftmost first; a whole piece is returned as its two last parts."""
@@ -395,4 +397,4 @@ def encode_decode(df: DataFrame, model: str | None = None) -> DataFrame:
             same.append(decoded == text)
         return {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": ids_digest, "decoded_sha256": text_digest, "decoded_same": same}
 
-    return map_slices(documents(df), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_same boolean", most=1_500_000)
+    return map_slices(documents(df), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_same boolean", most=1_000_000)
