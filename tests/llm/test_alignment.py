@@ -9,6 +9,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
+import __spark_entry__ as entry
 from tablekit.llm import alignment
 from tablekit.llm.token_counts import byte_alphabet
 
@@ -92,3 +93,9 @@ def test_pieces_lose_only_single_spaces():
     text = "ab cd  ef\tgh i j " * 50
     for most in (1, 7, 100):
         assert " ".join(alignment.pieces(text, most)) == text
+
+
+def test_query_against_brute_force(spark, data):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    got = entry.queries()["op12_cross_alignment"](spark, data)
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute(rows)

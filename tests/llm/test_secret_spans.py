@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import __spark_entry__ as entry
 from tablekit.llm import secret_spans as S
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -126,3 +127,9 @@ def test_fit_from_a_table(spark):
 def test_first_look_agrees_with_patterns():
     some = [t or "" for _, t in texts()]
     assert S.all_base_spans(pa.array(some)) == [S.base_spans(t) for t in some]
+
+
+def test_query_against_brute_force(spark, data):
+    want = {r["doc_id"]: brute(r["text"])[:2] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = {r.doc_id: ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) for r in entry.queries()["op13_secret_spans"](spark, data).collect()}
+    assert got == {d: tuple(x) for d, x in want.items()} and any(sum(n) for n, _ in got.values())
