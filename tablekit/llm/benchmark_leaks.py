@@ -338,7 +338,7 @@ def leaks(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
             "score": [max(f.values(), default=0.0) for f in found],
         }
 
-    return map_slices(documents(df), work, schema, most=1_500_000)
+    return map_slices(documents(df), work, schema, most=1_000_000)
 
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -346,7 +346,7 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, threshold: float = THRESH
     paths = shards(benchmark, threshold)
 
     def run(batches):
-        for part in slices(batches, most=1_500_000):
+        for part in slices(batches, most=1_000_000):
             texts = pc.fill_null(part.column("text"), "")
             clean = np.ones(part.num_rows, bool)
             for path in paths:

@@ -37,7 +37,7 @@ SIEVE = 1 << 24
 #: Words off the diagonal in the first band of an alignment, and words of a text whose places are held as one number each.
 BAND, SHORT = 48, 8_192
 #: Shingles hashed at a time for the sketches of one document.
-_BLOCK = 1 << 16
+_BLOCK = 1 << 14
 _WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20_240)
 #: One odd factor and one term per sketch: multiply-add hashing of 64-bit labels.
@@ -116,8 +116,8 @@ def sketches(labels: np.ndarray) -> np.ndarray:
 def signature(labels: np.ndarray) -> np.ndarray:
     """One bit for each of 64 * SIGNATURE minwise hashes, packed in 64-bit words."""
     least = None
-    for k in range(0, len(labels), 1 << 12):
-        part = (labels[k : k + (1 << 12), None] * BIT_FACTORS).min(axis=0)
+    for k in range(0, len(labels), 1 << 10):
+        part = (labels[k : k + (1 << 10), None] * BIT_FACTORS).min(axis=0)
         least = part if least is None else np.minimum(least, part)
     bits = np.zeros(64 * SIGNATURE, bool) if least is None else (_mix(least) & np.uint64(1)).astype(bool)
     return np.packbits(bits).view("<i8")
@@ -212,7 +212,7 @@ def _signed(df: DataFrame) -> DataFrame:
         words = word_hashes(texts)
         return {"doc_id": batch.column("doc_id"), "node": _nodes(texts, words), "sketches": [sketches(x) for x in labelled_shingles(texts, words)]}
 
-    return map_slices(documents(df), work, "doc_id long, node binary, sketches array<long>", most=2_000_000)
+    return map_slices(documents(df), work, "doc_id long, node binary, sketches array<long>", most=1_000_000)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -220,7 +220,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices([batch], "text_a", 3_000_000):
+            for part in slices([batch], "text_a", 1_000_000):
                 seen: dict[bytes, int] = {}
                 rows = []
                 for side in ("a", "b"):
@@ -282,10 +282,10 @@ def _texts(df: DataFrame, wanted: DataFrame) -> DataFrame:
 
     # Rows may share an id, or have none: ids only say which rows to look at, the words say which is meant.
     ids = wanted.select(F.col("doc_id").alias("d")).distinct()
-    named = map_slices(_sieved(documents(df), "doc_id", ids, "d")[0], name, "doc_id long, node binary, text string", most=2_000_000)
+    named = map_slices(_sieved(documents(df), "doc_id", ids, "d")[0], name, "doc_id long, node binary, text string", most=1_000_000)
     meant = wanted.select(F.col("node").alias("n"), F.col("doc_id").alias("d"))
     named = named.join(meant, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    signed = map_slices(named.dropDuplicates(["node"]).select("node", "text"), sign, "node binary, text string, bits array<long>", most=2_000_000)
+    signed = map_slices(named.dropDuplicates(["node"]).select("node", "text"), sign, "node binary, text string, bits array<long>", most=1_000_000)
     return stored(signed, "near-texts")
 
 

@@ -27,8 +27,8 @@ from tablekit.llm.words import Chunks, CodeIndex, Memo
 SPACE = "▁"
 #: Words up to this length are filled in step; longer ones one by one.
 IN_STEP = 64
-#: Distinct chunks a worker remembers in each of two generations; about 40 MB in all.
-REMEMBER = 100_000
+#: Distinct chunks a worker remembers in each of two generations; about 25 MB in all.
+REMEMBER = 60_000
 #: Slots of the memory of pair answers.
 PAIR_BITS = 20
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6

@@ -141,7 +141,7 @@ def score_quality(df: DataFrame, model: QualityModel) -> DataFrame:
         scores = QualityModel(*sent.value).scores(batch.column("text"))
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": scores, "predicted": (scores >= 0.5).astype(np.int32)}
 
-    return map_slices(documents(df).withColumn("held_out", held_out(F.col("doc_id"))), work, "doc_id long, held_out boolean, score double, predicted int", most=2_000_000)
+    return map_slices(documents(df).withColumn("held_out", held_out(F.col("doc_id"))), work, "doc_id long, held_out boolean, score double, predicted int", most=1_000_000)
 
 
 def accepted(df: DataFrame, model: QualityModel) -> DataFrame:
@@ -150,7 +150,7 @@ def accepted(df: DataFrame, model: QualityModel) -> DataFrame:
     sent = df.sparkSession.sparkContext.broadcast((model.good, model.bad, model.weights))
 
     def run(batches):
-        for part in slices(batches, most=2_000_000):
+        for part in slices(batches, most=1_000_000):
             scores = QualityModel(*sent.value).scores(pa.compute.fill_null(part.column("text"), ""))
             yield part.filter(pa.array(scores >= 0.5))
         give_back()

@@ -34,9 +34,9 @@ from tablekit.llm.minimizers import CORE, REACH, WINDOW, core_hashes, eights, ma
 from tablekit.llm.suffixes import equal_groups
 
 #: Bytes of text hashed at once, and bytes of text in a round, within which equal hashes are sent once.
-SLICE, ROUND = 1_500_000, 10_000_000
+SLICE, ROUND = 1_000_000, 6_000_000
 #: Bytes asked for that a group of documents gathers before they leave.
-SHOWN = 10_000_000
+SHOWN = 6_000_000
 #: Different surroundings of a core from which on single windows are sent.
 MANY = 1_024
 #: A null id is greater than every other.
