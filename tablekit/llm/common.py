@@ -66,7 +66,6 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns, whatever their names, are left behind."""
-    small_batches(df)
     return df.select(col(id_col).cast("long").alias("doc_id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tablekit.functions.components import connected_components
-from tablekit.llm.common import col, documents, free_worker_cache, map_slices, slices, stored
+from tablekit.llm.common import col, documents, free_worker_cache, map_slices, slices, small_batches, stored
 
 #: Words in a shingle, least similarity, sketches of a document, labelled shingles in a sketch.
 SHINGLE, SIMILARITY, SKETCHES, SAMPLED = 5, 0.8, 20, 3
@@ -212,7 +212,7 @@ def _signed(df: DataFrame) -> DataFrame:
         words = word_hashes(texts)
         return {"doc_id": batch.column("doc_id"), "node": _nodes(texts, words), "sketches": [sketches(x) for x in labelled_shingles(texts, words)]}
 
-    return map_slices(documents(df), work, "doc_id long, node binary, sketches array<long>", most=1_000_000)
+    return map_slices(documents(small_batches(df)), work, "doc_id long, node binary, sketches array<long>", most=1_000_000)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:

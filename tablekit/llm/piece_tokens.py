@@ -21,7 +21,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from tablekit.llm.common import documents, map_slices, tokenizer_file, worker_cache
+from tablekit.llm.common import documents, map_slices, small_batches, tokenizer_file, worker_cache
 from tablekit.llm.words import Chunks, CodeIndex, Memo
 
 SPACE = "▁"
@@ -397,4 +397,4 @@ def encode_decode(df: DataFrame, model: str | None = None) -> DataFrame:
             same.append(decoded == text)
         return {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": ids_digest, "decoded_sha256": text_digest, "decoded_same": same}
 
-    return map_slices(documents(df), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_same boolean", most=1_000_000)
+    return map_slices(documents(small_batches(df)), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_same boolean", most=1_000_000)
