@@ -46,13 +46,14 @@ def _carry(df: DataFrame, keys: list[str], per_bucket: dict[str, Column], carrie
     return df.join(table, condition, "left").drop(*[f"_k_{c}" for c in names])
 
 
-def _over_buckets(keys: list[str]):
-    return Window.partitionBy(*([col(k) for k in keys] or [F.lit(0)])).orderBy("_bucket")
+def _over_buckets(keys: list[str], backward: bool = False):
+    return Window.partitionBy(*([col(k) for k in keys] or [F.lit(0)])).orderBy(F.desc("_bucket") if backward else "_bucket")
 
 
-def _over_rows(keys: list[str], ties: list[str]):
+def _over_rows(keys: list[str], ties: list[str], backward: bool = False):
     group = [*[col(k) for k in keys], F.col("_bucket")]
-    return Window.partitionBy(*group).orderBy(F.col("_ord"), *[col(t) for t in ties])
+    order = [F.col("_ord"), *[col(t) for t in ties]]
+    return Window.partitionBy(*group).orderBy(*[c.desc() for c in order] if backward else order)
 
 
 def with_position(
@@ -77,24 +78,23 @@ def fill_along(
     backward: bool = False,
     rows: int | None = None,
 ) -> DataFrame:
-    """Forward (or backward) fill of nulls along order_by inside each key."""
+    """Forward (or backward) fill of nulls along order_by inside each key.
+
+    Backward runs forward over the reverse order: a frame that ends at the current row grows by a row at a time, one that
+    starts there is read anew for every row.
+    """
     df, buckets = with_bucket(df, order_by, rows)
-    if backward:
-        nearest, pick = F.first, F.min_by
-        inside = _over_rows(keys, ties).rowsBetween(0, Window.unboundedFollowing)
-        beyond = _over_buckets(keys).rowsBetween(1, Window.unboundedFollowing)
-    else:
-        nearest, pick = F.last, F.max_by
-        inside = _over_rows(keys, ties).rowsBetween(Window.unboundedPreceding, 0)
-        beyond = _over_buckets(keys).rowsBetween(Window.unboundedPreceding, -1)
-    filled = {c: nearest(col(c), ignorenulls=True).over(inside) for c in names}
+    pick = F.min_by if backward else F.max_by
+    inside = _over_rows(keys, ties, backward).rowsBetween(Window.unboundedPreceding, 0)
+    beyond = _over_buckets(keys, backward).rowsBetween(Window.unboundedPreceding, -1)
+    filled = {c: F.last(col(c), ignorenulls=True).over(inside) for c in names}
     if buckets > 1:
         place = F.struct(F.col("_ord"), *[col(t) for t in ties])
         df = _carry(
             df,
             keys,
             {f"_v{i}": pick(col(c), F.when(col(c).isNotNull(), place)) for i, c in enumerate(names)},
-            {f"_c{i}": nearest(F.col(f"_v{i}"), ignorenulls=True).over(beyond) for i in range(len(names))},
+            {f"_c{i}": F.last(F.col(f"_v{i}"), ignorenulls=True).over(beyond) for i in range(len(names))},
         )
         filled = {c: F.coalesce(v, F.col(f"_c{i}")) for i, (c, v) in enumerate(filled.items())}
     return df.withColumns(filled).drop("_ord", "_bucket", *[f"_c{i}" for i in range(len(names))])

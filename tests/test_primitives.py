@@ -86,6 +86,21 @@ def test_fill_without_keys(spark):
     assert [r["v"] for r in got] == [float(i - i % 4) for i in range(1_000)]
 
 
+def test_backward_fill_reads_each_row_once(spark):
+    """A frame from the current row on is read anew for every row; the fill runs over the reverse order instead."""
+    data = [(i, None if i % 7 == 0 else i // 3, None if i % 5 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, t int, v double").repartition(5)
+    got = ordering.fill_along(df, ["v"], [], "t", ["id"], backward=True)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    expected, later = {}, None
+    for i, _, v in sorted(data, key=lambda x: (-1 if x[1] is None else x[1], x[0]), reverse=True):
+        later = later if v is None else v
+        expected[i] = later
+    for rows in (None, 60):
+        cut = ordering.fill_along(df, ["v"], [], "t", ["id"], backward=True, rows=rows)
+        assert {r["id"]: r["v"] for r in cut.collect()} == expected
+
+
 def test_number_rows(spark):
     df = spark.range(1_000).select((F.col("id") * 7 % 1_000).alias("x"))
     got = ordering.number_rows(df, ["x"], "n").collect()
