@@ -102,7 +102,8 @@ def smote(df: DataFrame, keys: list[str], features: list[str], label: str, seed:
 
 def adasyn(df: DataFrame, keys: list[str], features: list[str], label: str, seed: int = 42) -> DataFrame:
     """As smote, but a row gets copies in proportion to the share of other classes among its k nearest rows
-    of any class. Fewer than three rows in the smallest class gives plain oversampling."""
+    of any class. A class whose rows have no such neighbours has no hard rows to prefer: its copies are spread evenly, as
+    smote does. Fewer than three rows in the smallest class gives plain oversampling."""
     counts = _counts(df, label)
     smallest, largest = min(counts.values()), max(counts.values())
     if smallest < 3:
@@ -118,10 +119,11 @@ def adasyn(df: DataFrame, keys: list[str], features: list[str], label: str, seed
         hardness = around.groupBy("id").agg(F.avg((F.col("cls") != F.lit(str(value))).cast("double")).alias("r"))
         hardness = cut_lineage(points.select("id", "x").join(hardness, "id"))
         total = hardness.agg(F.sum("r")).first()[0]
-        if not total:
-            raise ValueError(f"no row of class {value} has neighbours of another class")
-        per_row = hardness.select("id", "x", F.round(F.col("r") / total * (largest - n)).cast("bigint").alias("copies"))
         own = points.select("id", "x")
+        if total:
+            per_row = hardness.select("id", "x", F.round(F.col("r") / total * (largest - n)).cast("bigint").alias("copies"))
+        else:
+            per_row = _even_copies(own, largest - n, n, seed)
         near = _with_targets(knn_join(own, own, k, exclude_self=True), own)
         parts.append(_new_rows(per_row, near, k, seed).withColumn("_label", F.lit(value)))
     return _finish(df, keys, features, label, parts)

@@ -188,6 +188,16 @@ def test_adasyn_adds_minority_rows(spark):
     assert counts[0] == 144 and abs(counts[1] - 144) <= 6
 
 
+def test_adasyn_of_classes_far_apart_spreads_evenly(spark):
+    """No row of the smaller class is near the other one: copies cannot follow that share, and still lie between its rows."""
+    data = [(i, float(i % 4) + 1_000 * (i >= 12), int(i >= 12)) for i in range(42)]
+    grown = resample.adasyn(spark.createDataFrame(data, "id int, x double, y int"), ["id"], ["x"], "y").toPandas()
+    assert (grown["y"] == 0).sum() == 30 and (grown["y"] == 1).sum() == 30
+    new = grown[grown["synthetic"]]
+    assert (new["y"] == 0).all() and new["x"].between(0, 3).all()
+    assert new["source_id"].str.split("~").str[0].value_counts().isin([1, 2]).all()
+
+
 def test_smote_falls_back_to_oversampling(spark):
     df = spark.createDataFrame([(i, float(i), int(i == 0)) for i in range(10)], "id int, x double, y int")
     grown = resample.smote(df, ["id"], ["x"], "y")
