@@ -12,7 +12,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablekit.functions.columns import col, order_number
-from tablekit.functions.session import cut_lineage
+from tablekit.functions.session import cut_lineage, spread
 
 ROWS = 1_000_000
 BUCKETS = 20_000
@@ -120,6 +120,14 @@ def sessions(
     return df.withColumn("_session", number).drop("_ord", "_bucket", "_opens", "_before", "_prev_end")
 
 
+def ordered_values(data: DataFrame, ties: list[str] = ()) -> DataFrame:
+    """(series, values): the value of each row of a series by (ts, ties), nulls of ts first and of ties last. For short series."""
+    place = F.coalesce(order_number(data, "ts"), F.lit(float("-inf"))).alias("_ord")
+    after = [c for i, t in enumerate(ties) for c in (col(t).isNull().alias(f"_null{i}"), col(t).alias(f"_tie{i}"))]
+    rows = spread(data, "series").groupBy("series").agg(F.sort_array(F.collect_list(F.struct(place, *after, F.col("value").alias("value")))).alias("rows"))
+    return rows.select("series", F.transform("rows", lambda r: r["value"]).alias("values"))
+
+
 def number_rows(df: DataFrame, order_by: list[str], name: str) -> DataFrame:
     """df with 0-based row numbers in sorted order: a range sort, then one offset per sort partition."""
     placed = cut_lineage(df.sort(*[col(c) for c in order_by]).withColumn("_part", F.spark_partition_id()))

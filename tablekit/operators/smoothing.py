@@ -11,7 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tablekit.functions.ordering import with_bucket
+from tablekit.functions.columns import order_number
+from tablekit.functions.ordering import ordered_values, with_bucket
+from tablekit.functions.session import spread
 
 #: Candidate smoothing weights.
 WEIGHTS = [i / 100 for i in range(1, 100)]
@@ -19,6 +21,8 @@ WEIGHTS = [i / 100 for i in range(1, 100)]
 
 #: Values of a block of the scan, and cells (values x weights) worked on at once.
 SCAN, CELLS = 64, 1_000_000
+#: Values of a series that is run from its array, such series run together, and values of a piece of a long series.
+SHORT, TOGETHER, ROWS = 1_000, 256, 200_000
 
 
 def _scan(e: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -65,24 +69,74 @@ def _fold(values: np.ndarray, weights: np.ndarray):
     return out
 
 
+def _run(series: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared one-step errors and last levels of many series for every weight: one step of the recursion for all at once."""
+    sse, last = np.zeros((len(series), len(weights))), np.zeros((len(series), len(weights)))
+    sizes = np.array([len(v) for v in series])
+    longest_first = np.argsort(-sizes, kind="stable")
+    for at in range(0, len(series), TOGETHER):
+        own = longest_first[at : at + TOGETHER]
+        values = np.zeros((sizes[own[0]], len(own)))
+        for j, i in enumerate(own):
+            values[: sizes[i], j] = series[i]
+        level, total = np.repeat(values[0][:, None], len(weights), axis=1), np.zeros((len(own), len(weights)))
+        for step in range(1, len(values)):
+            k = int(np.searchsorted(-sizes[own], -step))
+            miss = values[step, :k, None] - level[:k]
+            total[:k] += miss * miss
+            level[:k] += weights * miss
+        sse[own], last[own] = total, level
+    return sse, last
+
+
 def fit_smoothing(data: DataFrame, ties: list[str] = (), weights: list[float] | None = None, rows: int | None = None) -> DataFrame:
     """(series, alpha, sse, level): the weight with the least squared one-step error and the last level.
 
-    The level starts at the first value, which is not scored.
+    The level starts at the first value, which is not scored. Series of at most SHORT values run many at a time; only series of
+    more than `rows` values are cut at time bounds, so that short ones do not fall into a group for every bound.
     """
     grid = np.array(weights or WEIGHTS)
-    data, _ = with_bucket(data, "ts", rows or 200_000)
-    ties = list(ties)
+    ties, limit = list(ties), rows or ROWS
+    schema = "series string, alpha double, sse double, level double"
+    sizes = data.groupBy("series").agg(F.count("*").alias("_n"))
+    longest = sizes.agg(F.max("_n")).first()[0] or 0
+    short = min(SHORT, limit)
+    sized = data
+    if longest > short:
+        named = sizes.withColumnRenamed("series", "_s")
+        sized = data.join(named, data["series"].eqNullSafe(named["_s"]), "left").drop("_s")
+
+    def best(batches):
+        for batch in batches:
+            sse, level = _run([np.asarray(v, float) for v in batch["values"]], grid)
+            found, every = sse.argmin(axis=1), np.arange(len(sse))
+            yield pd.DataFrame({"series": batch["series"], "alpha": grid[found], "sse": sse[every, found], "level": level[every, found]})
+
+    few = sized.filter(F.col("_n") <= short) if longest > short else sized
+    fitted = ordered_values(few, ties).mapInPandas(best, schema)
+    if longest <= short:
+        return fitted
+    many = sized.filter(F.col("_n") > short)
+    place = F.coalesce(order_number(data, "ts"), F.lit(float("-inf")))
+    cut = many.filter(F.col("_n") <= limit).withColumns({"_ord": place, "_bucket": F.lit(0)})
+    if longest > limit:
+        cut = cut.unionByName(with_bucket(many.filter(F.col("_n") > limit), "ts", limit)[0])
+    return fitted.unionByName(_fit_folded(cut, ties, grid, limit, schema))
+
+
+def _fit_folded(data: DataFrame, ties: list[str], grid: np.ndarray, limit: int, schema: str) -> DataFrame:
+    """The same from rows with _ord, _bucket and _n, the values of the series: buckets are folded, then composed."""
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values(["_ord", *ties])["value"].to_numpy(float)
-        whole = np.concatenate(_fold(values, grid))
         rest = np.concatenate(_fold(values[1:], grid))
+        # A series in one piece is never met as a later piece.
+        whole = np.concatenate(_fold(values, grid)) if pdf["_n"].iloc[0] > limit else rest
         return pd.DataFrame(
             {"series": [pdf["series"].iloc[0]], "_bucket": [pdf["_bucket"].iloc[0]], "first": [values[0]], "whole": [whole], "rest": [rest]}
         )
 
-    parts = data.select("series", "_bucket", "_ord", "value", *ties).groupBy("series", "_bucket").applyInPandas(
+    parts = spread(data.select("series", "_bucket", "_ord", "_n", "value", *ties), "series", "_bucket").groupBy("series", "_bucket").applyInPandas(
         summarise, "series string, _bucket int, first double, whole array<double>, rest array<double>"
     )
     chains = parts.groupBy("series").agg(
@@ -102,4 +156,4 @@ def fit_smoothing(data: DataFrame, ties: list[str] = (), weights: list[float] |
                 rows.append((name, float(grid[best]), float(sse[best]), float(level[best])))
             yield pd.DataFrame(rows, columns=["series", "alpha", "sse", "level"])
 
-    return chains.mapInPandas(compose, "series string, alpha double, sse double, level double")
+    return chains.mapInPandas(compose, schema)

@@ -450,6 +450,26 @@ def test_smoothing_scan_is_the_recursion(monkeypatch):
             assert np.allclose(smoothing._fold(values, weights), [a, b, c0, c1, c2], rtol=1e-9, atol=1e-12)
 
 
+def test_smoothing_of_short_series_is_not_cut(spark):
+    """Short series run many at a time, however many rows there are: no group for every series and time bound."""
+    rng = np.random.default_rng(3)
+    held = {f"s{k}": rng.normal(size=1 + k % 40).cumsum() for k in range(400)} | {"long": rng.normal(size=1_500).cumsum()}
+    rows = [(k, 7 * i + len(k), -i, float(v)) for k, values in held.items() for i, v in enumerate(values)]
+    data = spark.createDataFrame(rows, "series string, ts int, id int, value double").repartition(6)
+    short = smoothing.fit_smoothing(data.filter("series <> 'long'"), ["id"], rows=100)
+    assert "FlatMapGroupsInPandas" not in short._jdf.queryExecution().optimizedPlan().toString()
+    grid = np.array(smoothing.WEIGHTS)
+    for found in (short, smoothing.fit_smoothing(data, ["id"], rows=100), smoothing.fit_smoothing(data, ["id"])):
+        got = {r["series"]: r for r in found.collect()}
+        assert len(got) in (400, 401)
+        for k, r in got.items():
+            level, sse = np.full(len(grid), held[k][0]), np.zeros(len(grid))
+            for v in held[k][1:]:
+                level, sse = level + grid * (v - level), sse + (v - level) ** 2
+            i = int(np.argmin(sse))
+            assert r["alpha"] == grid[i] and r["sse"] == pytest.approx(sse[i], abs=1e-9) and r["level"] == pytest.approx(level[i], abs=1e-9)
+
+
 def test_smoothing_of_a_million_values(spark):
     data = spark.range(1_000_000).select(F.lit("s").alias("series"), F.col("id").alias("ts"), (F.sin(F.col("id") / 50) + F.col("id") % 7).alias("value"))
     start = time.time()
