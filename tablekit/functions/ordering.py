@@ -120,10 +120,11 @@ def sessions(
     return df.withColumn("_session", number).drop("_ord", "_bucket", "_opens", "_before", "_prev_end")
 
 
-def ordered_values(data: DataFrame, ties: list[str] = ()) -> DataFrame:
-    """(series, values): the value of each row of a series by (ts, ties), nulls of ts first and of ties last. For short series."""
+def ordered_values(data: DataFrame, ties: list[str] = (), nulls_last: bool = False) -> DataFrame:
+    """(series, values): the values of each series by (ts, ties); nulls come first, in ties last if nulls_last. For short series."""
     place = F.coalesce(order_number(data, "ts"), F.lit(float("-inf"))).alias("_ord")
-    after = [c for i, t in enumerate(ties) for c in (col(t).isNull().alias(f"_null{i}"), col(t).alias(f"_tie{i}"))]
+    known = lambda t: col(t).isNull() if nulls_last else col(t).isNotNull()
+    after = [c for i, t in enumerate(ties) for c in (known(t).alias(f"_null{i}"), col(t).alias(f"_tie{i}"))]
     rows = spread(data, "series").groupBy("series").agg(F.sort_array(F.collect_list(F.struct(place, *after, F.col("value").alias("value")))).alias("rows"))
     return rows.select("series", F.transform("rows", lambda r: r["value"]).alias("values"))
 

@@ -11,11 +11,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tablekit.functions.ordering import ordered_values
 from tablekit.operators.forecast import CHUNK, Z95, chunks, forecast
 
 #: Lags of the stage-one autoregression.
 LONG_AR = 8
 _RIDGE = 1e-9
+#: Values of a series that is fitted whole, from its array.
+SHORT = 1_000
 
 
 def _difference(y: np.ndarray, seasonal: int | None) -> np.ndarray:
@@ -98,7 +101,60 @@ def arima_forecast(
     lost = 1 + (seasonal or 0) + max(lags)
     needed = max(lost + len(lags) + 1, lost + max(back) + 2 * len(back) + 1)
     sizes = data.groupBy("series").agg(F.count("*").alias("n"))
-    long = data.join(sizes.filter(F.col("n") >= needed).select("series"), "series", "left_semi")
+    schema = "series string, step int, index bigint, forecast double, lower double, upper double"
+    spans = sizes.agg(F.count_if(F.col("n").between(needed, SHORT)), F.count_if(F.col("n") > max(needed - 1, SHORT))).first()
+    fitted = data.sparkSession.createDataFrame([], schema)
+    if spans[0]:
+        few = data.join(sizes.filter(F.col("n").between(needed, SHORT)).select("series"), "series", "left_semi")
+        fitted = ordered_values(few, ties).mapInPandas(_whole(lags, back, seasonal, horizon, reach), schema)
+    if spans[1]:
+        many = data.join(sizes.filter(F.col("n") > max(needed - 1, SHORT)).select("series"), "series", "left_semi")
+        fitted = fitted.unionByName(_in_chunks(many, sizes, horizon, ties, seasonal, chunk, lags, back, reach, schema))
+    short = data.join(sizes.filter(F.col("n") < needed).select("series"), "series", "left_semi")
+    fitted = fitted.withColumn("method_used", F.lit("sarima" if seasonal else "arima"))
+    return fitted.unionByName(forecast(short, "trend_band", horizon, ties).withColumn("method_used", F.lit("trend_band")))
+
+
+def _whole(lags, back, seasonal, horizon, reach):
+    """Fit and project short series from their arrays, without a task's group for each of two stages."""
+
+    def fit(x, w):
+        z = _ready(x, w, np.ones(len(w), bool))
+        sums = z.T @ z
+        beta = _solve(sums)
+        return beta, max(sums[-1, -1] - 2 * beta @ sums[:-1, -1] + beta @ sums[:-1, :-1] @ beta, 0.0), len(z)
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for name, values in batch.itertuples(index=False):
+                y = np.asarray(values, float)
+                w = _difference(y, seasonal)
+                ar, _, _ = fit(_stage_one(w, lags), w)
+                beta, rss, rows = fit(_stage_two(w, _residuals(w, lags, ar), back), w)
+                out += _ahead(name, len(y), y[-_tail_rows(lags, seasonal, reach) :], ar, beta, rss, rows, lags, back, seasonal, horizon)
+            yield pd.DataFrame(out, columns=["series", "step", "index", "forecast", "lower", "upper"])
+
+    return run
+
+
+def _tail_rows(lags, seasonal, reach) -> int:
+    return reach + max(lags) + (seasonal or 0) + 2
+
+
+def _ahead(name, n, y, ar, beta, rss, rows, lags, back, seasonal, horizon) -> list[tuple]:
+    """The forecast rows of a series from its last values y and its coefficients."""
+    values, spread = _project(y, ar, beta, lags, back, seasonal, horizon)
+    sigma = (rss / max(rows - len(beta), 1)) ** 0.5
+    out = []
+    for h in range(horizon):
+        band = Z95 * sigma * spread[h]
+        out.append((name, h + 1, int(n + h), values[h], values[h] - band, values[h] + band))
+    return out
+
+
+def _in_chunks(long: DataFrame, sizes: DataFrame, horizon, ties, seasonal, chunk, lags, back, reach, schema: str) -> DataFrame:
+    """Fit and project series of any length, chunk by chunk."""
     pieces = chunks(long, ties, reach, max(chunk, 2 * reach))
     pieces = pieces.persist()
 
@@ -108,8 +164,8 @@ def arima_forecast(
         z = _ready(_stage_one(w, lags), w, pdf["own"].to_numpy(bool))
         return pd.DataFrame({"series": [pdf["series"].iloc[0]], "sums": [np.append((z.T @ z).ravel(), len(z))]})
 
-    schema = "series string, sums array<double>"
-    ar = _coefficients(pieces.groupBy("series", "chunk").applyInPandas(first, schema), "ar").select("series", "ar")
+    products = "series string, sums array<double>"
+    ar = _coefficients(pieces.groupBy("series", "chunk").applyInPandas(first, products), "ar").select("series", "ar")
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
@@ -119,8 +175,8 @@ def arima_forecast(
         return pd.DataFrame({"series": [pdf["series"].iloc[0]], "sums": [np.append((z.T @ z).ravel(), len(z))]})
 
     with_ar = pieces.join(ar, "series")
-    arma = _coefficients(with_ar.groupBy("series", "chunk").applyInPandas(second, schema), "beta")
-    tail_rows = reach + max(lags) + (seasonal or 0) + 2
+    arma = _coefficients(with_ar.groupBy("series", "chunk").applyInPandas(second, products), "beta")
+    tail_rows = _tail_rows(lags, seasonal, reach)
     ends = pieces.filter("own").join(sizes, "series").filter(F.col("pos") >= F.col("n") - tail_rows)
     ends = ends.groupBy("series", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("tail"))
     ends = ends.join(ar, "series").join(arma, "series").select("series", "n", "tail", "ar", "beta", "rss", "rows")
@@ -130,19 +186,10 @@ def arima_forecast(
             out = []
             for name, n, tail, ar_, beta, rss, rows in batch.itertuples(index=False):
                 y = np.array([t["value"] for t in tail])
-                values, spread = _project(y, np.asarray(ar_), np.asarray(beta), lags, back, seasonal, horizon)
-                sigma = (rss / max(rows - len(beta), 1)) ** 0.5
-                for h in range(horizon):
-                    band = Z95 * sigma * spread[h]
-                    out.append((name, h + 1, int(n + h), values[h], values[h] - band, values[h] + band))
+                out += _ahead(name, n, y, np.asarray(ar_), np.asarray(beta), rss, rows, lags, back, seasonal, horizon)
             yield pd.DataFrame(out, columns=["series", "step", "index", "forecast", "lower", "upper"])
 
-    fitted = ends.mapInPandas(
-        project, "series string, step int, index bigint, forecast double, lower double, upper double"
-    )
-    short = data.join(sizes.filter(F.col("n") < needed).select("series"), "series", "left_semi")
-    fitted = fitted.withColumn("method_used", F.lit("sarima" if seasonal else "arima"))
-    return fitted.unionByName(forecast(short, "trend_band", horizon, ties).withColumn("method_used", F.lit("trend_band")))
+    return ends.mapInPandas(project, schema)
 
 
 def _project(y, ar, beta, lags, back, seasonal, horizon):

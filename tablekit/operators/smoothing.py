@@ -113,7 +113,7 @@ def fit_smoothing(data: DataFrame, ties: list[str] = (), weights: list[float] |
             yield pd.DataFrame({"series": batch["series"], "alpha": grid[found], "sse": sse[every, found], "level": level[every, found]})
 
     few = sized.filter(F.col("_n") <= short) if longest > short else sized
-    fitted = ordered_values(few, ties).mapInPandas(best, schema)
+    fitted = ordered_values(few, ties, nulls_last=True).mapInPandas(best, schema)
     if longest <= short:
         return fitted
     many = sized.filter(F.col("_n") > short)

@@ -515,6 +515,20 @@ def test_arima_recovers_the_process_and_ignores_chunks(spark):
     assert width[0] == pytest.approx(2 * 1.96, rel=0.1) and width == sorted(width)
 
 
+@pytest.mark.parametrize("seasonal", [None, 4])
+def test_arima_of_short_series_needs_no_group_for_each(spark, monkeypatch, seasonal):
+    data = walk(spark, 90, 5).unionByName(walk(spark, 8, 1).withColumn("series", F.lit("few")))
+    found = arima.arima_forecast(data, 6, seasonal=seasonal)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(arima, "SHORT", 92)
+    parts = arima.arima_forecast(data, 6, seasonal=seasonal).orderBy("series", "step").collect()
+    whole = found.orderBy("series", "step").collect()
+    assert len(parts) == len(whole) == 36
+    for a, b in zip(whole, parts):
+        assert (a["series"], a["step"], a["index"], a["method_used"]) == (b["series"], b["step"], b["index"], b["method_used"])
+        assert [a[c] for c in ("forecast", "lower", "upper")] == pytest.approx([b[c] for c in ("forecast", "lower", "upper")])
+
+
 def test_seasonal_arima_follows_the_season(spark):
     rng = np.random.default_rng(2)
     y = [10 * np.sin(2 * np.pi * i / 12) + 0.1 * i + rng.normal(0, 0.1) for i in range(240)]
