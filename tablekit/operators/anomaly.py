@@ -18,8 +18,8 @@ from tablekit.functions.session import cut_lineage, spread
 from tablekit.operators.clean import FillModel, fit_fill
 from tablekit.operators.scale import ScaleModel, fit_scaler
 
-#: Rows per isolation tree, and rows of a series scored together.
-SUBSAMPLE, SLOT_ROWS = 256, 50_000
+#: Rows per isolation tree, rows of a series scored together, and rows of a series scored where its forest grows.
+SUBSAMPLE, SLOT_ROWS, SHORT = 256, 50_000, 1_000
 FEATURES = 256
 
 
@@ -232,36 +232,117 @@ def fit_kernel_boundary(
     return _with_threshold(Detector(features, fill, scaler, score), df, nu)
 
 
+def _leaves(x: np.ndarray, size: int, trees: int, seed: int, name: str) -> tuple[np.ndarray, ...]:
+    """Trees as _grow makes them, all at once, over draws of `size` of the values x: (tree, from, path) of the leaves of each
+    tree by the value from which they hold."""
+    own, draws = np.empty((trees, size)), np.empty((trees, 2 * size + 1))
+    for t in range(trees):
+        rng = np.random.default_rng(_seed(seed, name, t))
+        own[t] = x[rng.choice(len(x), size=size, replace=False)]
+        draws[t] = rng.random((2 * size + 1, 2))[:, 1]
+    own.sort(axis=1)
+    limit = int(np.ceil(np.log2(max(size, 2))))
+    paths = average_path(np.arange(size + 1))
+    tree, first, low, high = np.arange(trees), np.full(trees, -np.inf), np.zeros(trees, int), np.full(trees, size)
+    before, leaves = np.zeros(trees, int), []
+    for depth in range(limit + 1):
+        # Nodes of a depth come tree by tree from left to right, which is how _grow numbers them.
+        number = before[tree] + np.arange(len(tree)) - np.searchsorted(tree, tree)
+        before += np.bincount(tree, minlength=trees)
+        least, most = own[tree, np.minimum(low, size - 1)], own[tree, np.maximum(high - 1, 0)]
+        inner = (high > low) & (most > least) & (depth < limit)
+        leaves.append((tree[~inner], first[~inner], depth + paths[high[~inner] - low[~inner]]))
+        tree, first, low, high, least, most = (v[inner] for v in (tree, first, low, high, least, most))
+        if not len(tree):
+            break
+        cut = least + draws[tree, number[inner]] * (most - least)
+        left, right = low.copy(), high.copy()
+        while (left < right).any():
+            middle = (left + right) // 2
+            less = (left < right) & (own[tree, np.minimum(middle, size - 1)] < cut)
+            left, right = np.where(less, middle + 1, left), np.where(less, right, middle)
+        pair = lambda a, b: np.column_stack([a, b]).ravel()
+        tree, first, low, high = np.repeat(tree, 2), pair(first, cut), pair(low, left), pair(left, high)
+    tree, first, path = (np.concatenate(v) for v in zip(*leaves))
+    # Of leaves from the same value only the deepest right one, found last, can hold one.
+    order = np.lexsort((first, tree))
+    return tree[order], first[order], path[order]
+
+
+def _forest_scores(leaves: tuple[np.ndarray, ...], trees: int, size: int, at: np.ndarray) -> np.ndarray:
+    """Scores at ascending values."""
+    tree, first, path = leaves
+    start = np.searchsorted(at, first)
+    end = np.append(start[1:], len(at))
+    end[np.append(tree[1:] != tree[:-1], True)] = len(at)
+    total = np.zeros(len(at))
+    for depths in np.repeat(path, end - start).reshape(trees, len(at)):
+        total += depths
+    return -np.exp2(-(total / trees) / (float(average_path(size)) or 1.0))
+
+
 def series_anomalies(
     data: DataFrame, contamination: float = 0.05, ties: list[str] = (), seed: int = 42, trees: int = 100, sample: int = SUBSAMPLE
 ) -> DataFrame:
     """(series, ts, value, anomaly_score, is_anomaly): a one-column forest over the values of each series.
 
     The sample * trees rows of a series that hash lowest are its pool, and each of its trees grows on `sample` rows of
-    it; the threshold is the series' own quantile.
+    it; the threshold is the series' own quantile. A short series is its own pool and is scored where its forest grows.
     """
     order = list(ties) or ["ts"]
     digest = row_hash(["series", *order], seed)
+    short = min(SHORT, sample * trees)
+    sizes = data.groupBy("series").agg(F.count("*").alias("_n"))
+    few, many = sizes.agg(F.count_if(F.col("_n") <= short), F.count_if(F.col("_n") > short)).first()
+    parts = []
+    if few or not many:
+        own = data.join(sizes.filter(F.col("_n") <= short).select("series"), "series", "left_semi") if many else data
+        parts.append(_scored_whole(own, digest, seed, trees, sample))
+    if many:
+        own = data.join(sizes.filter(F.col("_n") > short).select("series"), "series", "left_semi") if few else data
+        parts.append(_scored_in_slots(own, order, digest, seed, trees, sample))
+    scored = cut_lineage(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    # Few distinct scores per series: count them, then take the quantile from the counts.
+    counts = scored.groupBy("series", "anomaly_score").agg(F.count("*").alias("n"))
+    limits = counts.groupBy("series").agg(F.percentile("anomaly_score", F.lit(contamination), F.col("n")).alias("_limit"))
+    return scored.join(limits, "series").withColumn("is_anomaly", (F.col("anomaly_score") < F.col("_limit")).cast("int")).drop("_limit")
+
+
+def _scored_whole(data: DataFrame, digest, seed: int, trees: int, sample: int) -> DataFrame:
+    """data with anomaly_score, for short series."""
+
+    @F.pandas_udf("array<double>")
+    def scores(series: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for name, x in zip(series, values):
+            x = np.asarray(x, float)
+            size = min(sample, len(x))
+            at, place = np.unique(x, return_inverse=True)
+            out.append(_forest_scores(_leaves(x, size, trees, seed, name), trees, size, at)[place])
+        return pd.Series(out, dtype=object)
+
+    rest = [c for c in data.columns if c not in ("series", "value")]
+    row = F.struct(digest.alias("_h"), "value", *[col(c) for c in rest])
+    rows = spread(data, "series").groupBy("series").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    found = rows.withColumn("scores", scores("series", F.transform("rows", lambda r: r["value"])))
+    each = found.select("series", F.explode(F.arrays_zip("rows", "scores")).alias("r"))
+    return each.select(*[F.col("series") if c == "series" else F.col("r.rows")[c].alias(c) for c in data.columns], F.col("r.scores").alias("anomaly_score"))
+
+
+def _scored_in_slots(data: DataFrame, order: list[str], digest, seed: int, trees: int, sample: int) -> DataFrame:
+    """data with anomaly_score, for series of any length."""
     own = with_hash_cutoffs(data, digest, F.array(F.least(F.lit(sample * trees), F.col("n")).cast("bigint")), F.col("series"))
     slots = F.ceil(F.col("_n") / SLOT_ROWS)
     pool = own.filter(F.col("_h") <= F.element_at("_cut", 1)).select("series", "value", "_h")
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["series"].iloc[0]
-        x = pdf.sort_values("_h")[["value"]].to_numpy(float)
+        x = pdf.sort_values("_h")["value"].to_numpy(float)
         size = min(sample, len(x))
-        out = []
-        for t in range(trees):
-            rng = np.random.default_rng(_seed(seed, name, t))
-            rows = rng.choice(len(x), size=size, replace=False)
-            f, c, l, p = _grow(x[rows], rng)
-            out.append((f, c, l, p))
-        scale = float(average_path(size)) or 1.0
-        # One column: a forest is a step function, so its scores at the sorted cut points say everything.
-        cuts = np.unique(np.concatenate([np.asarray(c)[np.asarray(f) >= 0] for f, c, _, _ in out])) if out else np.array([])
-        inside = np.concatenate([[x.min() - 1], cuts]) if len(cuts) else np.array([x.min()])
-        depth = sum(_depths(inside[:, None], t) for t in out) / trees
-        return pd.DataFrame({"series": [name], "cuts": [cuts], "scores": [-np.exp2(-depth / scale)]})
+        leaves = _leaves(x, size, trees, seed, name)
+        # One column: a forest is a step function, so its scores where leaves begin say everything.
+        cuts = np.unique(leaves[1])
+        return pd.DataFrame({"series": [name], "cuts": [cuts[1:]], "scores": [_forest_scores(leaves, trees, size, cuts)]})
 
     forests = spread(pool, "series").groupBy("series").applyInPandas(grow, "series string, cuts array<double>, scores array<double>")
     # A long series is scored in slots of about SLOT_ROWS rows; its forest goes to each of them.
@@ -276,9 +357,4 @@ def series_anomalies(
         return left.assign(anomaly_score=scores[np.searchsorted(cuts, left["value"].to_numpy(), side="right")]).drop(columns="_slot")
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in data.schema) + ", anomaly_score double"
-    scored = keyed.groupBy("series", "_slot").cogroup(copies.groupBy("series", "_slot")).applyInPandas(apply, schema)
-    scored = cut_lineage(scored)
-    # Few distinct scores per series: count them, then take the quantile from the counts.
-    counts = scored.groupBy("series", "anomaly_score").agg(F.count("*").alias("n"))
-    limits = counts.groupBy("series").agg(F.percentile("anomaly_score", F.lit(contamination), F.col("n")).alias("_limit"))
-    return scored.join(limits, "series").withColumn("is_anomaly", (F.col("anomaly_score") < F.col("_limit")).cast("int")).drop("_limit")
+    return keyed.groupBy("series", "_slot").cogroup(copies.groupBy("series", "_slot")).applyInPandas(apply, schema)

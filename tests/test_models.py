@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablekit.functions.neighbours import distances
-from tablekit.functions import trees
+from tablekit.functions import hashing, trees
 from tablekit.operators import anomaly, arima, cluster, density, evaluate, explain, forecast, govern, models, project, search, smoothing
 from tablekit.operators.sample import split_random, split_stratified
 from tablekit.operators.score import align, score_batch
@@ -412,6 +412,34 @@ def test_series_anomalies(spark, monkeypatch):
     assert {(r["series"], 70) for r in found if r["ts"] == 70} == {("s0", 70), ("s1", 70), ("s2", 70)}
 
 
+def test_series_forests_grow_together_as_one_by_one():
+    rng = np.random.default_rng(8)
+    for n, size, trees in ((1, 1, 3), (2, 2, 5), (70, 70, 100), (300, 64, 40), (40, 40, 10)):
+        x = rng.normal(size=n).round(1)
+        at = np.unique(np.append(x, rng.normal(size=20)))
+        grown = []
+        for t in range(trees):
+            own = np.random.default_rng(anomaly._seed(42, "s", t))
+            grown.append(anomaly._grow(x[own.choice(n, size=size, replace=False)][:, None], own))
+        depth = sum(anomaly._depths(at[:, None], t) for t in grown) / trees
+        expected = -np.exp2(-depth / (float(anomaly.average_path(size)) or 1.0))
+        assert (anomaly._forest_scores(anomaly._leaves(x, size, trees, 42, "s"), trees, size, at) == expected).all()
+
+
+def test_short_series_are_scored_where_they_grow(spark, monkeypatch):
+    rows = [(f"s{k}", i, float(np.sin(i * (k + 1)).round(2)) + (50.0 if i == 7 else 0.0)) for k in range(5) for i in range(10 + 30 * k)]
+    data = spark.createDataFrame(rows, "series string, ts int, value double")
+    calls = []
+    monkeypatch.setattr(anomaly, "with_hash_cutoffs", lambda *a: calls.append(a) or anomaly_cutoffs(*a))
+    anomaly_cutoffs = hashing.with_hash_cutoffs
+    whole = anomaly.series_anomalies(data, 0.05).orderBy("series", "ts").collect()
+    assert not calls
+    monkeypatch.setattr(anomaly, "SHORT", 50)
+    assert anomaly.series_anomalies(data, 0.05).orderBy("series", "ts").collect() == whole and calls
+    monkeypatch.setattr(anomaly, "SHORT", 0)
+    assert anomaly.series_anomalies(data, 0.05).orderBy("series", "ts").collect() == whole
+
+
 # -- series -----------------------------------------------------------------------------------------
 
 
