@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tablekit.functions.columns import col, numeric_columns
@@ -49,9 +48,14 @@ def activity_sessions(events: DataFrame, key: str, ts: str, gap: str = "1 hour",
     )
 
 
+#: Rows of a key that are held before they are joined to its sessions.
+MERGED = 10_000
+
+
 class _OpenSessions(StatefulProcessor):
-    """The open sessions of a key: (start, last, n) in microseconds. A timer at last + gap closes what stayed idle; a key keeps
-    only sessions that the watermark has not passed."""
+    """The open sessions of a key: (start, last, n) in microseconds. Those that the watermark has left idle are closed with the
+    key's next rows, or by its timer for the session that closes first; a key keeps only sessions that the watermark has not
+    passed. A question to the state costs more than a row, so there are few of them a key, not some for every session."""
 
     def __init__(self, gap: int):
         self.gap = gap
@@ -60,28 +64,37 @@ class _OpenSessions(StatefulProcessor):
         self.handle = handle
         self.open = handle.getListState("open", "first long, last long, n long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        spans = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        before = {last for _, last, _ in spans}
-        for batch in filter(len, rows):
-            spans += [(t, t, 1) for t in batch["micros"].tolist()]
-            spans = self._joined(spans)
-        self.open.put(spans)
-        for last in {last for _, last, _ in spans} - before:
-            self.handle.registerTimer((last + self.gap) // 1_000 + 1)
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1_000
-        spans = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        over = [x for x in spans if x[1] + self.gap < now]
-        left = [x for x in spans if x[1] + self.gap >= now]
-        if left:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        spans = [tuple(x) for x in self.open.get()]
+        timer, size = self._next(spans), len(spans)
+        for r in rows:
+            spans.append((r["micros"], r["micros"], 1))
+            if len(spans) >= 2 * size + MERGED:
+                spans = self._joined(spans)
+                size = len(spans)
+        return self._settle(key, self._joined(spans), timer, True, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        spans = [tuple(x) for x in self.open.get()]
+        return self._settle(key, spans, self._next(spans), False, timerValues)
+
+    def _settle(self, key, spans: list[tuple[int, int, int]], timer: int | None, changed: bool, values) -> Iterator[Row]:
+        """Close what is idle, keep the rest, and have a timer for the first of it; `timer` is the one there is."""
+        now = values.getCurrentWatermarkInMs()
+        over = [x for x in spans if self._next([x]) <= now]
+        left = [x for x in spans if self._next([x]) > now]
+        if left and (changed or over):
             self.open.put(left)
-        else:
+        elif over:
             self.open.clear()
-        yield pd.DataFrame([(*key, *x) for x in over], columns=["key", "first", "last", "n"])
-
+        due = self._next(left)
+        if due is not None and due != timer:
+            self.handle.registerTimer(due)
+        return iter([Row(key=key[0], first=first, last=last, n=n) for first, last, n in over])
+
+    def _next(self, spans: list[tuple[int, int, int]]) -> int | None:
+        """The millisecond at which the first session closes."""
+        return min(((last + self.gap) // 1_000 + 1 for _, last, _ in spans), default=None)
     def _joined(self, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Sessions whose gap is not wider than allowed become one."""
         out: list[tuple[int, int, int]] = []
@@ -105,7 +118,7 @@ def session_stream(events: DataFrame, key: str, ts: str, gap_seconds: int = 3600
     kind = events.schema[key].dataType.simpleString()
     rows = events.select(col(key).alias("key"), col(ts).cast("timestamp").alias("seen")).withWatermark("seen", late)
     rows = rows.withColumn("micros", F.unix_micros("seen"))
-    found = rows.groupBy("key").transformWithStateInPandas(
+    found = rows.groupBy("key").transformWithState(
         statefulProcessor=_OpenSessions(gap_seconds * 1_000_000),
         outputStructType=f"key {kind}, first long, last long, n long",
         outputMode="append",

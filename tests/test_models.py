@@ -679,3 +679,39 @@ def test_session_stream_closes_idle_sessions_and_drops_late_rows(spark, tmp_path
     show = lambda df: sorted((r["who"], str(r["session_start"])[11:16], str(r["last_event"])[11:16], r["n"]) for r in df.collect())
     assert show(spark.read.parquet(target)) == [("a", "00:00", "01:15", 3), ("b", "00:15", "00:15", 1), ("b", "09:30", "09:30", 1), ("c", "10:00", "10:30", 2)]
     assert show(jobs.open_sessions(spark, state, "who")) == [("d", "20:00", "20:00", 1)]
+
+
+def test_session_state_has_one_timer_a_key():
+    class Held(list):
+        def get(self):
+            return iter(list(self))
+
+        def put(self, rows):
+            self[:] = rows
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.state = [], Held()
+
+        def getListState(self, name, schema):  # noqa: N802
+            return self.state
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    at = lambda ms: type("Times", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    handle, keeper, second = Handle(), jobs._OpenSessions(10_000_000), 1_000_000
+    keeper.init(handle)
+    rows = [{"micros": 100 * second * i + j} for i in range(50) for j in range(3)]
+    assert list(keeper.handleInputRows(("a",), iter(rows), at(0))) == []
+    assert len(handle.state) == 50 and handle.timers == [10_001]
+    # The watermark has passed forty sessions: one timer closes them all and leaves one for the next.
+    over = list(keeper.handleExpiredTimer(("a",), at(4_000_000), None))
+    assert [(r["first"], r["n"]) for r in over] == [(100 * second * i, 3) for i in range(40)]
+    assert len(handle.state) == 10 and handle.timers == [10_001, 4_010_001]
+    # Rows of the first open session move its end, and idle sessions close with the key's next rows.
+    assert list(keeper.handleInputRows(("a",), iter([{"micros": 4_005 * second}]), at(4_000_000))) == []
+    assert handle.timers[2:] == [4_015_001]
+    assert list(keeper.handleExpiredTimer(("a",), at(4_010_001), None)) == [] and len(handle.timers) == 3
+    assert len(list(keeper.handleInputRows(("a",), iter([{"micros": 9_000 * second}]), at(6_000_000)))) == 10
+    assert [tuple(x) for x in handle.state] == [(9_000 * second, 9_000 * second, 1)]
