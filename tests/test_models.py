@@ -715,3 +715,14 @@ def test_session_state_has_one_timer_a_key():
     assert list(keeper.handleExpiredTimer(("a",), at(4_010_001), None)) == [] and len(handle.timers) == 3
     assert len(list(keeper.handleInputRows(("a",), iter([{"micros": 9_000 * second}]), at(6_000_000)))) == 10
     assert [tuple(x) for x in handle.state] == [(9_000 * second, 9_000 * second, 1)]
+
+
+def test_session_stream_keeps_rows_of_a_null_key(spark, tmp_path):
+    source, target, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = [(None if i % 3 == 0 else i % 3, 1_700_000_000 + 1_000 * i + (90_000 if i > 20 else 0)) for i in range(40)] + [(None, 1_800_000_000)]
+    df = spark.createDataFrame(rows, "u bigint, s bigint").select("u", F.timestamp_seconds("s").alias("ts"))
+    df.coalesce(1).write.parquet(source)
+    jobs.store_sessions(jobs.read_stream(spark, source, df.schema), "u", "ts", target, state).awaitTermination()
+    got = spark.read.parquet(target).unionByName(jobs.open_sessions(spark, state, "u"))
+    batch = jobs.batch_sessions(df, "u", "ts").drop("session")
+    assert sorted(map(str, got.collect())) == sorted(map(str, batch.select(*got.columns).collect()))
