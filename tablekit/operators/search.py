@@ -2,7 +2,8 @@
 
 Candidates that differ only in a nested parameter share their fits: the first trees of a forest or of a boosted ensemble are
 a forest or ensemble of that size, and a tree cut at a depth is the tree grown to it. One fit per fold then scores all of
-them in one pass over the fold's test rows.
+them in one pass over the fold's test rows. Classifying trees on few features are fitted on counted cells (operators/cells.py):
+the rows of a fold are read for the split points and the counts, whatever the number of candidates.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import threading
 import time
 
 import numpy as np
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablekit.functions import trees
 from tablekit.functions.columns import col, local_table, numeric_columns, numeric_or_zero
-from tablekit.operators import models
+from tablekit.operators import cells, models
 from tablekit.operators.evaluate import assign_folds, fold_pairs, run_parallel
 from tablekit.operators.models import canonical
 
@@ -132,25 +134,27 @@ def _value_score(n: float, squares: float, sizes: float, spread: float, scoring:
     return -{"neg_mean_squared_error": squares / n, "neg_root_mean_squared_error": (squares / n) ** 0.5, "neg_mean_absolute_error": sizes / n}[scoring]
 
 
-def _whole_score(model, rows: DataFrame, scoring: str) -> float:
-    """Score of a fitted model on rows."""
+def _whole_score(model, rows: DataFrame, scoring: str, weight: str | None = None) -> float:
+    """Score of a fitted model on rows; weight: the column of how many rows a row of a classified table stands for."""
     scored = model.transform(rows)
     if model.problem == models.CLASSIFICATION:
-        counts = scored.groupBy(col(model.label).cast("string").alias("a"), F.col("prediction").alias("p")).count()
-        return _class_scores({(r["a"], r["p"]): r["count"] for r in counts.collect()}, scoring)
+        n = F.sum(weight) if weight else F.count("*")
+        counts = scored.groupBy(col(model.label).cast("string").alias("a"), F.col("prediction").alias("p")).agg(n.alias("n"))
+        return _class_scores({(r["a"], r["p"]): r["n"] for r in counts.collect()}, scoring)
     y = numeric_or_zero(scored, model.label)
     e = y - F.col("prediction")
     r = scored.agg(F.count("*").alias("n"), F.sum(e * e).alias("s"), F.sum(F.abs(e)).alias("a"), (F.var_pop(y) * F.count("*")).alias("v")).first()
     return _value_score(r["n"], r["s"] or 0.0, r["a"] or 0.0, r["v"] or 0.0, scoring)
 
 
-def nested_scores(model, rows: DataFrame, name: str, values: list, scoring: str) -> list[float]:
+def nested_scores(model, rows: DataFrame, name: str, values: list, scoring: str, weight: str | None = None) -> list[float]:
     """Scores on rows of the models that the values of a nested parameter stand for, from one fitted with the largest: one
-    pass over the rows, which returns counts or sums."""
+    pass over the rows, which returns counts or sums. weight: as for _whole_score."""
     parts = trees.tree_parts(rows.sparkSession, model)
     classes = model.classes
     label = col(model.label).cast("string") if classes is not None else numeric_or_zero(rows, model.label)
-    table = rows.select(F.array(*[numeric_or_zero(rows, c) for c in model.features]).alias("x"), label.alias("y"))
+    names = [f"x{i}" for i in range(len(model.features))]
+    table = rows.select(*[numeric_or_zero(rows, c).alias(x) for x, c in zip(names, model.features)], label.alias("y"), (col(weight) if weight else F.lit(1)).cast("long").alias("n"))
 
     def variants(x: np.ndarray) -> list[np.ndarray]:
         """Per value the predicted class number, or the predicted value."""
@@ -173,10 +177,10 @@ def nested_scores(model, rows: DataFrame, name: str, values: list, scoring: str)
         for batch in batches:
             if not len(batch):
                 continue
-            found = variants(np.stack(batch["x"].to_numpy()).astype(float))
+            found = variants(batch[names].to_numpy(float))
             if classes is not None:
-                parts_ = [pd.DataFrame({"k": k, "a": batch["y"].to_numpy(), "p": np.array(classes, object)[f]}) for k, f in enumerate(found)]
-                yield pd.concat(parts_).groupby(["k", "a", "p"]).size().rename("n").reset_index()
+                parts_ = [pd.DataFrame({"k": k, "a": batch["y"].to_numpy(), "p": np.array(classes, object)[f], "n": batch["n"].to_numpy()}) for k, f in enumerate(found)]
+                yield pd.concat(parts_).groupby(["k", "a", "p"])["n"].sum().reset_index()
             else:
                 errors = [batch["y"].to_numpy() - f for f in found]
                 yield pd.DataFrame({"k": range(len(found)), "n": float(len(batch)), "s": [float((e * e).sum()) for e in errors], "b": [float(np.abs(e).sum()) for e in errors]})
@@ -189,6 +193,29 @@ def nested_scores(model, rows: DataFrame, name: str, values: list, scoring: str)
     return [_value_score(sums[k]["n"], sums[k]["s"], sums[k]["b"], spread, scoring) if k in sums else 0.0 for k in range(len(values))]
 
 
+class _Shared:
+    """The training frame of a fold, persisted from the first of its fits to the last; None for neighbours, which keep rows."""
+
+    def __init__(self, trials: _Trials, rows: DataFrame, uses: int):
+        self.trials, self.rows, self.uses = trials, rows, uses
+        self.lock, self.ready = threading.Lock(), None
+
+    def __enter__(self) -> tuple[DataFrame, list[str] | None] | None:
+        t = self.trials
+        if t.model not in ("k_neighbors", "voting", "stacking"):
+            with self.lock:
+                if self.ready is None:
+                    frame, classes = models.training_frame(self.rows, t.features, t.label, t.problem)
+                    self.ready = frame.persist(), classes
+        return self.ready
+
+    def __exit__(self, *_):
+        with self.lock:
+            self.uses -= 1
+            if not self.uses and self.ready:
+                self.ready[0].unpersist()
+
+
 class _Trials:
     """Scores candidates on one folded table; equal effective parameters count once, nested ones share their fits."""
 
@@ -226,29 +253,62 @@ class _Trials:
                 own.append(value)
         return [(rest, name, sorted(values, key=size)) for rest, values in found.values()]
 
+    def counted(self, fits: int) -> list[cells.Counted | None]:
+        """Per fold its cells, None where the fits read its rows: other models, many features, few fits or rows, split points
+        that cannot be told, a single class."""
+        none = [None] * len(self.pairs)
+        # Split points of a feature take about as long as a fit on rows.
+        few = len(self.features) <= cells.FEATURES and 2 * len(self.features) < fits
+        if self.model != "decision_tree" or self.problem != models.CLASSIFICATION or not few:
+            return none
+
+        def points(rows, feature):
+            return lambda: cells.split_points(rows, feature, self.seed)
+
+        n = self.folded.count()
+        if n < cells.LEAST_ROWS:
+            return none
+        at_once = max(1, min(self.parallelism, cells.ROWS_AT_ONCE // max(n, 1)))
+        found = iter(run_parallel([points(a, c) for a, _ in self.pairs for c in self.features], at_once))
+        out = []
+        for a, b in self.pairs:
+            own = [next(found) for _ in self.features]
+            out.append(None if None in own else cells.count_cells(a, b, self.label, self.features, own, self.seed))
+        return out
+
     def run(self, candidates: list[dict]) -> list[tuple[float, float, float]]:
         """(mean, std, seconds) per candidate; all fits of the new ones share the driver threads. Seconds of a shared fit are
         divided among its candidates."""
         new = {n: self.effective(c) for c in candidates if (n := self._key(c)) not in self.done}
         groups = self.groups(list(new.values()))
+        counted = self.counted(len(groups))
+        frames = [_Shared(self, a, len(groups)) if own is None else None for own, (a, _) in zip(counted, self.pairs)]
 
-        def job(rest, name, values, train_rows, test_rows):
+        def job(rest, name, values, fold):
             def run():
                 start = time.time()
                 params = rest if name is None else {**rest, name: values[-1]}
-                model = models.fit(train_rows, self.label, self.model, self.problem, self.features, params, self.keys, self.seed)
+                own, (train_rows, test_rows), weight = counted[fold], self.pairs[fold], None
+                if own is not None:
+                    model, test_rows, weight = own.fit(params), own.test, "_n"
+                else:
+                    with frames[fold] as ready:
+                        model = models.fit(train_rows, self.label, self.model, self.problem, self.features, params, self.keys, self.seed, ready)
                 if len(values) > 1 and trees.has_trees(model):
-                    scores = nested_scores(model, test_rows, name, values, self.scoring)
+                    scores = nested_scores(model, test_rows, name, values, self.scoring, weight)
                 else:
-                    scores = [_whole_score(model, test_rows, self.scoring)] * max(len(values), 1)
+                    scores = [_whole_score(model, test_rows, self.scoring, weight)] * max(len(values), 1)
                 return scores, (time.time() - start) / len(scores)
 
             return run
 
         self.fits += len(groups) * len(self.pairs)
-        results = run_parallel([job(*g, a, b) for g in groups for a, b in self.pairs], self.parallelism)
+        results = run_parallel([job(*g, i) for i in range(len(self.pairs)) for g in groups], self.parallelism)
+        for own in counted:
+            if own is not None:
+                own.close()
         for i, (rest, name, values) in enumerate(groups):
-            mine = results[i * len(self.pairs) : (i + 1) * len(self.pairs)]
+            mine = results[i :: len(groups)]
             for k, value in enumerate(values or [None]):
                 scores = np.array([s[k] for s, _ in mine])
                 params = rest if name is None else {**rest, name: value}

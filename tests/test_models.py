@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablekit.functions.neighbours import distances
 from tablekit.functions import hashing, trees
-from tablekit.operators import anomaly, arima, cluster, density, evaluate, explain, forecast, govern, models, project, search, smoothing
+from tablekit.operators import anomaly, arima, cells, cluster, density, evaluate, explain, forecast, govern, models, project, search, smoothing
 from tablekit.operators.sample import split_random, split_stratified
 from tablekit.operators.score import align, score_batch
 from tablekit.sources.model_store import ModelStore
@@ -146,6 +146,49 @@ def test_nested_scores_are_those_of_separate_fits(tabular, name, target, values,
     assert target == "three" or len(set(got)) > 1
 
 
+def test_a_tree_on_cells_is_the_tree_on_rows(spark):
+    rows = spark.range(20_000, numPartitions=3).selectExpr(
+        "id", "pmod(xxhash64(id), 9973) / 7D as a", "pmod(id * 7, 12) as b", "if(pmod(xxhash64(id, 1), 5) = 0, null, pmod(xxhash64(id, 2), 300)) as c"
+    )
+    rows = rows.selectExpr("*", "case when a + 3 * c > 900 or b = 4 then 'x' when pmod(xxhash64(id, 3), 9) = 0 then null else 'y' end as y").filter("y is not null")
+    training, test = rows.filter("id % 4 > 0").persist(), rows.filter("id % 4 = 0")
+    names, depths = ["a", "b", "c"], [2, 6, None]
+    points = [cells.split_points(training, c, 42) for c in names]
+    own = cells.count_cells(training, test, "y", names, points, 42)
+    for params in ({}, {"min_samples_leaf": 3, "criterion": "entropy"}, {"min_samples_leaf": 5}):
+        params = {**params, "max_depth": None}
+        on_rows = models.fit(training, "y", "decision_tree", models.CLASSIFICATION, names, params, ["id"])
+        on_cells = own.fit(params)
+        assert on_cells.stage.model.numNodes == on_rows.stage.model.numNodes > 50
+        scores = search.nested_scores(on_rows, test, "max_depth", depths, "f1_macro")
+        assert search.nested_scores(on_cells, own.test, "max_depth", depths, "f1_macro", "_n") == scores
+        assert search._whole_score(on_cells, own.test, "f1_macro", "_n") == search._whole_score(on_rows, test, "f1_macro")
+    assert own.fit({"min_samples_leaf": 10_000}).stage.model.numNodes == 1
+    own.close()
+    training.unpersist()
+
+
+def test_split_points_that_cannot_be_told(spark):
+    rows = spark.range(1000).selectExpr("id", "id * 1e-12 as tiny", "1 as one")
+    assert cells.split_points(rows, "tiny", 42) is None and cells.split_points(rows, "one", 42) == []
+
+
+def test_many_candidates_share_cells(tabular, monkeypatch):
+    space = {"min_samples_leaf": [1, 2, 3, 4], "criterion": ["gini", "entropy"], "max_depth": [1, 3]}
+    every = [dict(zip(space, v)) for v in itertools.product(*space.values())]
+
+    def ask():
+        trials = search._Trials(tabular, "y", "decision_tree", None, FEATURES[:2], ["id"], 2, "kfold", 42, 4)
+        own = [c is not None for c in trials.counted(8)]
+        return own, trials.counted(4), [s[:2] for s in trials.run(every)]
+
+    monkeypatch.setattr(cells, "LEAST_ROWS", 0)
+    on_cells = ask()
+    assert on_cells[:2] == ([True, True], [None, None])
+    monkeypatch.setattr(cells, "FEATURES", 0)
+    assert ask() == ([False, False], [None, None], on_cells[2])
+
+
 def test_forest_prefixes_are_its_first_trees(tabular):
     model = models.fit(tabular, "three", "random_forest", models.CLASSIFICATION, FEATURES, {"n_estimators": 7, "max_depth": 4}, ["id"])
     (part,) = trees.tree_parts(tabular.sparkSession, model)
