@@ -361,9 +361,8 @@ def fit(
     params: dict | None = None,
     keys: list[str] = (),
     seed: int = 42,
-    ready: tuple[DataFrame, list[str] | None] | None = None,
 ) -> FittedModel:
-    """Fit one model on every row of df that has a label. ready: the training_frame of df, persisted, for fits that share it."""
+    """Fit one model on every row of df that has a label."""
     name = canonical(model_type)
     problem = problem or guess_problem(df, label)
     features = features or numeric_columns(df, exclude=(label, *keys, "fold"))
@@ -383,19 +382,17 @@ def fit(
         stage = NeighbourStage(points, params.get("n_neighbors", 5), params.get("weights", "uniform"))
         ignored = sorted(set(params) - {"n_neighbors", "weights"})
         return FittedModel(name, classes=classes, stage=stage, ignored=ignored, **made)
-    frame, classes = ready or training_frame(df, features, label, problem)
+    frame, classes = training_frame(df, features, label, problem)
     if classes is not None and len(classes) < 2:
         return FittedModel(name, classes=classes, stage=SparkStage(_NoModel(), "one_class"), **made)
-    if ready is None:
-        frame = frame.persist()
+    frame = frame.persist()
     try:
         rows = frame.count() if name in ("logistic_regression", "svm") else 0
         estimator, kind, ignored = _spark_estimator(name, problem, params, len(classes or []), rows, seed)
         model = estimator.fit(frame)
         sigmoid = _margin_sigmoid(model, frame) if kind == "margin" else None
     finally:
-        if ready is None:
-            frame.unpersist()
+        frame.unpersist()
     return FittedModel(name, classes=classes, stage=SparkStage(model, kind, sigmoid), ignored=ignored, **made)
 
 

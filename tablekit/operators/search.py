@@ -11,7 +11,6 @@ from __future__ import annotations
 import itertools
 import json
 import math
-import threading
 import time
 
 import numpy as np
@@ -193,29 +192,6 @@ def nested_scores(model, rows: DataFrame, name: str, values: list, scoring: str,
     return [_value_score(sums[k]["n"], sums[k]["s"], sums[k]["b"], spread, scoring) if k in sums else 0.0 for k in range(len(values))]
 
 
-class _Shared:
-    """The training frame of a fold, persisted from the first of its fits to the last; None for neighbours, which keep rows."""
-
-    def __init__(self, trials: _Trials, rows: DataFrame, uses: int):
-        self.trials, self.rows, self.uses = trials, rows, uses
-        self.lock, self.ready = threading.Lock(), None
-
-    def __enter__(self) -> tuple[DataFrame, list[str] | None] | None:
-        t = self.trials
-        if t.model not in ("k_neighbors", "voting", "stacking"):
-            with self.lock:
-                if self.ready is None:
-                    frame, classes = models.training_frame(self.rows, t.features, t.label, t.problem)
-                    self.ready = frame.persist(), classes
-        return self.ready
-
-    def __exit__(self, *_):
-        with self.lock:
-            self.uses -= 1
-            if not self.uses and self.ready:
-                self.ready[0].unpersist()
-
-
 class _Trials:
     """Scores candidates on one folded table; equal effective parameters count once, nested ones share their fits."""
 
@@ -282,7 +258,6 @@ class _Trials:
         new = {n: self.effective(c) for c in candidates if (n := self._key(c)) not in self.done}
         groups = self.groups(list(new.values()))
         counted = self.counted(len(groups))
-        frames = [_Shared(self, a, len(groups)) if own is None else None for own, (a, _) in zip(counted, self.pairs)]
 
         def job(rest, name, values, fold):
             def run():
@@ -292,8 +267,7 @@ class _Trials:
                 if own is not None:
                     model, test_rows, weight = own.fit(params), own.test, "_n"
                 else:
-                    with frames[fold] as ready:
-                        model = models.fit(train_rows, self.label, self.model, self.problem, self.features, params, self.keys, self.seed, ready)
+                    model = models.fit(train_rows, self.label, self.model, self.problem, self.features, params, self.keys, self.seed)
                 if len(values) > 1 and trees.has_trees(model):
                     scores = nested_scores(model, test_rows, name, values, self.scoring, weight)
                 else:
@@ -303,12 +277,12 @@ class _Trials:
             return run
 
         self.fits += len(groups) * len(self.pairs)
-        results = run_parallel([job(*g, i) for i in range(len(self.pairs)) for g in groups], self.parallelism)
+        results = run_parallel([job(*g, i) for g in groups for i in range(len(self.pairs))], self.parallelism)
         for own in counted:
             if own is not None:
                 own.close()
         for i, (rest, name, values) in enumerate(groups):
-            mine = results[i :: len(groups)]
+            mine = results[i * len(self.pairs) : (i + 1) * len(self.pairs)]
             for k, value in enumerate(values or [None]):
                 scores = np.array([s[k] for s, _ in mine])
                 params = rest if name is None else {**rest, name: value}
