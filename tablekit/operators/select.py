@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablekit.functions.columns import as_vector, col, local_table, numeric_columns, numeric_or_zero
+from tablekit.operators import cells
 from tablekit.operators.profile import correlation_matrix, distinct_counts
 
 
@@ -118,7 +119,10 @@ def select_kbest(df: DataFrame, label: str, k: int = 10, features: list[str] | N
 def select_rfe(
     df: DataFrame, label: str, k: int = 10, features: list[str] | None = None, trees: int = 50, seed: int = 42
 ) -> Selection:
-    """Recursive elimination by random-forest importance, max(1, (d - k) // 5) features per round."""
+    """Recursive elimination by random-forest importance, max(1, (d - k) // 5) features per round.
+
+    A classifying forest of many rows in few cells is grown on bootstrap counts of the cells (`cells.count_bags`).
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer
     from pyspark.ml.regression import RandomForestRegressor
@@ -133,20 +137,29 @@ def select_rfe(
         data = StringIndexer(inputCol="_y", outputCol="_label").fit(data).transform(data)
     else:
         data = data.withColumn("_label", numeric_or_zero(df, label))
-    data = data.select(*[col(c) for c in names], "_label").persist()
+    data = data.select(*[col(c) for c in names], "_label")
+    bags = cells.count_bags(data, names, trees, seed) if classes and len(names) > k else None
+    if bags is None:
+        data = data.persist()
     make = RandomForestClassifier if classes else RandomForestRegressor
     left, history, rank = list(names), [], {}
     while len(left) > k:
-        vectors = data.select(as_vector(left, data).alias("_x"), "_label")
-        model = make(featuresCol="_x", labelCol="_label", numTrees=trees, seed=seed).fit(vectors)
-        importance = model.featureImportances.toArray()
+        if bags:
+            importance = bags.importances(left)
+        else:
+            vectors = data.select(as_vector(left, data).alias("_x"), "_label")
+            model = make(featuresCol="_x", labelCol="_label", numTrees=trees, seed=seed).fit(vectors)
+            importance = model.featureImportances.toArray()
         order = sorted(range(len(left)), key=lambda i: importance[i])
         gone = {left[i] for i in order[: min(step, len(left) - k)]}
         for c in gone:
             rank[c] = -float(len(left) - k)
         history.append({"n_features": len(left), "dropped": sorted(gone)})
         left = [c for c in left if c not in gone]
-    data.unpersist()
+    if bags:
+        bags.close()
+    else:
+        data.unpersist()
     return Selection("rfe", names, left, {c: rank.get(c, 0.0) for c in names}, history)
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tablekit.operators import clean, encode, profile, recommend, resample, sample, scale, select
+from tablekit.operators import cells, clean, encode, profile, recommend, resample, sample, scale, select
 from tablekit.operators.genetic import select_genetic
 from tablekit.plans.prepare import PrepareConfig, prepare
 from tablekit.sources import admission, catalog, readers, sinks
@@ -152,6 +152,42 @@ def test_rfe_keeps_the_signal(spark):
     assert "c" in select.select_rfe(df, "y", 2, trees=10).kept
 
 
+def test_rfe_of_many_rows_in_few_cells_grows_its_trees_on_counts(spark, monkeypatch):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.integers(0, 4, 4000), "b": rng.integers(0, 5, 4000) * 0.5, "c": rng.integers(0, 3, 4000)})
+    pdf["y"] = np.where((pdf["b"] > 1) ^ (rng.random(4000) < 0.1), "up", "down")
+    df = spark.createDataFrame(pdf)
+    monkeypatch.setattr(cells, "BAGGED_ROWS", 1000)
+    fitted, fit = [], RandomForestClassifier.fit
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda self, data: fitted.append(data.count()) or fit(self, data))
+    found = select.select_rfe(df, "y", 1, trees=6)
+    assert found.kept == ["b"] and sorted(found.scores.values()) == [-2.0, -1.0, 0.0]
+    assert len(fitted) == 12 and max(fitted) <= 4 * 5 * 3 * 2
+    # The draws depend on the cells, not on how the rows are spread.
+    assert select.select_rfe(df.repartition(7), "y", 1, trees=6).scores == found.scores
+
+
+def test_bags_draw_every_row_poisson_times(spark, monkeypatch):
+    monkeypatch.setattr(cells, "BAGGED_ROWS", 1000)
+    df = spark.range(20_000).select((F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("_label"))
+    bags = cells.count_bags(df, ["x"], 200, 1)
+    counts = np.array([r["_bags"] for r in bags.table.collect()])
+    assert counts.shape == (10, 200) and bags.cells == 10
+    # 2,000 rows a cell: mean 2,000 and variance 2,000 over 2,000 draws.
+    assert abs(counts.mean() - 2000) < 5 and 1700 < counts.var() < 2300
+    assert cells.count_bags(df.limit(500), ["x"], 2, 1) is None
+    bags.close()
+
+
+def test_split_points_of_a_forest_separate_all_of_few_values_and_cut_many_evenly(spark):
+    df = spark.range(9_000).select((F.col("id") % 3).cast("double").alias("few"), F.col("id").cast("double").alias("many"), F.lit(1.0).alias("one"))
+    few, many, one = cells.sampled_points(df, ["few", "many", "one"], 9_000, 1)
+    assert few == [0.5, 1.5] and one == [] and len(many) == 31
+    assert np.abs(np.array(many) / 9_000 - np.arange(1, 32) / 32).max() < 0.001
+
+
 def test_fold_sizes_follow_the_smallest_class(spark):
     df = spark.range(103).withColumn("y", (F.col("id") < 3).cast("int"))
     folded = sample.kfold_stratified(df, ["id"], "y", 5)
