@@ -12,12 +12,16 @@ from pyspark.sql import DataFrame, functions as F
 from tablekit.functions.columns import local_table
 from tablekit.functions.neighbours import distances, knn_join, point_table
 from tablekit.functions.ordering import number_rows
-from tablekit.functions.session import broadcast_if_small
+from tablekit.functions.session import broadcast_if_small, cut_lineage
 from tablekit.operators.scale import fit_scaler
 
 MICRO_CLUSTERS = 500
 #: Centres in a block whose pairs are compared in one task.
 CENTRE_BLOCK = 1_000
+#: Points of a graph that Spark's power iteration takes at most. It builds the graph anew in every round and keeps all of them.
+PIC_POINTS = 50_000
+#: The least degree that a weight is divided by.
+_LEAST_DEGREE = 2.0**-52
 
 
 def scaled_points(df: DataFrame, keys: list[str], features: list[str], scale: bool = True) -> DataFrame:
@@ -88,7 +92,7 @@ def spectral(
 ) -> DataFrame:
     """(id, cluster): power iteration on the symmetric nearest-neighbour similarity graph."""
     points = number_rows(scaled_points(df, keys, features, scale), ["id"], "n").persist()
-    edges = knn_join(points, points, neighbours, exclude_self=True)
+    edges = knn_join(points, points, neighbours, exclude_self=True).select("id", "neighbour", "distance").persist()
     width = edges.agg(F.avg("distance")).first()[0] or 1.0
     weight = F.exp(-F.pow(F.col("distance") / F.lit(width), 2) / 2)
     names = points.select("id", "n")
@@ -99,11 +103,53 @@ def spectral(
         .join(names.select(F.col("id").alias("b"), F.col("n").alias("dst")), "b")
         .select("src", "dst", "weight")
     )
-    pic = PowerIterationClustering(k=k, maxIter=iterations, initMode="degree", weightCol="weight")
-    found = pic.assignClusters(graph)
+    if points.count() > PIC_POINTS:
+        found = power_clusters(graph, k, iterations)
+    else:
+        pic = PowerIterationClustering(k=k, maxIter=iterations, initMode="degree", weightCol="weight")
+        found = pic.assignClusters(graph)
+    edges.unpersist()
     return found.join(names, found["id"] == names["n"]).select(names["id"].alias("id"), "cluster")
 
 
+def power_clusters(graph: DataFrame, k: int, iterations: int) -> DataFrame:
+    """(id, cluster) of graph(src, dst, weight): the steps of Spark's power iteration from the degrees as joins and sums."""
+    vector = power_vector(graph, iterations)
+    data = vector.select(F.col("n").alias("id"), array_to_vector(F.array("x")).alias("v"))
+    model = KMeans(k=k, seed=0, maxIter=20, featuresCol="v", predictionCol="cluster").fit(data)
+    return model.transform(data).select("id", "cluster")
+
+
+def power_vector(graph: DataFrame, iterations: int) -> DataFrame:
+    """(n, x): the degrees of an undirected graph(src, dst, weight), each pair given once, multiplied up to `iterations` times by
+    its row-normalised weights; it ends when the steps change less than 1e-5 of the mean entry.
+
+    The links lie by their source, hashed, in memory or on disk for all rounds; a round shuffles products and writes the vector.
+    """
+    width = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = graph.filter("src <> dst")
+    both = once.unionByName(once.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    # The row of src is divided by its degree where the sums are taken, so that links need no join with degrees.
+    links = both.repartition(width, "dst").sortWithinPartitions("dst").persist()
+    degrees = cut_lineage(links.groupBy(F.col("dst").alias("n")).agg(F.sum("weight").alias("degree")))
+    n, total = degrees.agg(F.count("*"), F.sum("degree")).first()
+    vector = cut_lineage(degrees.select("n", "degree", (F.col("degree") / F.lit(total)).alias("x")))
+    limit, last, change = max(1e-5 / max(n, 1), 1e-8), float("inf"), float("inf")
+    for _ in range(iterations):
+        if change <= limit:
+            break
+        sums = links.join(vector.select(F.col("n").alias("dst"), "x"), "dst").groupBy(F.col("src").alias("n")).agg(F.sum(F.col("weight") * F.col("x")).alias("s"))
+        scaled = F.col("s") / F.greatest("degree", F.lit(_LEAST_DEGREE))
+        step = cut_lineage(vector.join(sums, "n").select("n", "degree", F.col("x").alias("old"), scaled.alias("y")))
+        norm = step.agg(F.sum(F.abs("y"))).first()[0]
+        x = F.col("y") / F.lit(norm)
+        delta = step.agg(F.sum(F.abs(x - F.col("old")))).first()[0]
+        change, last = abs(delta - last), delta
+        vector = step.select("n", "degree", x.alias("x"))
+    links.unpersist()
+    return vector.select("n", "x")
+
+
 # -- quality ----------------------------------------------------------------------------------------
 
 
