@@ -11,6 +11,9 @@ core and of the bytes around it.
    ones all documents but the first lose theirs.
 4. Documents unite what they lose.
 
+Documents are dealt out once, compressed; steps 2 and 4 read the same shuffle. Nothing is written but shuffles, and a task
+works through its core or suffixes in parts of bounded size, so its memory does not follow the share of text that repeats.
+
 A core that very many documents have is no hot spot: a task sends a core and its surroundings once, for the smallest
 of its documents, and tells the others at once. A core with very many different surroundings is asked for single
 windows, which meet by their own hash and so spread over all tasks.
@@ -29,12 +32,14 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from tablekit.llm.common import col, free_worker_cache, give_back, shuffle_width, slices, small_batches, stored
+from tablekit.llm.common import col, free_worker_cache, give_back, shuffle_width, slices, small_batches
 from tablekit.llm.minimizers import CORE, REACH, WINDOW, core_hashes, eights, marked, mixed
 from tablekit.llm.suffixes import equal_groups
 
 #: Bytes of text hashed at once, and bytes of text in a round, within which equal hashes are sent once.
-SLICE, ROUND = 1_000_000, 6_000_000
+SLICE, ROUND = 500_000, 6_000_000
+#: Compressed bytes of hashes that a bucket of cores answers at once, and windows whose suffixes are sorted at once.
+ANSWERED, SORTED = 6_000_000, 400_000
 #: Bytes asked for that a group of documents gathers before they leave.
 SHOWN = 6_000_000
 #: Different surroundings of a core from which on single windows are sent.
@@ -57,15 +62,18 @@ def to_blob(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def from_blobs(blobs: list[bytes], n_arrays: int) -> list[np.ndarray]:
+def from_blobs(blobs: list[bytes], n_arrays: int, pick: Callable | None = None) -> list[np.ndarray]:
+    """The arrays of the blobs, one after another; pick: which rows of a blob's arrays are wanted."""
     out: list[list[np.ndarray]] = [[] for _ in range(n_arrays)]
     for blob in blobs:
         data = zstandard.ZstdDecompressor().decompress(blob)
         n = int(np.frombuffer(data, np.int64, 1)[0])
         planes = np.frombuffer(data, np.uint8, offset=8).reshape(n_arrays, 8, n)
+        arrays = [np.ascontiguousarray(planes[k].T).view(np.int64).reshape(-1) for k in range(n_arrays)]
+        arrays[0] = np.cumsum(arrays[0])
+        rows = pick(arrays) if pick else slice(None)
         for k in range(n_arrays):
-            a = np.ascontiguousarray(planes[k].T).view(np.int64).reshape(-1)
-            out[k].append(np.cumsum(a) if k == 0 else a)
+            out[k].append(arrays[k][rows])
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
@@ -136,8 +144,8 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def send_hashes(width: int) -> Callable:
-    """Per round: kind 0 to a bucket of cores (doc, key, around); kind 1 to a group of documents (doc, core, around,
-    COVER) for what a smaller document of the same round has in the same surroundings."""
+    """Per round: kind 0 to a bucket of cores (doc, key, around); kind 1 to a group of documents (joint hash of doc, core
+    and around; COVER) for what a smaller document of the same round has in the same surroundings."""
 
     def emit(held: list[np.ndarray]) -> pa.RecordBatch | None:
         doc, bucket, key, around = (np.concatenate([h[k] for h in held]) for k in range(4))
@@ -151,9 +159,7 @@ def send_hashes(width: int) -> Callable:
         for target, rows in _per_target(bucket, send[np.lexsort((doc[send], bucket[send]))]):
             out.append((target, 0, to_blob(doc[rows], key[rows], around[rows])))
         cover = np.flatnonzero(new & (doc > least))
-        group = doc_group(doc, width)
-        for target, rows in _per_target(group, cover[np.lexsort((doc[cover], group[cover]))]):
-            out.append((target + width, 1, to_blob(doc[rows], (bucket[rows] << KEY_BITS) | key[rows], around[rows], np.full(len(rows), COVER))))
+        out.extend((target + width, 1, blob) for target, blob in _told(doc[cover], (bucket[cover] << KEY_BITS) | key[cover], around[cover], np.full(len(cover), COVER), width))
         return _rows(out) if out else None
 
     def run(batches):
@@ -188,29 +194,40 @@ def answer(width: int) -> Callable:
         hashes = [b for k, b in zip(kind, blobs) if k == 0]
         if hashes:
             bucket = table.column("target")[kind.index(0)].as_py()
-            doc, key, around = from_blobs(hashes, 3)
-            order = np.lexsort((doc, around, key))
-            doc, key, around = doc[order], key[order], around[order]
-            core = np.concatenate(([True], key[1:] != key[:-1]))
-            kinds = core | np.concatenate(([True], around[1:] != around[:-1]))
-            n_of = np.add.reduceat(kinds.astype(np.int64), np.flatnonzero(core))
-            which = np.cumsum(core) - 1
-            low = np.minimum.reduceat(doc, np.flatnonzero(core))[which]
-            high = np.maximum.reduceat(doc, np.flatnonzero(core))[which]
-            least = doc[np.maximum.accumulate(np.where(kinds, np.arange(len(doc)), 0))]
-            many = n_of[which]
-            act = np.where(doc > least, COVER, np.where((many > 1) & (low < high) & kinds, np.where(many > MANY, SHOW_WINDOWS, SHOW), 0))
-            tell = np.flatnonzero(act)
-            group = doc_group(doc, width)
-            for target, rows in _per_target(group, tell[np.lexsort((doc[tell], group[tell]))]):
-                out.append((target, 1, to_blob(doc[rows], (np.int64(bucket) << KEY_BITS) | key[rows], around[rows], act[rows])))
+            parts = 1 + sum(map(len, hashes)) // ANSWERED
+            for part in range(parts):
+                out.extend((target, 1, blob) for target, blob in acts(bucket, *from_blobs(hashes, 3, lambda arrays: arrays[1] % parts == part)))
         return pa.Table.from_batches([_rows(out)])
 
+    def acts(bucket: int, doc: np.ndarray, key: np.ndarray, around: np.ndarray) -> Iterator[tuple[int, bytes]]:
+        if not len(doc):
+            return
+        order = np.lexsort((doc, around, key))
+        doc, key, around = doc[order], key[order], around[order]
+        core = np.concatenate(([True], key[1:] != key[:-1]))
+        kinds = core | np.concatenate(([True], around[1:] != around[:-1]))
+        n_of = np.add.reduceat(kinds.astype(np.int64), np.flatnonzero(core))
+        which = np.cumsum(core) - 1
+        low = np.minimum.reduceat(doc, np.flatnonzero(core))[which]
+        high = np.maximum.reduceat(doc, np.flatnonzero(core))[which]
+        least = doc[np.maximum.accumulate(np.where(kinds, np.arange(len(doc)), 0))]
+        many = n_of[which]
+        act = np.where(doc > least, COVER, np.where((many > 1) & (low < high) & kinds, np.where(many > MANY, SHOW_WINDOWS, SHOW), 0))
+        tell = np.flatnonzero(act)
+        yield from _told(doc[tell], (np.int64(bucket) << KEY_BITS) | key[tell], around[tell], act[tell], width)
+
     return run
 
 
 def _joint(doc: np.ndarray, core: np.ndarray, around: np.ndarray) -> np.ndarray:
-    return mixed(mixed(mixed(doc.astype(np.uint64)) ^ core.astype(np.uint64)) + around.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mixed(mixed(mixed(doc.astype(np.uint64)) ^ core.astype(np.uint64)) + around.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _told(doc: np.ndarray, core: np.ndarray, around: np.ndarray, act: np.ndarray, width: int) -> Iterator[tuple[int, bytes]]:
+    """For each group of documents what they are told: joint hashes that ascend, and what to do."""
+    group, joint = doc_group(doc, width), _joint(doc, core, around)
+    for target, rows in _per_target(group, np.lexsort((joint, group))):
+        yield target, to_blob(joint[rows], act[rows])
 
 
 def pack_documents(width: int) -> Callable:
@@ -250,22 +267,21 @@ def _documents(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def show(width: int) -> Callable:
     """A group of documents and what it was told: kind 0 to itself (row, start, stop) of bytes to go; kind 1 to a bucket
-    (doc, row, start, length) with the bytes asked for. Bytes gather over batches until SHOWN of them leave at once."""
+    (doc, row, start, length, part) with the bytes asked for. Bytes gather over batches until SHOWN of them leave at once."""
 
     def emit(held: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
-        target, doc, row, start, length = (np.concatenate([h[k] for h in held]) for k in range(5))
-        data = b"".join(h[5] for h in held)
+        target, doc, row, start, length, part = (np.concatenate([h[k] for h in held]) for k in range(6))
+        data = b"".join(h[6] for h in held)
         at = np.cumsum(length) - length
         for bucket, rows in _per_target(target, np.lexsort((start, row, doc, target))):
-            head = to_blob(doc[rows], row[rows], start[rows], length[rows])
+            head = to_blob(doc[rows], row[rows], start[rows], length[rows], part[rows])
             body = b"".join([data[x : x + n] for x, n in zip(at[rows].tolist(), length[rows].tolist())])
             yield bucket + width, 1, len(head).to_bytes(4, "little") + head + zstandard.ZstdCompressor(level=3).compress(body)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         free_worker_cache()
         own = key[0].as_py()
-        doc, core, around, act = from_blobs(right.column("blob").to_pylist(), 4)
-        asked = _joint(doc, core, around)
+        asked, act = from_blobs(right.column("blob").to_pylist(), 2)
         order = np.argsort(asked, kind="stable")
         asked, act = asked[order], act[order]
         out, cover, held, size = [], [], [], 0
@@ -288,7 +304,7 @@ def show(width: int) -> Callable:
             start, length = marks.at[hit] - marks.left[hit], (marks.left + marks.right)[hit]
             begin = marks.begin[hit]
             go = told == COVER
-            cover.append((rowed[text[go]], (start - begin)[go], (start - begin + length)[go]))
+            cover.append(joined(rowed[text[go]], (start - begin)[go], (start - begin + length)[go]))
             data = marks.data.tobytes()
             for what in (SHOW, SHOW_WINDOWS):
                 pick = np.flatnonzero(told == what)
@@ -296,7 +312,7 @@ def show(width: int) -> Callable:
                     continue
                 if what == SHOW:
                     t, s, n, b = text[pick], start[pick], length[pick], begin[pick]
-                    target = (mixed(((marks.bucket[hit] << KEY_BITS) | marks.key[hit])[pick].astype(np.uint64)) % np.uint64(width)).astype(np.int64)
+                    h = mixed(((marks.bucket[hit] << KEY_BITS) | marks.key[hit])[pick].astype(np.uint64))
                 else:
                     count = length[pick] - WINDOW + 1
                     t, b = np.repeat(text[pick], count), np.repeat(begin[pick], count)
@@ -306,9 +322,9 @@ def show(width: int) -> Callable:
                     words = eights(marks.data)
                     for o in (*range(0, WINDOW - 8, 8), WINDOW - 8):
                         h = mixed(h ^ words[s + o] * np.uint64(0xC2B2AE3D27D4EB4F))
-                    target = (h % np.uint64(width)).astype(np.int64)
+                target, piece = (h % np.uint64(width)).astype(np.int64), (h >> np.uint64(56)).astype(np.int64)
                 shown = b"".join([data[x : x + y] for x, y in zip(s.tolist(), n.tolist())])
-                held.append((target, ids[t], rowed[t], s - b, n, shown))
+                held.append((target, ids[t], rowed[t], s - b, n, piece, shown))
                 size += len(shown)
             if size >= SHOWN:
                 out.extend(emit(held))
@@ -316,51 +332,73 @@ def show(width: int) -> Callable:
         if held:
             out.extend(emit(held))
         if cover:
-            row, start, stop = (np.concatenate([c[k] for c in cover]) for k in range(3))
-            order = np.lexsort((start, row))
-            out.append((own, 0, to_blob(row[order], start[order], stop[order])))
+            out.append((own, 0, to_blob(*joined(*(np.concatenate([c[k] for c in cover]) for k in range(3))))))
         return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
 def sort_shown(width: int) -> Callable:
-    """A bucket of shown bytes: kind 0 to groups of documents (row, start, stop) for what a smaller document shows too."""
+    """A bucket of shown bytes: kind 0 to groups of documents (row, start, stop) for what a smaller document shows too. What
+    is for a group of documents already goes on."""
 
     def run(table: pa.Table) -> pa.Table:
         give_back()
+        if table.column("kind")[0].as_py() == 0:
+            return table
         heads, bodies = [], []
         for blob in table.column("blob").to_pylist():
             k = int.from_bytes(blob[:4], "little")
             heads.append(blob[4 : 4 + k])
             bodies.append(zstandard.ZstdDecompressor().decompress(blob[4 + k :]))
-        doc, row, start, length = from_blobs(heads, 4)
-        data = np.frombuffer(b"".join(bodies), np.uint8)
+        doc, row, start, length, part = from_blobs(heads, 5)
+        data, at = b"".join(bodies), np.cumsum(length) - length
+        del bodies
+        # Equal windows are in one part.
+        parts = min(256, 1 + int((length - WINDOW + 1).sum()) // SORTED)
+        turn = (part * parts) >> 8
+        out = []
+        for k in range(parts):
+            own = np.flatnonzero(turn == k)
+            shown = b"".join([data[x : x + n] for x, n in zip(at[own].tolist(), length[own].tolist())])
+            out.extend(found(shown, doc[own], row[own], start[own], length[own]))
+        return pa.Table.from_batches([_rows(out)])
+
+    def found(shown: bytes, doc: np.ndarray, row: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         count = length - WINDOW + 1
         segment = np.repeat(np.arange(len(doc)), count)
         inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         at = (np.cumsum(length) - length)[segment] + inside
-        order, group = equal_groups(data, at)
+        order, group = equal_groups(np.frombuffer(shown, np.uint8), at)
         ids = doc[segment[order]]
         head = np.flatnonzero(np.diff(group, prepend=-1))
         least = np.repeat(np.minimum.reduceat(ids, head), np.diff(np.append(head, len(ids)))) if len(head) else ids
         gone = np.sort(order[ids > least])
-        out = []
         if len(gone):
             # Windows that follow each other in a segment become one piece.
             new = np.concatenate(([True], (np.diff(gone) > 1) | (segment[gone][1:] != segment[gone][:-1])))
             last = np.append(np.flatnonzero(new)[1:], len(gone)) - 1
             a, b = gone[new], gone[last]
-            s, e = start[segment[a]] + inside[a], start[segment[b]] + inside[b] + WINDOW
-            r, d = row[segment[a]], doc[segment[a]]
-            target = doc_group(d, width)
+            r, s, e = row[segment[a]], start[segment[a]] + inside[a], start[segment[b]] + inside[b] + WINDOW
+            target = doc_group(doc[segment[a]], width)
             for own, rows in _per_target(target, np.lexsort((s, r, target))):
-                out.append((own, 0, to_blob(r[rows], s[rows], e[rows])))
-        return pa.Table.from_batches([_rows(out)])
+                yield own, 0, to_blob(r[rows], s[rows], e[rows])
 
     return run
 
 
+def joined(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of rows united where they touch, in order."""
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    fresh = np.concatenate(([True], row[1:] != row[:-1]))[: len(row)]
+    base = np.cumsum(fresh) << 32
+    far = np.maximum.accumulate(base + stop) - base
+    new = fresh | np.concatenate(([True], start[1:] > far[:-1]))[: len(row)]
+    last = np.append(np.flatnonzero(new)[1:], len(row))[: int(new.sum())] - 1
+    return row[new], start[new], far[last]
+
+
 def united(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of bytes in the union of pieces that ascend by start."""
     runs: list[tuple[int, int]] = []
@@ -426,14 +464,13 @@ def _removed(df: DataFrame, schema: StructType | str, names: list[str], texts_ou
 
     width = shuffle_width(small_batches(df).sparkSession)
     plain = df.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("string").alias("text"))
-    # Short documents have no window, so only longer ones send or show anything.
+    # Short documents have no window, so only longer ones send hashes.
     long = plain.filter(F.octet_length("text") >= WINDOW)
     told = long.mapInArrow(send_hashes(width), _ROW).groupBy("target").applyInArrow(answer(width), _ROW)
-    packed = long.mapInArrow(pack_documents(width), _ROW)
-    shown = stored(packed.groupBy("target").cogroup(told.groupBy("target")).applyInArrow(show(width), _ROW), "shown-text")
-    found = shown.filter("kind = 1").groupBy("target").applyInArrow(sort_shown(width), _ROW)
-    gone = shown.filter("kind = 0").unionByName(found)
+    # Both cogroups below read one shuffle of the documents.
     everything = df.mapInArrow(pack_documents(width), _ROW)
+    shown = everything.groupBy("target").cogroup(told.groupBy("target")).applyInArrow(show(width), _ROW)
+    gone = shown.groupBy("target").applyInArrow(sort_shown(width), _ROW)
     last = finish(names, texts_out)
     arrow = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
 

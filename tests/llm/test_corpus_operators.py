@@ -10,9 +10,11 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tablekit.functions.session import shared_root
 from tablekit.llm import benchmark_leaks, near_duplicates, repeated_text, suffixes, top_products, urls
 
 WORD = near_duplicates._WORD
@@ -70,6 +72,66 @@ def test_repeated_text(spark, monkeypatch, many, size):
     assert repeated_text.repeated_bytes(df.limit(0)).count() == 0
 
 
+def shown_bucket(pieces, width):
+    """pieces(doc, row, start, bytes, part) as a task shows them to the bucket 0."""
+    doc, row, start, text, part = zip(*sorted(pieces))
+    head = repeated_text.to_blob(*(np.array(x) for x in (doc, row, start, [len(t) for t in text], part)))
+    body = zstandard.ZstdCompressor().compress(b"".join(text))
+    return pa.table({"target": pa.array([width], pa.int64()), "kind": pa.array([1], pa.int32()), "blob": [len(head).to_bytes(4, "little") + head + body]})
+
+
+def test_shown_text_is_sorted_in_parts(monkeypatch):
+    """However much is shown in a bucket, a task sorts a bounded number of windows at once, and finds the same."""
+    rng = random.Random(4)
+    core = [bytes(rng.choice(b"abcdefgh") for _ in range(60)) for _ in range(300)]
+    pieces = [(d, d + 1_000, 7, core[d % 300] + bytes([65 + d // 300]) * 10, (d % 300) * 31 % 256) for d in range(900)]
+    sizes, sort = [], repeated_text.equal_groups
+    monkeypatch.setattr(repeated_text, "equal_groups", lambda data, at: sizes.append(len(at)) or sort(data, at))
+
+    def gone():
+        out = repeated_text.sort_shown(8)(shown_bucket(pieces, 8)).to_pylist()
+        rows = [repeated_text.from_blobs([r["blob"]], 3) for r in out]
+        return sorted((r["target"], *x) for r, own in zip(out, rows) for x in zip(*(a.tolist() for a in own)))
+
+    monkeypatch.setattr(repeated_text, "SORTED", 10**9)
+    whole = gone()
+    assert {x[1] for x in whole} == {d + 1_000 for d in range(300, 900)} and {x[2:] for x in whole} == {(7, 67)}
+    del sizes[:]
+    monkeypatch.setattr(repeated_text, "SORTED", 1_000)
+    assert gone() == whole and len(sizes) > 10 and max(sizes) < 4_000 < sum(sizes)
+
+
+def test_cores_are_answered_in_parts(monkeypatch):
+    rng = np.random.default_rng(5)
+    doc, key, around = np.sort(rng.integers(0, 50, 4_000)), rng.integers(0, 500, 4_000), rng.integers(0, 3, 4_000)
+    blobs = [repeated_text.to_blob(*(x[k::4].copy() for x in (doc, key, around))) for k in range(4)]
+    table = pa.table({"target": pa.array([3] * 4, pa.int64()), "kind": pa.array([0] * 4, pa.int32()), "blob": blobs})
+
+    def told():
+        out = repeated_text.answer(8)(table).to_pylist()
+        read = [(r["target"], *repeated_text.from_blobs([r["blob"]], 2)) for r in out]
+        return sorted((t, *x) for t, joint, act in read for x in zip(joint.tolist(), act.tolist())), max(len(joint) for _, joint, _ in read)
+
+    whole, most = told()
+    monkeypatch.setattr(repeated_text, "ANSWERED", 1_000)
+    parts, less = told()
+    assert parts == whole and less < most / 4
+
+
+def test_documents_are_dealt_out_once(spark):
+    """One shuffle of the documents serves both their answers and their end, nothing else is written, and neighbouring pieces
+    leave as one."""
+    text = " ".join(f"{k * k}" for k in range(400))
+    df = spark.createDataFrame([(1, text), (2, text), (3, "other " * 40)], "doc_id long, text string")
+    before = set(os.listdir(shared_root(spark).removeprefix("file:")))
+    got = repeated_text.repeated_bytes(df)
+    assert read(got.collect()) == read(brute_repeated([tuple(r) for r in df.collect()]))
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in set(os.listdir(shared_root(spark).removeprefix("file:"))) - before if x.startswith("shown-text")]
+    row, start, stop = repeated_text.joined(np.array([9, 4, 4, 9, 4]), np.array([0, 0, 40, 100, 200]), np.array([60, 50, 90, 150, 250]))
+    assert list(zip(row.tolist(), start.tolist(), stop.tolist())) == [(4, 0, 90), (4, 200, 250), (9, 0, 60), (9, 100, 150)]
+
+
 def test_deep_shallow_sorting():
     rng = random.Random(9)
     parts = ["".join(rng.choice("ab") for _ in range(rng.choice([5, 30, 45]))) for _ in range(12)]
