@@ -5,6 +5,9 @@ every query a lower bound of its k-th product from the bucket of the longest vec
 goes to those buckets whose longest vector could still reach the bound. There the bound becomes a local cosine
 threshold: a high one prunes by the query's strongest coordinate, a lower one by length, and what is left is verified
 by its product.
+
+A bucket is sent to the few tasks that hold its blocks, before them, so the blocks that meet it stream past one copy. Only the
+first bucket is broadcast: blocks with their queries are many, and their size in files says little about that in memory.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ def _packs(frames: Iterator[pd.DataFrame], most: int, first: int) -> Iterator[pd
         norm = np.sqrt((data.astype(np.float64) ** 2).sum(axis=1))
         order = np.argsort(-norm, kind="stable")
         data, norm, ids = data[order], norm[order], rows["vec_id"].to_numpy(np.int64)[order]
-        return pd.DataFrame({"part": [part], "dim": [data.shape[1]], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "data": [data.astype("<i8").tobytes()], "longest": [norm[0]], "shortest": [norm[-1]]})
+        return pd.DataFrame({"part": [part], "dim": [data.shape[1]], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "data": [_narrow(data).tobytes()], "longest": [norm[0]], "shortest": [norm[-1]]})
 
     for frame in frames:
         while len(frame):
@@ -73,8 +76,15 @@ def _packed(df: DataFrame, most: int) -> DataFrame:
     return df.mapInPandas(run, _PACKED)
 
 
+def _narrow(data: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes as hold them all."""
+    low, high = int(data.min(initial=0)), int(data.max(initial=0))
+    return data.astype(next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
+
+
 def _matrix(row, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(row["data"], "<i8").reshape(row["n"], row["dim"])
+    size = len(row["data"]) // max(1, row["n"] * row["dim"]) or 8
+    data = np.frombuffer(row["data"], f"<i{size}").reshape(row["n"], row["dim"]).astype(np.int64)
     if row["dim"] < dim:
         data = np.pad(data, ((0, 0), (0, dim - row["dim"])))
     return np.frombuffer(row["ids"], "<i8"), data
@@ -96,8 +106,9 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def _search(queries: np.ndarray, qids: np.ndarray, bounds: np.ndarray, bucket: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(place of the query, candidate ids, products) for up to k candidates of each query that reach its bound."""
+def _search(queries: np.ndarray, qids: np.ndarray, bounds: np.ndarray, bucket: np.ndarray, ids: np.ndarray, k: int, known: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of the query, candidate ids, products) for up to k candidates of each query that reach its bound. known keeps
+    what belongs to the bucket alone, for its next block."""
     norm = np.sqrt((bucket.astype(np.float64) ** 2).sum(axis=1))  # descending
     length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -106,8 +117,10 @@ def _search(queries: np.ndarray, qids: np.ndarray, bounds: np.ndarray, bucket: n
     by_coordinate = np.flatnonzero((local >= COORDINATE_FROM) & (local <= 1 + 1e-9) & (norm[-1] > 0))
     by_length = np.flatnonzero((local <= 1 + 1e-9) & ~np.isin(np.arange(len(local)), by_coordinate))
     if len(by_coordinate):
-        unit = bucket / norm[:, None]
-        lists = np.argsort(unit, axis=0, kind="stable")
+        if "unit" not in known:
+            known["unit"] = bucket / norm[:, None]
+            known["lists"] = np.argsort(known["unit"], axis=0, kind="stable")
+        unit, lists = known["unit"], known["lists"]
         for q in by_coordinate:
             v = queries[q] / length[q]
             f = int(np.argmax(np.abs(v)))
@@ -164,42 +177,67 @@ def top_products(df: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     first = edges[0][1]
 
-    def search(frame: pd.DataFrame, bounded: bool) -> pd.DataFrame:
-        out = []
-        for _, row in frame.iterrows():
-            dim = max(row["dim"], row["q_dim"])
-            ids, bucket = _matrix(row, dim)
-            qids, qs = _matrix({"data": row["q_data"], "ids": row["q_ids"], "dim": row["q_dim"], "n": row["q_n"]}, dim)
-            bounds = np.frombuffer(row["q_bounds"], "<f8") if bounded else np.full(len(qids), -np.inf)
-            for q, found, score in _search(qs, qids, bounds, bucket, ids, k):
-                out.append(pd.DataFrame({"query_id": qids[q], "vec_id": found, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-    names = {"part": "q_part", "dim": "q_dim", "n": "q_n", "ids": "q_ids", "data": "q_data", "longest": "q_longest"}
-    asked = blocks.select(*[F.col(a).alias(b) for a, b in names.items()])
-    start = asked.withColumn("part", F.lit(first)).join(buckets, "part").repartition(width, "q_part").mapInPandas(lambda frames: (search(f, False) for f in frames), schema)
+    def search(row, held: dict) -> pd.DataFrame:
+        """A block of queries and the bucket that a task holds."""
+        dim = max(row["dim"], held["row"]["dim"])
+        if held.get("dim") != dim:
+            held |= {"dim": dim, "bucket": _matrix(held["row"], dim), "known": {}}
+        ids, bucket = held["bucket"]
+        qids, qs = _matrix(row, dim)
+        bounds = np.frombuffer(row["bounds"], "<f8") if row["bounds"] is not None else np.full(len(qids), -np.inf)
+        none = np.zeros(0, np.int64)
+        places, found, scores = [*zip(*_search(qs, qids, bounds, bucket, ids, k, held["known"]))] or [(), (), ()]
+        asked_by = np.repeat(qids[np.array(places, np.int64)], [len(x) for x in found]) if places else none
+        return pd.DataFrame({"query_id": asked_by, "vec_id": np.concatenate([none, *found]), "score": np.concatenate([none, *scores])})
+
+    # The one bucket that every block meets at first goes to all tasks.
+    longest_row = buckets.filter(F.col("part") == first).select("n", "dim", "ids", "data").collect()[0].asDict()
+    sent = spark.sparkContext.broadcast(longest_row)
+
+    def begin(frames):
+        held = {"row": sent.value}
+        for frame in frames:
+            for _, row in frame.iterrows():
+                yield search(row, held)
+
+    asked = blocks.select(F.col("part").alias("q_part"), "dim", "n", "ids", "data", "longest")
+    start = asked.withColumn("bounds", F.lit(None).cast("binary")).repartition(width, "q_part").mapInPandas(begin, schema)
     bound = start.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k)
     # The bounds travel inside the blocks, in the order of their queries.
-    blocks_of = asked.select("q_part", "q_ids").mapInPandas(lambda frames: (pd.DataFrame({"q_part": np.repeat(r["q_part"], len(i)), "at": np.arange(len(i)), "query_id": i}) for f in frames for _, r in f.iterrows() for i in [np.frombuffer(r["q_ids"], "<i8")]), "q_part long, at int, query_id long")
+    blocks_of = asked.select("q_part", "ids").mapInPandas(lambda frames: (pd.DataFrame({"q_part": np.repeat(r["q_part"], len(i)), "at": np.arange(len(i)), "query_id": i}) for f in frames for _, r in f.iterrows() for i in [np.frombuffer(r["ids"], "<i8")]), "q_part long, at int, query_id long")
     bounds = (
         blocks_of.join(bound, "query_id", "left")
         .groupBy("q_part")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", F.coalesce(F.col("least").cast("double"), F.lit(float("-inf"))).alias("b")))), lambda s: s["b"]).alias("b"))
     )
-    bounded = stored(asked.join(bounds, "q_part"), "bounded-blocks")
+    bounded = stored(asked.join(bounds.hint("merge"), "q_part"), "bounded-blocks")
     longest, parts = [e[0] for e in edges], [e[1] for e in edges]
+    # A bucket goes to so many tasks that all of them have work, several pieces of it each.
+    salts = max(1, -(-8 * width // len(parts)))
 
     def route(frames):
         reach = -np.array(longest)
         for frame in frames:
             for _, row in frame.iterrows():
                 b = np.asarray(row["b"], np.float64)
-                least = b.min(initial=np.inf) / row["q_longest"] if row["q_longest"] > 0 else (-np.inf if b.min(initial=np.inf) <= 0 else np.inf)
+                least = b.min(initial=np.inf) / row["longest"] if row["longest"] > 0 else (-np.inf if b.min(initial=np.inf) <= 0 else np.inf)
                 for part in parts[: int(np.searchsorted(reach, -(least - 1e-6), "right"))]:
-                    yield pd.DataFrame({"part": [part], "q_part": [row["q_part"]], "q_dim": [row["q_dim"]], "q_n": [row["q_n"]], "q_ids": [row["q_ids"]], "q_data": [row["q_data"]], "q_bounds": [b.tobytes()]})
+                    yield pd.DataFrame({"part": [part], "q_part": [row["q_part"]], "dim": [row["dim"]], "n": [row["n"]], "ids": [row["ids"]], "data": [row["data"]], "bounds": [b.tobytes()]})
+
+    routed = bounded.mapInPandas(route, "part long, q_part long, dim int, n int, ids binary, data binary, bounds binary").withColumn("salt", F.pmod(F.xxhash64("q_part"), F.lit(salts)).cast("int"))
+    copies = buckets.select("part", F.lit(-1).cast("long").alias("q_part"), "dim", "n", "ids", "data", F.lit(None).cast("binary").alias("bounds"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    met = routed.unionByName(copies).repartition(width * 2, "part", "salt").sortWithinPartitions("part", "salt", "q_part")
+
+    def meet(frames):
+        held: dict = {}
+        for frame in frames:
+            for _, row in frame.iterrows():
+                # A bucket has no block's number, so it comes before the blocks that are sent to it.
+                if row["q_part"] < 0:
+                    held = {"row": row}
+                else:
+                    yield search(row, held)
 
-    routed = bounded.mapInPandas(route, "part long, q_part long, q_dim int, q_n int, q_ids binary, q_data binary, q_bounds binary")
-    met = routed.join(buckets, "part").repartition(width * 2, "part", "q_part")
-    found = met.mapInPandas(lambda frames: (search(f.iloc[i : i + 1], True) for f in frames for i in range(len(f))), schema)
+    found = met.mapInPandas(meet, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -313,6 +313,20 @@ def test_top_products(spark, monkeypatch, kind):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_top_products_sends_no_blocks_through_the_driver(spark):
+    """What blocks become on their way to the buckets is no broadcast, small as the files of equal vectors are; numbers travel
+    in as few bytes as hold them."""
+    same = spark.range(3_000).selectExpr("id as vec_id", "array_repeat(cast(2 as bigint), 16) as v")
+    got = top_products.top_products(same, same.filter("vec_id % 20 = 0"), 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Cartesian" not in plan
+    assert {(r["query_id"], r["vec_id"]) for r in got.collect()} == {(q, v) for q in range(0, 3_000, 20) for v in ([0, 1, 2] if q else [1, 2, 3])}
+    for most, size in ((127, 1), (-128, 1), (128, 2), (-32_769, 4), (2**31, 8)):
+        data = np.array([[0, most], [1, 2]])
+        assert top_products._narrow(data).itemsize == size
+        assert (top_products._matrix({"data": top_products._narrow(data).tobytes(), "ids": b"", "n": 2, "dim": 2}, 3)[1] == np.pad(data, ((0, 0), (0, 1)))).all()
+
+
 def test_top_products_of_few(spark):
     few = top_products.integer_vectors(spark.createDataFrame([(0, [1.0]), (1, [2.0]), (20, [1.0])], "vec_id long, embedding array<double>"))
     assert read(top_products.top_products(few, few.filter("vec_id % 20 = 0"), 20).collect()) == read([(0, 1, 1, 8192), (0, 2, 20, 4096), (20, 1, 1, 8192), (20, 2, 0, 4096)])
