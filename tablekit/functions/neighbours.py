@@ -30,6 +30,8 @@ BLOCK, PART, FIRST, ROUND, GROW = 1_000, 200_000, 2, 8, 8
 PROBED = 4
 #: Rows whose distances are held at once.
 STEP = 500
+#: Coordinates from which a matrix product tells first which distances are worth summing up.
+WIDE = 8
 _SLACK = 1e-9
 METRICS = ("euclidean", "manhattan", "chebyshev", "cosine")
 
@@ -231,8 +233,8 @@ class Tree:
         return both.mapInArrow(run, "place string, x array<double>, block long, near double")
 
     def _scanned(self, visits: DataFrame, pick: Callable, schema: str, all_blocks: bool) -> DataFrame:
-        """What pick(places, distances, ids, carried) gives for the visits(place, x, block) and the points of their blocks."""
-        metric, carry = self.metric, self.carry
+        """What pick(places, x, points, ids, carried) gives for the visits(place, x, block) and the points of their blocks."""
+        carry = self.carry
         width = int(visits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         points = self.blocks.drop("coarse", "low", "high")
         if not all_blocks:
@@ -254,7 +256,7 @@ class Tree:
                     continue
                 for at in range(0, len(batch), STEP):
                     part = batch.slice(at, STEP)
-                    yield pick(part.column("place"), distances(_rows(part.column("x")), data, metric), ids, carried)
+                    yield pick(part.column("place"), _rows(part.column("x")), data, ids, carried)
 
         return both.mapInArrow(run, schema)
 
@@ -263,12 +265,12 @@ class Tree:
         probes, only the points of so many blocks are looked at, those nearest in the nearest cells."""
         schema = "place string, distance double, neighbour string, carried string"
 
-        def pick(place: pa.Array, d: np.ndarray, ids: np.ndarray, carried) -> pa.RecordBatch:
-            best = _best(d, k)
-            row = np.repeat(np.arange(len(d)), best.shape[1])
-            flat = best.reshape(-1)
-            more = pa.array(carried[flat], pa.string()) if carried is not None else pa.nulls(len(flat), pa.string())
-            return pa.RecordBatch.from_arrays([place.take(pa.array(row)), pa.array(d[row, flat]), pa.array(ids[flat], pa.string()), more], names=["place", "distance", "neighbour", "carried"])
+        metric = self.metric
+
+        def pick(place: pa.Array, x: np.ndarray, data: np.ndarray, ids: np.ndarray, carried) -> pa.RecordBatch:
+            row, at, d = nearest_pairs(x, data, k, metric)
+            more = pa.array(carried[at], pa.string()) if carried is not None else pa.nulls(len(at), pa.string())
+            return pa.RecordBatch.from_arrays([place.take(pa.array(row)), pa.array(d), pa.array(ids[at], pa.string()), more], names=["place", "distance", "neighbour", "carried"])
 
         def ranked(found: DataFrame) -> DataFrame:
             order = Window.partitionBy("place").orderBy("distance", "neighbour")
@@ -309,7 +311,10 @@ class Tree:
     def within(self, places: DataFrame, radius: float) -> DataFrame:
         """(place, neighbour, distance) for every point within the radius of a place(place, x)."""
 
-        def pick(place: pa.Array, d: np.ndarray, ids: np.ndarray, carried) -> pa.RecordBatch:
+        metric = self.metric
+
+        def pick(place: pa.Array, x: np.ndarray, data: np.ndarray, ids: np.ndarray, carried) -> pa.RecordBatch:
+            d = distances(x, data, metric)
             row, at = np.nonzero(d <= radius)
             return pa.RecordBatch.from_arrays([place.take(pa.array(row)), pa.array(ids[at], pa.string()), pa.array(d[row, at])], names=["place", "neighbour", "distance"])
 
@@ -348,6 +353,30 @@ def _best(d: np.ndarray, k: int) -> np.ndarray:
     return order
 
 
+def nearest_pairs(x: np.ndarray, data: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of data, distance) of the k rows of data nearest to each row of x, by (distance, row of data).
+
+    In many dimensions a matrix product gives squared distances up to rounding; only those that may be among the k nearest
+    by its error bound are summed up coordinate by coordinate, as distances() does."""
+    if metric == "euclidean" and x.shape[1] >= WIDE and 0 < k < len(data):
+        own, other = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", data, data)
+        rough = own[:, None] + other[None, :] - 2 * (x @ data.T)
+        if np.isfinite(rough).all():
+            slack = 32 * x.shape[1] * np.finfo(float).eps * (own + other.max())
+            row, at = np.nonzero(rough <= (np.partition(rough, k - 1, axis=1)[:, k - 1] + slack)[:, None])
+            if len(row) <= 8 * k * len(x):
+                a, b = x[row], data[at]
+                d = _length((a[:, j] - b[:, j] for j in range(x.shape[1])), metric)
+                order = np.lexsort((at, d, row))
+                row, at, d = row[order], at[order], d[order]
+                turn = np.arange(len(row)) - np.searchsorted(row, row, "left")
+                return row[turn < k], at[turn < k], d[turn < k]
+    d = distances(x, data, metric)
+    best = _best(d, k)
+    row, at = np.repeat(np.arange(len(d)), best.shape[1]), best.reshape(-1)
+    return row, at, d[row, at]
+
+
 def measured(table: DataFrame, metric: str) -> DataFrame:
     """x as the tree takes it: of length 1 for the cosine metric (a zero vector stays zero)."""
     if metric not in METRICS:

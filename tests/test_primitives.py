@@ -247,3 +247,24 @@ def test_bounded_results(spark):
     with pytest.raises(ValueError):
         collect_bounded(spark.range(11), 10, "rows")
     assert small_table(spark.range(11), 10).count() == 11
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "far", "huge"])
+def test_wide_neighbours_sum_up_few_distances(monkeypatch, kind):
+    """The matrix product only spares distances: what is nearest, and how far, is the same to the last bit."""
+    rng = np.random.default_rng(8)
+    x, data = rng.normal(size=(60, 16)), rng.normal(size=(700, 16))
+    if kind == "ties":
+        x, data = np.round(x), np.round(data)
+    if kind == "far":
+        x, data = x * 1e-3 + 1e3, data * 1e-3 + 1e3
+    if kind == "huge":
+        data[5] = 1e200
+    d = neighbours.distances(x, data)
+    best = neighbours._best(d, 5)
+    asked, whole = [], neighbours.distances
+    monkeypatch.setattr(neighbours, "distances", lambda *a: asked.append(1) or whole(*a))
+    row, at, far = neighbours.nearest_pairs(x, data, 5, "euclidean")
+    assert (row == np.repeat(np.arange(60), 5)).all() and (at == best.reshape(-1)).all() and (far == d[row, at]).all()
+    if kind == "spread":
+        assert not asked
